@@ -100,7 +100,8 @@ def mix(docs: DataFrame, block: int = 256, n_out: int = 16, most: int = 3, bucke
     plan = plan.select("src", "n", "epochs", "rest", "last", "p", F.posexplode("counts").alias("shard", "m"), "counts")
     plan = plan.withColumn("first", F.expr("aggregate(slice(counts, 1, shard), 0L, (a, x) -> a + x)")).drop("counts").where("m > 0")
     plan = plan.withColumn("chunk", F.explode(F.expr("sequence(0L, (m - 1) div 4096)")))
-    plan = plan.repartition("src", "shard", "chunk")
+    # a few rows here become the whole mix: an explicit count keeps adaptive coalescing from putting them in one task
+    plan = plan.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src", "shard", "chunk")
     slots = plan.withColumn("j", F.explode(F.expr("sequence(first + chunk * 4096, first + least(m, (chunk + 1) * 4096) - 1)")))
     slots = slots.withColumns({"epoch": F.expr("j div n"), "k": F.expr("j % n")})
     slots = slots.withColumn("idx", F.expr(_permuted("k", "epoch", "n", rounds, seed)))

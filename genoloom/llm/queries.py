@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from genoloom.llm.decontam import op9_decontamination
 from genoloom.llm.mixing import op10_mixing
 from genoloom.llm.sharding import op1_sharding
+from genoloom.llm.simhash import op4_simhash
 
-QUERIES = {"op1_sharding": op1_sharding, "op10_mixing": op10_mixing}
+QUERIES = {"op1_sharding": op1_sharding, "op4_simhash": op4_simhash, "op9_decontamination": op9_decontamination, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {}
