@@ -59,7 +59,7 @@ def _counts(total: str, n_out: int, seed: int) -> str:
 def mix(docs: DataFrame, block: int = 256, n_out: int = 16, most: int = 3, buckets: int = 256, rounds: int = 24, seed: int = 17) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, slots, pieces).
 
-    rows: one per document with doc_id, src, size, source_size, target, taken.
+    rows: one per document with doc_id, th (hash of the text), src, size, source_size, target, taken.
     slots: one per drawn block: shard, src, idx, take (its words from the block's start).
     pieces: which words lo..hi-1 of block (src, idx) are a document's; joined with slots on
     (src, idx) they spell out the mix shard by shard.
@@ -69,6 +69,7 @@ def mix(docs: DataFrame, block: int = 256, n_out: int = 16, most: int = 3, bucke
             "doc_id",
             F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), "source")).alias("src"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            F.xxhash64("text").alias("th"),
             F.pmod(F.xxhash64("doc_id", "source"), F.lit(buckets)).alias("h"),
         ),
         "mix",
@@ -78,7 +79,7 @@ def mix(docs: DataFrame, block: int = 256, n_out: int = 16, most: int = 3, bucke
     part = part.select("src", "h", F.coalesce(F.sum("n").over(before("h")), F.lit(0)).alias("off"))
     goal = targets(rows.groupBy("src").agg(F.sum("size").alias("source_size")), most)
     goal = materialize(goal, "goal")
-    own = Window.partitionBy("src", "h").orderBy("doc_id", "size")
+    own = Window.partitionBy("src", "h").orderBy("doc_id", "size", "th")
     placed = rows.withColumns({
         "rn": F.row_number().over(own),
         "local": F.coalesce(F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
@@ -113,9 +114,25 @@ def mix(docs: DataFrame, block: int = 256, n_out: int = 16, most: int = 3, bucke
     pieces = pieces.withColumns({"lo": F.expr(f"greatest(start - idx * {block}, 0L)"), "hi": F.expr(f"least(start + size - idx * {block}, {block}L)")})
     drawn = slots.groupBy("src", "idx").agg(F.count_if("whole").alias("whole"), F.max(F.when(~F.col("whole"), F.col("take"))).alias("cut"))
     taken = pieces.join(drawn, ["src", "idx"], "left").withColumn("w", F.expr("coalesce(whole, 0) * (hi - lo) + greatest(least(coalesce(cut, 0), hi) - lo, 0L)"))
-    out = taken.groupBy("src", "h", "rn", "doc_id", "size", "source_size", "target").agg(F.coalesce(F.sum("w"), F.lit(0)).cast("long").alias("taken"))
+    out = taken.groupBy("src", "h", "rn", "doc_id", "th", "size", "source_size", "target").agg(F.coalesce(F.sum("w"), F.lit(0)).cast("long").alias("taken"))
     return out, slots, pieces
 
 
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` as the mix has them: each as many times as the mix takes its words, a fraction rounded up or down by a hash of the row.
+
+    Equal rows (doc_id, source, text) are drawn together: their copies add up and repeat one of them.
+    """
+    rows = mix(docs, **how)[0]
+    dice = (F.xxhash64("doc_id", "th", "src", F.lit(3)).bitwiseAND((1 << 53) - 1)) / float(1 << 53)
+    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + dice)).otherwise(0)
+    drawn = rows.groupBy(F.col("doc_id").alias("_i"), F.col("src").alias("_s"), F.col("th").alias("_t")).agg(F.sum(copies).cast("int").alias("_c")).where("_c > 0")
+    src = F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), "source"))
+    marked = docs.withColumns({"_src": src, "_th": F.xxhash64("text")})
+    joined = marked.join(drawn, marked.doc_id.eqNullSafe(drawn._i) & (marked._src == drawn._s) & (marked._th == drawn._t))
+    one = joined.dropDuplicates(["doc_id", "_src", "_th"])
+    return one.withColumn("_k", F.explode(F.expr("sequence(1, _c)"))).select(*docs.columns)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))[0].select("doc_id", "size", "source_size", "target", "taken")

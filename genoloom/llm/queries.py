@@ -3,9 +3,22 @@
 from __future__ import annotations
 
 from genoloom.llm.decontam import op9_decontamination
+from genoloom.llm.html import op5_html
+from genoloom.llm.langid import op6_language_id
+from genoloom.llm.media import op7_media
 from genoloom.llm.mixing import op10_mixing
+from genoloom.llm.quality import op3_quality
 from genoloom.llm.sharding import op1_sharding
 from genoloom.llm.simhash import op4_simhash
 
-QUERIES = {"op1_sharding": op1_sharding, "op4_simhash": op4_simhash, "op9_decontamination": op9_decontamination, "op10_mixing": op10_mixing}
+QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op3_quality": op3_quality,
+    "op4_simhash": op4_simhash,
+    "op5_html": op5_html,
+    "op6_language_id": op6_language_id,
+    "op7_media": op7_media,
+    "op9_decontamination": op9_decontamination,
+    "op10_mixing": op10_mixing,
+}
 ORACLES: dict[str, str] = {}
