@@ -5,19 +5,23 @@ from __future__ import annotations
 from genoloom.llm.decontam import op9_decontamination
 from genoloom.llm.html import op5_html
 from genoloom.llm.langid import op6_language_id
+from genoloom.llm.lmscore import op8_lm_scoring
 from genoloom.llm.media import op7_media
 from genoloom.llm.mixing import op10_mixing
 from genoloom.llm.quality import op3_quality
 from genoloom.llm.sharding import op1_sharding
 from genoloom.llm.simhash import op4_simhash
+from genoloom.llm.suffix_dedup import op2_suffix_dedup
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
     "op5_html": op5_html,
     "op6_language_id": op6_language_id,
     "op7_media": op7_media,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
 }
