@@ -224,7 +224,7 @@ class Slice:
         return out
 
 
-def slices(grams: DataFrame, depth: int, slice_grams: int = 1 << 21) -> list:
+def slices(grams: DataFrame, depth: int, slice_grams: int = 3 << 18) -> list:
     """Broadcast slices of the model from (g, n): all grams with counts."""
     sc = grams.sparkSession.sparkContext
     last = F.shiftrightunsigned("g", 8).bitwiseAND(255) if depth else F.lit(0)
@@ -266,23 +266,22 @@ def _score(parts: list, common, depth: int):
         for batch in batches:
             texts = [(t or b"").lower() for t in bytes_of(batch.column("text"))]
             score = np.zeros(len(texts))
-            for a, b in _chunks(texts, 1 << 20):
-                grams, who, _ = _stream(texts[a:b], depth)
-                if not parts:
-                    score[a:b] += np.bincount(who, minlength=b - a) * np.log10(0.5) * 8
-                last = (grams >> U(8) & U(255)).astype(np.int64) if depth else np.zeros(len(grams), np.int64)
-                met = np.zeros(256, bool)
-                for part in parts:
-                    s = part.value
-                    met |= s.lasts
-                    mine = s.lasts[last]
-                    if mine.all():
-                        score[a:b] += np.bincount(who, s.of(grams), b - a)
-                    elif mine.any():
+            met = np.zeros(256, bool)
+            for i, part in enumerate(parts):
+                s = part.value
+                met |= s.lasts
+                for a, b in _chunks(texts, 1 << 20):
+                    grams, who, _ = _stream(texts[a:b], depth)
+                    # what follows a byte that training never met is left to the root alone, with the last slice
+                    last = (grams >> U(8) & U(255)).astype(np.int64) if depth else np.zeros(len(grams), np.int64)
+                    mine = s.lasts[last] if i + 1 < len(parts) else s.lasts[last] | ~met[last]
+                    if mine.any():
                         score[a:b] += np.bincount(who[mine], s.of(grams[mine]), b - a)
-                rest = ~met[last]
-                if parts and rest.any():  # a previous byte that training never met: the root alone
-                    score[a:b] += np.bincount(who[rest], parts[0].value.slow(grams[rest]), b - a)
+                if len(parts) > 2:  # the worker keeps one slice at a time; the next batch loads it again
+                    s = None
+                    part.__dict__.pop("_value", None)
+            if not parts:
+                score = np.array([(len(t) + 1) * 8 * np.log10(0.5) for t in texts])
             n_tokens, n_known, part_sum, rare = [], [], [], []
             for t in texts:
                 words = t.split()
@@ -306,7 +305,7 @@ def _score(parts: list, common, depth: int):
     return run
 
 
-def score(docs: DataFrame, learn, depth: int = 4, slice_grams: int = 1 << 21, grain: int = 1 << 19) -> DataFrame:
+def score(docs: DataFrame, learn, depth: int = 5, slice_grams: int = 3 << 18, grain: int = 1 << 19) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row, learned from rows where ``learn`` holds."""
     sc = docs.sparkSession.sparkContext
     counts = docs.where(learn).select("text").mapInArrow(_count(depth), "w binary, g long, n long")
