@@ -34,7 +34,7 @@ from genoloom.llm.common import broadcast_if_small, byte_runs, bytes_of, documen
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MAP = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-_PIECE = 1 << 22
+_PIECE = 1 << 20
 _powers: list[np.ndarray] = []
 
 
@@ -110,7 +110,7 @@ def _anchor_rows(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             th = batch.column("th").to_numpy(zero_copy_only=False)
-            for i, _, data, offsets in byte_runs(batch.column("text")):
+            for i, _, data, offsets in byte_runs(batch.column("text"), 1 << 20):
                 nb = np.diff(offsets)
                 for a in range(0, max(len(data) - length + 1, 1), _PIECE) if len(offsets) == 2 else (0,):
                     part, ends = (data[a : a + _PIECE + length - 1], None) if len(offsets) == 2 else (data, offsets)
@@ -213,6 +213,7 @@ def repeated_spans(texts: DataFrame, length: int = 400, most_group: int = 4096,
     gram = length // 2
     runs = materialize(texts.select("th", "text").mapInArrow(_anchor_rows(length, gram), "th long, nb long, d1 long, d2 long, at long, lo long, hi long"), "runs")
     groups = runs.groupBy("d1").agg(F.count("*").alias("n"), F.min("d2").alias("a"), F.max("d2").alias("b")).where("n > 1").select("d1", (F.col("a") != F.col("b")).alias("mixed"))
+    groups = materialize(groups, "groups")  # apart from the join, so that a hot digit's rows can be split among its tasks
     alive = materialize(runs.join(groups, "d1"), "alive")
     equal = alive.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("th", "nb", "lo")).alias("rep"))
     different = equal.groupBy("d1").agg((F.count("*") > most_group).alias("hot"))
