@@ -20,6 +20,7 @@ out. Equal texts have equal scores. Without training documents N and V are 0. An
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -151,6 +152,16 @@ class Nodes:
         return weight, log_w
 
 
+def _pack(keys: np.ndarray) -> bytes:
+    """Sorted keys as compressed differences, their bytes by significance."""
+    return zlib.compress(np.diff(keys, prepend=U(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zlib.decompress(data), np.uint8)
+    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 class Slice:
     """Predictions for bytes that follow one of ``lasts`` (previous bytes)."""
 
@@ -171,20 +182,33 @@ class Slice:
             kt = nodes.estimates(d)[1]
             self.keys.append(nodes.keys[d])
             self.p.append(before + mass * kt)
-        self.grams = np.unique(grams)
-        score = self.slow(self.grams).astype(np.float32)
-        bits = max(10, int(len(self.grams) * 3).bit_length())
+        self.p = [x.astype(np.float32) for x in self.p]
+        grams = np.unique(grams)
+        self._hash(grams, self.slow(grams).astype(np.float32))
+
+    def _hash(self, grams: np.ndarray, score: np.ndarray) -> None:
+        """An open-addressed table of the grams that training met."""
+        bits = max(10, int(len(grams) * 3).bit_length())
         self.shift, self.table, self.score = U(64 - bits), np.full(1 << bits, np.iinfo(np.uint64).max, np.uint64), np.zeros(1 << bits, np.float32)
-        left = np.arange(len(self.grams))
-        slot = self._slot(self.grams)
+        left = np.arange(len(grams))
+        slot = self._slot(grams)
         while len(left):  # linear probing, all grams a step at a time
             free = self.table[slot[left]] == np.iinfo(np.uint64).max
             _, first = np.unique(slot[left[free]], return_index=True)
             put = left[free][first]
-            self.table[slot[put]], self.score[slot[put]] = self.grams[put], score[put]
+            self.table[slot[put]], self.score[slot[put]] = grams[put], score[put]
             left = np.setdiff1d(left, put, assume_unique=True)
             slot[left] = (slot[left] + 1) & (len(self.table) - 1)
-        self.grams = None
+
+    def __getstate__(self) -> tuple:
+        used = self.table != np.iinfo(np.uint64).max
+        order = np.argsort(self.table[used])
+        return self.lasts, self.depth, [_pack(k) for k in self.keys], self.p, _pack(self.table[used][order]), self.score[used][order]
+
+    def __setstate__(self, state: tuple) -> None:
+        self.lasts, self.depth, keys, self.p, grams, score = state
+        self.keys = [_unpack(k) for k in keys]
+        self._hash(_unpack(grams), score)
 
     def _slot(self, grams: np.ndarray) -> np.ndarray:
         return ((grams * U(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
@@ -224,7 +248,7 @@ class Slice:
         return out
 
 
-def slices(grams: DataFrame, depth: int, slice_grams: int = 3 << 18) -> list:
+def slices(grams: DataFrame, depth: int, slice_grams: int = 1 << 18) -> list:
     """Broadcast slices of the model from (g, n): all grams with counts."""
     sc = grams.sparkSession.sparkContext
     last = F.shiftrightunsigned("g", 8).bitwiseAND(255) if depth else F.lit(0)
@@ -305,7 +329,7 @@ def _score(parts: list, common, depth: int):
     return run
 
 
-def score(docs: DataFrame, learn, depth: int = 5, slice_grams: int = 3 << 18, grain: int = 1 << 19) -> DataFrame:
+def score(docs: DataFrame, learn, depth: int = 5, slice_grams: int = 1 << 18, grain: int = 1 << 19) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row, learned from rows where ``learn`` holds."""
     sc = docs.sparkSession.sparkContext
     counts = docs.where(learn).select("text").mapInArrow(_count(depth), "w binary, g long, n long")
