@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,22 +90,40 @@ def from_freqs(freqs: DataFrame) -> DataFrame:
     return rows.withColumns({"r2": F.expr("if(den > 1e-12, least(d * d / den, 1D), null)"), "dprime": F.expr("if(dmax > 1e-12, least(abs(d) / dmax, 1D), null)")}).drop("den", "dmax")
 
 
+def _bounds(k: list[np.ndarray], dh: np.ndarray, pa: np.ndarray, pb: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lo, hi) of D' per pair from its likelihood on 0, 0.01, ..., 1: 5% of the mass lies beyond either bound; NaN where undefined."""
+    flip = d < 0
+    n11, n10, n01, n00 = (np.where(flip, k[j], k[i]) for i, j in ((0, 1), (1, 0), (2, 3), (3, 2)))
+    b = np.where(flip, 1 - pb, pb)
+    most = np.minimum(pa * (1 - b), (1 - pa) * b)
+    lo, hi = np.full(len(d), np.nan), np.full(len(d), np.nan)
+    use = np.flatnonzero((pa > 0) & (pa < 1) & (b > 0) & (b < 1) & (most > 0))
+    if not len(use):
+        return lo, hi
+    n11, n10, n01, n00, dh, a, b, most = (x[use, None] for x in (n11, n10, n01, n00, dh, pa, b, most))
+    dg = np.arange(101)[None, :] / 100.0 * most
+    q11, q10, q01, q00 = (np.maximum(x, 1e-10) for x in (a * b + dg, a * (1 - b) - dg, (1 - a) * b - dg, (1 - a) * (1 - b) + dg))
+    like = n11 * np.log(q11) + n10 * np.log(q10) + n01 * np.log(q01) + n00 * np.log(q00) + dh * np.log(q11 * q00 + q10 * q01)
+    like = np.exp(like - like.max(axis=1, keepdims=True))
+    limit = 0.05 * like.sum(axis=1, keepdims=True)
+    up = (np.cumsum(like, axis=1) > limit).argmax(axis=1) + 1
+    down = 101 - (np.cumsum(like[:, ::-1], axis=1) > limit).argmax(axis=1)
+    lo[use], hi[use] = np.maximum(up - 2, 0) / 100, np.minimum(down, 100) / 100
+    return lo, hi
+
+
 def dprime_ci(freqs: DataFrame) -> DataFrame:
-    """lo, hi: 90% bounds of D' from its likelihood on a grid of 101 values; expressions over arrays."""
-    neg = "coalesce(d < 0, false)"
-    rows = freqs.withColumns({
-        "n11": F.expr(f"if({neg}, k10, k11)"), "n10": F.expr(f"if({neg}, k11, k10)"), "n01": F.expr(f"if({neg}, k00, k01)"), "n00": F.expr(f"if({neg}, k01, k00)"),
-        "qb": F.expr(f"if({neg}, 1 - pb, pb)"),
-    }).withColumn("dm", F.expr("least(pa * (1 - qb), (1 - pa) * qb)"))
-    q = {"q11": "pa * qb + g", "q10": "pa * (1 - qb) - g", "q01": "(1 - pa) * qb - g", "q00": "(1 - pa) * (1 - qb) + g"}
-    f = {k: "greatest(" + v.replace("+ g", "+ t / 100D * dm").replace("- g", "- t / 100D * dm") + ", 1e-10D)" for k, v in q.items()}
-    ll = f"n11 * ln({f['q11']}) + n10 * ln({f['q10']}) + n01 * ln({f['q01']}) + n00 * ln({f['q00']}) + dh * ln({f['q11']} * {f['q00']} + {f['q10']} * {f['q01']})"
-    rows = rows.withColumn("l", F.expr(f"if(pa > 0 AND pa < 1 AND qb > 0 AND qb < 1 AND dm > 0, transform(sequence(0, 100), t -> {ll}), null)"))
-    rows = rows.withColumn("mx", F.array_max("l")).withColumn("l", F.expr("transform(l, v -> exp(v - mx))")).withColumn("tot", F.expr("aggregate(l, 0D, (a, v) -> a + v)"))
-    # index (from 1) of the first cumulative sum above 5%, from either end
-    first = "aggregate({l}, named_struct('c', 0D, 'k', 0, 'at', 0), (a, v) -> named_struct('c', a.c + v, 'k', a.k + 1, 'at', if(a.at = 0 AND a.c + v > 0.05 * tot, a.k + 1, a.at)), a -> a.at)"
-    rows = rows.withColumns({"lo": F.expr(f"greatest({first.format(l='l')} - 2, 0) / 100D"), "hi": F.expr(f"least(102 - {first.format(l='reverse(l)')}, 100) / 100D")})
-    return rows.drop("n11", "n10", "n01", "n00", "qb", "dm", "l", "mx", "tot")
+    """``freqs`` with lo, hi: 90% bounds of D'. The 101-point grids of a batch are one array computation (Arrow)."""
+
+    @F.pandas_udf("lo double, hi double")
+    def bounds(k11: pd.Series, k10: pd.Series, k01: pd.Series, k00: pd.Series, dh: pd.Series, pa: pd.Series, pb: pd.Series, d: pd.Series) -> pd.DataFrame:
+        rows = [x.to_numpy(float) for x in (k11, k10, k01, k00, dh, pa, pb, d)]
+        parts = [_bounds([x[i : i + 4096] for x in rows[:4]], *(x[i : i + 4096] for x in rows[4:])) for i in range(0, max(len(d), 1), 4096)]
+        return pd.DataFrame({"lo": np.concatenate([p[0] for p in parts]), "hi": np.concatenate([p[1] for p in parts])})
+
+    rows = freqs.withColumn("ci", bounds("k11", "k10", "k01", "k00", "dh", "pa", "pb", "d"))
+    clean = lambda c: F.when(~F.isnan(c), F.col(c))
+    return rows.withColumns({"lo": clean("ci.lo"), "hi": clean("ci.hi")}).drop("ci")
 
 
 def compare(a: DataFrame, b: DataFrame, value_a: str, value_b: str) -> DataFrame:
