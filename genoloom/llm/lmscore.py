@@ -253,6 +253,8 @@ def slices(grams: DataFrame, depth: int, slice_grams: int = 1 << 18) -> list:
     sc = grams.sparkSession.sparkContext
     last = F.shiftrightunsigned("g", 8).bitwiseAND(255) if depth else F.lit(0)
     sizes = {r.b: r.k for r in grams.groupBy(last.alias("b")).agg(F.count("*").alias("k")).collect()}  # at most 256 rows
+    if not sizes:
+        return []
     parts: list[list[int]] = []
     room = 0
     for b in sorted(sizes):
