@@ -122,12 +122,16 @@ class Model:
 def fit(docs: DataFrame, labelled, rows: int = 96, train_bytes: int = 1 << 16) -> Model:
     """``labelled``: the condition of rows that may be learned from."""
     known = docs.where(labelled & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    # one count a language, as the model has one text a language: a filter of literals, so only sampled rows are shuffled
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return Model({})
+    share = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, 2.0 * rows / n)])
     dice = (F.xxhash64("doc_id", F.lit(5)).bitwiseAND((1 << 53) - 1) / float(1 << 53)).alias("dice")
-    some = known.select("lang", "text", dice).join(counts, "lang").where(F.col("dice") < 2.0 * rows / F.col("n"))
+    some = known.where(dice < F.element_at(share, F.col("lang"))).select("lang", F.substring("text", 1, train_bytes).alias("text"), dice)
     some = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("dice", "text"))).where(F.col("k") <= rows)
     texts: dict[str, list[bytes]] = {}
-    for r in some.select("lang", "k", F.substring("text", 1, train_bytes).alias("text")).orderBy("lang", "k").collect():
+    for r in some.orderBy("lang", "k").collect():
         texts.setdefault(r.lang, []).append(normal(r.text))
     return Model({k: b" ".join(v)[:train_bytes] for k, v in texts.items()})
 
