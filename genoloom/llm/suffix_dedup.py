@@ -121,23 +121,30 @@ def _anchor_rows(length: int, gram: int):
     return run
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows, few at a time: what Python objects of a batch take is bounded by that."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def _contexts(length: int):
     """Rows (th, nb, text, runs) -> (d1, th, nb, lo, place, hot, bytes that a run's starts cover)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["d1", "th", "nb", "lo", "place", "hot", "bytes"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-        for batch in batches:
-            rows, held = [], 0
+        rows, held = [], 0
+        for batch in _slices(batches):
             for th, nb, text, runs in zip(batch.column("th").to_pylist(), batch.column("nb").to_pylist(), bytes_of(batch.column("text")), batch.column("runs").to_pylist(), strict=True):
                 for r in runs:
                     rows.append((r["d1"], th, nb, r["lo"], r["at"] - r["lo"], r["hot"], text[r["lo"] : r["hi"] + length]))
                     held += r["hi"] + length - r["lo"]
-                    if held > 1 << 22:
+                    if held > 1 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                         rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return run
 
@@ -173,14 +180,14 @@ def _repeated(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, group, size = [], [], 0  # whole groups; the one that is still open
-        for batch in batches:
+        for batch in _slices(batches, 2048):
             for row in zip(*(batch.column(c).to_pylist() for c in ("d1", "th", "nb", "lo", "place", "bytes")), strict=True):
                 if group and group[0][0] != row[0]:
                     if len(group) > 1:
                         done += group
                         size += sum(len(x[-1]) for x in group)
                     group = []
-                    if size > 1 << 20:
+                    if size > 1 << 19:
                         yield close(done)
                         done, size = [], 0
                 group.append(row)
@@ -233,7 +240,7 @@ def repeated_spans(texts: DataFrame, length: int = 400, most_group: int = 4096,
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         out = []
         for text, spans in zip(bytes_of(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
             text = text or b""
