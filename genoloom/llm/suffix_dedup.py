@@ -223,6 +223,7 @@ def repeated_spans(texts: DataFrame, length: int = 400, most_group: int = 4096,
     groups = materialize(groups, "groups")  # apart from the join, so that a hot digit's rows can be split among its tasks
     alive = materialize(runs.join(groups, "d1"), "alive")
     equal = alive.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("th", "nb", "lo")).alias("rep"))
+    equal = materialize(equal, "equal")  # apart from the join too
     different = equal.groupBy("d1").agg((F.count("*") > most_group).alias("hot"))
     marked = materialize(alive.join(equal, ["d1", "d2"]), "marked")
     whole = marked.where("n > 1").select("th", "nb", F.col("lo").alias("first"), (F.col("hi") + length).alias("end"))
