@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from genoloom.functions.genomes import Species, species, species_key
 from genoloom.functions.names import normalize_chr
-from genoloom.sources.text import find_column, head, lines, numbered, table
+from genoloom.operators import gwas as association
+from genoloom.sources.text import fields, find_column, head, lines, numbered, separator, table
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -38,8 +40,30 @@ def fasta_bases(spark: SparkSession, path: str, sites: DataFrame) -> DataFrame:
     return found.select(*[sites[c] if c != "contig" else F.col("contig") for c in sites.columns], base.alias("base"))
 
 
+def sizes_of(spark: SparkSession, x: str | dict[str, int] | DataFrame | Species | None = None, gwas: DataFrame | None = None, chr_map: dict[str, str] | None = None) -> DataFrame:
+    """chr, length of a species or its name, a mapping, a table (name and length first), a file, or of the positions of ``gwas``."""
+    if x is None:
+        if gwas is None:
+            raise ValueError("chromosome lengths need a species, a table, a file or association results")
+        return association.chrom_sizes(gwas)
+    if isinstance(x, str):
+        return species(x).sizes(spark) if species_key(x) else chrom_sizes(spark, x, chr_map)
+    if isinstance(x, Species):
+        return x.sizes(spark)
+    rows = spark.createDataFrame([(str(k), int(v)) for k, v in x.items()], "name string, length long") if isinstance(x, dict) else x
+    name, length = rows.columns[:2]
+    rows = rows.select(normalize_chr(F.col(f"`{name}`"), chr_map).alias("chr"), F.col(f"`{length}`").try_cast("long").alias("length"), F.monotonically_increasing_id().alias("at"))
+    out = rows.where("chr IS NOT NULL AND length > 0").groupBy("chr").agg(F.min_by("length", "at").alias("length"))
+    if out.isEmpty():
+        raise ValueError("no chromosome has a length above 0")
+    return out
+
+
 def chrom_sizes(spark: SparkSession, path: str, chr_map: dict[str, str] | None = None) -> DataFrame:
-    """chr, length of a FASTA, GFF, VCF or two-column file; the first of repeated names, lengths above 0."""
+    """chr, length of a FASTA (or its index), GFF, VCF or two-column file; the first of repeated names, lengths above 0.
+
+    A GFF without sequence-region lines gives the longest chromosome, region or scaffold record that starts at 1.
+    """
     first = head(spark, path)[0]
     rows = lines(spark, path)
     if first.startswith(">"):
@@ -50,6 +74,11 @@ def chrom_sizes(spark: SparkSession, path: str, chr_map: dict[str, str] | None =
     elif first.startswith("##gff-version"):
         p = F.split("value", r"\s+")
         found = rows.where(F.col("value").startswith("##sequence-region")).select(F.get(p, F.lit(1)).alias("contig"), F.get(p, F.lit(3)).try_cast("long").alias("length"), F.struct("block", "line").alias("at"))
+        if found.isEmpty():
+            p = F.split("value", "\t")
+            whole = rows.where(~F.col("value").startswith("#") & F.get(p, F.lit(2)).isin("chromosome", "region", "contig", "scaffold", "supercontig") & (F.get(p, F.lit(3)) == "1"))
+            length = F.get(p, F.lit(4)).try_cast("long")
+            found = whole.select(F.get(p, F.lit(0)).alias("contig"), length.alias("length"), F.struct((-length).alias("block"), "line").alias("at"))
     else:
         p = F.split(F.trim("value"), r"[\s,]+")
         found = rows.select(F.get(p, F.lit(0)).alias("contig"), F.get(p, F.lit(1)).try_cast("long").alias("length"), F.struct("block", "line").alias("at"))
@@ -86,3 +115,49 @@ def read_ld(spark: SparkSession, path: str, stat: str = "R2") -> DataFrame:
     both = pairs.unionByName(swapped).where("id_a <> id_b")
     own = both.select("id_a", "pos_a").distinct().select("id_a", "pos_a", F.col("id_a").alias("id_b"), F.col("pos_a").alias("pos_b"), F.lit(1.0).alias("value"))
     return both.unionByName(own)
+
+
+def read_ld_square(spark: SparkSession, path: str, ids: list[str] | None = None, bim: str | None = None, chr_map: dict[str, str] | None = None) -> DataFrame:
+    """id_a, pos_a, id_b, pos_b, value of a square matrix of numbers without names; nan is null.
+
+    Names and positions come from ``bim`` (second and fourth field of its lines), or names from ``ids``; else v1, v2, ...
+    Rows are numbered within splits, so a matrix is read in parallel.
+    """
+    sep = separator(head(spark, path)[0].strip())
+    cells = numbered(lines(spark, path).where(F.trim("value") != "")).select("row", F.posexplode(fields(F.trim("value"), sep)).alias("at", "text"))
+    value = F.trim("text").try_cast("double")
+    cells = cells.select("row", (F.col("at") + 1).alias("col"), F.when(~F.isnan(value), value).alias("value"))
+    n, least, most = cells.groupBy("row").agg(F.count("*").alias("n")).agg(F.count("*"), F.min("n"), F.max("n")).first()
+    if not n == least == most:
+        raise ValueError(f"{path} is not a square matrix")
+    if bim is not None:
+        f = F.split(F.trim("value"), r"\s+")
+        names = numbered(lines(spark, bim).where(F.trim("value") != "")).select("row", F.get(f, F.lit(1)).alias("id"), F.get(f, F.lit(3)).try_cast("long").alias("pos"))
+    elif ids is not None:
+        names = spark.createDataFrame([(k, v, None) for k, v in enumerate(ids, 1)], "row long, id string, pos long")
+    else:
+        names = spark.range(1, n + 1).select(F.col("id").alias("row"), F.concat(F.lit("v"), "id").alias("id"), F.lit(None).cast("long").alias("pos"))
+    if names.count() != n:
+        raise ValueError(f"{path} has {n} rows, but there are {names.count()} names")
+    a = names.select("row", F.col("id").alias("id_a"), F.col("pos").alias("pos_a"))
+    b = names.select(F.col("row").alias("col"), F.col("id").alias("id_b"), F.col("pos").alias("pos_b"))
+    return cells.join(a, "row").join(b, "col").select("id_a", "pos_a", "id_b", "pos_b", "value")
+
+
+def read_groups(spark: SparkSession, x: str | dict[str, str] | DataFrame) -> DataFrame:
+    """sample, grp of a two-column file with a header, a mapping, or a table whose first two columns these are."""
+    if isinstance(x, dict):
+        return spark.createDataFrame([(str(k), None if v is None else str(v)) for k, v in x.items()], "sample string, grp string")
+    rows = table(spark, x) if isinstance(x, str) else x
+    if len(rows.columns) < 2:
+        raise ValueError("groups need a column of samples and one of groups")
+    a, b = rows.columns[:2]
+    return rows.select(F.col(f"`{a}`").cast("string").alias("sample"), F.col(f"`{b}`").cast("string").alias("grp"))
+
+
+def fasta_index(spark: SparkSession, path: str) -> DataFrame:
+    """contig, length, line_bases of a FASTA, or of the .fai file itself."""
+    if path.endswith(".fai"):
+        f = F.split("value", "\t")
+        return lines(spark, path).select(F.get(f, F.lit(0)).alias("contig"), F.get(f, F.lit(1)).try_cast("long").alias("length"), F.get(f, F.lit(3)).try_cast("int").alias("line_bases")).where("length IS NOT NULL")
+    return fasta(spark, path).groupBy("contig").agg(F.sum(F.length("seq")).cast("long").alias("length"), F.max(F.length("seq")).alias("line_bases"))
