@@ -300,9 +300,8 @@ sm AS (SELECT i, pos_i, j, pos_j, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum
 ld AS (SELECT i, pos_i, j, pos_j, n, CASE WHEN n >= 3 AND n * sxx - sx * sx > 1e-9 * n AND n * syy - sy * sy > 1e-9 * n THEN least(cast((n * sxy - sx * sy) * (n * sxy - sx * sy) AS double) / (cast(n * sxx - sx * sx AS double) * cast(n * syy - sy * sy AS double)), 1.0) END AS r2 FROM sm),
 hc AS (SELECT i, pos_i, j, pos_j, sum(CASE WHEN x = 2 AND y = 2 THEN 2 WHEN x + y = 3 THEN 1 ELSE 0 END) AS k11, sum(CASE WHEN x = 2 AND y = 0 THEN 2 WHEN (x = 2 AND y = 1) OR (x = 1 AND y = 0) THEN 1 ELSE 0 END) AS k10,
 sum(CASE WHEN x = 0 AND y = 2 THEN 2 WHEN (x = 0 AND y = 1) OR (x = 1 AND y = 2) THEN 1 ELSE 0 END) AS k01, sum(CASE WHEN x = 0 AND y = 0 THEN 2 WHEN x + y = 1 THEN 1 ELSE 0 END) AS k00, sum(CASE WHEN x = 1 AND y = 1 THEN 1 ELSE 0 END) AS dh FROM pr GROUP BY ALL)"""
-FEW = "i < 24 AND j < 24"
 EM = f"""e AS (SELECT i, j, k11, k10, k01, k00, dh, k11 + k10 + k01 + k00 + 2 * dh AS t, (k11 + dh / 2.0) / (k11 + k10 + k01 + k00 + 2 * dh) AS p11, (k10 + dh / 2.0) / (k11 + k10 + k01 + k00 + 2 * dh) AS p10,
-(k01 + dh / 2.0) / (k11 + k10 + k01 + k00 + 2 * dh) AS p01, (k00 + dh / 2.0) / (k11 + k10 + k01 + k00 + 2 * dh) AS p00, 0 AS step FROM hc WHERE {FEW} UNION ALL
+(k01 + dh / 2.0) / (k11 + k10 + k01 + k00 + 2 * dh) AS p01, (k00 + dh / 2.0) / (k11 + k10 + k01 + k00 + 2 * dh) AS p00, 0 AS step FROM hc UNION ALL
 SELECT i, j, k11, k10, k01, k00, dh, t, (k11 + dh * th) / t, (k10 + dh * (1 - th)) / t, (k01 + dh * (1 - th)) / t, (k00 + dh * th) / t, step + 1
 FROM (SELECT *, CASE WHEN p11 * p00 + p10 * p01 > 0 THEN p11 * p00 / (p11 * p00 + p10 * p01) ELSE 0.5 END AS th FROM e) WHERE step < 60),
 fr AS (SELECT *, p11 + p10 AS pa, p11 + p01 AS pb, p11 - (p11 + p10) * (p11 + p01) AS d FROM e WHERE step = 60)"""
@@ -334,7 +333,7 @@ def ld_hap_counts(spark, d):
 
 
 def _freqs(spark, d):
-    return genotypes.from_freqs(genotypes.em(genotypes.hap_counts(_blk(spark, d).where("v < 24"), 20_000), 60, 0.0))
+    return genotypes.from_freqs(genotypes.em(genotypes.hap_counts(_blk(spark, d), 20_000), 60, 0.0))
 
 
 @query(f"""WITH RECURSIVE {PAIRS}, {EM} SELECT i, j, round(CASE WHEN pa * (1 - pa) * pb * (1 - pb) > 1e-12 THEN least(d * d / (pa * (1 - pa) * pb * (1 - pb)), 1.0) END, 5) AS r2,
@@ -362,7 +361,7 @@ def ld_blocks(spark, d):
 @query(f"""WITH RECURSIVE {PAIRS}, {EM}, b AS (SELECT i, j, least(d * d / (pa * (1 - pa) * pb * (1 - pb)), 1.0) AS y FROM fr WHERE pa * (1 - pa) * pb * (1 - pb) > 1e-12), z AS (SELECT abs(r2 - y) AS d FROM ld JOIN b USING (i, j) WHERE r2 IS NOT NULL)
 SELECT count(*) AS n_pairs, round(max(d), 5) AS max_abs, round(avg(d), 5) AS mean_abs, round(sqrt(avg(d * d)), 5) AS rmse FROM z""")
 def ld_compare(spark, d):
-    both = genotypes.compare(genotypes.r2(_blk(spark, d).where("v < 24"), 20_000), _freqs(spark, d), "r2", "r2")
+    both = genotypes.compare(genotypes.r2(_blk(spark, d), 20_000), _freqs(spark, d), "r2", "r2")
     return both.select("n_pairs", *[F.round(c, 5).alias(c) for c in ("max_abs", "mean_abs", "rmse")])
 
 
@@ -380,27 +379,27 @@ def lead_region_interval(spark, d):
     return genotypes.r2_with_lead(_blk(spark, d), 30).where("r2 >= 0.6").agg(F.min("pos").alias("start"), F.max("pos").alias("gend"), F.count("*").alias("n"))
 
 
-DIST = f"g AS ({duck(s.GENO_BLK)}), z AS (SELECT a.smp AS s1, b.smp AS s2, abs(a.dos - b.dos) AS d FROM g a JOIN g b ON a.v = b.v AND a.smp < b.smp WHERE a.dos IS NOT NULL AND b.dos IS NOT NULL AND a.smp < 30 AND b.smp < 30)"
+DIST = f"g AS ({duck(s.GENO_BLK)}), z AS (SELECT a.smp AS s1, b.smp AS s2, abs(a.dos - b.dos) AS d FROM g a JOIN g b ON a.v = b.v AND a.smp < b.smp WHERE a.dos IS NOT NULL AND b.dos IS NOT NULL)"
 
 
 @query(f"WITH {DIST} SELECT s1, s2, round(sum(d) / (2.0 * count(*)), 6) AS dist FROM z GROUP BY s1, s2")
 def ibs_distance(spark, d):
-    return genotypes.distances(_blk(spark, d).where("smp < 30")).withColumn("dist", F.round("dist", 6))
+    return genotypes.distances(_blk(spark, d)).withColumn("dist", F.round("dist", 6))
 
 
 @query(f"WITH {DIST} SELECT s1, s2, round(sqrt(sum(d * d) / count(*)), 6) AS dist FROM z GROUP BY s1, s2")
 def euclid_distance(spark, d):
-    return genotypes.distances(_blk(spark, d).where("smp < 30"), "euclidean").withColumn("dist", F.round("dist", 6))
+    return genotypes.distances(_blk(spark, d), "euclidean").withColumn("dist", F.round("dist", 6))
 
 
 @query()
 def upgma_tree(spark, d):
-    return tree.upgma(*tree.distance_matrix(genotypes.distances(_blk(spark, d).where("smp < 30")))).frame(spark)
+    return tree.upgma(*tree.distance_matrix(genotypes.distances(_blk(spark, d)))).frame(spark)
 
 
 @query()
 def nj_tree(spark, d):
-    return tree.midpoint_root(tree.neighbor_joining(*tree.distance_matrix(genotypes.distances(_blk(spark, d).where("smp < 30"))))).frame(spark)
+    return tree.midpoint_root(tree.neighbor_joining(*tree.distance_matrix(genotypes.distances(_blk(spark, d))))).frame(spark)
 
 
 # ---- text fields ----

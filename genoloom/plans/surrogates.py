@@ -19,10 +19,11 @@ FEATURES = """SELECT concat('G', p_partkey) AS gene_id, 'exon' AS class, p_partk
     UNION ALL SELECT concat('G', p_partkey), 'CDS', p_partkey * 600 + 1 + p_size * 40 - cast(floor(p_size * 40 / 3) AS bigint), p_partkey * 600 + 1 + p_size * 36 FROM {part} WHERE p_partkey % 7 <> 0"""
 REGIONS = """SELECT s_suppkey AS region_id, cast(s_suppkey % 12 + 1 AS string) AS r_chr, s_suppkey * 9000 + 1 AS r_start, s_suppkey * 9000 + 20000 AS r_end FROM {supplier}"""
 GENO_OBS = """SELECT concat('V', l_partkey) AS id, cast(l_partkey % 4 + 1 AS string) AS chr, l_partkey * 500 + 1 AS pos, l_suppkey % 16 AS smp, min(l_linenumber) % 3 AS dos
-    FROM {lineitem} WHERE l_partkey < 400 GROUP BY l_partkey, l_suppkey % 16"""
+    FROM {lineitem} GROUP BY l_partkey, l_suppkey % 16"""
+#: Calls of the parts a supplier of each of 32 groups has sold; dosages by a rule, alike within runs of 12 parts.
 GENO_BLK = """SELECT v, '1' AS chr, v * 700 + 1 AS pos, s AS smp, CASE WHEN (s * 31 + v * 11) % 23 = 0 THEN NULL WHEN (s * 13 + v * 17) % 97 = 0 THEN 1
     WHEN (s * s * (b + 1) + s * 7 + b * b * 5) % 11 < 5 THEN 2 ELSE 0 END AS dos
-    FROM (SELECT p_partkey AS v, s_suppkey AS s, cast(floor(p_partkey / 12) AS bigint) AS b FROM {part} CROSS JOIN {supplier} WHERE p_partkey < 120 AND s_suppkey < 100) x"""
+    FROM (SELECT DISTINCT l_partkey AS v, l_suppkey % 32 AS s, cast(floor(l_partkey / 12) AS bigint) AS b FROM {lineitem}) x"""
 ALLELES = """SELECT p_partkey AS k, CASE p_partkey % 6 WHEN 0 THEN 'A' WHEN 1 THEN 'AT' WHEN 2 THEN 'G' WHEN 3 THEN 'CTT' WHEN 4 THEN 'T' ELSE '.' END AS ref,
     CASE p_size % 7 WHEN 0 THEN 'T' WHEN 1 THEN 'A' WHEN 2 THEN 'C,G' WHEN 3 THEN 'AC' WHEN 4 THEN '<DEL>' WHEN 5 THEN '*' ELSE 'CT,C' END AS alt FROM {part}"""
 CALLS_TEXT = """SELECT v, smp, CASE dos WHEN 0 THEN '0/0:12' WHEN 1 THEN '0|1:9' WHEN 2 THEN '1/1:7' ELSE './.:0' END AS call,
