@@ -115,6 +115,8 @@ def gene_rows(models: DataFrame, span: float, label: str | None = "name", label_
     rows = rows.withColumns({"_k": F.row_number().over(order), "_new": F.coalesce(behind < ahead - pad, F.lit(True)).cast("int")})
     rows = rows.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
+    names = models.columns
+
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_k")
         ends, got = np.empty(0), []
@@ -126,7 +128,7 @@ def gene_rows(models: DataFrame, span: float, label: str | None = "name", label_
                 at, ends = len(ends), np.append(ends, 0.0)
             ends[at] = right
             got.append(at + 1)
-        return pdf[models.columns].assign(row=np.array(got, dtype="int64"))
+        return pdf[names].assign(row=np.array(got, dtype="int64"))
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in models.schema.fields)
     return rows.groupBy("chr", "_run").applyInPandas(pack, f"{kinds}, row long")
@@ -301,7 +303,7 @@ def tree_panel(spark: SparkSession, tree: Tree, layout: str = "circular", groups
         for x, depth, y, _ in nodes:
             turn = 2 * math.pi * (y - 0.5) / n
             at[x] = (depth, y, None) if layout == "rectangular" else (depth * math.cos(turn), depth * math.sin(turn), math.degrees(turn))
-    rows = [(x, tree.tips[x] if x < n else None, depth, y, *at[x], count, grp.get(x)) for x, depth, y, count in nodes]
+    rows = [(x, tree.tips[x] if x < n else None, float(depth), y, *(None if v is None else float(v) for v in at[x]), count, grp.get(x)) for x, depth, y, count in nodes]
     return spark.createDataFrame(rows, "node int, tip string, depth double, rank double, x double, y double, angle double, n_tips int, grp string")
 
 

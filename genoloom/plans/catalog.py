@@ -49,9 +49,9 @@ def gwas_qc_log(spark, d):
     return gwas.qc_log(view(spark, d, s.GWAS_RAW))
 
 
-@query(f"WITH {PARSED} SELECT snp, chr, pos, round(p, 12) AS p FROM gwas WHERE p <= 0.05 / (SELECT count(*) FROM gwas)")
+@query(f"WITH {PARSED} SELECT snp, chr, pos, round(p, 12) AS p FROM gwas WHERE p <= 50 / (SELECT count(*) FROM gwas)")
 def gwas_threshold_sig(spark, d):
-    return gwas.significant(_gwas(spark, d)).select("snp", "chr", "pos", F.round("p", 12).alias("p"))
+    return gwas.significant(_gwas(spark, d), 50.0).select("snp", "chr", "pos", F.round("p", 12).alias("p"))
 
 
 @query(f"WITH {PARSED} SELECT snp, chr, pos, round(p, 9) AS p FROM gwas QUALIFY row_number() OVER (PARTITION BY chr ORDER BY p, pos, snp) = 1")
@@ -213,9 +213,13 @@ def annotate_location(spark, d):
     return _annotated(spark, d).select("vid", "gene", "location", "feature", "distance_bp")
 
 
-@query(f"WITH {CAND} SELECT vid, string_agg(concat(gene_id, '(', location, ')'), ';' ORDER BY k) AS other_genes FROM ranked WHERE k > 1 GROUP BY vid")
+WIDE = CAND.replace("1 AND 3000", "1 AND 9000").replace("1 AND 1000", "1 AND 9000").replace("start - 3000", "start - 9000").replace('"end" + 3000', '"end" + 9000')
+
+
+@query(f"WITH {WIDE} SELECT vid, string_agg(concat(gene_id, '(', location, ')'), ';' ORDER BY k) AS other_genes FROM ranked WHERE k > 1 GROUP BY vid")
 def annotate_other_genes(spark, d):
-    return _annotated(spark, d).where("other_genes IS NOT NULL").select("vid", "other_genes")
+    rows = an.annotate(view(spark, d, s.VARIANTS), view(spark, d, s.GENES), view(spark, d, s.FEATURES), 9000, 9000)
+    return rows.where("other_genes IS NOT NULL").select("vid", "other_genes")
 
 
 @query(f"WITH {CAND} SELECT location, count(*) AS n FROM ann GROUP BY location")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from genoloom.functions.genotype import hmp_to_gt
 from genoloom.functions.names import chr_key
+from genoloom.operators.report import ld_matrix_table, ld_pairs_table
 from genoloom.operators.tree import Tree, newick
 from genoloom.sources.genotypes import VCF_FIXED, hapmap_rows
 from genoloom.sources.gff import Genes
@@ -60,6 +61,20 @@ def write_blocks(blocks: DataFrame, path: str) -> str:
     return write_table(rows.select(F.col("chr").alias("CHR"), F.col("start").alias("BP1"), F.col("end").alias("BP2"), kb.alias("KB"), F.col("nsnps").alias("NSNPS"), F.col("snps").alias("SNPS")), path)
 
 
+def write_ld(pairs: DataFrame, variants: DataFrame, path: str, form: str = "matrix", value: str = "r2", digits: int = 4, least: float = 0.0, genes: DataFrame | None = None, features: DataFrame | None = None) -> str:
+    """LD as a square table or as pairs of ``least`` or more, in order of position, with genes where given. pairs: snp_a, pos_a, snp_b, pos_b, value."""
+    if form == "matrix":
+        return write_table(ld_matrix_table(pairs, variants, value, digits, genes, features).orderBy("pos", "id"), path)
+    if form != "pairs":
+        raise ValueError("form is matrix or pairs")
+    return write_table(ld_pairs_table(pairs, value, digits, least, variants, genes, features).orderBy("pos_a", "pos_b"), path)
+
+
+def write_lines(spark: SparkSession, path: str, text: Iterable[str]) -> str:
+    """Text such as a README."""
+    return single(spark, path, text)
+
+
 def write_newick(spark: SparkSession, tree: Tree, path: str, digits: int = 6) -> str:
     return single(spark, path, [newick(tree, digits)])
 
