@@ -6,23 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Names of sex chromosomes and organelles.
+SPECIAL = {c: c for c in "XYWZ"} | {c: "MT" for c in ("M", "MT", "MITO", "MITOCHONDRIA", "MITOCHONDRION", "MITOCHONDRIAL")} | {c: "Pt" for c in ("C", "PT", "CP", "CHLOROPLAST", "PLASTID")}
+
+
 def normalize_chr(x: Column, chr_map: dict[str, str] | None = None) -> Column:
     """Trimmed, mapped, without assembly and chr prefixes and leading zeros; X/Y/W/Z upper; MT and Pt."""
     x = F.trim(x.cast("string"))
     if chr_map:
         table = F.create_map(*[F.lit(v) for kv in chr_map.items() for v in kv])
         x = F.coalesce(F.try_element_at(table, x), x)
-    cut = F.regexp_replace(x, r"^SL[0-9.]+(?=ch)", "")
-    cut = F.regexp_replace(cut, r"(?i)^(chromosome|chrom|chr|ch(?=[0-9]))[_ .-]?", "")
-    cut = F.when(cut == "", x).otherwise(cut)
+    # a prefix goes only where a name is left, so each step refers to the one before once
+    cut = F.regexp_replace(x, r"^SL[0-9.]+(?=ch)(?!(?i:chromosome|chrom|chr)[_ .-]?$)", "")
+    cut = F.regexp_replace(cut, r"(?i)^(?>chromosome|chrom|chr|ch(?=[0-9]))[_ .-]?+(?=.)", "")
     cut = F.regexp_replace(cut, r"^0+(?=[0-9])", "")
-    up = F.upper(cut)
-    return (
-        F.when(up.isin("X", "Y", "W", "Z"), up)
-        .when(up.isin("M", "MT", "MITO", "MITOCHONDRIA", "MITOCHONDRION", "MITOCHONDRIAL"), "MT")
-        .when(up.isin("C", "PT", "CP", "CHLOROPLAST", "PLASTID"), "Pt")
-        .otherwise(cut)
-    )
+    known = F.create_map(*[F.lit(v) for kv in SPECIAL.items() for v in kv])
+    return F.coalesce(F.try_element_at(known, F.upper(cut)), cut)
 
 
 def chr_key(x: Column) -> Column:

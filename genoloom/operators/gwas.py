@@ -13,8 +13,19 @@ TINY = 2.2250738585072014e-308
 
 def parse(raw: DataFrame, chr_map: dict[str, str] | None = None) -> DataFrame:
     """snp, chr, pos, p of text columns; what can't be read is null."""
-    p = F.col("p").try_cast("double")
-    return raw.select(F.trim("snp").alias("snp"), normalize_chr(F.col("chr"), chr_map).alias("chr"), F.col("pos").try_cast("double").alias("pos"), F.when(~F.isnan(p), p).alias("p"))
+    return _named(_fields(raw, chr_map))
+
+
+def _fields(raw: DataFrame, chr_map: dict[str, str] | None) -> DataFrame:
+    """As :func:`parse`, but chr still as it was written, for filters that are pushed below the normal form."""
+    p, label = F.col("p").try_cast("double"), F.trim("chr")
+    if chr_map:
+        label = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in chr_map.items() for v in kv]), label), label)
+    return raw.select(F.trim("snp").alias("snp"), label.alias("chr"), F.col("pos").try_cast("double").alias("pos"), F.when(~F.isnan(p), p).alias("p"))
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("chr", normalize_chr(F.col("chr")))
 
 
 MISSING = "chr IS NULL OR chr = '' OR pos IS NULL OR p IS NULL"
@@ -27,9 +38,9 @@ def qc(raw: DataFrame, chr_map: dict[str, str] | None = None) -> DataFrame:
 
     One shuffle by position, one by id; the least non-zero p is a scalar subquery.
     """
-    rows = parse(raw, chr_map).where(f"NOT ({MISSING})").where(f"NOT ({BAD_POS})").where(f"NOT ({BAD_P})").withColumn("pos", F.col("pos").cast("long"))
+    rows = _fields(raw, chr_map).where(f"NOT ({MISSING})").where(f"NOT ({BAD_POS})").where(f"NOT ({BAD_P})").withColumn("pos", F.col("pos").cast("long"))
     least = rows.where("p > 0").agg(F.min("p")).scalar()
-    rows = rows.withColumn("p", F.when(F.col("p") == 0, F.coalesce(least, F.lit(TINY))).otherwise(F.col("p")))
+    rows = _named(rows).withColumn("p", F.when(F.col("p") == 0, F.coalesce(least, F.lit(TINY))).otherwise(F.col("p")))
     rows = rows.withColumn("snp", F.when(F.col("snp").isNull() | F.col("snp").isin("", "."), F.concat_ws(":", "chr", "pos")).otherwise(F.col("snp")))
     best = Window.partitionBy("chr", "pos").orderBy("p", "snp")
     rows = rows.withColumn("_k", F.row_number().over(best)).where("_k = 1")
@@ -40,10 +51,10 @@ def qc(raw: DataFrame, chr_map: dict[str, str] | None = None) -> DataFrame:
 
 def qc_log(raw: DataFrame, chr_map: dict[str, str] | None = None) -> DataFrame:
     """One row: how many rows came in, what each step removed, how many stay."""
-    rows = parse(raw, chr_map)
+    rows = _fields(raw, chr_map)
     step = F.when(F.expr(MISSING), "missing").when(F.expr(BAD_POS), "position").when(F.expr(BAD_P), "p").otherwise("ok")
     rows = rows.withColumn("step", step)
-    kept = rows.where("step = 'ok'").groupBy("chr", "pos").agg(F.count("*").alias("n")).agg(F.sum("n").alias("ok"), F.count("*").alias("kept"))
+    kept = _named(rows.where("step = 'ok'")).groupBy("chr", "pos").agg(F.count("*").alias("n")).agg(F.sum("n").alias("ok"), F.count("*").alias("kept"))
     seen = rows.agg(F.count("*").alias("n_input"), *[F.count_if(F.col("step") == s).alias(a) for s, a in (("missing", "missing"), ("position", "bad_position"), ("p", "bad_p"))], F.count_if((F.col("step") == "ok") & (F.col("p") == 0)).alias("zero_p"))
     return seen.select("*", (kept.select("ok").scalar() - kept.select("kept").scalar()).alias("duplicates"), kept.select("kept").scalar().alias("kept"))
 

@@ -42,13 +42,14 @@ def nearest(points: DataFrame, intervals: DataFrame, name: str = "gene_id", buck
     every = p.unionByName(ends).unionByName(starts).withColumn("_b", F.floor(F.col("_at") / bucket))
     left = F.when(F.col("_kind") == 1, F.struct(F.col("_at").alias("at"), F.col("_l").alias("id")))
     right = F.when(F.col("_kind") == 2, F.struct(F.col("_at").alias("at"), F.col("_r").alias("id")))
-    low = Window.partitionBy("chr").orderBy("_b")
+    # what follows is taken in falling order: a frame that grows is kept up, one that shrinks is summed anew for every row
+    low, high = Window.partitionBy("chr").orderBy("_b"), Window.partitionBy("chr").orderBy(F.desc("_b"))
     edge = every.groupBy("chr", "_b").agg(F.max(left).alias("m"), F.min(right).alias("n"))
-    edge = edge.select("chr", "_b", F.max("m").over(low.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.min("n").over(low.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
-    here = Window.partitionBy("chr", "_b").orderBy("_at")
+    edge = edge.select("chr", "_b", F.max("m").over(low.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.min("n").over(high.rowsBetween(Window.unboundedPreceding, -1)).alias("_after"))
+    here, back = (Window.partitionBy("chr", "_b").orderBy(at) for at in (F.col("_at"), -F.col("_at")))
     seen = every.withColumns({
         "_m": F.max(left).over(here.rangeBetween(Window.unboundedPreceding, -1)),
-        "_n": F.min(right).over(here.rangeBetween(1, Window.unboundedFollowing)),
+        "_n": F.min(right).over(back.rangeBetween(Window.unboundedPreceding, -1)),
     }).where("_kind = 0").join(edge, ["chr", "_b"])
     m, n = F.coalesce("_m", "_before"), F.coalesce("_n", "_after")
     seen = seen.withColumns({"_m": m, "_n": n}).withColumns({"_dl": F.col("pos") - F.col("_m.at"), "_dr": F.col("_n.at") - F.col("pos")})

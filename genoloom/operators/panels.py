@@ -107,10 +107,11 @@ def gene_rows(models: DataFrame, span: float, label: str | None = "name", label_
     lo, hi = (F.greatest("start", F.lit(view[0])), F.least("end", F.lit(view[1]))) if view else (F.col("start"), F.col("end"))
     mid = (lo + hi) / 2
     ties = [c for c in ("transcript_id", "gene_id", "name") if c in models.columns]
-    order = Window.partitionBy("chr").orderBy("start", "end", *ties)
+    by = ["start", "end", *ties]
+    order, back = Window.partitionBy("chr").orderBy(*by), Window.partitionBy("chr").orderBy(*[F.desc(c) for c in by])
     rows = models.withColumns({"_l": F.least(F.col("start").cast("double"), mid - F.coalesce(width, F.lit(0.0)) / 2), "_r": F.greatest(F.col("end").cast("double"), mid + F.coalesce(width, F.lit(0.0)) / 2)})
     pad = span * PAD_SHARE
-    ahead = F.min("_l").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    ahead = F.min("_l").over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))  # a growing frame
     behind = F.max("_r").over(order.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumns({"_k": F.row_number().over(order), "_new": F.coalesce(behind < ahead - pad, F.lit(True)).cast("int")})
     rows = rows.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
