@@ -33,6 +33,7 @@ from genoloom.llm.common import bytes_of, documents, materialize
 
 U = np.uint64
 END = b""  # the end token: no word is empty
+HELD = 3 << 23  # bytes of text whose grams (eight bytes each) a worker holds while the slices pass, but for a longer text alone
 
 
 def _stream(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -248,13 +249,16 @@ class Slice:
         return out
 
 
-def slices(grams: DataFrame, depth: int, slice_grams: int = 1 << 18) -> list:
-    """Broadcast slices of the model from (g, n): all grams with counts."""
+def slices(grams: DataFrame, depth: int, slice_grams: int = 1 << 18) -> tuple[list, np.ndarray]:
+    """Broadcast slices of the model from (g, n): all grams with counts; and the slice of each previous byte.
+
+    What follows a byte that training never met is left to the root alone, with the last slice.
+    """
     sc = grams.sparkSession.sparkContext
     last = F.shiftrightunsigned("g", 8).bitwiseAND(255) if depth else F.lit(0)
     sizes = {r.b: r.k for r in grams.groupBy(last.alias("b")).agg(F.count("*").alias("k")).collect()}  # at most 256 rows
     if not sizes:
-        return []
+        return [], np.zeros(256, np.uint8)
     parts: list[list[int]] = []
     room = 0
     for b in sorted(sizes):
@@ -282,30 +286,42 @@ def slices(grams: DataFrame, depth: int, slice_grams: int = 1 << 18) -> list:
     for part in parts:
         g, n = pull(part)
         out.append(sc.broadcast(Slice(part, Nodes(g, n, depth), root_weight, root, g)))
-    return out
+    owner = np.full(256, len(parts) - 1, np.uint8)
+    for i, part in enumerate(parts):
+        owner[part] = i
+    return out, owner
+
+
+def _by_slice(texts: list[bytes], depth: int, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(grams in order of the slice that scores them, then of the texts; how many each slice has of each text)."""
+    grams, who, _ = _stream(texts, depth)
+    at = owner[(grams >> U(8) & U(255)).astype(np.int64)] if depth else np.zeros(len(grams), np.uint8)
+    counts = np.bincount(at.astype(np.int64) * len(texts) + who, minlength=n * len(texts)).reshape(n, len(texts))
+    return grams[np.argsort(at, kind="stable")], counts
 
 
-def _score(parts: list, common, depth: int):
+def _score(parts: list, owner: np.ndarray, common, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, known = common.value, {}
         known = dict(zip(table[0], table[1], strict=True))
         for batch in batches:
             texts = [(t or b"").lower() for t in bytes_of(batch.column("text"))]
             score = np.zeros(len(texts))
-            met = np.zeros(256, bool)
-            for i, part in enumerate(parts):
-                s = part.value
-                met |= s.lasts
-                for a, b in _chunks(texts, 1 << 20):
-                    grams, who, _ = _stream(texts[a:b], depth)
-                    # what follows a byte that training never met is left to the root alone, with the last slice
-                    last = (grams >> U(8) & U(255)).astype(np.int64) if depth else np.zeros(len(grams), np.int64)
-                    mine = s.lasts[last] if i + 1 < len(parts) else s.lasts[last] | ~met[last]
-                    if mine.any():
-                        score[a:b] += np.bincount(who[mine], s.of(grams[mine]), b - a)
-                if len(parts) > 2:  # the worker keeps one slice at a time; the next batch loads it again
-                    s = None
-                    part.__dict__.pop("_value", None)
+            for first, last in _chunks(texts, HELD) if parts else ():
+                held = [(first + a, first + b, *_by_slice(texts[first + a : first + b], depth, owner, len(parts))) for a, b in _chunks(texts[first:last], 1 << 20)]
+                done = [0] * len(held)
+                for i, part in enumerate(parts):
+                    if not any(counts[i].any() for *_, counts in held):
+                        continue
+                    s = part.value
+                    for j, (a, b, grams, counts) in enumerate(held):
+                        n = int(counts[i].sum())
+                        if n:
+                            score[a:b] += np.bincount(np.repeat(np.arange(b - a), counts[i]), s.of(grams[done[j] : done[j] + n]), b - a)
+                            done[j] += n
+                    if len(parts) > 2:  # the worker keeps one slice at a time; the next texts load it again
+                        s = None
+                        part.__dict__.pop("_value", None)
             if not parts:
                 score = np.array([(len(t) + 1) * 8 * np.log10(0.5) for t in texts])
             n_tokens, n_known, part_sum, rare = [], [], [], []
@@ -343,7 +359,7 @@ def score(docs: DataFrame, learn, depth: int = 5, slice_grams: int = 1 << 18, gr
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, th long, n_tokens long, n_known long, part double, score double, rare array<struct<w:binary,n:int>>"
     read = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    rows = materialize(read.mapInArrow(_score(slices(grams, depth, slice_grams), common, depth), schema), "scored")
+    rows = materialize(read.mapInArrow(_score(*slices(grams, depth, slice_grams), common, depth), schema), "scored")
     rare = rows.select("th", F.explode("rare").alias("r")).select("th", "r.w", F.col("r.n").alias("k"))
     found = rare.join(words.where(F.col("n") * grain <= total), "w").groupBy("th").agg(F.sum(F.col("k") * F.log10(F.col("n") + F.lit(1.0))).alias("more"), F.sum("k").cast("long").alias("known"))
     copies = rows.groupBy("th").agg(F.count("*").alias("copies"))
