@@ -33,7 +33,7 @@ from genoloom.llm.common import bytes_of, documents, materialize
 
 U = np.uint64
 END = b""  # the end token: no word is empty
-HELD = 3 << 23  # bytes of text whose grams (eight bytes each) a worker holds while the slices pass, but for a longer text alone
+HELD = 1 << 23  # bytes of text whose grams (eight bytes each) a worker holds while the slices pass, but for a longer text alone
 
 
 def _stream(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
