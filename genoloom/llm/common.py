@@ -48,6 +48,14 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table made by :func:`materialize` that no later plan reads."""
+    spark = df.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def table_bytes(df: DataFrame) -> int:
     """Stored bytes of a table made by :func:`materialize`."""
     spark, total = df.sparkSession, 0

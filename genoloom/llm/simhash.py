@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoloom.llm.common import bytes_of, components, documents, materialize
+from genoloom.llm.common import broadcast_if_small, bytes_of, components, documents, materialize
 
 #: Generator of the (23, 12) Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 (a fixed value).
 GOLAY = 0b110001110101
@@ -235,10 +235,9 @@ def links(fps: DataFrame, most: int = 4, most_run: int = 1 << 18) -> DataFrame:
     return found.where("not hot").select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, most: int = 4, most_run: int = 1 << 18) -> DataFrame:
-    """(doc_id, th, fp, component_id, keep_th): the row (component_id, keep_th) is the one that stands for its component."""
-    prints = fingerprints(docs, width)
-    label = components(links(prints, most, most_run))
+def label_rows(prints: DataFrame, found: DataFrame) -> DataFrame:
+    """``prints`` (doc_id, th, fp) with component_id, keep_th of the components that links ``found`` between values of fp make."""
+    label = components(found)
     least = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("own"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "th"))).alias("named"))
     joined = least.join(label, least.fp == label.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("named", "own").alias("best"))
     joined = materialize(joined, "roots")
@@ -247,15 +246,26 @@ def near_duplicates(docs: DataFrame, width: int = 4, most: int = 4, most_run: in
     return prints.join(of, "fp").select("doc_id", "th", "fp", F.col("best.doc_id").alias("component_id"), F.col("best.th").alias("keep_th"))
 
 
-def deduplicate(docs: DataFrame, width: int = 4, most: int = 4) -> DataFrame:
-    """``docs`` with one row of each component: that of its smallest doc_id (of equal rows one)."""
-    dup = near_duplicates(docs, width, most)
+def near_duplicates(docs: DataFrame, width: int = 4, most: int = 4, most_run: int = 1 << 18) -> DataFrame:
+    """(doc_id, th, fp, component_id, keep_th): the row (component_id, keep_th) is the one that stands for its component."""
+    prints = fingerprints(docs, width)
+    return label_rows(prints, links(prints, most, most_run))
+
+
+def keep_one(docs: DataFrame, dup: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component of ``dup``: that of its smallest doc_id (of equal rows one)."""
     keep = dup.groupBy("component_id", "keep_th").count().select(F.col("component_id").alias("_id"), F.col("keep_th").alias("_th"))
+    keep = broadcast_if_small(materialize(keep, "keep"), 32 << 20)
     marked = docs.withColumn("_h", F.xxhash64("text"))
     kept = marked.join(keep, marked.doc_id.eqNullSafe(keep._id) & (marked._h == keep._th), "left_semi")
     return kept.dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
 
 
+def deduplicate(docs: DataFrame, width: int = 4, most: int = 4) -> DataFrame:
+    """``docs`` with one row of each component: that of its smallest doc_id (of equal rows one)."""
+    return keep_one(docs, near_duplicates(docs, width, most))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
