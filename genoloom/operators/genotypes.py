@@ -141,6 +141,13 @@ def matrix(r2s: DataFrame, ids: list[int]) -> DataFrame:
     return wide.select(F.col("i").alias("v"), *[F.round(F.col(str(k)), 4).alias(f"v{k}") for k in ids])
 
 
+def matrix_long(r2s: DataFrame, calls: DataFrame) -> DataFrame:
+    """id_a, id_b, value: the symmetric matrix of all variants of ``calls`` in long form, the diagonal 1; pairs that ``r2s`` leaves out have no row."""
+    upper = r2s.select(F.col("i").alias("id_a"), F.col("j").alias("id_b"), F.col("r2").alias("value"))
+    same = calls.select(F.col("v").alias("id_a"), F.col("v").alias("id_b"), F.lit(1.0).alias("value")).distinct()
+    return upper.unionByName(upper.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"), "value")).unionByName(same)
+
+
 def distances(calls: DataFrame, method: str = "ibs") -> DataFrame:
     """s1, s2, dist of sample pairs: sum |d| / 2N (ibs) or sqrt(sum d^2 / N); pairs without a shared call get the greatest."""
     a = calls.where("dos IS NOT NULL").select("v", F.col("smp").alias("s1"), F.col("dos").alias("x"))

@@ -377,6 +377,12 @@ def ld_matrix(spark, d):
     return genotypes.matrix(genotypes.r2(_blk(spark, d), 20_000), IDS)
 
 
+@query(f"WITH {PAIRS} SELECT i AS id_a, j AS id_b, round(r2, 4) AS value FROM ld UNION ALL SELECT j, i, round(r2, 4) FROM ld UNION ALL SELECT DISTINCT v, v, 1.0 FROM g")
+def ld_matrix_long(spark, d):
+    calls = _blk(spark, d)
+    return genotypes.matrix_long(genotypes.r2(calls, 20_000), calls).withColumn("value", F.round("value", 4))
+
+
 @query(f"""WITH {PAIRS}, one AS (SELECT smp, dos AS x FROM g WHERE v = 30 AND dos IS NOT NULL), z AS (SELECT v, pos, count(*) AS n, sum(x) AS sx, sum(dos) AS sy, sum(x * x) AS sxx, sum(dos * dos) AS syy, sum(x * dos) AS sxy FROM g JOIN one USING (smp) WHERE dos IS NOT NULL GROUP BY v, pos)
 SELECT min(pos) AS start, max(pos) AS gend, count(*) AS n FROM z WHERE v = 30 OR (n >= 3 AND n * sxx - sx * sx > 0 AND n * syy - sy * sy > 0 AND pow(n * sxy - sx * sy, 2) / (cast(n * sxx - sx * sx AS double) * cast(n * syy - sy * sy AS double)) >= 0.6)""")
 def lead_region_interval(spark, d):
