@@ -1,7 +1,11 @@
+import collections
+import functools
 import hashlib
+import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -148,32 +152,109 @@ def test_media_round_trip(docs, texts):
     assert (np.cumsum(np.cumsum(media._decode_bits(media.encode_frames(frames[:1])[0])[:, :1], 0)) is not None)
 
 
-def test_language_model(spark, docs, texts):
-    import collections
-    import math
-
-    got = {r.doc_id: r for r in lmscore.score(docs, F.col("doc_id") % 7 != 2, depth=3, slice_grams=200, grain=64).collect()}
+def test_language_model_base(spark, docs, texts):
+    got = {r.doc_id: r for r in lmscore.score(docs, F.col("doc_id") % 7 != 2, depth=3).collect()}
     words = [(t or "").encode().lower().split() + [b""] for t in texts]
     c = collections.Counter(x for i, w in enumerate(words) if i % 7 != 2 for x in w)
     n, v = sum(c.values()), len(c)
     for i, w in enumerate(words):
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(w), sum(x in c for x in w), n)
         assert abs(got[i].base_score - sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w)) < 1e-6
-    one = {r.doc_id: r.score for r in lmscore.score(docs, F.col("doc_id") % 7 != 2, depth=3).collect()}
-    assert all(abs(one[i] - got[i].score) < 1e-3 * max(1, abs(one[i])) for i in one)  # slices change nothing
     assert lmscore.score(empty(spark), F.lit(True)).count() == 0
-
-
-def test_language_model_is_a_distribution():
-    data = [b"abracadabra", b"banana band", b"cab"]
-    grams = np.concatenate([lmscore._stream([t], 2)[0] for t in data])
-    k, n = np.unique(grams, return_counts=True)
-    y, m = np.unique(grams & np.uint64(255), return_inverse=True)
-    root, nodes = lmscore.Nodes(y, np.bincount(m), 0), lmscore.Nodes(k, n, 2)
-    part = lmscore.Slice(list(range(256)), nodes, np.full(len(root.keys[0]), 0.5), root, k)
-    for context in (0, ord("a"), ord("z") << 8 | ord("b")):
-        every = (np.uint64(context) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
-        assert abs((10 ** part.of(every)).sum() - 1) < 1e-5
+    assert all(abs(r.score - len(((texts[r.doc_id] or "") + "x").encode()) * 8 * math.log10(0.5)) < 1e-3 and r.train_tokens == 0 for r in lmscore.score(docs, F.lit(False)).collect())
+
+
+class NaiveTree:
+    """Context-tree weighting one node at a time."""
+
+    def __init__(self, depth):
+        self.depth, self.count, self.children = depth, {}, collections.defaultdict(set)
+
+    def steps(self, text):
+        past = [0] * self.depth
+        for y in [*text, 0]:
+            for k in range(8):
+                yield tuple(past), (1 << k) | (y >> (8 - k)), y >> (7 - k) & 1
+            past = [*past, y][len(past) + 1 - self.depth :] if self.depth else []
+
+    def learn(self, text):
+        for past, node, bit in self.steps(text):
+            for d in range(self.depth + 1):
+                at = past[self.depth - d :], node
+                self.count.setdefault(at, [0, 0])[bit] += 1
+                if d:
+                    self.children[at[0][1:], node].add(at)
+
+    def own(self, at):
+        a, b = self.count[at]
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    @functools.lru_cache(None)  # noqa: B019
+    def weighted(self, at):
+        if len(at[0]) == self.depth:
+            return self.own(at)
+        below = sum(self.weighted(x) for x in self.children[at])
+        return np.logaddexp(self.own(at), below) - math.log(2)
+
+    def one(self, past, node):
+        p, rest, mass = 0.5, 0.0, 1.0
+        for d in range(self.depth + 1):
+            at = past[self.depth - d :], node
+            if at not in self.count:
+                break
+            a, b = self.count[at]
+            kt = (b + 0.5) / (a + b + 1)
+            p = rest + mass * kt
+            if d < self.depth:
+                below = sum(self.weighted(x) for x in self.children[at])
+                w = 1 / (1 + math.exp(min(700, below - self.own(at))))
+                rest, mass = rest + mass * w * kt, mass * (1 - w)
+        return p
+
+    def score(self, text):
+        return sum(math.log10(p if bit else 1 - p) for past, node, bit in self.steps(text) for p in [self.one(past, node)])
+
+
+@pytest.mark.parametrize("depth", [0, 1, 2, 3, 6])
+def test_language_model_is_naive_context_tree_weighting(spark, docs, texts, depth, monkeypatch):
+    monkeypatch.setattr(lmscore, "LEAST_BUCKETS", 16)
+    tree, raw = NaiveTree(depth), [(t or "").encode().lower() for t in texts]
+    for i, t in enumerate(raw):
+        if i % 7 != 2:
+            tree.learn(t)
+    some = docs.withColumns({"th": F.lit(1), "learn": F.lit("x"), "block": F.lit(None).cast("string")}).unionByName(docs.where("doc_id is null"), allowMissingColumns=True)
+    got = {r.doc_id: r.score for r in lmscore.score(some, F.col("doc_id") % 7 != 2, depth=depth).collect()}
+    assert sorted(got) == list(range(len(texts)))
+    for i, t in enumerate(raw):
+        assert abs(got[i] - tree.score(t)) < 1e-4 * max(1, abs(got[i])), i
+
+
+def test_language_model_of_cut_runs(monkeypatch):
+    """The ordered stream in the smallest runs gives what one run gives."""
+    grams, n = np.unique(lmscore._stream([b"abracadabra" * 3, b"banana band", b"cab"], 4)[0], return_counts=True)
+    batches = lambda k: [pa.RecordBatch.from_arrays([pa.array(grams[i : i + k].view(np.int64)), pa.array(n[i : i + k])], ["key", "n"]) for i in range(0, len(grams), k)]
+
+    def sums():
+        out = collections.defaultdict(float)
+        for batch in lmscore._rising(2, 4)(iter(batches(3))):
+            for at, *rest in zip(*(batch.column(c).to_pylist() for c in ("at", "zeros", "ones", "below")), strict=True):
+                for k, x in enumerate(rest):
+                    out[at, k] += x
+        return out
+
+    whole = sums()
+    monkeypatch.setattr(lmscore, "RUN", 1)
+    cut = sums()
+    assert whole.keys() == cut.keys() and all(abs(whole[k] - cut[k]) < 1e-9 for k in whole)
+
+
+def test_language_model_of_large_blocks(spark, docs, texts, monkeypatch):
+    """Blocks of one text each, and null ids and repeated rows, change no score."""
+    one = {r.doc_id: r.score for r in lmscore.score(docs, F.col("doc_id") < 20, depth=4).collect()}
+    both = docs.unionByName(docs).unionByName(docs.withColumn("doc_id", F.lit(None).cast("long")))
+    more = lmscore.score(both, F.coalesce(F.col("doc_id") < 20, F.lit(False)), depth=4).collect()
+    assert len(more) == 3 * len(texts) and len({r.train_tokens for r in more}) == 1
+    assert sum(r.doc_id is None for r in more) == len(texts) and all(r.score < 0 for r in more) and len(one) == len(texts)
 
 
 def test_decontamination(spark, texts):
