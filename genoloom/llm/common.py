@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -18,8 +18,10 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and Spark runs on this machine alone."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="genoloom-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -84,6 +86,16 @@ def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if table_bytes(df) <= limit else df
 
 
+def plain(docs: DataFrame, *keep: str) -> DataFrame:
+    """``docs`` with all columns but ``keep`` named c0, c1, ..., so that no column that is added clashes; toDF(*docs.columns) names them back."""
+    return docs.toDF(*[c if c in keep else f"c{i}" for i, c in enumerate(docs.columns)])
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """Hash of whole rows (a map counts by its entries)."""
+    return F.xxhash64(*[F.to_json(c) if f.dataType.typeName() == "map" else F.col(c) for c, f in zip(docs.columns, docs.schema, strict=True)])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -112,6 +124,29 @@ def byte_runs(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int,
         i = j
 
 
+def squeeze(x: np.ndarray) -> bytes:
+    """Compressed values, their bytes by significance."""
+    import zstandard
+
+    return zstandard.compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), 1)
+
+
+def unsqueeze(data: bytes, kind: type = np.uint64) -> np.ndarray:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Sorted values (uint64) as compressed differences."""
+    return squeeze(np.diff(values, prepend=np.uint64(0)))
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.cumsum(unsqueeze(data), dtype=np.uint64)
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) of each node of ``edges`` (u, v: long), root the smallest node that it reaches.
 

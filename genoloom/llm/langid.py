@@ -6,8 +6,11 @@ the bits that name a place in its text, wins. The automata are flattened into ta
 and phrases closed, so one gather advances every lane of a batch by one byte. Lanes are 1,024-byte
 pieces of normalised texts, and phrases end where a lane ends; the whole text is parsed.
 
-The automata are fitted on a bounded sample: ``rows`` labelled rows of a language (by hash of the
-id, from all of them) and ``train_bytes`` of their text. Predictions cover every row.
+The automata are fitted on a bounded sample of labelled rows, whole texts by order of a hash of the id:
+at most ``rows`` of a language, longer ones than ``train_bytes`` last, until those taken hold ``train_bytes``. Predictions cover every row.
+
+A text is ``foreign`` if even the language that wins closes a phrase at more than every second byte:
+no learned language shares so much as its byte pairs. The prediction stands, but a pipeline may reject it.
 
 Null texts and texts without a letter are ``und`` with score 0. Null ids are never learned from and
 count as not held out. Without labelled rows every text is ``und``. Ties go to the language first in
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from genoloom.llm.common import documents
+from genoloom.llm.common import documents, plain
 
 LETTER = re.compile(r"[^\W\d_]")
 LANE = 1024
@@ -90,8 +93,8 @@ class Model:
             self.tables.append(table.ravel())
             self.bits.append(float(np.log2(len(texts[lang]) + 1)))
 
-    def costs(self, texts: list[bytes]) -> np.ndarray:
-        """(text, language): bits a byte."""
+    def costs(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(text, language): bits a byte, and phrases closed before a lane's end a byte."""
         size = np.array([len(t) for t in texts], np.int64)
         lanes = np.maximum(-(-size // LANE), 0)
         owner = np.repeat(np.arange(len(texts)), lanes)
@@ -101,9 +104,9 @@ class Model:
         order = np.argsort(-length, kind="stable")
         start, length, owner = start[order], length[order], owner[order]
         data = np.concatenate([self.symbol[np.frombuffer(b"".join(texts), np.uint8)], np.zeros(1, np.uint8)])
-        out = np.zeros((len(texts), len(self.langs)))
+        out, closed = np.zeros((2, len(texts), len(self.langs)))
         if not len(owner):
-            return out
+            return out, closed
         phrases = [np.ones(len(owner), np.int64) for _ in self.langs]
         state = [np.zeros(len(owner), np.int64) for _ in self.langs]
         alive = np.searchsorted(-length, -np.arange(length[0]), side="left")
@@ -115,8 +118,10 @@ class Model:
                 state[k][:n] = v >> 2
                 phrases[k][:n] += v & 3
         for k, bits in enumerate(self.bits):
-            out[:, k] = np.bincount(owner, phrases[k], len(texts)) * bits / np.maximum(size, 1)
-        return out
+            n = np.bincount(owner, phrases[k], len(texts))
+            out[:, k] = n * bits / np.maximum(size, 1)
+            closed[:, k] = (n - lanes) / np.maximum(size, 1)
+        return out, closed
 
 
 def fit(docs: DataFrame, labelled, rows: int = 96, train_bytes: int = 1 << 16) -> Model:
@@ -128,12 +133,14 @@ def fit(docs: DataFrame, labelled, rows: int = 96, train_bytes: int = 1 << 16) -
         return Model({})
     share = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, 2.0 * rows / n)])
     dice = (F.xxhash64("doc_id", F.lit(5)).bitwiseAND((1 << 53) - 1) / float(1 << 53)).alias("dice")
-    some = known.where(dice < F.element_at(share, F.col("lang"))).select("lang", F.substring("text", 1, train_bytes).alias("text"), dice)
-    some = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("dice", "text"))).where(F.col("k") <= rows)
+    some = known.where(dice < F.element_at(share, F.col("lang"))).select("lang", "text", dice, F.octet_length("text").cast("long").alias("size"))
+    order = Window.partitionBy("lang").orderBy(F.col("size") > train_bytes, "dice", F.xxhash64("text"), "text")
+    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    some = some.withColumns({"k": F.row_number().over(order), "before": before}).where((F.col("k") <= rows) & (F.col("before") < train_bytes))
     texts: dict[str, list[bytes]] = {}
     for r in some.orderBy("lang", "k").collect():
         texts.setdefault(r.lang, []).append(normal(r.text))
-    return Model({k: b" ".join(v)[:train_bytes] for k, v in texts.items()})
+    return Model({k: b" ".join(v) for k, v in texts.items()})
 
 
 def _predict(model):
@@ -141,7 +148,7 @@ def _predict(model):
         m = model.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            lang, score = ["und"] * len(texts), np.zeros(len(texts))
+            lang, score, foreign = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
             todo = [i for i, t in enumerate(texts) if t and m.langs and LETTER.search(t)]
             at = 0
             while at < len(todo):
@@ -150,25 +157,32 @@ def _predict(model):
                     size += len(texts[todo[at]])
                     some.append(todo[at])
                     at += 1
-                cost = m.costs([normal(texts[i]) for i in some])
+                cost, closed = m.costs([normal(texts[i]) for i in some])
                 best = cost.argmin(axis=1)
                 two = np.sort(cost, axis=1)[:, :2]
                 sure = two[:, 1] / np.maximum(two.sum(axis=1), 1e-12) if len(m.langs) > 1 else np.ones(len(some))
-                for i, b, s in zip(some, best, sure, strict=True):
+                for j, (i, b, s) in enumerate(zip(some, best, sure, strict=True)):
                     lang[i] = m.langs[b]
                     score[i] = s
+                    foreign[i] = closed[j, b] > 0.5
             keep = [batch.column(i) for i in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(lang), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(lang, pa.string()), pa.array(score), pa.array(foreign)], [*batch.schema.names, "lang_pred", "score", "foreign"])
 
     return run
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and score."""
-    names = [c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
-    own = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
-    out = docs.toDF(*names).mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), f"{own}, lang_pred string, score double")
-    return out.toDF(*docs.columns, "lang_pred", "score")
+    """``docs`` (no column of which may be named so) with lang_pred, score and foreign."""
+    rows = plain(docs, "text")
+    own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    out = rows.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), f"{own}, lang_pred string, score double, foreign boolean")
+    return out.toDF(*docs.columns, "lang_pred", "score", "foreign")
+
+
+def identified(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` without the rows whose language can't be told (und) or that are foreign to all learned ones; columns of any names."""
+    rows = plain(docs, "text")
+    return predict(rows, model).where("lang_pred <> 'und' and not foreign").select(*rows.columns).toDF(*docs.columns)
 
 
 def fold(n: int):

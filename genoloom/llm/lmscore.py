@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoloom.llm.common import batches_of, bytes_of, discard, documents, materialize
+from genoloom.llm.common import batches_of, bytes_of, discard, documents, materialize, pack, squeeze, unpack, unsqueeze
 
 U = np.uint64
 END = b""  # the end token: no word is empty
@@ -78,29 +78,6 @@ def _chunks(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
         yield a, len(texts)
 
 
-def _squeeze(x: np.ndarray) -> bytes:
-    """Compressed values, their bytes by significance."""
-    import zstandard
-
-    return zstandard.compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), 1)
-
-
-def _unsqueeze(data: bytes, kind: type = np.uint64) -> np.ndarray:
-    import zstandard
-
-    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-
-
-def pack(grams: np.ndarray) -> bytes:
-    """Sorted grams as compressed differences."""
-    return _squeeze(np.diff(grams, prepend=U(0)))
-
-
-def unpack(data: bytes) -> np.ndarray:
-    return np.cumsum(_unsqueeze(data), dtype=np.uint64)
-
-
 def _pack_words(words: list[bytes]) -> bytes:
     import zstandard
 
@@ -164,10 +141,10 @@ def _read(depth: int, buckets: int):
 
         def close() -> Iterator[pa.RecordBatch]:
             k, c = _merged(keys, counts)
-            grams = {b: (pack(k[at]), _squeeze(c[at])) for b, at in _dealt_grams(k, buckets)}
+            grams = {b: (pack(k[at]), squeeze(c[at])) for b, at in _dealt_grams(k, buckets)}
             names = sorted(words)
             n = np.fromiter((words[w] for w in names), np.uint64, len(names))
-            named = {b: (_pack_words([names[i] for i in at.tolist()]), _squeeze(n[at])) for b, at in _dealt_words(names, buckets)}
+            named = {b: (_pack_words([names[i] for i in at.tolist()]), squeeze(n[at])) for b, at in _dealt_words(names, buckets)}
             at = sorted(grams.keys() | named.keys())
             for i in range(0, len(at), 256):
                 some = at[i : i + 256]
@@ -220,7 +197,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sorted(w for w, n in words.items() if n)
         if known:
             n = np.fromiter((words[w] for w in known), np.uint64, len(known))
-            yield _rows(COUNTED, bucket=[bucket], words=[_pack_words(known)], word_counts=[_squeeze(n)], tokens=[int(n.sum())], distinct=[len(n)])
+            yield _rows(COUNTED, bucket=[bucket], words=[_pack_words(known)], word_counts=[squeeze(n)], tokens=[int(n.sum())], distinct=[len(n)])
 
     last, keys, counts, held, merged = None, [], [], 0, 0
     words: Counter = Counter()
@@ -231,11 +208,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys, counts, held, merged, words = [], [], 0, 0, Counter()
             last = bucket
             if named.is_valid:
-                words.update(dict(zip(_unpack_words(named.as_py()), _unsqueeze(times.as_py()).tolist(), strict=True)))
+                words.update(dict(zip(_unpack_words(named.as_py()), unsqueeze(times.as_py()).tolist(), strict=True)))
             if not grams.is_valid:
                 continue
             keys.append(unpack(grams.as_py()))
-            counts.append(_unsqueeze(n.as_py()))
+            counts.append(unsqueeze(n.as_py()))
             held += len(keys[-1])
             if held - merged > 1 << 20:
                 k, c = _merged(keys, counts)
@@ -381,7 +358,7 @@ def _falling(stem: int, depth: int, buckets: int):
             grams = rows[0][gram].view(np.uint64)
             if len(grams):
                 score = scored(top, grams, rows[7][gram]).astype(np.float32)
-                packs = [(b, pack(grams[at]), _squeeze(score[at])) for b, at in _dealt_grams(grams, buckets)]
+                packs = [(b, pack(grams[at]), squeeze(score[at])) for b, at in _dealt_grams(grams, buckets)]
                 for i in range(0, len(packs), 1024):
                     b, g, s = zip(*packs[i : i + 1024], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(g, pa.binary()), pa.array(s, pa.binary())], ["bucket", "grams", "scores"])
@@ -454,9 +431,9 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if block is None:
                 if grams.is_valid:
                     keys.append(unpack(grams.as_py()))
-                    scores.append(_unsqueeze(score.as_py(), np.float32))
+                    scores.append(unsqueeze(score.as_py(), np.float32))
                 else:
-                    counts = dict(zip(_unpack_words(named.as_py()), _unsqueeze(times.as_py()).tolist(), strict=True))
+                    counts = dict(zip(_unpack_words(named.as_py()), unsqueeze(times.as_py()).tolist(), strict=True))
                 continue
             if key is None and keys:
                 key, value = np.concatenate(keys), np.concatenate(scores)
@@ -464,10 +441,10 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key, value, keys, scores = key[order], value[order], [], []
             out: dict[str, list] = {"block": [block]}
             if grams.is_valid:
-                out |= {"grams": [grams.as_py()], "scores": [_squeeze(value[np.searchsorted(key, unpack(grams.as_py()))])]}
+                out |= {"grams": [grams.as_py()], "scores": [squeeze(value[np.searchsorted(key, unpack(grams.as_py()))])]}
             if named.is_valid:
                 own = _unpack_words(named.as_py())
-                out |= {"words": [named.as_py()], "word_counts": [_squeeze(np.fromiter((counts.get(w, 0) for w in own), np.uint64, len(own)))]}
+                out |= {"words": [named.as_py()], "word_counts": [squeeze(np.fromiter((counts.get(w, 0) for w in own), np.uint64, len(own)))]}
             yield _rows(ANSWERS, **out)
 
 
@@ -482,7 +459,7 @@ class _Held:
         for w, _ in words:
             names += _unpack_words(w)
         self.place = dict(zip(names, range(len(names)), strict=True))
-        n = np.concatenate([_unsqueeze(c) for _, c in words])
+        n = np.concatenate([unsqueeze(c) for _, c in words])
         self.known, self.log = n > 0, np.log10(n.astype(float) + 1)
 
     def of(self, texts: list[bytes], depth: int) -> tuple[np.ndarray, ...]:
@@ -509,7 +486,7 @@ def _score(depth: int):
                 if not held.is_valid:
                     if grams.is_valid:
                         keys.append(unpack(grams.as_py()))
-                        values.append(_unsqueeze(scores.as_py(), np.float32))
+                        values.append(unsqueeze(scores.as_py(), np.float32))
                     if named.is_valid:
                         words.append((named.as_py(), times.as_py()))
                     continue

@@ -2,10 +2,10 @@
 
 Every source's words are one stream, packed into blocks of ``block`` words. A source's target is
 spent in slots: whole epochs over its blocks and a last, partial epoch, whose final slot is cut so
-that the words taken equal the rounded target. For each source, conditional binomials draw how
-many of its slots each output shard gets (multinomial counts given the source's total); slot j of a
-source maps through the permutation of its epoch (swap-or-not rounds over xxhash64) to a block
-index, and blocks join their documents by (source, index).
+that the words taken equal the rounded target. Every slot draws its output shard by a hash, so the counts
+of a source's slots by shard are one multinomial draw, whatever their number; slot j of a source
+maps through the permutation of its epoch (swap-or-not rounds over xxhash64) to a block index, and
+blocks join their documents by (source, index).
 
 Null text has size 0. Null source is a source of its own, last in order. Documents of size 0 take 0.
 Null or repeated ids and repeated rows count as rows of their own. An empty table gives no rows.
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from genoloom.llm.common import documents, materialize
+from genoloom.llm.common import broadcast_if_small, documents, materialize, plain, row_hash
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -45,21 +45,10 @@ def _permuted(x: str, epoch: str, n: str, rounds: int, seed: int, inverse: bool
     return f"aggregate({span}, cast({x} as bigint), (x, r) -> if((xxhash64({seed + 1}L, src, {epoch}, r, greatest(x, {other})) & 1) = 1, {other}, x))"
 
 
-def _counts(total: str, n_out: int, seed: int) -> str:
-    """SQL of an array of ``n_out`` slot counts that add up to ``total``: conditional binomials, exact below 256 slots, by the normal law above."""
-    u = lambda *x: f"((xxhash64({seed + 2}L, src, k, {', '.join(x)}) & 9007199254740991) / 9007199254740992D)"
-    p = f"(1D / ({n_out} - k))"
-    few = f"aggregate(sequence(1L, a.rest), 0L, (c, i) -> c + if({u('i')} < {p}, 1L, 0L))"
-    many = f"cast(round(a.rest * {p} + sqrt(a.rest * {p} * (1 - {p})) * sqrt(-2 * ln(1D - {u('-1L')})) * cos(2 * pi() * {u('-2L')})) as bigint)"
-    draw = f"if(a.rest < 1, 0L, if(k = {n_out - 1}, a.rest, if(a.rest < 256, {few}, greatest(0L, least(a.rest, {many})))))"
-    step = f"named_struct('rest', a.rest - {draw}, 'c', concat(a.c, array({draw})))"
-    return f"aggregate(sequence(0, {n_out - 1}), named_struct('rest', cast({total} as bigint), 'c', cast(array() as array<bigint>)), (a, k) -> {step}, a -> a.c)"
-
-
 def mix(docs: DataFrame, block: int = 256, n_out: int = 16, most: int = 3, buckets: int = 256, rounds: int = 24, seed: int = 17) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, slots, pieces).
 
-    rows: one per document with doc_id, th (hash of the text), src, size, source_size, target, taken.
+    rows: one per document with doc_id, rh (hash of the row), src, size, source_size, target, taken.
     slots: one per drawn block: shard, src, idx, take (its words from the block's start).
     pieces: which words lo..hi-1 of block (src, idx) are a document's; joined with slots on
     (src, idx) they spell out the mix shard by shard.
@@ -69,8 +58,9 @@ def mix(docs: DataFrame, block: int = 256, n_out: int = 16, most: int = 3, bucke
             "doc_id",
             F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), "source")).alias("src"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64("text").alias("th"),
-            F.pmod(F.xxhash64("doc_id", "source"), F.lit(buckets)).alias("h"),
+            row_hash(docs).alias("rh"),
+            # rows without id are dealt by a number that is stored with them, so they don't meet in one part
+            F.pmod(F.xxhash64("doc_id", "source", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())), F.lit(buckets)).alias("h"),
         ),
         "mix",
     )
@@ -79,7 +69,7 @@ def mix(docs: DataFrame, block: int = 256, n_out: int = 16, most: int = 3, bucke
     part = part.select("src", "h", F.coalesce(F.sum("n").over(before("h")), F.lit(0)).alias("off"))
     goal = targets(rows.groupBy("src").agg(F.sum("size").alias("source_size")), most)
     goal = materialize(goal, "goal")
-    own = Window.partitionBy("src", "h").orderBy("doc_id", "size", "th")
+    own = Window.partitionBy("src", "h").orderBy("doc_id", "size", "rh")
     placed = rows.withColumns({
         "rn": F.row_number().over(own),
         "local": F.coalesce(F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
@@ -97,13 +87,12 @@ def mix(docs: DataFrame, block: int = 256, n_out: int = 16, most: int = 3, bucke
     plan = plan.withColumn("p", F.expr(_permuted("n - 1", "epochs", "n", rounds, seed, inverse=True)))
     plan = plan.withColumn("tail", F.expr(f"""case when rest <= p * {block} then cast(ceil(rest / {block}D) as bigint) when rest <= p * {block} + last then p + 1
         else p + 1 + cast(ceil((rest - p * {block} - last) / {block}D) as bigint) end"""))
-    plan = plan.withColumn("counts", F.expr(_counts("epochs * n + tail", n_out, seed)))
-    plan = plan.select("src", "n", "epochs", "rest", "last", "p", F.posexplode("counts").alias("shard", "m"), "counts")
-    plan = plan.withColumn("first", F.expr("aggregate(slice(counts, 1, shard), 0L, (a, x) -> a + x)")).drop("counts").where("m > 0")
+    plan = plan.withColumn("m", F.expr("epochs * n + tail")).where("m > 0")
     plan = plan.withColumn("chunk", F.explode(F.expr("sequence(0L, (m - 1) div 4096)")))
     # a few rows here become the whole mix: an explicit count keeps adaptive coalescing from putting them in one task
-    plan = plan.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src", "shard", "chunk")
-    slots = plan.withColumn("j", F.explode(F.expr("sequence(first + chunk * 4096, first + least(m, (chunk + 1) * 4096) - 1)")))
+    plan = plan.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src", "chunk")
+    slots = plan.withColumn("j", F.explode(F.expr("sequence(chunk * 4096, least(m, (chunk + 1) * 4096) - 1)")))
+    slots = slots.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 2), "src", "j"), F.lit(n_out)).cast("int"))
     slots = slots.withColumns({"epoch": F.expr("j div n"), "k": F.expr("j % n")})
     slots = slots.withColumn("idx", F.expr(_permuted("k", "epoch", "n", rounds, seed)))
     slots = slots.withColumn("len", F.expr(f"if(idx = n - 1, last, {block}L)"))
@@ -114,24 +103,26 @@ def mix(docs: DataFrame, block: int = 256, n_out: int = 16, most: int = 3, bucke
     pieces = pieces.withColumns({"lo": F.expr(f"greatest(start - idx * {block}, 0L)"), "hi": F.expr(f"least(start + size - idx * {block}, {block}L)")})
     drawn = slots.groupBy("src", "idx").agg(F.count_if("whole").alias("whole"), F.max(F.when(~F.col("whole"), F.col("take"))).alias("cut"))
     taken = pieces.join(drawn, ["src", "idx"], "left").withColumn("w", F.expr("coalesce(whole, 0) * (hi - lo) + greatest(least(coalesce(cut, 0), hi) - lo, 0L)"))
-    out = taken.groupBy("src", "h", "rn", "doc_id", "th", "size", "source_size", "target").agg(F.coalesce(F.sum("w"), F.lit(0)).cast("long").alias("taken"))
+    out = taken.groupBy("src", "h", "rn", "doc_id", "rh", "size", "source_size", "target").agg(F.coalesce(F.sum("w"), F.lit(0)).cast("long").alias("taken"))
     return out, slots, pieces
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` as the mix has them: each as many times as the mix takes its words, a fraction rounded up or down by a hash of the row.
+    """``docs`` as the mix has them: each row as many times as the mix takes its words, a fraction rounded up or down by a hash of the row.
 
-    Equal rows (doc_id, source, text) are drawn together: their copies add up and repeat one of them.
+    Every row has its own count; rows equal in all columns share theirs evenly. Other columns, whatever their names, are carried.
     """
     rows = mix(docs, **how)[0]
-    dice = (F.xxhash64("doc_id", "th", "src", F.lit(3)).bitwiseAND((1 << 53) - 1)) / float(1 << 53)
+    dice = (F.xxhash64("doc_id", "rh", "src", "h", "rn", F.lit(3)).bitwiseAND((1 << 53) - 1)) / float(1 << 53)
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + dice)).otherwise(0)
-    drawn = rows.groupBy(F.col("doc_id").alias("_i"), F.col("src").alias("_s"), F.col("th").alias("_t")).agg(F.sum(copies).cast("int").alias("_c")).where("_c > 0")
-    src = F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), "source"))
-    marked = docs.withColumns({"_src": src, "_th": F.xxhash64("text")})
-    joined = marked.join(drawn, marked.doc_id.eqNullSafe(drawn._i) & (marked._src == drawn._s) & (marked._th == drawn._t))
-    one = joined.dropDuplicates(["doc_id", "_src", "_th"])
-    return one.withColumn("_k", F.explode(F.expr("sequence(1, _c)"))).select(*docs.columns)
+    drawn = rows.groupBy(F.col("doc_id").alias("_i"), F.col("rh").alias("_h")).agg(F.sum(copies).alias("_c"), F.count("*").alias("_n")).where("_c > 0")
+    drawn = broadcast_if_small(materialize(drawn, "drawn"), 32 << 20)
+    own = plain(docs, "doc_id")
+    joined = own.withColumn("_r", row_hash(own)).join(drawn, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_r") == F.col("_h")))
+    equal = joined.where("_n > 1").withColumn("_e", F.row_number().over(Window.partitionBy("_i", "_h").orderBy(F.lit(0))))
+    equal = equal.withColumn("_c", F.expr("_c div _n + if(_e <= _c % _n, 1, 0)")).where("_c > 0").drop("_e")
+    each = joined.where("_n = 1").unionByName(equal)
+    return each.withColumn("_k", F.explode(F.expr("sequence(1L, cast(_c as bigint))"))).select(*own.columns).toDF(*docs.columns)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

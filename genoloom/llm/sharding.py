@@ -30,7 +30,7 @@ def lpt(sizes: list[tuple[int, int]], n_shards: int) -> dict[int, int]:
     return out
 
 
-def shard(docs: DataFrame, n_shards: int = 16, grain: int = 16384, parts: int = 256, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = 16, grain: int = 16384, part_rows: int = 1 << 18, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns of ``docs`` plus size, text_crc32, law, shard, slot and grown_shard.
 
     Slots are gapless within a shard: counts of (shard, part) give each part its first slot, and only
@@ -43,13 +43,15 @@ def shard(docs: DataFrame, n_shards: int = 16, grain: int = 16384, parts: int =
             (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"),
             F.crc32("text").alias("text_crc32"),
             F.xxhash64("text").alias("g"),
-            F.xxhash64("doc_id").alias("t"),
+            # rows without id are dealt by a number that is stored with them, so they don't meet in one part
+            F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).alias("t"),
         ),
         "shard",
     )
     groups = base.groupBy("g").agg(F.sum("size").alias("b"))
     groups = materialize(groups, "groups")
     total = groups.agg(F.sum("b")).first()[0] or 0
+    parts = max(256, -(-base.count() // (part_rows * n_shards)))
     large = F.col("b") * grain > total
     bucket = F.pmod("g", F.lit(grain)).cast("int")
     big = [(r.g, r.b) for r in groups.where(large).collect()]  # fewer than grain rows

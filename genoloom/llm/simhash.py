@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoloom.llm.common import broadcast_if_small, bytes_of, components, documents, materialize
+from genoloom.llm.common import broadcast_if_small, bytes_of, components, documents, materialize, plain, row_hash
 
 #: Generator of the (23, 12) Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 (a fixed value).
 GOLAY = 0b110001110101
@@ -219,7 +219,8 @@ def _link_runs(most: int, most_run: int):
 
 def links(fps: DataFrame, most: int = 4, most_run: int = 1 << 18) -> DataFrame:
     """(u, v) links between distinct fingerprints (column fp) that connect all fingerprints within ``most`` = 4 bits."""
-    keys = fps.select("fp").distinct().mapInArrow(_emit_keys, "key long, fp long")
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named: a fingerprint becomes some forty keys
+    keys = fps.select("fp").distinct().repartition(tasks, "fp").mapInArrow(_emit_keys, "key long, fp long")
     schema = "u long, v long, hot boolean"
     found = materialize(keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_link_runs(most, most_run), schema), "links")
     hot = found.where("hot").select(F.col("u").alias("key")).distinct()
@@ -253,12 +254,20 @@ def near_duplicates(docs: DataFrame, width: int = 4, most: int = 4, most_run: in
 
 
 def keep_one(docs: DataFrame, dup: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component of ``dup``: that of its smallest doc_id (of equal rows one)."""
-    keep = dup.groupBy("component_id", "keep_th").count().select(F.col("component_id").alias("_id"), F.col("keep_th").alias("_th"))
+    """``docs`` with one row of each component of ``dup``: that of its smallest doc_id; of several rows with that id and text, the one whose columns have the least hash.
+
+    Only these last rows are brought together; any other columns, whatever their names, are carried.
+    """
+    own = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("keep_th"))
+    keep = dup.where(own).groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.count("*").alias("_n"))
     keep = broadcast_if_small(materialize(keep, "keep"), 32 << 20)
-    marked = docs.withColumn("_h", F.xxhash64("text"))
-    kept = marked.join(keep, marked.doc_id.eqNullSafe(keep._id) & (marked._h == keep._th), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
+    rows = plain(docs, "doc_id", "text")
+    kept = rows.withColumn("_h", F.xxhash64("text")).join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")))
+    many = kept.where("_n > 1").withColumn("_r", row_hash(rows))
+    least = many.groupBy("_id", "_th").agg(F.min("_r").alias("_r"))
+    least = least.select(F.col("_id").alias("_id2"), F.col("_th").alias("_th2"), F.col("_r").alias("_r2"))
+    many = many.join(least, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_th") == F.col("_th2")) & (F.col("_r") == F.col("_r2"))).dropDuplicates(["_id", "_th"])
+    return kept.where("_n = 1").select(*rows.columns).unionByName(many.select(*rows.columns)).toDF(*docs.columns)
 
 
 def deduplicate(docs: DataFrame, width: int = 4, most: int = 4) -> DataFrame:
