@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,6 +106,17 @@ def bytes_of(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def slices(batches: Iterator[pa.RecordBatch], most: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose texts hold about ``most`` bytes, but for a longer one alone: what Python objects of a batch take is bounded by that."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.large_binary())), 0).to_numpy(zero_copy_only=False)
+        ends, a = np.cumsum(sizes + 8), 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def byte_runs(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, their bytes joined, offsets) for runs of rows of about ``most`` bytes; nulls count as empty."""
     column = column.cast(pa.large_binary())

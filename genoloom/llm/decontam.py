@@ -11,7 +11,7 @@ each part's automaton is built and broadcast on its own (its size is bounded by
 one item), and a document is held against the parts one after the other; hits are united.
 
 Null or empty texts have no words, no hits. Items without words have no window. Items of equal text
-both count; a null item_id reads "null". Repeated rows are rows of their own. An empty benchmark
+both count; rows of one item_id are one item, and a null item_id reads "null". Repeated rows are rows of their own. An empty benchmark
 hits nothing; an empty table gives no rows.
 """
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoloom.llm.common import bytes_of, documents
+from genoloom.llm.common import bytes_of, documents, materialize, plain, slices
 
 #: ASCII letters lowered, digits and bytes from 0x80 on as they are, all else a space.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -150,8 +150,11 @@ def automata(benchmark: DataFrame, window: int = 10, part_words: int = 1 << 17)
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 + size // (part_words * 4)  # words and their gaps take over 4 bytes on average, or parts are the smaller
     out = []
+    items = benchmark.select("item_id", "text").withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int"))
+    if n > 1:  # each part is read from its own files
+        items = materialize(items.repartition("part").sortWithinPartitions("part"), "items")
     for part in range(n):
-        rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == part).select(F.col("item_id").cast("string"), "text").collect()
+        rows = items.where(F.col("part") == part).select(F.col("item_id").cast("string"), "text").collect()
         out.append(sc.broadcast(Automaton([("null" if r[0] is None else r[0], words((r[1] or "").encode())) for r in rows], window)))
     return out
 
@@ -160,7 +163,7 @@ def _hits(parts: list):
     """Per row: its columns, counts, items and spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1 << 20):
             out = []
             texts = [words(t) for t in bytes_of(batch.column("text"))]
             hits = [np.zeros(len(t), bool) for t in texts]
@@ -169,6 +172,9 @@ def _hits(parts: list):
                 automaton = part.value
                 for i, t in enumerate(texts):
                     items[i] |= automaton.scan(t, hits[i])
+                if len(parts) > 2:  # the worker keeps one part at a time; the next texts load it again
+                    automaton = None
+                    part.__dict__.pop("_value", None)
             for t, h, names in zip(texts, hits, items, strict=True):
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], h.view(np.int8), [0]))))
                 out.append((len(t), int(h.sum()), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), [{"first": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]))
@@ -204,14 +210,13 @@ def _without_spans(text: str | None, spans) -> str | None:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_hit: int = 0, most_share: float = 0.0) -> DataFrame:
     """``docs`` without documents of over ``most_hit`` hit words or over ``most_share`` of their words hit; what is hit in kept ones is cut out."""
-    own = [c for c in docs.columns]
-    plain = docs.toDF(*[f"c{i}" if c != "text" else c for i, c in enumerate(own)])
-    marked = contamination(plain, benchmark, window)
+    rows = plain(docs, "text")
+    marked = contamination(rows, benchmark, window)
     kept = marked.where((F.col("n_hit") <= most_hit) & (F.col("n_hit") <= F.col("n_words") * F.lit(most_share)))
     if most_hit and most_share:
         cut = F.udf(_without_spans, "string")
         kept = kept.withColumn("text", F.when(F.col("n_hit") > 0, cut("text", "spans")).otherwise(F.col("text")))
-    return kept.select(*[F.col(f"c{i}" if c != "text" else c).alias(c) for i, c in enumerate(own)])
+    return kept.select(*rows.columns).toDF(*docs.columns)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

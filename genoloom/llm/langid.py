@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from genoloom.llm.common import documents, plain
+from genoloom.llm.common import documents, plain, slices
 
 LETTER = re.compile(r"[^\W\d_]")
 LANE = 1024
@@ -146,17 +146,11 @@ def fit(docs: DataFrame, labelled, rows: int = 96, train_bytes: int = 1 << 16) -
 def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for batch in batches:
+        for batch in slices(batches, 1 << 22):
             texts = batch.column("text").to_pylist()
             lang, score, foreign = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
-            todo = [i for i, t in enumerate(texts) if t and m.langs and LETTER.search(t)]
-            at = 0
-            while at < len(todo):
-                some, size = [], 0
-                while at < len(todo) and (not some or size + len(texts[todo[at]]) <= 1 << 23):
-                    size += len(texts[todo[at]])
-                    some.append(todo[at])
-                    at += 1
+            some = [i for i, t in enumerate(texts) if t and m.langs and LETTER.search(t)]
+            if some:
                 cost, closed = m.costs([normal(texts[i]) for i in some])
                 best = cost.argmin(axis=1)
                 two = np.sort(cost, axis=1)[:, :2]

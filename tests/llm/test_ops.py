@@ -3,6 +3,7 @@ import functools
 import hashlib
 import math
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -132,6 +133,76 @@ def test_html():
     assert html.main_text(None) == html.main_text("") == html.main_text("<p></p>") == ""
 
 
+ARTICLE = "Long text, with marks. And more of it, here and there."
+PAGES = {
+    "hello world": "hello world",
+    "<p>a, b.</p> tail text": "a, b.\ntail text",
+    "<a <a <a": "<a <a <a",
+    "x < y & z": "x < y & z",
+    "<html><head><title>T</title><body><p>Some words here, and there.</p>": "Some words here, and there.",
+    "<p>One, two.</p><select><option>x<p>Three, four.</p>": "One, two.\nThree, four.",
+    f'<div class="overflow-hidden"><p>{ARTICLE}</p></div>': ARTICLE,
+    f'<article><p>{ARTICLE}</p><div id="discussion"><p>We discuss, at length, this.</p></div><div id="related-work"><p>Others, too, did so.</p></div><div id="navier-stokes"><p>As ever, it is hard.</p></div></article>': f"{ARTICLE}\nWe discuss, at length, this.\nOthers, too, did so.\nAs ever, it is hard.",
+    f'<body><nav><a>x</a></nav><article><div class="post-header"><h1>Title</h1></div><div class="body"><p>{ARTICLE}</p><p>{ARTICLE}</p></div></article></body>': f"Title\n{ARTICLE}\n{ARTICLE}",
+    "<article><p>Press <button>Go</button> to start, or not.</p></article>": "Press Go to start, or not.",
+    f'<div class="page with-sidebar"><article><p>{ARTICLE}</p></article><div class="sidebar"><p>Not this, no.</p></div></div>': ARTICLE,
+    f'<div class="no-sidebar search-results layout menu-open"><article><p>{ARTICLE}</p></article></div>': ARTICLE,
+    "<nav><ul><li><a href=x>one</a><li><a>two</a></ul></nav>": "",
+    '<p aria-hidden="false">Yes, here.</p><p hidden>Not, here.</p><p style="display: none">Nor, here.</p>': "Yes, here.",
+    f"<article><p>{ARTICLE}</p><table><tr><td>a<td>b<tr><td>c</table><ul><li>x<li>y</ul></article>": f"{ARTICLE}\na\nb\nc\nx\ny",
+    f"<article><p>{ARTICLE}</p><aside><p>Aside, from this.</p></aside><form><p>Your mail, please.</p></form></article>": ARTICLE,
+    f"<article><p>{ARTICLE}<br>next &lt;line&gt; &amp;amp; \u0130</p><script>var a = '<p>';</script><style>p {{}}</style><!-- no --></article>": f"{ARTICLE} next <line> &amp; \u0130",
+    f"<div><p><b>{ARTICLE}<br><p>Unclosed, it is.</p></div>": f"{ARTICLE}\nUnclosed, it is.",
+}
+
+
+@pytest.mark.parametrize("page", list(PAGES))
+def test_html_pages(page):
+    assert html.main_text(page) == PAGES[page]
+
+
+def test_html_threshold_chooses():
+    """With the threshold off, what the scores drop is there."""
+    page = f"<body><div><a>home</a> <a>news</a></div><div><span>Buy now.</span></div><section>{'<p>' + ARTICLE * 5 + '</p>'}{'<p>' + ARTICLE * 4 + '</p>'}</section><div>Short line</div></body>"
+    assert html.main_text(page) == "\n".join([ARTICLE * 5, ARTICLE * 4])
+    assert html.main_text(page, 0).split("\n") == ["home news", "Buy now.", ARTICLE * 5, ARTICLE * 4, "Short line"]
+
+
+def test_html_of_generated_pages():
+    """Articles between all that isn't one, by elements or by names, are found whole."""
+    rng = np.random.default_rng(4)
+    say = lambda n: " ".join(" ".join(rng.choice("some words of a kind that are read".split(), int(rng.integers(4, 12)))) + "." for _ in range(n))
+    for k in range(60):
+        paragraphs = [say(int(rng.integers(1, 7))) for _ in range(int(rng.integers(4, 9)))]
+        body = "".join(f"<p>{p}</p>" for p in paragraphs)
+        nav, foot, ad, comments = (("nav", "footer", "aside", "aside") if k % 2 else ("div class=site-nav", "div class=site-footer", "div class='ad'", "div id=comments"))
+        close = lambda x: "</" + x.split()[0] + ">"
+        links = "".join(f"<li><a href=x>{say(1)}</a></li>" for _ in range(6))
+        page = f"<html><head><title>{say(1)}</title></head><body><{nav}><ul>{links}</ul>{close(nav)}<{ad}>{say(2)}{close(ad)}<div class=z>{body}</div><{comments}><p>{say(2)}</p><p>{say(1)}</p>{close(comments)}<{foot}>{say(1)}{close(foot)}</body></html>"
+        assert html.main_text(page) == "\n".join(paragraphs)
+
+
+@pytest.mark.parametrize("part", ["<div>", "<div><p>a", "<b>", "</p><p><i>", "<select>", "<textarea>", "<div a='", '<a "', "<title>", "<!--", "<li><p>", "<td>"])
+def test_html_is_linear(part):
+    """Ten times the page takes far less than a hundred times as long."""
+    def took(n):
+        began = time.perf_counter()
+        html.main_text(part * n + "x")
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(20_000) < 40 * max(took(2_000), 0.01)
+
+
+def test_html_table(spark):
+    rows = [(1, "u", "<p>A, b.</p>", "k"), (1, "u", "<p>A, b.</p>", "k"), (None, None, None, None), (2, "v", "", "k"), (3, "w", "<div><p>" + "word, " * 200_000 + "</p></div>", "k")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = sorted((str(r.page_id), r.url, r.text, r.n_chars) for r in html.extract(frame).collect())
+    long = ("word, " * 200_000).strip()
+    assert got == sorted([("1", "u", "A, b.", 5)] * 2 + [("None", None, "", 0), ("2", "v", "", 0), ("3", "w", long, len(long))])
+    assert html.extract(frame.where("false")).count() == 0
+
+
 def test_language_id(spark):
     one, two = "the cat sat on the mat and then the dog ran off ", "der hund lief schnell und die katze sass auf dem dach "
     rows = [(i, (one if i % 2 else two) * (1 + i % 7), "en" if i % 2 else "de", "s", 1) for i in range(40)] + [(90, None, None, None, None), (91, "123 !", "en", "s", 1), (92, "", "de", "s", 1)]
