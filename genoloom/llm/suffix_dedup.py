@@ -13,7 +13,8 @@ digits from the most significant on, and only suffixes in groups of two or more
    Equal groups are exactly the repeated windows. Groups of over ``most_group`` different runs are
    not brought together; their starts go out one by one and are counted by digit instead.
 
-Texts are keyed by 64-bit hash and size, so copies of a text share one row from there on.
+Texts are keyed by 64-bit hash and size, and one of the copies of a text gives its runs' bytes; equality is that of
+64-bit hashes throughout. ``length`` is 16 or more.
 
 Null text is as empty text. Texts under 400 bytes lose nothing. Copies of a text of 400 bytes or
 more lose everything. Null ids and repeated rows are rows of their own. An empty table gives no rows.
@@ -33,7 +34,6 @@ from genoloom.llm.common import broadcast_if_small, byte_runs, bytes_of, documen
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_MAP = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 _PIECE = 1 << 20
 _powers: list[np.ndarray] = []
 
@@ -59,18 +59,25 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Polynomial hashes of any part of ``data``."""
+    """Polynomial hashes of any part of ``data`` of eight bytes or more.
+
+    The terms are mixed values of eight neighbouring bytes, not of single ones: with those, strings such as
+    those of Thue and Morse collide whatever the base.
+    """
 
     def __init__(self, data: np.ndarray):
-        up, self.down = _pow(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_MAP[data] * up[: len(data)], out=self.sums[1:])
+        n = max(len(data) - 7, 0)
+        up, self.down = _pow(n + 1)
+        self.sums = np.zeros(n + 1, np.uint64)
+        if n:
+            eight = np.ndarray((n,), np.uint64, np.ascontiguousarray(data).tobytes(), strides=(1,))
+            np.cumsum(_mix(eight + U(0x632BE59BD9B4E019)) * up[:n], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.down[start]
+        return (self.sums[end - 7] - self.sums[start]) * self.down[start]
 
     def every(self, n: int) -> np.ndarray:
-        return (self.sums[n:] - self.sums[:-n]) * self.down[: len(self.sums) - n]
+        return (self.sums[n - 7 :] - self.sums[: -(n - 7)]) * self.down[: len(self.sums) - (n - 7)]
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -224,12 +231,13 @@ def repeated_spans(texts: DataFrame, length: int = 400, most_group: int = 4096,
     alive = materialize(runs.join(groups, "d1"), "alive")
     equal = alive.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("th", "nb", "lo")).alias("rep"))
     equal = materialize(equal, "equal")  # apart from the join too
-    different = equal.groupBy("d1").agg((F.count("*") > most_group).alias("hot"))
+    different = materialize(equal.groupBy("d1").agg((F.count("*") > most_group).alias("hot")), "different")  # and this
     marked = materialize(alive.join(equal, ["d1", "d2"]), "marked")
     whole = marked.where("n > 1").select("th", "nb", F.col("lo").alias("first"), (F.col("hi") + length).alias("end"))
     part = marked.where(F.col("mixed") & ((F.col("n") == 1) | (F.struct("th", "nb", "lo") == F.col("rep")))).join(different, "d1")
     part = materialize(part.groupBy("th", "nb").agg(F.collect_set(F.struct("d1", "at", "lo", "hi", "hot")).alias("runs")), "part")
     held = texts.join(broadcast_if_small(part, broadcast_bytes), ["th", "nb"]).select("th", "nb", "text", "runs")
+    held = held.groupBy("th", "nb").agg(F.first("text").alias("text"), F.first("runs").alias("runs"))  # of copies one, but one a task before the exchange
     schema = "d1 long, th long, nb long, lo long, place long, hot boolean, bytes binary"
     held = materialize(held.mapInArrow(_contexts(length), schema), "contexts")
     together = held.where("not hot").drop("hot").repartition("d1").sortWithinPartitions("d1")

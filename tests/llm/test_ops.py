@@ -73,6 +73,39 @@ def test_suffix_dedup_is_brute_force(docs, texts, group):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == dict(enumerate(want))
 
 
+def test_suffix_dedup_of_long_texts(spark):
+    """The default 400 bytes, texts over the 1 MiB that are hashed at once, copies of a text that shares a passage with others, null ids."""
+    rng = np.random.default_rng(6)
+    long = bytearray(rng.integers(97, 123, 2_300_000, dtype=np.uint8).tobytes())
+    passage = bytes(rng.integers(97, 123, 1_500, dtype=np.uint8))
+    for at in ((1 << 20) - 700, 2_100_000):
+        long[at : at + 1_500] = passage
+    morse = np.array([x.bit_count() & 1 for x in range(4096)], np.uint8)
+    raw = [bytes(long), b"x" + passage[:399], passage[100:500] + b"y", passage[1000:], b"", bytes(97 + morse), bytes(98 - morse), b"z" * 401]
+    raw += [b"some text of its own " * 9 + passage[:700]] * 40 + [bytes(long)[5_000:9_000]]
+    seen = collections.Counter(hash(t[i : i + 400]) for t in raw for i in range(len(t) - 399))
+    frame = spark.createDataFrame([(i if i % 9 else None, t.decode(), "x") for i, t in enumerate(raw)], "doc_id long, text string, spans string")
+    want = []
+    for i, t in enumerate(raw):
+        hit = np.zeros(len(t) + 1, np.int64)
+        for k in range(len(t) - 399):
+            if seen[hash(t[k : k + 400])] > 1:
+                hit[k] += 1
+                hit[k + 400] -= 1
+        hit = np.cumsum(hit)[:-1] > 0
+        want.append((str(i if i % 9 else None), len(t), int(hit.sum()), hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~hit])).hexdigest()))
+    got = [(str(r.doc_id), r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.remove_repeats(frame, with_bytes=False).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_hashes_of_structured_strings_differ():
+    """Thue-Morse strings and their complements collide under any polynomial of single bytes modulo 2^64."""
+    morse = np.array([x.bit_count() & 1 for x in range(1 << 13)], np.uint8)
+    for n in (512, 1024, 4096):
+        a, b = (suffix_dedup.Rolling(x[:n]).every(n)[0] for x in (97 + morse, 98 - morse))
+        assert a != b and (int(a) ^ int(b)).bit_count() > 8
+
+
 def test_suffix_dedup_of_no_rows(spark):
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
 
