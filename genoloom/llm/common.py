@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -52,16 +51,13 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-@contextlib.contextmanager
-def batches_of(spark: SparkSession, size: int) -> Iterator[None]:
-    """Arrow batches that go to Python workers hold about ``size`` bytes at most in what is run inside; else 10,000 rows of any length."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, size)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def bounded_batches(df: DataFrame, size: int = 4 << 20) -> DataFrame:
+    """``df``; from now on its session sends Python workers batches of about ``size`` bytes at most, not 10,000 rows of any length. Results don't depend on it."""
+    name, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
+    before = int(spark.conf.get(name).rstrip("b") or 0)
+    if not 0 < before <= size:
+        spark.conf.set(name, size)
+    return df
 
 
 def discard(df: DataFrame) -> None:
@@ -174,7 +170,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = materialize(small.distinct(), "edges")
+        edges, done = materialize(small.distinct(), "edges"), edges
+        discard(done)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if last is not None and tuple(now) == last:
             break

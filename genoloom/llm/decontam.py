@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoloom.llm.common import bytes_of, documents, materialize, plain, slices
+from genoloom.llm.common import bounded_batches, bytes_of, documents, materialize, plain, slices
 
 #: ASCII letters lowered, digits and bytes from 0x80 on as they are, all else a space.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -190,7 +190,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, part_
     """``docs`` with n_words, n_hit, n_items, items_sha256 and spans (word numbers first..end-1 of maximal hit runs)."""
     add = "n_words long, n_hit long, n_items long, items_sha256 string, spans array<struct<first:long,end:long>>"
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_hits(automata(benchmark, window, part_words)), f"{own}, {add}")
+    return bounded_batches(docs).mapInArrow(_hits(automata(benchmark, window, part_words)), f"{own}, {add}")
 
 
 def _without_spans(text: str | None, spans) -> str | None:

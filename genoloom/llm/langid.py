@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from genoloom.llm.common import documents, plain, slices
+from genoloom.llm.common import bounded_batches, documents, plain, slices
 
 LETTER = re.compile(r"[^\W\d_]")
 LANE = 1024
@@ -167,7 +167,7 @@ def _predict(model):
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` (no column of which may be named so) with lang_pred, score and foreign."""
-    rows = plain(docs, "text")
+    rows = plain(bounded_batches(docs), "text")
     own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     out = rows.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), f"{own}, lang_pred string, score double, foreign boolean")
     return out.toDF(*docs.columns, "lang_pred", "score", "foreign")

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoloom.llm.common import batches_of, bytes_of, discard, documents, materialize, pack, squeeze, unpack, unsqueeze
+from genoloom.llm.common import bounded_batches, bytes_of, discard, documents, materialize, pack, squeeze, unpack, unsqueeze
 
 U = np.uint64
 END = b""  # the end token: no word is empty
@@ -501,27 +501,26 @@ def _score(depth: int):
 
 def score(docs: DataFrame, learn, depth: int = 5) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row, learned from rows where ``learn`` holds."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = bounded_batches(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = min(max(LEAST_BUCKETS, -(-size // BUCKET_BYTES)), MOST_BUCKETS)
     tasks = buckets // 8  # named, for adaptive coalescing would size these stages by packed bytes
-    with batches_of(docs.sparkSession, 4 << 20):
-        read = materialize(docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learn")).mapInArrow(_read(depth, buckets), READ), "read")
-        packs = read.where("bucket is not null")
-        counted = packs.select("bucket", "grams", "counts", "words", "word_counts").repartition(tasks, "bucket").sortWithinPartitions("bucket")
-        counted = materialize(counted.mapInArrow(_counted, COUNTED), "counted")
-        total, distinct = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-        scores = model(counted.where("key is not null").select("key", "n"), depth, buckets, tasks)
-        no = lambda *names: [F.lit(None).cast("long" if c == "block" else "binary").alias(c) for c in names]
-        order = ["bucket", "block", "grams", "scores", "words", "word_counts"]
-        asked = scores.select("*", *no("block", "words", "word_counts")).select(order)
-        asked = asked.unionByName(counted.where("bucket is not null").select("bucket", "words", "word_counts", *no("block", "grams", "scores")))
-        asked = asked.unionByName(packs.select("bucket", "block", "grams", "words", *no("scores", "word_counts")))
-        asked = asked.repartition(tasks, "bucket").sortWithinPartitions("bucket", F.col("block").asc_nulls_first())
-        answers = asked.mapInArrow(_answered, ANSWERS).select("*", *no("texts"))
-        held = read.where("texts is not null").select("block", "texts", *no("grams", "scores", "words", "word_counts"))
-        blocks = answers.unionByName(held).repartition(tasks, "block").sortWithinPartitions("block", F.col("texts").isNotNull())
-        kind = docs.schema["doc_id"].dataType.simpleString()
-        rows = materialize(blocks.mapInArrow(_score(depth), f"doc_id {kind}, n_tokens long, n_known long, part double, score double"), "scored")
+    read = materialize(docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learn")).mapInArrow(_read(depth, buckets), READ), "read")
+    packs = read.where("bucket is not null")
+    counted = packs.select("bucket", "grams", "counts", "words", "word_counts").repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    counted = materialize(counted.mapInArrow(_counted, COUNTED), "counted")
+    total, distinct = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    scores = model(counted.where("key is not null").select("key", "n"), depth, buckets, tasks)
+    no = lambda *names: [F.lit(None).cast("long" if c == "block" else "binary").alias(c) for c in names]
+    order = ["bucket", "block", "grams", "scores", "words", "word_counts"]
+    asked = scores.select("*", *no("block", "words", "word_counts")).select(order)
+    asked = asked.unionByName(counted.where("bucket is not null").select("bucket", "words", "word_counts", *no("block", "grams", "scores")))
+    asked = asked.unionByName(packs.select("bucket", "block", "grams", "words", *no("scores", "word_counts")))
+    asked = asked.repartition(tasks, "bucket").sortWithinPartitions("bucket", F.col("block").asc_nulls_first())
+    answers = asked.mapInArrow(_answered, ANSWERS).select("*", *no("texts"))
+    held = read.where("texts is not null").select("block", "texts", *no("grams", "scores", "words", "word_counts"))
+    blocks = answers.unionByName(held).repartition(tasks, "block").sortWithinPartitions("block", F.col("texts").isNotNull())
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = materialize(blocks.mapInArrow(_score(depth), f"doc_id {kind}, n_tokens long, n_known long, part double, score double"), "scored")
     for done in (read, counted, scores):
         discard(done)
     base = F.col("part") - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from genoloom.llm.common import bytes_of, documents
+from genoloom.llm.common import bounded_batches, bytes_of, documents
 
 WIDTH, HEIGHT, UNIT, RATE = 16, 12, 192, 25
 _DIFF = np.arange(-255, 256)
@@ -223,7 +223,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def media_columns(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.select("doc_id", "text").mapInArrow(_describe, out)
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(_describe, out)
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:

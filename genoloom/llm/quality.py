@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoloom.llm.common import bytes_of, documents, materialize
+from genoloom.llm.common import bounded_batches, bytes_of, documents, materialize
 
 FEATURES = (
     "log_bytes", "log_words", "word_length", "letters", "upper", "digits", "space", "non_ascii", "periods", "commas", "marks", "symbols",
@@ -175,7 +175,7 @@ def _score(model):
 def score(docs: DataFrame, labels: DataFrame, label: str, learn, rows: int = 20_000, **how) -> DataFrame:
     """(doc_id, score) of every row of ``docs``; learned from ``labels`` (doc_id, ``label``) where ``learn`` holds of doc_id."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    measured = materialize(docs.select("doc_id", "text").mapInArrow(_measure, f"doc_id {kind}, x array<double>"), "features")
+    measured = materialize(bounded_batches(docs).select("doc_id", "text").mapInArrow(_measure, f"doc_id {kind}, x array<double>"), "features")
     known = measured.where(learn).join(labels.select("doc_id", F.col(label).alias("y")).where(F.col("y").isNotNull()), "doc_id")
     sample = known.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "y", "x").limit(rows).collect()
     x = np.array([r.x for r in sample], float).reshape(-1, len(FEATURES))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoloom.llm.common import broadcast_if_small, bytes_of, components, documents, materialize, plain, row_hash
+from genoloom.llm.common import bounded_batches, broadcast_if_small, bytes_of, components, documents, materialize, plain, row_hash
 
 #: Generator of the (23, 12) Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 (a fixed value).
 GOLAY = 0b110001110101
@@ -72,7 +72,7 @@ def _fingerprints(width: int):
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """(doc_id, th: hash of the whole text, fp: fingerprint as a signed long), stored in the shared folder."""
-    source = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    source = bounded_batches(docs).select("doc_id", F.xxhash64("text").alias("th"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return materialize(source.mapInArrow(_fingerprints(width), f"doc_id {kind}, th long, fp long"), "fp")
 

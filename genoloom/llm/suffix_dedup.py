@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoloom.llm.common import broadcast_if_small, byte_runs, bytes_of, documents, materialize
+from genoloom.llm.common import bounded_batches, broadcast_if_small, byte_runs, bytes_of, documents, materialize
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -276,7 +276,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, length: int = 400, most_group: int = 4096, broadcast_bytes: int = 32 << 20, with_bytes: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept: the remaining bytes]) of every row."""
-    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("nb"), "text")
+    texts = bounded_batches(docs).select("doc_id", F.xxhash64("text").alias("th"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("nb"), "text")
     spans = repeated_spans(texts.select("th", "nb", "text"), length, most_group, broadcast_bytes)
     joined = texts.join(broadcast_if_small(spans, broadcast_bytes), ["th", "nb"], "left").select("doc_id", "text", "spans")
     out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
