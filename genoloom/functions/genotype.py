@@ -46,9 +46,14 @@ def hmp_dosage(call: Column, alleles: Column) -> Column:
 
 
 def hmp_to_gt(call: Column, alleles: Column) -> Column:
-    """'a/b' of allele numbers, the smaller first; './.' where missing."""
-    d = hmp_dosage(call, alleles)
-    return F.when(d == 0, "0/0").when(d == 1, "0/1").when(d == 2, "1/1").otherwise("./.")
+    """'a/b' of places among all ``alleles`` ('A/C/T'), the smaller first; './.' where a base is missing or none of them."""
+    call = F.upper(call)
+    every = F.filter(F.split(F.upper(alleles), "/"), lambda a: a != "")
+    place = lambda x: F.nullif(F.array_position(every, x), F.lit(0)) - 1
+    pair = F.coalesce(_het(call), F.when(F.length(call) == 1, F.concat(call, call)).when(F.length(call) == 2, call))
+    pair = F.when((call == "0") & F.array_contains(every, "+") & F.array_contains(every, "-"), "+-").otherwise(pair)
+    a, b = place(F.substring(pair, 1, 1)), place(F.substring(pair, 2, 1))
+    return F.coalesce(F.concat(F.least(a, b).cast("string"), F.lit("/"), F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b).cast("string"))), F.lit("./."))
 
 
 def allele_label(ref: Column, alt: Column) -> Column:
@@ -68,7 +73,17 @@ def site_type(ref: Column, alt: Column) -> Column:
     """SNP, indel or other of a VCF site."""
     alts = F.split(F.upper(alt), ",")
     snp = F.upper(ref).rlike("^[ACGT]$") & F.forall(alts, lambda a: a.rlike(r"^[ACGT*]$")) & F.exists(alts, lambda a: a != "*")
-    indel = F.exists(alts, lambda a: a.rlike(r"^(<(INS|DEL|INDEL).*>|\*)$") | (~a.startswith("<") & (F.length(a) != F.length(ref))))
+    # only the symbols themselves and plain alleles of another length; breakends and other symbols are neither
+    indel = F.exists(alts, lambda a: a.isin("<INS>", "<DEL>", "<INDEL>", "*") | (a.rlike("^[ACGTN]+$") & (F.length(a) != F.length(ref))))
+    return F.when(snp, "SNP").when(indel, "indel").otherwise("other")
+
+
+def hmp_site_type(alleles: Column) -> Column:
+    """SNP, indel or other of HapMap alleles ('A/G')."""
+    every = F.split(F.upper(alleles), "/")
+    snp = (F.size(every) >= 2) & F.forall(every, lambda a: a.rlike("^[ACGT]$"))
+    lengths = F.array_distinct(F.transform(every, lambda a: F.length(a)))
+    indel = F.exists(every, lambda a: a.isin("+", "-", "0")) | (F.forall(every, lambda a: a.rlike("^[ACGT]+$")) & (F.size(lengths) > 1))
     return F.when(snp, "SNP").when(indel, "indel").otherwise("other")
 
 

@@ -28,13 +28,15 @@ def candidates(variants: DataFrame, genes: DataFrame, features: DataFrame | None
     }).where("place IS NOT NULL")
     if features is None:
         return hit.select("vid", "gene_id", F.when(F.col("place") == "inside", "genic").otherwise(F.col("place")).alias("location"), F.lit(None).cast("string").alias("feature"), "distance_bp", "strand")
-    span = features.groupBy("gene_id").agg(F.min(F.when(F.col("class") == "CDS", F.col("f_start"))).alias("c_lo"), F.max(F.when(F.col("class") == "CDS", F.col("f_end"))).alias("c_hi"))
-    inner = hit.where("place = 'inside'").join(features, "gene_id").where(F.col("pos").between(F.col("f_start"), F.col("f_end")))
-    flags = inner.groupBy("vid", "gene_id").agg(*[F.max((F.col("class") == c).cast("int")).alias(c) for c in ("CDS", "UTR5", "UTR3", "UTR")], F.lit(1).alias("in_exon"))
-    full = hit.join(span, "gene_id", "left").join(flags, ["vid", "gene_id"], "left")
-    # a gene without features is gene_only; features' presence is what span says
-    modelled = features.select("gene_id").distinct().withColumn("has", F.lit(True))
-    full = full.join(modelled, "gene_id", "left")
+    # a gene's features are one row, so each hit meets them once; a gene without features is gene_only
+    models = features.groupBy("gene_id").agg(
+        F.min(F.when(F.col("class") == "CDS", F.col("f_start"))).alias("c_lo"), F.max(F.when(F.col("class") == "CDS", F.col("f_end"))).alias("c_hi"),
+        F.collect_list(F.struct("class", "f_start", "f_end")).alias("parts"), F.lit(True).alias("has"),
+    )
+    full = hit.join(models, "gene_id", "left")
+    here = F.filter("parts", lambda f: F.col("pos").between(f["f_start"], f["f_end"]) & (F.col("place") == "inside"))
+    full = full.withColumn("classes", F.transform(here, lambda f: f["class"])).drop("parts")
+    full = full.withColumns({c: F.array_contains("classes", c).cast("int") for c in ("CDS", "UTR5", "UTR3", "UTR")} | {"in_exon": (F.size("classes") > 0).cast("int")})
     location = F.when(F.col("place") != "inside", F.col("place")).when(F.col("has").isNull(), "genic").when(F.col("in_exon") == 1, "exon").otherwise("intron")
     side = F.when(F.col("pos") < F.col("c_lo"), F.when(minus, "3'UTR").otherwise("5'UTR")).when(F.col("pos") > F.col("c_hi"), F.when(minus, "5'UTR").otherwise("3'UTR"))
     feature = F.when(
@@ -47,7 +49,7 @@ def candidates(variants: DataFrame, genes: DataFrame, features: DataFrame | None
 def annotate(variants: DataFrame, genes: DataFrame, features: DataFrame | None = None, upstream: int = 3000, downstream: int = 1000, width: int = 100_000) -> DataFrame:
     """``variants`` (vid, chr, pos, ...) with gene, location, feature, distance_bp, gene_strand, other_genes.
 
-    One shuffle by variant ranks its genes; only variants without a gene go on to the nearest edge.
+    One shuffle by variant ranks its genes, one by stretch of the chromosome finds the nearest edges.
     """
     hit = candidates(variants, genes, features, upstream, downstream, width)
     best = hit.groupBy("vid").agg(F.sort_array(F.collect_list(F.struct(F.expr(RANK).alias("rk"), "distance_bp", "gene_id", "location", "feature", "strand"))).alias("g"))
@@ -55,12 +57,18 @@ def annotate(variants: DataFrame, genes: DataFrame, features: DataFrame | None =
         "vid", F.col("g")[0].alias("b"),
         F.array_join(F.transform(F.slice("g", 2, 1 << 30), lambda x: F.concat(x["gene_id"], F.lit("("), x["location"], F.lit(")"))), ";").alias("others"),
     )
-    rows = variants.join(best, "vid", "left")
-    found = rows.where("b IS NOT NULL").select(*variants.columns, F.col("b.gene_id").alias("gene"), F.col("b.location").alias("location"), F.col("b.feature").alias("feature"), F.col("b.distance_bp").alias("distance_bp"), F.col("b.strand").alias("gene_strand"), F.when(F.col("others") != "", F.col("others")).alias("other_genes"))
-    lone = nearest(rows.where("b IS NULL").select(*variants.columns), genes)
-    lone = lone.join(genes.select(F.col("gene_id").alias("near_gene"), F.col("strand").alias("gene_strand")), "near_gene", "left")
-    lone = lone.select(*variants.columns, F.col("near_gene").alias("gene"), F.lit("intergenic").alias("location"), F.lit(None).cast("string").alias("feature"), F.col("near_distance").cast("long").alias("distance_bp"), "gene_strand", F.lit(None).cast("string").alias("other_genes"))
-    return found.unionByName(lone)
+    # the nearest edge is told for every variant in the same pass, so that nothing above is planned twice
+    rows = nearest(variants.join(best, "vid", "left"), genes.select("gene_id", "chr", "start", "end", "strand"), carry="strand", bins=variants)
+    lone = F.col("b").isNull()
+    return rows.select(
+        *variants.columns,
+        F.when(lone, F.col("near_gene")).otherwise(F.col("b.gene_id")).alias("gene"),
+        F.when(lone, "intergenic").otherwise(F.col("b.location")).alias("location"),
+        F.col("b.feature").alias("feature"),
+        F.when(lone, F.col("near_distance")).otherwise(F.col("b.distance_bp")).cast("long").alias("distance_bp"),
+        F.when(lone, F.col("near_strand")).otherwise(F.col("b.strand")).alias("gene_strand"),
+        F.when(F.col("others") != "", F.col("others")).alias("other_genes"),
+    )
 
 
 def introns(exons: DataFrame, tx: str = "tx") -> DataFrame:

@@ -127,10 +127,13 @@ def dprime_ci(freqs: DataFrame) -> DataFrame:
 
 
 def compare(a: DataFrame, b: DataFrame, value_a: str, value_b: str) -> DataFrame:
-    """n_pairs, largest and mean difference, rmse and correlation of two LD tables on (i, j)."""
+    """n_variants that both know, n_pairs, largest and mean difference, rmse and correlation (of over two pairs) of two LD tables on (i, j)."""
+    known = [t.select(F.explode(F.array("i", "j")).alias("v")).distinct() for t in (a, b)]
+    shared = known[0].join(known[1], "v").agg(F.count("*").alias("n_variants"))
     both = a.select("i", "j", F.col(value_a).alias("x")).join(b.select("i", "j", F.col(value_b).alias("y")), ["i", "j"]).where("x IS NOT NULL AND y IS NOT NULL")
     d = F.abs(F.col("x") - F.col("y"))
-    return both.agg(F.count("*").alias("n_pairs"), F.max(d).alias("max_abs"), F.avg(d).alias("mean_abs"), F.sqrt(F.avg(d * d)).alias("rmse"))
+    sums = both.agg(F.count("*").alias("n_pairs"), F.max(d).alias("max_abs"), F.avg(d).alias("mean_abs"), F.sqrt(F.avg(d * d)).alias("rmse"), F.when(F.count("*") > 2, F.corr("x", "y")).alias("correlation"))
+    return shared.join(sums)  # one row each
 
 
 def matrix(r2s: DataFrame, ids: list[int]) -> DataFrame:

@@ -29,22 +29,29 @@ def overlap_join(regions: DataFrame, intervals: DataFrame, width: int = 1_000_00
     return hit.where(F.col("_bin") == F.floor(F.greatest("start", "r_start") / width)).drop("_bin")
 
 
-def nearest(points: DataFrame, intervals: DataFrame, name: str = "gene_id", bucket: int = 5_000_000) -> DataFrame:
+def nearest(points: DataFrame, intervals: DataFrame, name: str = "gene_id", bucket: int = 5_000_000, carry: str | None = None, bins: DataFrame | None = None) -> DataFrame:
     """Per point outside all intervals: the nearest end before or start after it, the left one on ties.
 
+    ``carry`` names a column of the intervals to bring along (as near_ and its name); ``bins``, a cheaper
+    frame with the chr and pos of all points, if ``points`` is costly to plan twice.
+
     Points and edges are one ordered stream per (chr, bucket); a bucket's last end before it and
     first start after it come from bucket aggregates, so no chromosome passes through one task.
     """
-    p = points.select("*", F.col("pos").alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("string").alias("_l"), F.lit(None).cast("string").alias("_r"))
-    cols = [F.lit(None).cast(t).alias(c) if c != "chr" else F.col("chr") for c, t in points.dtypes]
-    ends = intervals.select(*cols, F.col("end").alias("_at"), F.lit(1).alias("_kind"), F.col(name).alias("_l"), F.lit(None).cast("string").alias("_r"))
-    starts = intervals.select(*cols, F.col("start").alias("_at"), F.lit(2).alias("_kind"), F.lit(None).cast("string").alias("_l"), F.col(name).alias("_r"))
-    every = p.unionByName(ends).unionByName(starts).withColumn("_b", F.floor(F.col("_at") / bucket))
-    left = F.when(F.col("_kind") == 1, F.struct(F.col("_at").alias("at"), F.col("_l").alias("id")))
-    right = F.when(F.col("_kind") == 2, F.struct(F.col("_at").alias("at"), F.col("_r").alias("id")))
+    none = F.lit(None).cast("string")
+    bin_of = F.floor(F.col("_at") / bucket).alias("_b")
+    more = F.col(carry).cast("string") if carry else none
+    edges = intervals.select("chr", F.explode(F.array(F.struct(F.col("end").cast("long").alias("_at"), F.lit(1).alias("_kind")), F.struct(F.col("start").cast("long").alias("_at"), F.lit(2).alias("_kind")))).alias("e"), F.col(name).alias("_id"), more.alias("_more"))
+    edges = edges.select("chr", "e._at", "e._kind", "_id", "_more").withColumn("_b", bin_of)
+    p = points.select("*", F.col("pos").cast("long").alias("_at"), F.lit(0).alias("_kind"), none.alias("_id"), none.alias("_more")).withColumn("_b", bin_of)
+    cols = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != "chr" else F.col("chr") for f in points.schema]
+    every = p.unionByName(edges.select(*cols, "_at", "_kind", "_id", "_more", "_b"))
+    at = F.struct(F.col("_at").alias("at"), F.col("_id").alias("id"), F.col("_more").alias("more"))
+    left, right = F.when(F.col("_kind") == 1, at), F.when(F.col("_kind") == 2, at)
     # what follows is taken in falling order: a frame that grows is kept up, one that shrinks is summed anew for every row
     low, high = Window.partitionBy("chr").orderBy("_b"), Window.partitionBy("chr").orderBy(F.desc("_b"))
-    edge = every.groupBy("chr", "_b").agg(F.max(left).alias("m"), F.min(right).alias("n"))
+    places = (points if bins is None else bins).select("chr", F.floor(F.col("pos") / bucket).alias("_b"))
+    edge = edges.unionByName(places, allowMissingColumns=True).groupBy("chr", "_b").agg(F.max(left).alias("m"), F.min(right).alias("n"))
     edge = edge.select("chr", "_b", F.max("m").over(low.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.min("n").over(high.rowsBetween(Window.unboundedPreceding, -1)).alias("_after"))
     here, back = (Window.partitionBy("chr", "_b").orderBy(at) for at in (F.col("_at"), -F.col("_at")))
     seen = every.withColumns({
@@ -54,7 +61,7 @@ def nearest(points: DataFrame, intervals: DataFrame, name: str = "gene_id", buck
     m, n = F.coalesce("_m", "_before"), F.coalesce("_n", "_after")
     seen = seen.withColumns({"_m": m, "_n": n}).withColumns({"_dl": F.col("pos") - F.col("_m.at"), "_dr": F.col("_n.at") - F.col("pos")})
     take_left = F.col("_dl").isNotNull() & (F.col("_dr").isNull() | (F.col("_dl") <= F.col("_dr")))
-    return seen.select(*points.columns, F.when(take_left, F.col("_m.id")).otherwise(F.col("_n.id")).alias("near_gene"), F.least("_dl", "_dr").alias("near_distance"))
+    return seen.select(*points.columns, F.when(take_left, F.col("_m.id")).otherwise(F.col("_n.id")).alias("near_gene"), F.least("_dl", "_dr").alias("near_distance"), *([F.when(take_left, F.col("_m.more")).otherwise(F.col("_n.more")).alias(f"near_{carry}")] if carry else []))
 
 
 def merge(intervals: DataFrame, key: str, start: str = "start", end: str = "end") -> DataFrame:

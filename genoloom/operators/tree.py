@@ -121,6 +121,16 @@ def midpoint_root(tree: Tree) -> Tree:
     return Tree(tree.tips, [(p, c, size[frozenset((p, c))]) for c, p in back.items() if p != -1], new)
 
 
+def _down(root: int, kids: dict[int, list]) -> list[int]:
+    """Nodes from ``root`` on, each before its children and these in order; no recursion, however deep the tree."""
+    out, left = [], [root]
+    while left:
+        x = left.pop()
+        out.append(x)
+        left += [c for c, _ in reversed(kids.get(x, []))]
+    return out
+
+
 def clusters(names: list[str], d: np.ndarray, k: int) -> dict[str, int]:
     """Cluster number (from 1, by first member) of each sample: average linkage cut into k."""
     tree = upgma(names, d)
@@ -133,7 +143,7 @@ def clusters(names: list[str], d: np.ndarray, k: int) -> dict[str, int]:
         groups += [c for c, _ in kids[x]]
 
     def tips(x: int) -> list[int]:
-        return [x] if x < len(names) else [t for c, _ in kids[x] for t in tips(c)]
+        return [y for y in _down(x, kids) if y < len(names)]
 
     return {names[t]: g for g, members in enumerate(sorted(sorted(tips(x)) for x in groups), 1) for t in members}
 
@@ -145,33 +155,30 @@ def newick(tree: Tree, digits: int = 6) -> str:
     def name(s: str) -> str:
         return "'" + s.replace("'", "''") + "'" if any(c in s for c in " ()[]:;,'\"") else s
 
-    def walk(x: int) -> str:
+    text: dict[int, str] = {}
+    for x in reversed(_down(tree.root, kids)):  # children before their parents
         if x < len(tree.tips):
-            return name(tree.tips[x])
-        return "(" + ",".join(f"{walk(c)}:{float(f'{w:.{digits}g}'):g}" for c, w in kids[x]) + ")"
-
-    return walk(tree.root) + ";"
+            text[x] = name(tree.tips[x])
+        else:
+            text[x] = "(" + ",".join(f"{text.pop(c)}:{float(f'{w:.{digits}g}'):g}" for c, w in kids[x]) + ")"
+    return text[tree.root] + ";"
 
 
 def coordinates(tree: Tree) -> list[tuple[int, float, float, int]]:
     """(node, depth, y, tips below): ladderised, tips at whole ranks, inner nodes in the middle of their children."""
     kids = tree.children()
 
-    def count(x: int) -> int:
-        return sum(count(c) for c, _ in kids[x]) if x in kids else 1
-
-    size = {x: count(x) for x in {tree.root, *(c for _, c, _ in tree.edges)}}
-    out, rank = [], [0]
-
-    def walk(x: int, depth: float) -> float:
-        if x not in kids:
-            rank[0] += 1
-            y = float(rank[0])
-        else:
-            ys = [walk(c, depth + w) for c, w in sorted(kids[x], key=lambda e: (size[e[0]], e[0]))]
-            y = (min(ys) + max(ys)) / 2
-        out.append((x, depth, y, size[x]))
-        return y
-
-    walk(tree.root, 0.0)
+    size: dict[int, int] = {}
+    for x in reversed(_down(tree.root, kids)):
+        size[x] = sum(size[c] for c, _ in kids[x]) if x in kids else 1
+    kids = {x: sorted(some, key=lambda e: (size[e[0]], e[0])) for x, some in kids.items()}
+    order, depth, y = _down(tree.root, kids), {tree.root: 0.0}, {}
+    for x in order:
+        for c, w in kids.get(x, ()):
+            depth[c] = depth[x] + w
+    y = {x: float(rank) for rank, x in enumerate((x for x in order if x not in kids), 1)}
+    for x in reversed(order):
+        if x in kids:
+            y[x] = (min(y[c] for c, _ in kids[x]) + max(y[c] for c, _ in kids[x])) / 2
+    out = [(x, depth[x], y[x], size[x]) for x in order]
     return sorted(out)

@@ -229,8 +229,8 @@ def annotate_summary(spark, d):
 
 @query(f"WITH {CAND} SELECT vid, gene AS near_gene, cast(dist AS bigint) AS near_distance FROM near")
 def nearest_gene(spark, d):
-    lone = _annotated(spark, d).where("location = 'intergenic'").select("vid", "chr", "pos")
-    return intervals.nearest(lone, view(spark, d, s.GENES)).select("vid", "near_gene", F.col("near_distance").cast("long").alias("near_distance"))
+    lone = _annotated(spark, d).where("location = 'intergenic'")
+    return lone.select("vid", F.col("gene").alias("near_gene"), F.col("distance_bp").alias("near_distance"))
 
 
 EXONS = "SELECT gene_id AS tx, f_start AS start, f_end AS gend, CASE WHEN cast(substr(gene_id, 2) AS int) % 2 = 0 THEN '+' ELSE '-' END AS strand FROM feats WHERE class = 'exon'"
@@ -362,11 +362,11 @@ def ld_blocks(spark, d):
     return blocks.find_blocks(_blk(spark, d), 20)
 
 
-@query(f"""WITH RECURSIVE {PAIRS}, {EM}, b AS (SELECT i, j, least(d * d / (pa * (1 - pa) * pb * (1 - pb)), 1.0) AS y FROM fr WHERE pa * (1 - pa) * pb * (1 - pb) > 1e-12), z AS (SELECT abs(r2 - y) AS d FROM ld JOIN b USING (i, j) WHERE r2 IS NOT NULL)
-SELECT count(*) AS n_pairs, round(max(d), 5) AS max_abs, round(avg(d), 5) AS mean_abs, round(sqrt(avg(d * d)), 5) AS rmse FROM z""")
+@query(f"""WITH RECURSIVE {PAIRS}, {EM}, b AS (SELECT i, j, least(d * d / (pa * (1 - pa) * pb * (1 - pb)), 1.0) AS y FROM fr WHERE pa * (1 - pa) * pb * (1 - pb) > 1e-12), z AS (SELECT abs(r2 - y) AS d, r2, y FROM ld JOIN b USING (i, j) WHERE r2 IS NOT NULL)
+SELECT (SELECT count(*) FROM (SELECT i FROM ld UNION SELECT j FROM ld) x WHERE i IN (SELECT i FROM b UNION SELECT j FROM b)) AS n_variants, count(*) AS n_pairs, round(max(d), 5) AS max_abs, round(avg(d), 5) AS mean_abs, round(sqrt(avg(d * d)), 5) AS rmse, round(corr(r2, y), 5) AS correlation FROM z""")
 def ld_compare(spark, d):
     both = genotypes.compare(genotypes.r2(_blk(spark, d), 20_000), _freqs(spark, d), "r2", "r2")
-    return both.select("n_pairs", *[F.round(c, 5).alias(c) for c in ("max_abs", "mean_abs", "rmse")])
+    return both.select("n_variants", "n_pairs", *[F.round(c, 5).alias(c) for c in ("max_abs", "mean_abs", "rmse", "correlation")])
 
 
 IDS = list(range(1, 13))

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoloom.functions.genotype import extract_gt, gt_to_dosage, haplotype, hmp_dosage, is_snp
+from genoloom.functions.genotype import extract_gt, gt_to_dosage, haplotype, hmp_dosage, hmp_site_type, is_snp, site_type
 from genoloom.functions.names import normalize_chr
 from genoloom.sources.text import fields, head, lines, separator
 
@@ -118,6 +118,18 @@ def read_hapmap(spark: SparkSession, path: str, chrom: str | None = None, start:
     return Genotypes(variants, calls, [n for _, n in chosen], "hapmap")
 
 
+def variant_sites(spark: SparkSession, path: str, chr_map: dict[str, str] | None = None) -> DataFrame:
+    """chr, pos, type (SNP, indel, other) of the sites of a VCF or HapMap file; of its columns only the fixed ones are told apart, no sample's."""
+    first = head(spark, path)[0]
+    if first.startswith("##") or first.startswith("#CHROM"):
+        at = lambda i: F.get("f", F.lit(i))
+        rows = _data(spark, path).select(F.split("value", "\t", 6).alias("f"))
+        rows = rows.select(normalize_chr(at(0), chr_map).alias("chr"), at(1).try_cast("long").alias("pos"), site_type(at(3), at(4)).alias("type"))
+    else:
+        rows = hapmap_rows(spark, path, chr_map)[0].select("chr", "pos", hmp_site_type(F.col("aux")).alias("type"))
+    return rows.where("pos IS NOT NULL AND chr IS NOT NULL")
+
+
 def read_genotypes(spark: SparkSession, path: str | Genotypes, **how) -> Genotypes:
     """By extension, else by the first line."""
     if isinstance(path, Genotypes):
