@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+PART_EDGES = 1 << 16
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 _written: list[tuple[SparkSession, str]] = []
 
@@ -113,6 +116,13 @@ def slices(batches: Iterator[pa.RecordBatch], most: int, column: str = "text") -
             a = b
 
 
+def trim() -> None:
+    """Give a worker's free memory back to the system; idle workers hold it otherwise."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def byte_runs(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, their bytes joined, offsets) for runs of rows of about ``most`` bytes; nulls count as empty."""
     column = column.cast(pa.large_binary())
@@ -162,15 +172,17 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     combine and an equi-join, so no component meets in one task. Ends when a round changes nothing.
     """
     edges = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    # one partition for each PART_EDGES edges, so that a small graph leaves few shuffle files in each of its many exchanges
+    parts = 1 + edges.count() // PART_EDGES
     last = None
     for _ in range(most_rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m0")).select("u", F.least("u", "m0").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(parts)
+        low = both.groupBy("u").agg(F.min("v").alias("m0")).select("u", F.least("u", "m0").alias("m")).coalesce(parts)
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(parts).distinct().coalesce(parts)
+        low = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts)
         joined = large.join(low, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges, done = materialize(small.distinct(), "edges"), edges
+        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).coalesce(parts)
+        edges, done = materialize(small.distinct().coalesce(parts), "edges"), edges
         discard(done)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if last is not None and tuple(now) == last:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoloom.llm.common import bounded_batches, bytes_of, documents, materialize, plain, slices
+from genoloom.llm.common import bounded_batches, bytes_of, documents, materialize, plain, slices, trim
 
 #: ASCII letters lowered, digits and bytes from 0x80 on as they are, all else a space.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -182,6 +182,7 @@ def _hits(parts: list):
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))
             keep = [batch.column(i) for i in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays(keep + [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], batch.schema.names + ["n_words", "n_hit", "n_items", "items_sha256", "spans"])
+        trim()
 
     return run
 

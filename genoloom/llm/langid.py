@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from genoloom.llm.common import bounded_batches, documents, plain, slices
+from genoloom.llm.common import bounded_batches, documents, plain, slices, trim
 
 LETTER = re.compile(r"[^\W\d_]")
 LANE = 1024
@@ -161,6 +161,7 @@ def _predict(model):
                     foreign[i] = closed[j, b] > 0.5
             keep = [batch.column(i) for i in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(lang, pa.string()), pa.array(score), pa.array(foreign)], [*batch.schema.names, "lang_pred", "score", "foreign"])
+        trim()
 
     return run
 
