@@ -7,48 +7,61 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genoloom.operators.genotypes import dprime_ci, em, from_freqs, hap_counts
+from genoloom.operators.genotypes import dprime_ci, em, from_freqs, haplotypes
 
 SMALL_SPAN = {2: 20_000, 3: 30_000}
 SMALL_LOW = {2: 0.80, 3: 0.50, 4: 0.50}
 NEEDED = {2: 1, 3: 3}
 
 
+def in_boxes(n: int, i: np.ndarray, j: np.ndarray, flag: np.ndarray, width: int) -> np.ndarray:
+    """[a, d]: flagged pairs within variants a to a + d, for d up to ``width``: a band of the box sums, one diagonal after the other."""
+    out = np.zeros((n + 1, width + 1), np.int32)
+    near = flag & (j - i <= width)
+    np.add.at(out, (i[near], (j - i)[near]), 1)
+    for d in range(1, width + 1):
+        out[: n - d, d] += out[: n - d, d - 1] + out[1 : n - d + 1, d - 1]
+        if d > 1:
+            out[: n - d, d] -= out[1 : n - d + 1, d - 2]
+    return out
+
+
 def greedy(pos: np.ndarray, i: np.ndarray, j: np.ndarray, lo: np.ndarray, hi: np.ndarray, low: float = 0.70, high: float = 0.98, recomb: float = 0.90, share: float = 0.95) -> list[tuple[int, int]]:
-    """(first, last) variant indices of accepted blocks; longest candidates first, later pairs first on ties."""
+    """(first, last) variant indices of accepted blocks; longest candidates first, later pairs first on ties.
+
+    Memory: variants x (variants of the longest candidate).
+    """
     n = len(pos)
-    L, H = np.full((n, n), np.nan), np.full((n, n), np.nan)
-    L[i, j], H[i, j] = lo, hi
-    strong, rec = (L > low) & (H >= high), H < recomb
-    boxes = [np.pad(x.astype(np.int64), ((1, 0), (1, 0))).cumsum(0).cumsum(1) for x in (strong, rec)]
     order = np.lexsort((j, i))
     i, j, lo, hi = i[order], j[order], lo[order], hi[order]
     ok = np.flatnonzero((lo >= low) & (hi >= high))
+    if not len(ok):
+        return []
     ok = ok[np.lexsort((-ok, -(pos[j[ok]] - pos[i[ok]])))]
+    width = int((j[ok] - i[ok]).max())
+    rec = in_boxes(n, i, j, hi < recomb, width)
+    strong = {m: in_boxes(n, i, j, (lo > SMALL_LOW.get(m, low)) & (hi >= high), min(m - 1, width)) for m in (2, 3, 4)}
+    strong[0] = in_boxes(n, i, j, (lo > low) & (hi >= high), width)
     used, out = np.zeros(n, bool), []
     for k in ok:
         a, b = int(i[k]), int(j[k])
         m = b - a + 1
         if used[a] or used[b] or (m in SMALL_SPAN and pos[b] - pos[a] > SMALL_SPAN[m]):
             continue
-        if m < 5:
-            l, h = L[a : b + 1, a : b + 1], H[a : b + 1, a : b + 1]
-            s, r = int(((l > SMALL_LOW[m]) & (h >= high)).sum()), int((h < recomb).sum())
-        else:
-            s, r = (int(x[b + 1, b + 1] - x[a, b + 1] - x[b + 1, a] + x[a, a]) for x in boxes)
+        s, r = int(strong[m if m < 5 else 0][a, b - a]), int(rec[a, b - a])
         if s + r >= NEEDED.get(m, 6) and s / (s + r) > share:
             used[a : b + 1] = True
             out.append((a, b))
     return sorted(out)
 
 
-def find_blocks(calls: DataFrame, max_kb: int = 200, steps: int = 200) -> DataFrame:
-    """chr, start, end, kb, nsnps, snps of haplotype blocks; ``calls``: v, chr, pos, smp, dos.
+def find_blocks(calls: DataFrame, max_kb: int = 200, steps: int = 1000) -> DataFrame:
+    """chr, start, end, kb, nsnps, snps of haplotype blocks; ``calls``: v, chr, pos, smp, dos, and h1, h2 where phased.
 
     Pairs, EM and intervals are lazy expressions over a band join; only pair bounds, not genotypes, meet by chromosome.
     """
     chrom = calls.groupBy("v").agg(F.first("chr").alias("chr"))
-    ci = dprime_ci(from_freqs(em(hap_counts(calls, max_kb * 1000), steps))).where("lo IS NOT NULL")
+    ci = dprime_ci(from_freqs(em(haplotypes(calls, max_kb * 1000), steps))).where("lo IS NOT NULL")
     ci = ci.join(chrom, ci.i == chrom.v).select("chr", "i", "pos_i", "j", "pos_j", "lo", "hi")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:

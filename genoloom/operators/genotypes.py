@@ -8,44 +8,91 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Quality-control steps in their order.
+STEPS = ("duplicate", "multiallelic", "not_snp", "missing", "maf")
+
+
 def variant_stats(calls: DataFrame, n_samples: Column) -> DataFrame:
-    """n, missing, af, maf per variant; absent and null calls are missing."""
-    rows = calls.groupBy("id", "chr", "pos").agg(F.count("dos").alias("n"), F.sum("dos").cast("double").alias("s"))
+    """n, missing, af, maf per variant, with what else ``calls`` tells of it (v, multiallelic, is_snp); absent and null calls are missing."""
+    more = [F.first(c).alias(c) for c in ("v", "multiallelic", "is_snp") if c in calls.columns]
+    rows = calls.groupBy("id", "chr", "pos").agg(F.count("dos").alias("n"), F.sum("dos").cast("double").alias("s"), *more)
     af = F.coalesce(F.col("s"), F.lit(0.0)) / (2 * F.greatest(F.col("n"), F.lit(1)))
     return rows.withColumns({"missing": 1 - F.col("n") / n_samples, "af": af}).withColumn("maf", F.least("af", 1 - F.col("af"))).drop("s")
 
 
-def qc(calls: DataFrame, min_maf: float = 0.05, max_missing: float = 0.2) -> DataFrame:
-    """variant_stats with the first step that fails (duplicate position, missing, maf) or 'kept'."""
+def qc(calls: DataFrame, min_maf: float = 0.05, max_missing: float = 0.2, biallelic_only: bool = True, snps_only: bool = False) -> DataFrame:
+    """variant_stats with the first of STEPS that fails, or 'kept'. Of a position the first variant stays: by v where ``calls`` has it, else by id.
+
+    The steps multiallelic and not_snp need columns multiallelic and is_snp.
+    """
     n = calls.agg(F.countDistinct("smp").cast("double")).scalar()
-    rows = variant_stats(calls, n).withColumn("k", F.row_number().over(Window.partitionBy("chr", "pos").orderBy("id")))
-    step = F.when(F.col("k") > 1, "duplicate").when(F.col("missing") > max_missing, "missing").when((F.col("n") == 0) | (F.col("maf") < min_maf) | (F.col("maf") <= 0), "maf").otherwise("kept")
+    rows = variant_stats(calls, n)
+    order = ["v", "id"] if "v" in rows.columns else ["id"]
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("chr", "pos").orderBy(*order)))
+    step = F.when(F.col("k") > 1, "duplicate")
+    if biallelic_only and "multiallelic" in rows.columns:
+        step = step.when(F.col("multiallelic"), "multiallelic")
+    if snps_only and "is_snp" in rows.columns:
+        step = step.when(~F.col("is_snp"), "not_snp")
+    step = step.when(F.col("missing") > max_missing, "missing").when((F.col("n") == 0) | (F.col("maf") < min_maf) | (F.col("maf") <= 0), "maf").otherwise("kept")
     return rows.withColumn("step", step).drop("k")
 
 
-def qc_log(checked: DataFrame) -> DataFrame:
-    """Removed and remaining variants of each step, in order."""
-    counts = checked.agg(F.count("*").alias("all"), *[F.count_if(F.col("step") == s).alias(s) for s in ("duplicate", "missing", "maf")])
-    return counts.select(F.expr('stack(3, 1, "duplicate", duplicate, `all` - duplicate, 2, "missing", missing, `all` - duplicate - missing, 3, "maf", maf, `all` - duplicate - missing - maf) AS (step_no, step, removed, remaining)'))
+def qc_log(checked: DataFrame, steps: tuple[str, ...] = ("duplicate", "missing", "maf")) -> DataFrame:
+    """Removed and remaining variants of each of ``steps``, in order."""
+    counts = checked.agg(F.count("*").alias("all"), *[F.count_if(F.col("step") == s).alias(s) for s in steps])
+    rows = ", ".join(f"{k}, '{s}', {s}, `all` - {' - '.join(steps[:k])}" for k, s in enumerate(steps, 1))
+    return counts.select(F.expr(f"stack({len(steps)}, {rows}) AS (step_no, step, removed, remaining)"))
+
+
+def packed(rows: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
+    """One row of each of ``keys`` with g: of each value, the places ``at`` (0, 1, ...) that hold it, as a bitmap in 64-bit words. Null values have no bit.
+
+    Bits are joined before the shuffle, so rows of one key in one task leave as one word a value and 64 places.
+    """
+    words = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("x"), F.expr(f"cast({at} div 64 AS int)").alias("w"))
+    words = words.agg(F.expr(f"bit_or(shiftleft(1L, cast({at} % 64 AS int)))").alias("bits")).repartition(*keys)
+    levels = words.groupBy(*keys, "x").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m"), F.max("w").alias("last"))
+    dense = F.expr("transform(sequence(0, last), k -> coalesce(try_element_at(m, k), 0L))")
+    return levels.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x", dense.alias("words")))).alias("g"))
+
+
+#: c: places that hold x in g and y in h, for each x and y.
+CELLS = """flatten(transform(g, a -> transform(h, b -> named_struct('x', a.x, 'y', b.x,
+    'c', aggregate(zip_with(a.words, b.words, (p, q) -> bit_count(p & q)), 0L, (s, t) -> s + coalesce(t, 0))))))"""
+
+
+def _tally(pairs: DataFrame, keep: list[str], terms: dict[str, str]) -> DataFrame:
+    """``keep``, n and the sum over shared places of each of ``terms`` (of t.x and t.y); rows that share none are left out. The fold runs once a row."""
+    zero = ", ".join(f"'{k}', 0D" for k in terms)
+    step = ", ".join(f"'{k}', s.{k} + ({v}) * t.c" for k, v in terms.items())
+    fold = f"aggregate({CELLS}, named_struct('n', 0L, {zero}), (s, t) -> named_struct('n', s.n + t.c, {step}))"
+    return pairs.select(*keep, F.inline(F.expr(f"filter(array({fold}), f -> f.n > 0)")))
 
 
-def pairs(calls: DataFrame, max_bp: int) -> DataFrame:
-    """Called genotypes of variant pairs i < j within ``max_bp``: a band join on bins of that width."""
-    a = calls.where("dos IS NOT NULL").select(F.col("v").alias("i"), F.col("pos").alias("pos_i"), "smp", F.col("dos").alias("x")).withColumn("_b", F.floor(F.col("pos_i") / max_bp))
-    b = calls.where("dos IS NOT NULL").select(F.col("v").alias("j"), F.col("pos").alias("pos_j"), "smp", F.col("dos").alias("y"))
-    b = b.withColumn("_b", F.explode(F.array(F.floor(F.col("pos_j") / max_bp), F.floor(F.col("pos_j") / max_bp) - 1)))
-    return a.join(b, ["smp", "_b"]).where((F.col("pos_j") > F.col("pos_i")) & (F.col("pos_j") - F.col("pos_i") <= max_bp))
+def pairs(calls: DataFrame, max_bp: int, at: str = "smp", value: str = "dos") -> DataFrame:
+    """Variant pairs i < j of a chromosome within ``max_bp``, one row each, with the bitmaps g and h: a band join on bins of that width.
 
+    ``at`` counts samples from 0. Without a column chr all variants are of one chromosome.
+    """
+    place = [c for c in ("chr",) if c in calls.columns]
+    p = packed(calls, [*place, "v", "pos"], at, value)
+    bin_of = F.floor(F.col("pos") / max_bp)
+    a = p.select(*place, F.col("v").alias("i"), F.col("pos").alias("pos_i"), "g", bin_of.alias("_b"))
+    b = p.select(*place, F.col("v").alias("j"), F.col("pos").alias("pos_j"), F.col("g").alias("h"), F.explode(F.array(bin_of, bin_of - 1)).alias("_b"))
+    return a.join(b, [*place, "_b"]).where((F.col("pos_j") > F.col("pos_i")) & (F.col("pos_j") - F.col("pos_i") <= max_bp))
 
+
+PAIR = ["i", "pos_i", "j", "pos_j"]
+TERMS = {"sx": "t.x", "sy": "t.y", "sxx": "t.x * t.x", "syy": "t.y * t.y", "sxy": "t.x * t.y"}
 SUMS = ("count(*) AS n", "sum(x) AS sx", "sum(y) AS sy", "sum(x * x) AS sxx", "sum(y * y) AS syy", "sum(x * y) AS sxy")
 R2 = """CASE WHEN n >= 3 AND n * sxx - sx * sx > 1e-9 * greatest(n, 1) AND n * syy - sy * sy > 1e-9 * greatest(n, 1)
     THEN least(cast((n * sxy - sx * sy) * (n * sxy - sx * sy) AS double) / (cast(n * sxx - sx * sx AS double) * cast(n * syy - sy * sy AS double)), 1.0) END"""
 
 
 def r2(calls: DataFrame, max_bp: int) -> DataFrame:
-    """i, pos_i, j, pos_j, n, r2 of pairwise complete genotypes."""
-    sums = pairs(calls, max_bp).groupBy("i", "pos_i", "j", "pos_j").agg(*map(F.expr, SUMS))
-    return sums.select("i", "pos_i", "j", "pos_j", "n", F.expr(R2).alias("r2"))
+    """i, pos_i, j, pos_j, n, r2 of pairwise complete genotypes, of any ploidy."""
+    return _tally(pairs(calls, max_bp), PAIR, TERMS).select(*PAIR, "n", F.expr(R2).alias("r2"))
 
 
 def r2_with_lead(calls: DataFrame, lead: int) -> DataFrame:
@@ -55,32 +102,62 @@ def r2_with_lead(calls: DataFrame, lead: int) -> DataFrame:
     return sums.select("v", "pos", F.when(F.col("v") == lead, 1.0).otherwise(F.expr(R2)).alias("r2"))
 
 
-COUNTS = (
-    "cast(sum(if(x = 0, 2 - y, 0)) AS bigint) AS z",
-    "cast(count_if(x = 2 AND y = 2) * 2 + count_if(x = 2 AND y = 1) + count_if(x = 1 AND y = 2) AS bigint) AS k11",
-    "cast(count_if(x = 2 AND y = 0) * 2 + count_if(x = 2 AND y = 1) + count_if(x = 1 AND y = 0) AS bigint) AS k10",
-    "cast(count_if(x = 0 AND y = 2) * 2 + count_if(x = 0 AND y = 1) + count_if(x = 1 AND y = 2) AS bigint) AS k01",
-    "cast(count_if(x = 0 AND y = 0) * 2 + count_if(x = 0 AND y = 1) + count_if(x = 1 AND y = 0) AS bigint) AS k00",
-    "cast(count_if(x = 1 AND y = 1) AS bigint) AS dh",
-)
+DIPLOID = {
+    "k11": "CASE WHEN t.x = 2 AND t.y = 2 THEN 2 WHEN t.x + t.y = 3 THEN 1 ELSE 0 END",
+    "k10": "CASE WHEN t.x = 2 AND t.y = 0 THEN 2 WHEN t.x = 2 AND t.y = 1 OR t.x = 1 AND t.y = 0 THEN 1 ELSE 0 END",
+    "k01": "CASE WHEN t.x = 0 AND t.y = 2 THEN 2 WHEN t.x = 0 AND t.y = 1 OR t.x = 1 AND t.y = 2 THEN 1 ELSE 0 END",
+    "k00": "CASE WHEN t.x = 0 AND t.y = 0 THEN 2 WHEN t.x + t.y = 1 THEN 1 ELSE 0 END",
+    "dh": "if(t.x = 1 AND t.y = 1, 1, 0)",
+}
+PHASED = {f"k{a}{b}": f"if(t.x = {a} AND t.y = {b}, 1, 0)" for a in (1, 0) for b in (1, 0)} | {"dh": "0"}
+NOT_DIPLOID = "haplotypes need diploid genotypes of dosage 0, 1 or 2; take genotype r2 for other ploidies"
+
+
+def _counts(rows: DataFrame, terms: dict[str, str]) -> DataFrame:
+    return _tally(rows, PAIR, terms).select(*PAIR, *[F.col(k).cast("long").alias(k) for k in terms])
 
 
 def hap_counts(calls: DataFrame, max_bp: int) -> DataFrame:
-    """Haplotype counts of each pair that genotypes tell, and double heterozygotes dh."""
-    return pairs(calls, max_bp).groupBy("i", "pos_i", "j", "pos_j").agg(*map(F.expr, COUNTS[1:]))
+    """Haplotype counts of each pair that genotypes tell, and double heterozygotes dh. The job fails with NOT_DIPLOID at a fractional dosage."""
+    whole = F.when(F.abs(F.col("dos") - F.round("dos")) > 1e-8, F.raise_error(F.lit(NOT_DIPLOID)).cast("double")).otherwise(F.round("dos").cast("double"))
+    return _counts(pairs(calls.withColumn("dos", whole), max_bp), DIPLOID)
+
+
+def hap_counts_phased(calls: DataFrame, max_bp: int) -> DataFrame:
+    """Exact haplotype counts of each pair from phased calls (h1, h2: 0 or 1); dh is 0. Each of a sample's two haplotypes is a place of its own."""
+    one = F.explode(F.array(*[F.struct((F.col("smp") * 2 + k).alias("at"), F.col(f"h{k + 1}").alias("h")) for k in (0, 1)]))
+    keep = [c for c in ("chr", "v", "pos") if c in calls.columns]
+    return _counts(pairs(calls.select(*keep, one.alias("hap")).select(*keep, "hap.*"), max_bp, "at", "h"), PHASED)
+
+
+def all_phased(calls: DataFrame) -> bool:
+    """Whether there are called genotypes and each is phased and diploid."""
+    known = calls.where("dos IS NOT NULL").agg(F.count("*").alias("n"), F.count_if(F.col("h1").isNull() | F.col("h2").isNull()).alias("open")).first()
+    return known.n > 0 and known.open == 0
+
+
+def haplotypes(calls: DataFrame, max_bp: int) -> DataFrame:
+    """Counts from phase where ``calls`` has h1 and h2 and all are phased (one small action), else from genotypes."""
+    known = {"h1", "h2"} <= set(calls.columns) and all_phased(calls)
+    return (hap_counts_phased if known else hap_counts)(calls, max_bp)
 
 
 def em(counts: DataFrame, steps: int = 1000, tol: float = 1e-10) -> DataFrame:
-    """p11, p10, p01, p00 by expectation maximisation from (k + dh/2): a fold in Catalyst that stops changing at ``tol``."""
+    """p11, p10, p01, p00 by expectation maximisation from (k + dh/2): a fold in Catalyst that ends a pair at ``tol``, looked at each 25 steps."""
     total = "(k11 + k10 + k01 + k00 + 2 * dh)"
     start = ", ".join(f"'{p}', (k{p[1:]} + dh / 2D) / {total}" for p in ("p11", "p10", "p01", "p00"))
     a, b = "s.p11 * s.p00", "s.p10 * s.p01"
     th = f"if({a} + {b} > 0, {a} / ({a} + {b}), 0.5D)"
     new = {"p11": f"(k11 + dh * {th}) / {total}", "p10": f"(k10 + dh * (1 - {th})) / {total}", "p01": f"(k01 + dh * (1 - {th})) / {total}", "p00": f"(k00 + dh * {th}) / {total}"}
-    done = f"(s.done OR greatest(abs({new['p11']} - s.p11), abs({new['p10']} - s.p10)) < {tol}D)"
-    step = ", ".join(f"'{k}', if(s.done, s.{k}, {v})" for k, v in new.items())
-    fold = f"aggregate(sequence(1, {steps}), named_struct({start}, 'done', dh = 0), (s, t) -> if(s.done, s, named_struct({step}, 'done', {done})))"
-    return counts.where(f"{total} > 0").withColumn("h", F.expr(fold)).select("*", "h.p11", "h.p10", "h.p01", "h.p00").drop("h")
+    done = f"(greatest(abs({new['p11']} - s.p11), abs({new['p10']} - s.p10)) < {tol}D)"
+    step = f"if(s.done, s, named_struct({', '.join(f"'{k}', {v}" for k, v in new.items())}, 'done', {done}))"
+    # inner folds of 25 steps, so that a pair that is done costs one look a fold
+    inner = lambda n: f"aggregate(sequence(1, {n}), r, (s, t) -> {step})"
+    whole, rest = divmod(steps, 25)
+    sizes = [25] * whole + [rest] * (rest > 0)
+    outer = f"if(r.done, r, if(n = 25, {inner(25)}, {inner(rest or 25)}))"
+    fold = f"aggregate(array({', '.join(map(str, sizes))}), named_struct({start}, 'done', dh = 0), (r, n) -> {outer})"
+    return counts.where(f"{total} > 0").select("*", F.inline(F.array(F.expr(fold)))).drop("done")
 
 
 def from_freqs(freqs: DataFrame) -> DataFrame:
@@ -151,9 +228,13 @@ def matrix_long(r2s: DataFrame, calls: DataFrame) -> DataFrame:
     return upper.unionByName(upper.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"), "value")).unionByName(same)
 
 
-def distances(calls: DataFrame, method: str = "ibs") -> DataFrame:
-    """s1, s2, dist of sample pairs: sum |d| / 2N (ibs) or sqrt(sum d^2 / N); pairs without a shared call get the greatest."""
-    a = calls.where("dos IS NOT NULL").select("v", F.col("smp").alias("s1"), F.col("dos").alias("x"))
-    b = calls.where("dos IS NOT NULL").select("v", F.col("smp").alias("s2"), F.col("dos").alias("y"))
-    value = F.sum(F.abs(F.col("x") - F.col("y"))) / (2.0 * F.count("*")) if method == "ibs" else F.sqrt(F.sum((F.col("x") - F.col("y")) ** 2) / F.count("*"))
-    return a.join(b, "v").where("s1 < s2").groupBy("s1", "s2").agg(value.cast("double").alias("dist"))
+def distances(calls: DataFrame, method: str = "ibs", block: int = 1024) -> DataFrame:
+    """s1, s2, dist of sample pairs: sum |d| / 2N (ibs) or sqrt(sum d^2 / N); pairs that share no call have no row.
+
+    Samples are packed over blocks of ``block`` variants (v div block); a pair has one row a block, not one a variant.
+    """
+    rows = calls.select(F.expr(f"v div {block}").alias("_b"), F.expr(f"v % {block}").alias("_at"), "smp", "dos")
+    p = packed(rows, ["_b", "smp"], "_at", "dos")
+    both = p.withColumnRenamed("smp", "s1").join(p.select("_b", F.col("smp").alias("s2"), F.col("g").alias("h")), "_b").where("s1 < s2")
+    sums = _tally(both, ["s1", "s2"], {"d": "abs(t.x - t.y)" if method == "ibs" else "(t.x - t.y) * (t.x - t.y)"}).groupBy("s1", "s2").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    return sums.select("s1", "s2", (F.col("d") / (2.0 * F.col("n")) if method == "ibs" else F.sqrt(F.col("d") / F.col("n"))).alias("dist"))

@@ -293,6 +293,29 @@ def geno_qc_log(spark, d):
     return genotypes.qc_log(genotypes.qc(view(spark, d, s.GENO_OBS)))
 
 
+FULL = f"""o AS ({duck(s.GENO_OBS)}), st AS (SELECT id, chr, pos // 1000 AS pos, count(dos) AS n, sum(dos) / (2.0 * greatest(count(dos), 1)) AS af, cast(substr(id, 2) AS bigint) AS v FROM o GROUP BY ALL),
+q AS (SELECT *, 1 - n / (SELECT count(DISTINCT smp) FROM o) AS missing, least(af, 1 - af) AS maf FROM st),
+f AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY chr, pos ORDER BY v) > 1 THEN 'duplicate' WHEN v % 7 = 0 THEN 'multiallelic' WHEN v % 5 = 0 THEN 'not_snp' WHEN missing > 0.2 THEN 'missing' WHEN n = 0 OR maf < 0.05 OR maf <= 0 THEN 'maf' ELSE 'kept' END AS step FROM q)"""
+
+
+def _qc_full(spark, d):
+    """Some positions twice, some variants with more alleles or no SNPs."""
+    v = F.expr("cast(substr(id, 2) AS bigint)")
+    calls = view(spark, d, s.GENO_OBS).withColumns({"v": v, "pos": F.expr("pos div 1000"), "multiallelic": v % 7 == 0, "is_snp": v % 5 != 0})
+    return genotypes.qc(calls, snps_only=True)
+
+
+@query(f"WITH {FULL} SELECT id, pos, n, round(missing, 6) AS missing, round(maf, 6) AS maf, step FROM f")
+def geno_qc_full(spark, d):
+    return _qc_full(spark, d).select("id", "pos", "n", F.round("missing", 6).alias("missing"), F.round("maf", 6).alias("maf"), "step")
+
+
+@query(f"""WITH {FULL}, w AS (SELECT * FROM (VALUES (1, 'duplicate'), (2, 'multiallelic'), (3, 'not_snp'), (4, 'missing'), (5, 'maf')) x(step_no, step)), k AS (SELECT step_no, w.step, count(f.id) AS removed FROM w LEFT JOIN f ON f.step = w.step GROUP BY ALL)
+SELECT step_no, step, removed, cast((SELECT count(*) FROM f) - sum(removed) OVER (ORDER BY step_no) AS bigint) AS remaining FROM k""")
+def geno_qc_full_log(spark, d):
+    return genotypes.qc_log(_qc_full(spark, d), genotypes.STEPS)
+
+
 @query(f"WITH o AS ({duck(s.GENO_OBS)}) SELECT smp, count(dos) AS n, round(1 - count(dos) / (SELECT count(DISTINCT id) FROM o), 6) AS missing FROM o GROUP BY smp")
 def sample_missingness(spark, d):
     o = view(spark, d, s.GENO_OBS)
@@ -304,11 +327,12 @@ sm AS (SELECT i, pos_i, j, pos_j, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum
 ld AS (SELECT i, pos_i, j, pos_j, n, CASE WHEN n >= 3 AND n * sxx - sx * sx > 1e-9 * n AND n * syy - sy * sy > 1e-9 * n THEN least(cast((n * sxy - sx * sy) * (n * sxy - sx * sy) AS double) / (cast(n * sxx - sx * sx AS double) * cast(n * syy - sy * sy AS double)), 1.0) END AS r2 FROM sm),
 hc AS (SELECT i, pos_i, j, pos_j, sum(CASE WHEN x = 2 AND y = 2 THEN 2 WHEN x + y = 3 THEN 1 ELSE 0 END) AS k11, sum(CASE WHEN x = 2 AND y = 0 THEN 2 WHEN (x = 2 AND y = 1) OR (x = 1 AND y = 0) THEN 1 ELSE 0 END) AS k10,
 sum(CASE WHEN x = 0 AND y = 2 THEN 2 WHEN (x = 0 AND y = 1) OR (x = 1 AND y = 2) THEN 1 ELSE 0 END) AS k01, sum(CASE WHEN x = 0 AND y = 0 THEN 2 WHEN x + y = 1 THEN 1 ELSE 0 END) AS k00, sum(CASE WHEN x = 1 AND y = 1 THEN 1 ELSE 0 END) AS dh FROM pr GROUP BY ALL)"""
+#: Up to 1,000 steps, a pair ends at a change below 1e-10.
 EM = f"""e AS (SELECT i, j, k11, k10, k01, k00, dh, k11 + k10 + k01 + k00 + 2 * dh AS t, (k11 + dh / 2.0) / (k11 + k10 + k01 + k00 + 2 * dh) AS p11, (k10 + dh / 2.0) / (k11 + k10 + k01 + k00 + 2 * dh) AS p10,
-(k01 + dh / 2.0) / (k11 + k10 + k01 + k00 + 2 * dh) AS p01, (k00 + dh / 2.0) / (k11 + k10 + k01 + k00 + 2 * dh) AS p00, 0 AS step FROM hc UNION ALL
-SELECT i, j, k11, k10, k01, k00, dh, t, (k11 + dh * th) / t, (k10 + dh * (1 - th)) / t, (k01 + dh * (1 - th)) / t, (k00 + dh * th) / t, step + 1
-FROM (SELECT *, CASE WHEN p11 * p00 + p10 * p01 > 0 THEN p11 * p00 / (p11 * p00 + p10 * p01) ELSE 0.5 END AS th FROM e) WHERE step < 60),
-fr AS (SELECT *, p11 + p10 AS pa, p11 + p01 AS pb, p11 - (p11 + p10) * (p11 + p01) AS d FROM e WHERE step = 60)"""
+(k01 + dh / 2.0) / (k11 + k10 + k01 + k00 + 2 * dh) AS p01, (k00 + dh / 2.0) / (k11 + k10 + k01 + k00 + 2 * dh) AS p00, 0 AS step, dh = 0 AS done FROM hc UNION ALL
+SELECT i, j, k11, k10, k01, k00, dh, t, (k11 + dh * th) / t, (k10 + dh * (1 - th)) / t, (k01 + dh * (1 - th)) / t, (k00 + dh * th) / t, step + 1, greatest(abs((k11 + dh * th) / t - p11), abs((k10 + dh * (1 - th)) / t - p10)) < 1e-10
+FROM (SELECT *, CASE WHEN p11 * p00 + p10 * p01 > 0 THEN p11 * p00 / (p11 * p00 + p10 * p01) ELSE 0.5 END AS th FROM e) WHERE NOT done AND step < 1000),
+fr AS (SELECT *, p11 + p10 AS pa, p11 + p01 AS pb, p11 - (p11 + p10) * (p11 + p01) AS d FROM e WHERE done OR step = 1000)"""
 
 
 def _blk(spark, d):
@@ -336,8 +360,15 @@ def ld_hap_counts(spark, d):
     return genotypes.hap_counts(_blk(spark, d), 20_000).select("i", "j", "k11", "k10", "k01", "k00", "dh")
 
 
+@query(f"""WITH g AS ({duck(s.GENO_PHASED)}), h AS (SELECT v, pos, smp, 1 AS k, h1 AS h FROM g WHERE h1 IS NOT NULL UNION ALL SELECT v, pos, smp, 2, h2 FROM g WHERE h2 IS NOT NULL)
+SELECT a.v AS i, b.v AS j, count(*) FILTER (WHERE a.h = 1 AND b.h = 1) AS k11, count(*) FILTER (WHERE a.h = 1 AND b.h = 0) AS k10, count(*) FILTER (WHERE a.h = 0 AND b.h = 1) AS k01, count(*) FILTER (WHERE a.h = 0 AND b.h = 0) AS k00, cast(0 AS bigint) AS dh
+FROM h a JOIN h b ON a.smp = b.smp AND a.k = b.k AND b.pos > a.pos AND b.pos - a.pos <= 20000 GROUP BY a.v, b.v""")
+def ld_phased(spark, d):
+    return genotypes.haplotypes(view(spark, d, s.GENO_PHASED), 20_000).select("i", "j", "k11", "k10", "k01", "k00", "dh")
+
+
 def _freqs(spark, d):
-    return genotypes.from_freqs(genotypes.em(genotypes.hap_counts(_blk(spark, d), 20_000), 60, 0.0))
+    return genotypes.from_freqs(genotypes.em(genotypes.hap_counts(_blk(spark, d), 20_000)))
 
 
 @query(f"""WITH RECURSIVE {PAIRS}, {EM} SELECT i, j, round(CASE WHEN pa * (1 - pa) * pb * (1 - pb) > 1e-12 THEN least(d * d / (pa * (1 - pa) * pb * (1 - pb)), 1.0) END, 5) AS r2,
@@ -359,7 +390,7 @@ def ld_dprime_ci(spark, d):
 
 @query()
 def ld_blocks(spark, d):
-    return blocks.find_blocks(_blk(spark, d), 20)
+    return blocks.find_blocks(_blk(spark, d))
 
 
 @query(f"""WITH RECURSIVE {PAIRS}, {EM}, b AS (SELECT i, j, least(d * d / (pa * (1 - pa) * pb * (1 - pb)), 1.0) AS y FROM fr WHERE pa * (1 - pa) * pb * (1 - pb) > 1e-12), z AS (SELECT abs(r2 - y) AS d, r2, y FROM ld JOIN b USING (i, j) WHERE r2 IS NOT NULL)

@@ -105,13 +105,13 @@ class Locus:
 
 
 def _calls(spark: SparkSession, c: LocusConfig, chrom: str, lo: int, hi: int) -> tuple[DataFrame, DataFrame, int] | None:
-    """(variants, calls, samples) of an interval after genotype quality control, checkpointed as one small table: v, id, chr, pos, smp, dos."""
+    """(variants, calls, samples) of an interval after genotype quality control, checkpointed as one small table: v, id, chr, pos, smp, dos, h1, h2."""
     if c.vcf is None:
         return None
     g = read_genotypes(spark, c.vcf, chrom=chrom, start=max(1, lo), end=hi, chr_map=c.chr_map)
-    long = g.calls.select("v", "smp", "dos").join(g.variants.where("NOT multiallelic").select("v", "id", "chr", "pos"), "v")
-    kept = genotypes.qc(long.select(F.concat_ws("|", "id", "v").alias("id"), "chr", "pos", "smp", "dos"), c.min_maf, c.max_missing).where("step = 'kept'")
-    long = saved(long.join(kept.select(F.substring_index("id", "|", -1).cast("long").alias("v")), "v", "left_semi"))
+    long = g.calls.select("v", "smp", "dos", "h1", "h2").join(g.variants.select("v", "id", "chr", "pos", "multiallelic"), "v")
+    kept = genotypes.qc(long.withColumn("id", F.concat_ws("|", "id", "v")), c.min_maf, c.max_missing).where("step = 'kept'")
+    long = saved(long.drop("multiallelic").join(kept.select("v"), "v", "left_semi"))
     variants = long.select("v", "id", "chr", "pos").distinct()
     return variants, long, len(g.samples)
 
@@ -122,7 +122,7 @@ def _pairs(calls: DataFrame, ids: DataFrame, c: LocusConfig, reach: int) -> Data
     if c.ld_stat == "r2" and c.ld_method == "genotype":
         values = genotypes.r2(some, reach)
     else:
-        values = genotypes.from_freqs(genotypes.em(genotypes.hap_counts(some, reach)))
+        values = genotypes.from_freqs(genotypes.em(genotypes.haplotypes(some, reach)))
     name = ids.select("v", "id")
     values = values.join(name.withColumnsRenamed({"v": "i", "id": "snp_a"}), "i").join(name.withColumnsRenamed({"v": "j", "id": "snp_b"}), "j")
     return values.select("snp_a", F.col("pos_i").alias("pos_a"), "snp_b", F.col("pos_j").alias("pos_b"), F.col(c.ld_stat).alias(c.ld_stat))

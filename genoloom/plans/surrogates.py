@@ -24,6 +24,9 @@ GENO_OBS = """SELECT concat('V', l_partkey) AS id, cast(l_partkey % 4 + 1 AS str
 GENO_BLK = """SELECT v, '1' AS chr, v * 700 + 1 AS pos, s AS smp, CASE WHEN (s * 31 + v * 11) % 23 = 0 THEN NULL WHEN (s * 13 + v * 17) % 97 = 0 THEN 1
     WHEN (s * s * (b + 1) + s * 7 + b * b * 5) % 11 < 5 THEN 2 ELSE 0 END AS dos
     FROM (SELECT DISTINCT l_partkey AS v, l_suppkey % 32 AS s, cast(floor(l_partkey / 12) AS bigint) AS b FROM {lineitem}) x"""
+#: The same calls with a phase; which haplotype of a heterozygote is the other allele alternates.
+GENO_PHASED = """SELECT v, chr, pos, smp, dos, CASE dos WHEN 2 THEN 1 WHEN 0 THEN 0 WHEN 1 THEN (smp + v) % 2 END AS h1,
+    CASE dos WHEN 2 THEN 1 WHEN 0 THEN 0 WHEN 1 THEN (smp + v + 1) % 2 END AS h2 FROM ({geno_blk}) g"""
 ALLELES = """SELECT p_partkey AS k, CASE p_partkey % 6 WHEN 0 THEN 'A' WHEN 1 THEN 'AT' WHEN 2 THEN 'G' WHEN 3 THEN 'CTT' WHEN 4 THEN 'T' ELSE '.' END AS ref,
     CASE p_size % 7 WHEN 0 THEN 'T' WHEN 1 THEN 'A' WHEN 2 THEN 'C,G' WHEN 3 THEN 'AC' WHEN 4 THEN '<DEL>' WHEN 5 THEN '*' ELSE 'CT,C' END AS alt FROM {part}"""
 CALLS_TEXT = """SELECT v, smp, CASE dos WHEN 0 THEN '0/0:12' WHEN 1 THEN '0|1:9' WHEN 2 THEN '1/1:7' ELSE './.:0' END AS call,

@@ -25,12 +25,12 @@ def sample_tree(spark: SparkSession, path: str, method: str = "nj", distance: st
     if method not in ("nj", "upgma"):
         raise ValueError("method is nj or upgma")
     g = read_genotypes(spark, path, chr_map=chr_map)
-    variants = g.variants.where("NOT multiallelic")
+    variants = g.variants
     every = max(1, variants.count() // max_snps)
     some = thin_variants(variants, every) if every > 1 else variants
-    calls = saved(g.calls.join(some.select("v", "id"), "v").select("v", "id", "chr", "pos", "smp", "sample", "dos"))
-    kept = genotypes.qc(calls.select(F.concat_ws("|", "id", "v").alias("id"), "chr", "pos", "smp", "dos"), min_maf, max_missing).where("step = 'kept'")
-    calls = calls.join(kept.select(F.substring_index("id", "|", -1).cast("long").alias("v")), "v", "left_semi")
+    calls = saved(g.calls.join(some.select("v", "id", "multiallelic"), "v").select("v", "id", "chr", "pos", "smp", "sample", "dos", "multiallelic"))
+    kept = genotypes.qc(calls.withColumn("id", F.concat_ws("|", "id", "v")), min_maf, max_missing).where("step = 'kept'")
+    calls = calls.join(kept.select("v"), "v", "left_semi")
     names, d = distance_matrix(genotypes.distances(calls.where("dos IS NOT NULL").select("v", F.col("sample").alias("smp"), "dos"), distance))
     if len(names) < 3:
         raise ValueError("a tree needs 3 samples with calls")
