@@ -57,6 +57,11 @@ def packed(rows: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
     return levels.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x", dense.alias("words")))).alias("g"))
 
 
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` by ``keys`` over as many partitions as are set: small inputs of a join with much work a row are not to be coalesced into few tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 #: c: places that hold x in g and y in h, for each x and y.
 CELLS = """flatten(transform(g, a -> transform(h, b -> named_struct('x', a.x, 'y', b.x,
     'c', aggregate(zip_with(a.words, b.words, (p, q) -> bit_count(p & q)), 0L, (s, t) -> s + coalesce(t, 0))))))"""
@@ -80,7 +85,7 @@ def pairs(calls: DataFrame, max_bp: int, at: str = "smp", value: str = "dos") ->
     bin_of = F.floor(F.col("pos") / max_bp)
     a = p.select(*place, F.col("v").alias("i"), F.col("pos").alias("pos_i"), "g", bin_of.alias("_b"))
     b = p.select(*place, F.col("v").alias("j"), F.col("pos").alias("pos_j"), F.col("g").alias("h"), F.explode(F.array(bin_of, bin_of - 1)).alias("_b"))
-    return a.join(b, [*place, "_b"]).where((F.col("pos_j") > F.col("pos_i")) & (F.col("pos_j") - F.col("pos_i") <= max_bp))
+    return _dealt(a, *place, "_b").join(_dealt(b, *place, "_b"), [*place, "_b"]).where((F.col("pos_j") > F.col("pos_i")) & (F.col("pos_j") - F.col("pos_i") <= max_bp))
 
 
 PAIR = ["i", "pos_i", "j", "pos_j"]
@@ -235,6 +240,6 @@ def distances(calls: DataFrame, method: str = "ibs", block: int = 1024) -> DataF
     """
     rows = calls.select(F.expr(f"v div {block}").alias("_b"), F.expr(f"v % {block}").alias("_at"), "smp", "dos")
     p = packed(rows, ["_b", "smp"], "_at", "dos")
-    both = p.withColumnRenamed("smp", "s1").join(p.select("_b", F.col("smp").alias("s2"), F.col("g").alias("h")), "_b").where("s1 < s2")
+    both = _dealt(p.withColumnRenamed("smp", "s1"), "_b").join(_dealt(p.select("_b", F.col("smp").alias("s2"), F.col("g").alias("h")), "_b"), "_b").where("s1 < s2")
     sums = _tally(both, ["s1", "s2"], {"d": "abs(t.x - t.y)" if method == "ibs" else "(t.x - t.y) * (t.x - t.y)"}).groupBy("s1", "s2").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
     return sums.select("s1", "s2", (F.col("d") / (2.0 * F.col("n")) if method == "ibs" else F.sqrt(F.col("d") / F.col("n"))).alias("dist"))
