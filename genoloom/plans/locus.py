@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+import warnings
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from genoloom.sources import genome, sinks, workbook
 from genoloom.sources.genotypes import read_genotypes
 from genoloom.sources.gff import Genes, read_gff
 from genoloom.sources.gwas import read_gwas
-from genoloom.sources.text import saved
+from genoloom.sources.text import head, saved
 
 PANELS = ("manhattan", "regional", "genes", "ld")
 TABLES = ("genes", "snps", "ld", "ld_pairs")
@@ -41,6 +43,8 @@ class LocusConfig:
     gff: str | None = None
     vcf: str | None = None
     blocks: str | None = None
+    ld_file: str | None = None
+    ld_bim: str | None = None
     species: Species | None = None
     chrom_sizes: str | None = None
     target: str = "top"
@@ -128,6 +132,50 @@ def _pairs(calls: DataFrame, ids: DataFrame, c: LocusConfig, reach: int) -> Data
     return values.select("snp_a", F.col("pos_i").alias("pos_a"), "snp_b", F.col("pos_j").alias("pos_b"), F.col(c.ld_stat).alias(c.ld_stat))
 
 
+def _given(spark: SparkSession, c: LocusConfig, here: region.Region, inside: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """(variants: id, chr, pos; snp_a, pos_a, snp_b, pos_b, r2) of the caller's LD file in the region; None if fewer than two variants lie there.
+
+    A table of pairs, or a square of numbers with ``ld_bim``. A variant at the position of an association row takes its name.
+    """
+    if "SNP_A" in head(spark, c.ld_file)[0]:
+        ld = genome.read_ld(spark, c.ld_file)
+    elif c.ld_bim:
+        ld = genome.read_ld_square(spark, c.ld_file, bim=c.ld_bim, chr_map=c.chr_map)
+    else:
+        raise ValueError("ld_file needs positions: give a table of pairs, or ld_bim")
+    ld = saved(ld.where(F.col("pos_a").between(here.start, here.end) & F.col("pos_b").between(here.start, here.end)))
+    named = inside.groupBy("pos").agg(F.min("snp").alias("snp"))
+    names = ld.select(F.col("id_a").alias("old"), F.col("pos_a").alias("pos")).distinct().join(named, "pos", "left")
+    names = saved(names.groupBy("old").agg(F.min("pos").alias("pos"), F.min_by("snp", "pos").alias("snp")).select("old", "pos", F.coalesce("snp", "old").alias("id")))
+    if names.limit(2).count() < 2:
+        warnings.warn(f"fewer than two variants of {c.ld_file} lie in the region; it is not used", stacklevel=3)
+        return None
+    side = lambda k: names.select(F.col("old").alias(f"id_{k}"), F.col("id").alias(f"snp_{k}"))
+    flat = ld.join(side("a"), "id_a").join(side("b"), "id_b").select("snp_a", "pos_a", "snp_b", "pos_b", F.col("value").alias("r2"))
+    return names.select("id", F.lit(here.chr).alias("chr"), "pos"), flat
+
+
+def _ld_outputs(out: Locus, c: LocusConfig, variants: DataFrame, ref: str, pairs_of: Callable[[DataFrame], DataFrame], want_panels: list[str], want_tables: list[str]) -> None:
+    """The LD panel and tables of thinned ``variants``; ``pairs_of`` gives the pairs of chosen ids."""
+    here, genes = out.region, out.chromosome_genes
+    for name, most in (("panel", c.max_ld_snps), ("table", c.max_table_snps)):
+        wanted = "ld" in want_panels if name == "panel" else {"ld", "ld_pairs"} & set(want_tables)
+        if not wanted:
+            continue
+        ids = variants.join(panels.thinned(variants, most, ref).select("id"), "id", "left_semi")
+        pairs = pairs_of(ids)
+        if name == "panel":
+            flat = pairs.select(F.col("snp_a").alias("id_a"), F.col("snp_b").alias("id_b"), F.col(c.ld_stat).alias("value"))
+            out.panels["ld"] = panels.ld_diamonds(flat, variants, here, c.max_ld_snps, ref)
+        else:
+            parts = _features(genes)
+            g = genes.genes if genes else None
+            if "ld" in want_tables:
+                out.tables["ld"] = report.ld_matrix_table(pairs, ids.select("id", "chr", "pos"), c.ld_stat, genes=g, features=parts, upstream=c.upstream_bp, downstream=c.downstream_bp, most=most + 1).orderBy("pos", "id")
+            if "ld_pairs" in want_tables:
+                out.tables["ld_pairs"] = report.ld_pairs_table(pairs, c.ld_stat, variants=ids.select("id", "chr", "pos"), genes=g, features=parts, upstream=c.upstream_bp, downstream=c.downstream_bp).orderBy("pos_a", "pos_b")
+
+
 def locus(spark: SparkSession, c: LocusConfig) -> Locus:
     """Settle the region of ``c`` with small actions (top row, block bounds, lead), the rest stays lazy."""
     want_panels, want_tables = choice(c.panels, PANELS), choice(c.tables, TABLES)
@@ -171,22 +219,20 @@ def locus(spark: SparkSession, c: LocusConfig) -> Locus:
         at = genotypes.r2_with_lead(calls, v).join(variants.select("v", "id"), "v").select("id", "pos", "r2")
         by_pos = inside.select("snp", "pos").join(at.groupBy("pos").agg(F.min_by("r2", "id").alias("r2")), "pos")
         r2 = by_pos.select("snp", "r2")
-        for name, most in (("panel", c.max_ld_snps), ("table", c.max_table_snps)):
-            wanted = "ld" in want_panels if name == "panel" else {"ld", "ld_pairs"} & set(want_tables)
-            if not wanted:
-                continue
-            ids = variants.join(panels.thinned(variants, most, ref).select("id"), "id", "left_semi")
-            pairs = _pairs(calls, ids, c, max(here.end - here.start, 1))
-            if name == "panel":
-                flat = pairs.select(F.col("snp_a").alias("id_a"), F.col("snp_b").alias("id_b"), F.col(c.ld_stat).alias("value"))
-                out.panels["ld"] = panels.ld_diamonds(flat, variants, here, c.max_ld_snps, ref)
-            else:
-                parts = _features(genes)
-                g = genes.genes if genes else None
-                if "ld" in want_tables:
-                    out.tables["ld"] = report.ld_matrix_table(pairs, ids.select("id", "chr", "pos"), c.ld_stat, genes=g, features=parts, upstream=c.upstream_bp, downstream=c.downstream_bp, most=most + 1).orderBy("pos", "id")
-                if "ld_pairs" in want_tables:
-                    out.tables["ld_pairs"] = report.ld_pairs_table(pairs, c.ld_stat, variants=ids.select("id", "chr", "pos"), genes=g, features=parts, upstream=c.upstream_bp, downstream=c.downstream_bp).orderBy("pos_a", "pos_b")
+        _ld_outputs(out, c, variants, ref, lambda ids: _pairs(calls, ids, c, max(here.end - here.start, 1)), want_panels, want_tables)
+    if c.ld_file and need_ld and best and (given := _given(spark, c, here, inside)):
+        # pairs of the caller's file take the place of computed ones, but for the r2 with the lead where genotypes told it
+        variants, flat = given
+        c = replace(c, ld_stat="r2")
+        out.reference = ref = report.reference_variant(inside, variants, best.pos, best.snp)
+        if r2 is None:
+            r2 = flat.where(F.col("snp_a") == ref).select(F.col("snp_b").alias("snp"), "r2").join(inside.select("snp"), "snp", "left_semi")
+
+        def chosen(ids: DataFrame) -> DataFrame:
+            a, b = (ids.select(F.col("id").alias(k)) for k in ("snp_a", "snp_b"))
+            return flat.where("pos_a < pos_b OR (pos_a = pos_b AND snp_a < snp_b)").join(a, "snp_a", "left_semi").join(b, "snp_b", "left_semi")
+
+        _ld_outputs(out, c, variants, ref, chosen, want_panels, want_tables)
 
     if "manhattan" in want_panels:
         out.panels["manhattan"] = panels.manhattan_panel(rows, gwas.genome_layout(sizes))

@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from genoloom.operators import genotypes
 from genoloom.operators.tree import Tree, distance_matrix, midpoint_root, neighbor_joining, upgma
 from genoloom.sources.genotypes import read_genotypes
+from genoloom.sources.store import thinned
 from genoloom.sources.text import saved
 
 
-def thin_variants(variants: DataFrame, every: int) -> DataFrame:
-    """Every k-th variant of each chromosome by position."""
-    w = Window.partitionBy("chr").orderBy("pos", "v")
-    return variants.withColumn("_k", F.row_number().over(w)).where((F.col("_k") - 1) % every == 0).drop("_k")
-
-
 def sample_tree(spark: SparkSession, path: str, method: str = "nj", distance: str = "ibs", max_snps: int = 20_000, min_maf: float = 0.05, max_missing: float = 0.2, chr_map: dict[str, str] | None = None) -> Tree:
     """Genotypes thinned to about ``max_snps``, quality control, samples without calls left out, distances, tree.
 
@@ -27,7 +22,7 @@ def sample_tree(spark: SparkSession, path: str, method: str = "nj", distance: st
     g = read_genotypes(spark, path, chr_map=chr_map)
     variants = g.variants
     every = max(1, variants.count() // max_snps)
-    some = thin_variants(variants, every) if every > 1 else variants
+    some = thinned(variants, every) if every > 1 else variants
     calls = saved(g.calls.join(some.select("v", "id", "multiallelic"), "v").select("v", "id", "chr", "pos", "smp", "sample", "dos", "multiallelic"))
     kept = genotypes.qc(calls.withColumn("id", F.concat_ws("|", "id", "v")), min_maf, max_missing).where("step = 'kept'")
     calls = calls.join(kept.select("v"), "v", "left_semi")

@@ -9,9 +9,11 @@ Parquet by chr, sorted by pos.
 from __future__ import annotations
 
 import re
+import warnings
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from genoloom.functions.genotype import extract_gt, gt_to_dosage, haplotype, hmp_dosage, hmp_site_type, is_snp, site_type
@@ -36,7 +38,7 @@ def _data(spark: SparkSession, path: str) -> DataFrame:
     return lines(spark, path).where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(F.col("line").alias("v"), "value")
 
 
-def _region(rows: DataFrame, chrom: str | None, start: int | None, end: int | None, chr_map: dict[str, str] | None) -> DataFrame:
+def region_of(rows: DataFrame, chrom: str | None, start: int | None, end: int | None, chr_map: dict[str, str] | None) -> DataFrame:
     if chrom is not None:
         rows = rows.where(F.col("chr") == normalize_chr(F.lit(chrom), chr_map))
     if start is not None:
@@ -47,6 +49,9 @@ def _region(rows: DataFrame, chrom: str | None, start: int | None, end: int | No
 def _chosen(names: list[str], wanted: list[str] | None, skip: list[str]) -> list[tuple[int, str]]:
     found = [(i, n) for i, n in enumerate(names) if n not in skip]
     if wanted is not None:
+        lost = [n for n in wanted if n not in {n for _, n in found}]
+        if lost and len(lost) < len(wanted):
+            warnings.warn(f"{len(lost)} samples are not in the file: {', '.join(lost[:8])}", stacklevel=3)
         found = [(i, n) for i, n in found if n in set(wanted)]
     if not found:
         raise ValueError("none of the samples is in the file")
@@ -74,7 +79,7 @@ def read_vcf(spark: SparkSession, path: str, chrom: str | None = None, start: in
     at = lambda i: F.get("f", F.lit(i))
     rows = _data(spark, path).select("v", F.split("value", "\t").alias("f"))
     rows = rows.select("v", "f", normalize_chr(at(0), chr_map).alias("chr"), at(1).try_cast("long").alias("pos"), at(8).alias("aux"))
-    rows = _region(rows.where("pos IS NOT NULL"), chrom, start, end, chr_map)
+    rows = region_of(rows.where("pos IS NOT NULL"), chrom, start, end, chr_map)
     ident = F.when(at(2).isin(".", ""), F.concat_ws(":", "chr", "pos")).otherwise(at(2))
     variants = rows.select("v", ident.alias("id"), "chr", "pos", at(3).alias("ref"), at(4).alias("alt"), at(4).contains(",").alias("multiallelic"), is_snp(at(3), at(4)).alias("is_snp"))
     gt = extract_gt(F.col("call"), F.col("aux"))
@@ -108,7 +113,7 @@ def hapmap_rows(spark: SparkSession, path: str, chr_map: dict[str, str] | None =
 def read_hapmap(spark: SparkSession, path: str, chrom: str | None = None, start: int | None = None, end: int | None = None, samples: list[str] | None = None, chr_map: dict[str, str] | None = None) -> Genotypes:
     rows, first, names = hapmap_rows(spark, path, chr_map)
     chosen = _chosen(names, samples, [])
-    rows = _region(rows, chrom, start, end, chr_map)
+    rows = region_of(rows, chrom, start, end, chr_map)
     alleles = F.split("aux", "/")
     ident = F.when(F.col("id").isin(".", "", "NA"), F.concat_ws(":", "chr", "pos")).otherwise(F.col("id"))
     variants = rows.select("v", ident.alias("id"), "chr", "pos", F.get(alleles, F.lit(0)).alias("ref"), F.get(alleles, F.lit(1)).alias("alt"),
@@ -130,6 +135,31 @@ def variant_sites(spark: SparkSession, path: str, chr_map: dict[str, str] | None
     return rows.where("pos IS NOT NULL AND chr IS NOT NULL")
 
 
+def as_genotypes(spark: SparkSession, dosage: Sequence[Sequence[float | None]], chrom: str | Sequence[str], pos: Sequence[int], ids: Sequence[str] | None = None,
+                 ref: str | None = None, alt: str | None = None, samples: Sequence[str] | None = None) -> Genotypes:
+    """Genotypes of a small matrix in memory, a row a variant: dosages 0 to 2, None or nan where missing; ids are chr:pos and samples sample1, ... by default."""
+    if len(pos) != len(dosage):
+        raise ValueError("pos must have one value for each row of dosage")
+    clean = [[None if x is None or x != x else float(x) for x in row] for row in dosage]
+    names = list(samples) if samples is not None else [f"sample{k + 1}" for k in range(len(clean[0]) if clean else 0)]
+    if any(len(row) != len(names) for row in clean):
+        raise ValueError("a row of dosage must have one value for each sample")
+    chroms = [chrom] * len(pos) if isinstance(chrom, str) else list(chrom)
+    table = [(v, None if ids is None else ids[v], chroms[v], int(pos[v]), clean[v]) for v in range(len(pos))]
+    rows = spark.createDataFrame(table, "v long, id string, chr string, pos long, d array<double>").withColumn("chr", normalize_chr(F.col("chr")))
+    variants = rows.select("v", F.coalesce("id", F.concat_ws(":", "chr", "pos")).alias("id"), "chr", "pos", F.lit(ref).cast("string").alias("ref"), F.lit(alt).cast("string").alias("alt"), F.lit(False).alias("multiallelic"), F.lit(True).alias("is_snp"))
+    long = rows.select("v", "chr", "pos", F.posexplode("d").alias("smp", "dos"))
+    none = F.lit(None).cast("int")
+    calls = long.select("v", "chr", "pos", "smp", F.get(F.array(*map(F.lit, names)), F.col("smp")).alias("sample"), "dos", none.alias("h1"), none.alias("h2"))
+    return Genotypes(variants, calls, names, "matrix")
+
+
+def unsorted(rows: DataFrame) -> DataFrame:
+    """chr of the chromosomes some of whose positions are less than that of the row of theirs before, by ``v``; no rows if all are in order."""
+    before = F.lag("pos").over(Window.partitionBy("chr").orderBy("v"))
+    return rows.withColumn("_before", before).where("pos < _before").select("chr").distinct()
+
+
 def read_genotypes(spark: SparkSession, path: str | Genotypes, **how) -> Genotypes:
     """By extension, else by the first line."""
     if isinstance(path, Genotypes):

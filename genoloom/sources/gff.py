@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+import warnings
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from genoloom.functions.names import attr_gff3, attr_gtf, normalize_chr, sub_class
@@ -135,6 +136,26 @@ def models(rows: DataFrame, gene_types: list[str] | None = None) -> tuple[DataFr
     return g.withColumn("name", F.coalesce("name", "gene_id")).join(best, "gene_id", "left"), tx.drop("name"), s
 
 
+def locate_gene(genes: Genes, name: str) -> tuple[Row, str | None]:
+    """(gene, transcript id or None): by id or name, else by transcript id, else by id or name in any case.
+
+    Of several the first of the file, with a warning; of none an error with up to 8 similar names.
+    """
+    g, like = genes.genes, name.upper()
+    rank = F.when((F.col("gene_id") == name) | (F.col("name") == name), 0).when((F.upper("gene_id") == like) | (F.upper("name") == like), 2)
+    own = g.select("*", rank.alias("_rank"), F.lit(None).cast("string").alias("_tx")).where("_rank IS NOT NULL")
+    by_tx = genes.transcripts.where(F.col("transcript_id") == name).select("gene_id", F.col("transcript_id").alias("_tx"))
+    own = own.unionByName(g.join(by_tx, "gene_id").withColumn("_rank", F.lit(1)).select(own.columns))
+    found = own.orderBy("_rank", F.asc_nulls_last("row"), "chr", "start", "end", "gene_id").limit(2).collect()
+    if not found:
+        near = g.select(F.explode(F.array("gene_id", "name")).alias("n")).where(F.contains(F.upper("n"), F.lit(like))).distinct().orderBy("n").limit(8).collect()
+        raise ValueError(f"gene {name!r} was not found" + (f"; similar: {', '.join(r.n for r in near)}" if near else ""))
+    first = found[0]
+    if len(found) == 2 and found[1]._rank == first._rank != 1:
+        warnings.warn(f"several genes match {name!r}; {first.gene_id} is taken", stacklevel=2)
+    return Row(**{c: first[c] for c in g.columns}), first._tx
+
+
 def read_gff(spark: SparkSession, path: str, chrom: str | None = None, start: int | None = None, end: int | None = None, chr_map: dict[str, str] | None = None, gene_types: list[str] | None = None) -> Genes:
     rows, kind = records(spark, path, chrom, chr_map)
     genes, tx, parts = models(rows, gene_types)

@@ -55,8 +55,17 @@ def raw(spark: SparkSession, path: str, sep: str = "auto", **given: str | int |
     return rows.select([(F.col(f"`{found[k]}`") if found[k] else F.lit(None).cast("string")).alias(k) for k in NAMES])
 
 
-def read_gwas(spark: SparkSession, path: str, sep: str = "auto", chr_map: dict[str, str] | None = None, **given: str | int | None) -> DataFrame:
-    """snp, chr, pos, p, logp after quality control; an error if no row passes."""
+def read_gwas(spark: SparkSession, path: str | DataFrame, sep: str = "auto", chr_map: dict[str, str] | None = None, **given: str | int | None) -> DataFrame:
+    """snp, chr, pos, p, logp after quality control; an error if no row passes. A DataFrame with all five columns is taken as checked, one with snp, chr, pos and p is checked."""
+    if isinstance(path, DataFrame):
+        if {*NAMES, "logp"} <= set(path.columns):
+            return path
+        if lost := {"chr", "pos", "p"} - set(path.columns):
+            raise ValueError(f"association results need columns {', '.join(sorted(lost))}")
+        rows = gwas.qc(path.select([(F.col(c) if c in path.columns else F.lit(None)).cast("string").alias(c) for c in NAMES]), chr_map)
+        if rows.isEmpty():
+            raise ValueError("no row passes quality control")
+        return rows
     rows = gwas.qc(raw(spark, path, sep, **given), chr_map)
     if rows.isEmpty():
         raise ValueError(f"no row of {path} passes quality control")

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genoloom.functions.genotype import hmp_to_gt
-from genoloom.functions.names import chr_key
+from genoloom.functions.names import chr_key, normalize_chr
 from genoloom.operators.report import ld_matrix_table, ld_pairs_table
 from genoloom.operators.tree import Tree, newick
-from genoloom.sources.genotypes import VCF_FIXED, hapmap_rows
+from genoloom.sources.genome import fasta, fasta_bases
+from genoloom.sources.genotypes import VCF_FIXED, hapmap_rows, region_of
 from genoloom.sources.gff import Genes
 
 
@@ -96,18 +97,47 @@ def write_region_genes(genes: Genes, path: str, features: str = "gene", header:
     return single(raw.sparkSession, path, text())
 
 
-def hapmap_to_vcf(spark: SparkSession, source: str, path: str, chr_map: dict[str, str] | None = None, compression: str | None = None) -> None:
+def hapmap_to_vcf(spark: SparkSession, source: str, path: str, chr_map: dict[str, str] | None = None, compression: str | None = None, ref_fasta: str | None = None, indels: str = "drop",
+                  chrom: str | None = None, start: int | None = None, end: int | None = None, chr_prefix: str | None = None) -> dict[str, int]:
     """A VCF of a HapMap file as ordered part files, the header in a file that sorts before them; joined by name they are one VCF.
 
-    Rows are range-partitioned by natural chromosome order and position, so sorting is distributed.
+    With ``ref_fasta``, a base of the reference that is among a SNP's alleles becomes REF; where none is, FILTER is RefMismatch, else PASS.
+    Sites with +, - or 0 among the alleles are dropped, or with indels="symbolic" written with the reference's base (else N) and <INS>, <DEL>, <INDEL>.
+    Rows are range-partitioned by natural chromosome order and position, so sorting is distributed. Returns counts: read, written, indels, mismatches.
     """
+    if indels not in ("drop", "symbolic"):
+        raise ValueError("indels is drop or symbolic")
     rows, first, samples = hapmap_rows(spark, source, chr_map)
-    alleles = F.split("aux", "/")
-    calls = F.transform(F.sequence(F.lit(first), F.lit(first + len(samples) - 1)), lambda i: hmp_to_gt(F.upper(F.trim(F.get("f", i))), F.col("aux")))
-    ident = F.when(F.col("id").isin("", "NA"), ".").otherwise(F.col("id"))
-    line = F.concat_ws("\t", "chr", "pos", ident, F.get(alleles, F.lit(0)), F.coalesce(F.get(alleles, F.lit(1)), F.lit(".")), F.lit("."), F.lit("."), F.lit("."), F.lit("GT"), F.array_join(calls, "\t"))
-    rows = rows.withColumn("_o", chr_key(F.col("chr")))
-    rows.orderBy("_o", "pos", "v").select(line.alias("value")).write.text(path, compression=compression or "none")
-    names = [r.chr for r in rows.groupBy("chr").agg(F.first("_o").alias("o")).orderBy("o").collect()]
-    head = ["##fileformat=VCFv4.2", *[f"##contig=<ID={c}>" for c in names], '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">', "\t".join([*VCF_FIXED, *samples])]
+    rows = region_of(rows, chrom, start, end, chr_map)
+    every = F.split("aux", "/")
+    # what the conversion keeps: rows with alleles, of which those with a sign may be dropped
+    rows = rows.where(F.coalesce(F.col("aux"), F.lit("")) != "").withColumn("sign", F.exists(every, lambda a: a.isin("+", "-", "0")))
+    if ref_fasta:
+        contigs = fasta(spark, ref_fasta).select("contig").distinct().select("contig", normalize_chr(F.col("contig"), chr_map).alias("chr"))
+        contigs = contigs.groupBy("chr").agg(F.min("contig").alias("contig"))
+        bases = fasta_bases(spark, ref_fasta, rows.select("v", "chr", "pos").join(contigs, "chr").select("contig", "pos", "v")).select("v", "contig", "base")
+        rows = rows.join(bases, "v", "left")
+    else:
+        rows = rows.withColumns({"base": F.lit(None).cast("string"), "contig": F.lit(None).cast("string")})
+    plain = ~F.col("sign") & ~F.exists(every, lambda a: F.length(a) > 1)
+    known = plain & F.col("base").isNotNull()
+    use = F.coalesce(known & F.array_contains(every, F.col("base")), F.lit(False))
+    rows = rows.withColumns({"use": use, "mismatch": F.coalesce(known, F.lit(False)) & ~use})
+    order = F.when(F.col("use"), F.concat(F.array("base"), F.filter(every, lambda a: a != F.col("base")))).otherwise(every)
+    rows = rows.withColumn("order", order).withColumn("joined", F.array_join("order", "/"))
+    calls = F.transform(F.sequence(F.lit(first), F.lit(first + len(samples) - 1)), lambda i: hmp_to_gt(F.upper(F.trim(F.get("f", i))), F.col("joined")))
+    ident = F.when(F.col("id").isNull() | F.col("id").isin("", "NA"), ".").otherwise(F.col("id"))
+    symbol = F.transform(F.slice("order", 2, 1 << 20), lambda a: F.when(~F.col("sign"), a).when(a == "+", "<INS>").when(a == "-", "<DEL>").otherwise("<INDEL>"))
+    other = F.when(F.size("order") > 1, F.array_join(symbol, ",")).otherwise(".")
+    ref = F.when(F.col("sign"), F.coalesce("base", F.lit("N"))).otherwise(F.get("order", F.lit(0)))
+    label = F.concat(F.lit(chr_prefix), "chr") if chr_prefix is not None else F.coalesce("contig", "chr")
+    line = F.concat_ws("\t", "label", "pos", ident, ref, other, F.lit("."), F.when(F.col("mismatch"), "RefMismatch").otherwise("PASS"), F.lit("."), F.lit("GT"), F.array_join(calls, "\t"))
+    rows = rows.withColumns({"_o": chr_key(F.col("chr")), "label": label})
+    kept = rows if indels == "symbolic" else rows.where("NOT sign")
+    kept.orderBy("_o", "pos", "v").select(line.alias("value")).write.text(path, compression=compression or "none")
+    count = rows.agg(F.count("*").alias("read"), F.count_if("sign").alias("indels"), F.count_if("mismatch").alias("mismatches")).first().asDict()
+    names = [r.label for r in kept.groupBy("label").agg(F.first("_o").alias("o")).orderBy("o", "label").collect()]
+    head = ["##fileformat=VCFv4.2", '##FILTER=<ID=PASS,Description="All filters passed">', *(['##FILTER=<ID=RefMismatch,Description="Reference base is none of the alleles">'] if ref_fasta else []),
+            *[f"##contig=<ID={c}>" for c in names], '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">', "\t".join([*VCF_FIXED, *samples])]
     single(spark, f"{path}/header.vcf", head)
+    return count | {"written": count["read"] - (count["indels"] if indels == "drop" else 0)}

@@ -37,10 +37,13 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder of ``spark.checkpoint.dir``; a temporary one only where none is set (local tests)."""
+    """``df`` checkpointed in the folder of ``spark.checkpoint.dir``; a temporary one only where none is set and Spark runs on this machine alone."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="genoloom-"))
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not found and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="genoloom-"))
     return df.checkpoint()
 
 

@@ -44,7 +44,8 @@ def test_vcf(spark, tmp_path):
     g = genotypes.read_genotypes(spark, put(tmp_path, "a.vcf.gz", VCF), chrom="1", start=1, end=30)
     assert [(r.id, r.chr, r.pos, r.multiallelic, r.is_snp) for r in g.variants.orderBy("pos").collect()] == [("1:10", "1", 10, False, True), ("v", "1", 20, True, False)]
     assert [(r.pos, r.sample, r.dos, r.h1, r.h2) for r in g.calls.orderBy("pos", "smp").collect()] == [(10, "s1", 1.0, 0, 1), (10, "s2", None, None, None), (20, "s1", 2.0, None, None), (20, "s2", 1.0, None, None)]
-    one = genotypes.read_vcf(spark, put(tmp_path, "a.vcf", VCF), samples=["s2", "x"])
+    with pytest.warns(UserWarning, match="x"):
+        one = genotypes.read_vcf(spark, put(tmp_path, "a.vcf", VCF), samples=["s2", "x"])
     assert one.samples == ["s2"] and one.calls.count() == 3
     with pytest.raises(ValueError):
         genotypes.read_vcf(spark, put(tmp_path, "a.vcf", VCF), samples=["x"])
