@@ -23,8 +23,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from genoloom.llm.common import bounded_batches, bytes_of, documents
+from genoloom.llm.common import bounded_batches, bytes_of, documents, slices
 
 WIDTH, HEIGHT, UNIT, RATE = 16, 12, 192, 25
 _DIFF = np.arange(-255, 256)
@@ -196,6 +197,44 @@ def clips(avi: bytes) -> list[tuple[float, float, int, int]]:
     return [(a * seconds, b * seconds, a, b) for a, b in zip(edge[:-1], edge[1:], strict=True)] if len(frames) else []
 
 
+def _clip_rows(column: str, keep: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1 << 20, column):
+            row, found, errors = [], [], []
+            for i, avi in enumerate(batch.column(column).to_pylist()):
+                try:
+                    some, error = [(k, *c) for k, c in enumerate(clips(avi or b""))], None
+                except (ValueError, KeyError, IndexError, struct.error) as e:
+                    some, error = [], f"{type(e).__name__}: {e}"
+                some = some or [(None,) * 5]
+                row += [i] * len(some)
+                found += some
+                errors += [error] * len(some)
+            kinds = (pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
+            cols = [pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)] if found else [pa.array([], k) for k in kinds]
+            own = batch.select(keep).take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, *cols, pa.array(errors, pa.string())], [*keep, *CLIP])
+
+    return run
+
+
+CLIP = ["clip", "start_s", "end_s", "first_frame", "end_frame", "error"]
+
+
+def clip_rows(media: DataFrame, column: str = "avi") -> DataFrame:
+    """One row a clip of the AVI file in ``column``: the other columns, clip from 0, start and end in seconds, frames first..end-1, error.
+
+    Null, empty or unreadable files, and those without frames, give one row without a clip; error tells why a file can't be read.
+    Other columns may have any names but ``clip`` and so on are added after them. A task holds the frames of one file at a time.
+    """
+    rows = bounded_batches(media).select(*[F.col(f"`{c}`") for c in media.columns if c != column], F.col(f"`{column}`"))
+    kept = [f"c{i}" for i in range(len(rows.columns) - 1)]
+    plain_rows = rows.toDF(*kept, "media")
+    own = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in plain_rows.schema if f.name != "media")
+    out = plain_rows.mapInArrow(_clip_rows("media", kept), f"{own}clip int, start_s double, end_s double, first_frame long, end_frame long, error string")
+    return out.toDF(*rows.columns[:-1], *CLIP)
+
+
 def store(raw: bytes) -> bytes:
     """The AVI file that holds ``raw`` padded."""
     return write_avi(encode_frames(np.frombuffer(pad(raw), np.uint8).reshape(-1, HEIGHT, WIDTH)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from genoloom.llm.decontam import ORACLE_SQL as OP9_SQL
 from genoloom.llm.decontam import op9_decontamination
 from genoloom.llm.html import op5_html
 from genoloom.llm.langid import op6_language_id
@@ -25,4 +26,4 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_decontamination": OP9_SQL}
