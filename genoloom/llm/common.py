@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -123,6 +124,16 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def release(spark: SparkSession) -> None:
+    """Give back what finished steps left at the driver: plans of unreachable DataFrames, their broadcasts and shuffles, free memory of both processes.
+
+    Many small jobs in a row otherwise fill the driver, and executors keep what only a collection at the driver clears.
+    """
+    gc.collect()
+    trim()
+    spark.sparkContext._jvm.System.gc()
+
+
 def byte_runs(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, their bytes joined, offsets) for runs of rows of about ``most`` bytes; nulls count as empty."""
     column = column.cast(pa.large_binary())
@@ -184,6 +195,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).coalesce(parts)
         edges, done = materialize(small.distinct().coalesce(parts), "edges"), edges
         discard(done)
+        del both, low, large, joined, small, done
+        release(edges.sparkSession)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if last is not None and tuple(now) == last:
             break

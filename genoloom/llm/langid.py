@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from genoloom.llm.common import bounded_batches, documents, plain, slices, trim
+from genoloom.llm.common import bounded_batches, documents, plain, release, slices, trim
 
 LETTER = re.compile(r"[^\W\d_]")
 LANE = 1024
@@ -140,7 +140,9 @@ def fit(docs: DataFrame, labelled, rows: int = 96, train_bytes: int = 1 << 16) -
     texts: dict[str, list[bytes]] = {}
     for r in some.orderBy("lang", "k").collect():
         texts.setdefault(r.lang, []).append(normal(r.text))
-    return Model({k: b" ".join(v) for k, v in texts.items()})
+    model = Model({k: b" ".join(v) for k, v in texts.items()})
+    release(docs.sparkSession)
+    return model
 
 
 def _predict(model):
