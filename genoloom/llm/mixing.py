@@ -2,12 +2,12 @@
 
 Every source's words are one stream, packed into blocks of ``block`` words. A source's target is
 spent in slots: whole epochs over its blocks and a last, partial epoch, whose final slot is cut so
-that the words taken equal the rounded target. Every slot draws its output shard by a hash, so the counts
-of a source's slots by shard are one multinomial draw, whatever their number; slot j of a source
+that the words taken equal the rounded target. How many of a source's slots each output shard gets is one multinomial draw
+(every slot chooses by a hash, choices are counted by source and shard); the shards' counts, laid end to end, are the slots. Slot j of a source
 maps through the permutation of its epoch (swap-or-not rounds over xxhash64) to a block index, and
-blocks join their documents by (source, index).
+blocks join their documents by (source, index). A document's words are summed over the slots of all shards.
 
-Null text has size 0. Null source is a source of its own, last in order. Documents of size 0 take 0.
+Null text has size 0. Null source is a source of its own, last in order. Documents of size 0 take 0, and so does a source without words, whose target is 0.
 Null or repeated ids and repeated rows count as rows of their own. An empty table gives no rows.
 """
 
@@ -45,7 +45,18 @@ def _permuted(x: str, epoch: str, n: str, rounds: int, seed: int, inverse: bool
     return f"aggregate({span}, cast({x} as bigint), (x, r) -> if((xxhash64({seed + 1}L, src, {epoch}, r, greatest(x, {other})) & 1) = 1, {other}, x))"
 
 
-def mix(docs: DataFrame, block: int = 256, n_out: int = 16, most: int = 3, buckets: int = 256, rounds: int = 24, seed: int = 17) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _spread(counts: DataFrame) -> DataFrame:
+    """``counts`` (first, m, ...) with one row for each j of first..first + m - 1, without m and first.
+
+    A few rows here become the whole mix: they are dealt by explicit counts in runs of 4,096, so that adaptive coalescing doesn't put them in one task.
+    """
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    far = counts.withColumn("far", F.explode(F.expr("sequence(0L, (m - 1) div 16777216)")))
+    runs = far.withColumn("run", F.explode(F.expr("sequence(far * 4096, least((m - 1) div 4096, far * 4096 + 4095))"))).drop("far").repartition(parts, "src", "run", "first")
+    return runs.withColumn("j", F.explode(F.expr("sequence(first + run * 4096, first + least(m, (run + 1) * 4096) - 1)"))).drop("run", "m", "first")
+
+
+def mix(docs: DataFrame, block: int = 256, n_out: int = 16, most: int = 3, part_rows: int = 1 << 18, rounds: int = 24, seed: int = 17) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, slots, pieces).
 
     rows: one per document with doc_id, rh (hash of the row), src, size, source_size, target, taken.
@@ -60,10 +71,12 @@ def mix(docs: DataFrame, block: int = 256, n_out: int = 16, most: int = 3, bucke
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             row_hash(docs).alias("rh"),
             # rows without id are dealt by a number that is stored with them, so they don't meet in one part
-            F.pmod(F.xxhash64("doc_id", "source", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())), F.lit(buckets)).alias("h"),
+            F.xxhash64("doc_id", "source", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).alias("h"),
         ),
         "mix",
     )
+    buckets = max(256, rows.count() // part_rows)  # a source's rows are ordered by parts of part_rows at most, on average
+    rows = rows.withColumn("h", F.pmod("h", F.lit(buckets)))
     part = rows.groupBy("src", "h").agg(F.sum("size").alias("n"))
     before = lambda *x: Window.partitionBy("src").orderBy(*x).rowsBetween(Window.unboundedPreceding, -1)
     part = part.select("src", "h", F.coalesce(F.sum("n").over(before("h")), F.lit(0)).alias("off"))
@@ -75,7 +88,7 @@ def mix(docs: DataFrame, block: int = 256, n_out: int = 16, most: int = 3, bucke
         "local": F.coalesce(F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
     }).join(part, ["src", "h"]).withColumn("start", F.col("off") + F.col("local")).join(goal, "src")
 
-    plan = goal.where("source_size > 0").withColumns({
+    plan = goal.where("source_size > 0").withColumn("source_size", F.expr("nullif(source_size, 0)")).withColumns({
         "n": F.expr(f"cast(ceil(source_size / {block}D) as bigint)"),
         "words": F.expr(f"least(cast(round(target) as bigint), {most} * source_size)"),
     }).withColumns({
@@ -87,12 +100,13 @@ def mix(docs: DataFrame, block: int = 256, n_out: int = 16, most: int = 3, bucke
     plan = plan.withColumn("p", F.expr(_permuted("n - 1", "epochs", "n", rounds, seed, inverse=True)))
     plan = plan.withColumn("tail", F.expr(f"""case when rest <= p * {block} then cast(ceil(rest / {block}D) as bigint) when rest <= p * {block} + last then p + 1
         else p + 1 + cast(ceil((rest - p * {block} - last) / {block}D) as bigint) end"""))
-    plan = plan.withColumn("m", F.expr("epochs * n + tail")).where("m > 0")
-    plan = plan.withColumn("chunk", F.explode(F.expr("sequence(0L, (m - 1) div 4096)")))
-    # a few rows here become the whole mix: an explicit count keeps adaptive coalescing from putting them in one task
-    plan = plan.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src", "chunk")
-    slots = plan.withColumn("j", F.explode(F.expr("sequence(chunk * 4096, least(m, (chunk + 1) * 4096) - 1)")))
-    slots = slots.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 2), "src", "j"), F.lit(n_out)).cast("int"))
+    plan = materialize(plan.withColumn("m", F.expr("epochs * n + tail")).where("m > 0"), "plan")  # one row a source
+    choices = _spread(plan.select("src", F.lit(0).cast("long").alias("first"), "m"))
+    choices = choices.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 2), "src", "j"), F.lit(n_out)).cast("int"))
+    counts = materialize(choices.groupBy("src", "shard").agg(F.count("*").alias("m")), "draw")  # n_out rows a source
+    before_shard = Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    laid = counts.withColumn("first", F.coalesce(F.sum("m").over(before_shard), F.lit(0)))
+    slots = _spread(laid).join(plan.drop("m"), "src")
     slots = slots.withColumns({"epoch": F.expr("j div n"), "k": F.expr("j % n")})
     slots = slots.withColumn("idx", F.expr(_permuted("k", "epoch", "n", rounds, seed)))
     slots = slots.withColumn("len", F.expr(f"if(idx = n - 1, last, {block}L)"))

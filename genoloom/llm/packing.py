@@ -21,6 +21,7 @@ import functools
 import heapq
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from genoloom.llm.common import bounded_batches, bytes_of, documents, materialize, slices, trim
 
-KEPT = 700_000
+KEPT = 1_000_000
 LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 PLAIN = re.compile("[a-zß-öø-ÿ]+")  # words of one letter run that lower-casing and composition leave alone
 
@@ -43,65 +44,55 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class Words:
-    """Ids of texts, word by word."""
+class Known(dict):
+    """Word -> bytes of its ids, found when first asked for."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        head = self.tokenizer.to_str()[:4000]
-        self.lower = '"Lowercase"' in head
-        self.direct = self.lower and '"ByteLevel"' in head and '"add_prefix_space": false' in head.replace('space":f', 'space": f')
+        self.model = self.tokenizer.model
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        head = "".join(self.tokenizer.to_str()[:4000].split())
+        self.lower = '"type":"Lowercase"' in head
+        self.direct = self.lower and '"type":"ByteLevel","add_prefix_space":false' in head
         self.letters = [x for _, x in sorted(byte_letters().items())]
-        self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        kind, known, letters, rest = self.kind, self.known, self.letters, []
-        for w in words:
-            if self.direct and PLAIN.fullmatch(text := w.decode().lower()):  # one run of letters: straight to the merges
-                spelled = text if text.isascii() else "".join([letters[b] for b in text.encode()])
-                known[w] = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], kind).tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= KEPT:
+            self.clear()
+        if self.lower:  # ASCII capitals made small and one mark taken off behind a small letter, as the tokenizer does both
+            small = word.lower()
+            if len(small) > 1 and small[-1] in b".,;:!?" and small[-2] in LETTERS:
+                found = self[small[:-1]] + self[small[-1:]]
+            elif small != word:
+                found = self[small]
             else:
-                rest.append(w)
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False) if rest else []
-        for w, e in zip(rest, found, strict=True):
-            known[w] = np.array(e.ids, kind).tobytes()
-
-    def _parts(self, word: bytes) -> tuple[bytes, ...]:
-        """Words of which ``word``'s ids are those in a row: ASCII capitals made small and one mark taken off behind a small letter, as the tokenizer does both."""
-        if self.lower:
-            word = word.lower()
-            if len(word) > 1 and word[-1] in b".,;:!?" and word[-2] in LETTERS:
-                return word[:-1], word[-1:]
-        return (word,)
-
-    def __call__(self, text: bytes, most: int = 1 << 16) -> np.ndarray:
-        out, at = [], 0
-        words = text.split()
-        while at < len(words):
-            some = words[at : at + most]
-            at += most
-            out.append(self._ids(some))
-        return np.frombuffer(b"".join(out), self.kind)
-
-    def _ids(self, words: list[bytes]) -> bytes:
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        if len(known) > KEPT:
-            known.clear()
-        new = {w: self._parts(w) for w in set(words) if w not in known}
-        missing = {p for parts in new.values() for p in parts if p not in known}
-        if missing:
-            self._learn(list(missing))
-        for w, parts in new.items():
-            known[w] = b"".join([known[p] for p in parts])
-        return b"".join(map(known.__getitem__, words))
+                found = self._encoded(word)
+        else:
+            found = self._encoded(word)
+        self[word] = found
+        return found
+
+    def _encoded(self, word: bytes) -> bytes:
+        text = word.decode()
+        if self.direct and PLAIN.fullmatch(low := text.lower()):  # one run of letters: straight to the merges
+            letters = self.letters
+            spelled = low if low.isascii() else "".join([letters[b] for b in low.encode()])
+            return array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+
+class Words:
+    """Ids of texts, word by word."""
+
+    def __init__(self, path: str) -> None:
+        self.known = Known(path)
+        self.tokenizer, self.kind = self.known.tokenizer, np.uint16 if self.known.code == "H" else np.uint32
+
+    def __call__(self, text: bytes) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.known.__getitem__, text.split())), self.kind)
 
 
 @functools.lru_cache(maxsize=2)
