@@ -2,8 +2,8 @@
 
 variants: v, id, chr, pos, ref, alt, multiallelic, is_snp. calls: v, chr, pos, smp, sample, dos, h1, h2.
 ``v`` numbers lines in file order, with gaps. Missing calls are null, never 0. Filters on chromosome
-and position apply before calls are exploded; for repeated region reads write the variants as
-Parquet by chr, sorted by pos.
+and position apply before calls are exploded. A block-compressed VCF is split, and with its index (.tbi) beside it a region
+opens only the blocks that may hold it; for repeated region reads of other files write the variants as Parquet by chr, sorted by pos.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from genoloom.functions.genotype import extract_gt, gt_to_dosage, haplotype, hmp_dosage, hmp_site_type, is_snp, site_type
 from genoloom.functions.names import normalize_chr
+from genoloom.sources.blockgzip import compression, index_of, region_lines
 from genoloom.sources.text import fields, head, lines, separator
 
 #: The columns of a VCF before its samples (a fixed format).
@@ -73,11 +74,26 @@ def vcf_header(spark: SparkSession, path: str) -> list[str]:
     return found[0].value.split("\t")
 
 
+def _region_data(spark: SparkSession, path: str, chrom: str | None, start: int | None, end: int | None, chr_map: dict[str, str] | None) -> DataFrame:
+    """Data lines of a VCF: of a region, where the file has an index, only those of the blocks that it lists."""
+    if chrom is None or compression(path) != "blocks":
+        return _data(spark, path)
+    index = index_of(path)
+    if index is None:
+        return _data(spark, path)
+    known = spark.createDataFrame([(n,) for n in index.names], "name string").withColumn("chr", normalize_chr(F.col("name"), chr_map))
+    names = [r.name for r in known.where(F.col("chr") == normalize_chr(F.lit(chrom), chr_map)).collect()]
+    if not names:
+        raise ValueError(f"{chrom} is not in the index of {path}; it has {', '.join(index.names[:20])}")
+    found = region_lines(spark, path, index, names, start, end)
+    return found.where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(F.col("line").alias("v"), "value")
+
+
 def read_vcf(spark: SparkSession, path: str, chrom: str | None = None, start: int | None = None, end: int | None = None, samples: list[str] | None = None, chr_map: dict[str, str] | None = None) -> Genotypes:
     names = vcf_header(spark, path)[len(VCF_FIXED) :]
     chosen = _chosen(names, samples, VCF_FIXED)
     at = lambda i: F.get("f", F.lit(i))
-    rows = _data(spark, path).select("v", F.split("value", "\t").alias("f"))
+    rows = _region_data(spark, path, chrom, start, end, chr_map).select("v", F.split("value", "\t").alias("f"))
     rows = rows.select("v", "f", normalize_chr(at(0), chr_map).alias("chr"), at(1).try_cast("long").alias("pos"), at(8).alias("aux"))
     rows = region_of(rows.where("pos IS NOT NULL"), chrom, start, end, chr_map)
     ident = F.when(at(2).isin(".", ""), F.concat_ws(":", "chr", "pos")).otherwise(at(2))

@@ -11,9 +11,11 @@ from genoloom.functions.genotype import hmp_to_gt
 from genoloom.functions.names import chr_key, normalize_chr
 from genoloom.operators.report import ld_matrix_table, ld_pairs_table
 from genoloom.operators.tree import Tree, newick
+from genoloom.sources.blockgzip import write_blocks_text
 from genoloom.sources.genome import fasta, fasta_bases
 from genoloom.sources.genotypes import VCF_FIXED, hapmap_rows, region_of
 from genoloom.sources.gff import Genes
+from genoloom.sources.text import saved
 
 
 def single(spark: SparkSession, path: str, text: Iterable[str]) -> str:
@@ -103,7 +105,8 @@ def hapmap_to_vcf(spark: SparkSession, source: str, path: str, chr_map: dict[str
 
     With ``ref_fasta``, a base of the reference that is among a SNP's alleles becomes REF; where none is, FILTER is RefMismatch, else PASS.
     Sites with +, - or 0 among the alleles are dropped, or with indels="symbolic" written with the reference's base (else N) and <INS>, <DEL>, <INDEL>.
-    Rows are range-partitioned by natural chromosome order and position, so sorting is distributed. Returns counts: read, written, indels, mismatches.
+    Rows are range-partitioned by natural chromosome order and position, so sorting is distributed. With compression="bgzip" the parts are
+    block-compressed, the header among them, with one index for all (``blockgzip.joined`` makes them one file). Returns counts: read, written, indels, mismatches.
     """
     if indels not in ("drop", "symbolic"):
         raise ValueError("indels is drop or symbolic")
@@ -133,11 +136,17 @@ def hapmap_to_vcf(spark: SparkSession, source: str, path: str, chr_map: dict[str
     label = F.concat(F.lit(chr_prefix), "chr") if chr_prefix is not None else F.coalesce("contig", "chr")
     line = F.concat_ws("\t", "label", "pos", ident, ref, other, F.lit("."), F.when(F.col("mismatch"), "RefMismatch").otherwise("PASS"), F.lit("."), F.lit("GT"), F.array_join(calls, "\t"))
     rows = rows.withColumns({"_o": chr_key(F.col("chr")), "label": label})
-    kept = rows if indels == "symbolic" else rows.where("NOT sign")
-    kept.orderBy("_o", "pos", "v").select(line.alias("value")).write.text(path, compression=compression or "none")
+    # one pass over the source: what the counts, the names and the sort's sampling need is stored once
+    rows = saved(rows.select("_o", "pos", "v", "label", "sign", "mismatch", F.when(F.lit(indels == "symbolic") | ~F.col("sign"), line).alias("value"), F.length(ref).alias("width")))
+    kept = rows.where("value IS NOT NULL")
     count = rows.agg(F.count("*").alias("read"), F.count_if("sign").alias("indels"), F.count_if("mismatch").alias("mismatches")).first().asDict()
     names = [r.label for r in kept.groupBy("label").agg(F.first("_o").alias("o")).orderBy("o", "label").collect()]
     head = ["##fileformat=VCFv4.2", '##FILTER=<ID=PASS,Description="All filters passed">', *(['##FILTER=<ID=RefMismatch,Description="Reference base is none of the alleles">'] if ref_fasta else []),
             *[f"##contig=<ID={c}>" for c in names], '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">', "\t".join([*VCF_FIXED, *samples])]
-    single(spark, f"{path}/header.vcf", head)
+    ordered = kept.orderBy("_o", "label", "pos", "v")
+    if compression == "bgzip":
+        write_blocks_text(ordered.select("value", F.col("label").alias("name"), (F.col("pos") - 1).alias("first"), (F.col("pos") + F.col("width") - 2).alias("last")), path, "\n".join(head) + "\n")
+    else:
+        ordered.select("value").write.text(path, compression=compression or "none")
+        single(spark, f"{path}/header.vcf", head)
     return count | {"written": count["read"] - (count["indels"] if indels == "drop" else 0)}

@@ -2,37 +2,35 @@
 
 from __future__ import annotations
 
-import lzma
 import re
 import tempfile
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-XZ = b"\xfd7zXZ\x00"
+from genoloom.sources.blockgzip import compression, listed, packed_lines
+
 POINTER = "version https://git-lfs"
 
 
-def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"], strict=True):
-            lines = lzma.decompress(content).decode("utf-8").splitlines()
-            for i in range(0, len(lines), 10_000):
-                part = lines[i : i + 10_000]
-                yield pd.DataFrame({"value": part, "path": path, "block": 0, "line": range(i, i + len(part))})
+def own_reader(path: str) -> str | None:
+    """How ``path`` is compressed, if Spark's text source would not split it or not know it by its name."""
+    kind = compression(path)
+    if kind in (None, "blocks"):
+        return kind
+    name = next((p for p, _ in listed(path)), path)
+    return None if name.endswith({"gzip": ".gz", "bz2": ".bz2"}.get(kind, "/")) else kind
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """value, and path, block, line, which together order the lines of a file.
 
-    Plain files are split; gzip (also of many members) and bzip2 are unpacked by Spark's text source,
-    and .xz, which that source would read as it is, by an Arrow function, one file a task.
+    Plain files and block-compressed ones (told by their bytes) are split. Other gzip and bzip2 go through Spark's text source;
+    xz, and what a name without its ending hides, are unpacked piece by piece, one file a task.
     """
-    if path.endswith(".xz"):
-        found = spark.read.format("binaryFile").load(path).select("path", "content")
-        return found.mapInPandas(_unpack, "value string, path string, block long, line long")
+    kind = own_reader(path)
+    if kind:
+        return packed_lines(spark, path, kind)
     return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
 
 
@@ -49,8 +47,7 @@ def saved(df: DataFrame) -> DataFrame:
 
 def head(spark: SparkSession, path: str, n: int = 1) -> list[str]:
     """The first ``n`` lines; an error for an empty file or a pointer of large-file storage."""
-    rows = lines(spark, path).select("value") if path.endswith(".xz") else spark.read.text(path)
-    got = [r.value for r in rows.head(n)]
+    got = [r.value for r in lines(spark, path).select("value").head(n)]
     if not got:
         raise ValueError(f"{path} is empty")
     if got[0].startswith(POINTER):
@@ -98,7 +95,7 @@ def table(spark: SparkSession, path: str, sep: str = "auto") -> DataFrame:
     inner = whole.group(1).replace('""', '"') if whole else first
     sep = separator(inner) if sep == "auto" else sep
     whole = whole and sep in inner
-    if not whole and sep != " " and not path.endswith(".xz"):
+    if not whole and sep != " " and not own_reader(path):
         return spark.read.csv(path, sep=sep, header=True, inferSchema=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     value = F.col("value")
     if whole:
