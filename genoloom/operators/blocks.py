@@ -1,13 +1,14 @@
-"""Confidence-interval haplotype blocks: pair statistics in Catalyst, the greedy choice by chromosome in pandas."""
+"""Confidence-interval haplotype blocks: pair statistics in Catalyst, the greedy choice by segment in pandas."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from genoloom.operators.genotypes import dprime_ci, em, from_freqs, haplotypes
+from genoloom.sources.text import saved
 
 SMALL_SPAN = {2: 20_000, 3: 30_000}
 SMALL_LOW = {2: 0.80, 3: 0.50, 4: 0.50}
@@ -55,21 +56,57 @@ def greedy(pos: np.ndarray, i: np.ndarray, j: np.ndarray, lo: np.ndarray, hi: np
     return sorted(out)
 
 
+def segments(reach: DataFrame, width: int) -> DataFrame:
+    """chr, v, pos, seg of the variants that candidates cover: runs of a chromosome between places that none spans, named by their first variant.
+
+    reach: chr, v, pos of all variants and far, the (pos, v) of the last candidate that starts there, at most ``width`` positions away, else null.
+    Candidates are laid into the bins of ``width`` that they touch, so a run's start shows within one bin; only the bins' last starts
+    are carried along a chromosome.
+    """
+    here, last = F.floor(F.col("pos") / width), F.floor(F.col("far.pos") / width)
+    rows = reach.withColumn("_at", F.struct("pos", "v")).withColumn("_b", F.explode(F.sequence(here, F.coalesce(last, here))))
+    rows = rows.withColumn("_home", F.col("_b") == here)
+    before = Window.partitionBy("chr", "_b").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_open", F.coalesce(F.max("far").over(before) >= F.col("_at"), F.lit(False)))
+    rows = rows.where("_home AND (_open OR far IS NOT NULL)").withColumn("_first", F.when(~F.col("_open"), F.col("_at")))
+    bins = rows.groupBy("chr", "_b").agg(F.max("_first").alias("_last"))
+    bins = bins.withColumn("_before", F.max("_last").over(Window.partitionBy("chr").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))).drop("_last")
+    upto = Window.partitionBy("chr", "_b").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_own", F.max("_first").over(upto)).join(bins, ["chr", "_b"])
+    return rows.select("chr", "v", "pos", F.coalesce("_own", "_before").alias("seg"))
+
+
+def choose(bounds: DataFrame, variants: DataFrame, max_bp: int, low: float = 0.70, high: float = 0.98, recomb: float = 0.90, share: float = 0.95) -> DataFrame:
+    """chr, start, end, kb, nsnps, snps of blocks. bounds: i, pos_i, j, pos_j, lo, hi of pairs; variants: chr, v, pos of all variants, also those without pairs.
+
+    A segment that candidates chain together is one group; no chromosome is.
+    """
+    least = min(low, *SMALL_LOW.values())
+    bounds = saved(bounds.where((F.col("hi") < recomb) | ((F.col("lo") >= least) & (F.col("hi") >= high))))
+    ends = bounds.where((F.col("lo") >= low) & (F.col("hi") >= high)).groupBy(F.col("i").alias("v")).agg(F.max(F.struct(F.col("pos_j").alias("pos"), F.col("j").alias("v"))).alias("far"))
+    seg = saved(segments(variants.join(ends, "v", "left").select("chr", "v", "pos", "far"), max_bp))
+    pairs = bounds.join(seg.select(F.col("v").alias("i"), "chr", "seg"), "i").select("chr", "seg", "i", "pos_i", "j", "lo", "hi")
+    members = seg.select("chr", "seg", F.col("v").alias("i"), F.col("pos").alias("pos_i"), *[F.lit(None).cast(k).alias(c) for c, k in (("j", "long"), ("lo", "double"), ("hi", "double"))])
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf[pdf.j.isna()].sort_values(["pos_i", "i"])
+        v, pos = own.i.to_numpy(), own.pos_i.to_numpy()
+        at = {x: k for k, x in enumerate(v.tolist())}
+        rows = pdf[pdf.j.notna()]
+        rows = rows[rows.j.isin(at)]  # others end in a later run
+        i, j = (np.array([at[int(x)] for x in rows[c]], np.int64) for c in "ij")
+        found = greedy(pos, i, j, rows.lo.to_numpy(), rows.hi.to_numpy(), low, high, recomb, share)
+        out = [(own.chr.iloc[0], int(pos[a]), int(pos[b]), (pos[b] - pos[a] + 1) / 1000, b - a + 1, "|".join(map(str, v[a : b + 1].tolist()))) for a, b in found]
+        return pd.DataFrame(out, columns=["chr", "start", "end", "kb", "nsnps", "snps"])
+
+    return pairs.drop("pos_i").withColumn("pos_i", F.lit(None).cast("long")).unionByName(members).groupBy("chr", "seg").applyInPandas(one, "chr string, start long, end long, kb double, nsnps long, snps string")
+
+
 def find_blocks(calls: DataFrame, max_kb: int = 200, steps: int = 1000) -> DataFrame:
     """chr, start, end, kb, nsnps, snps of haplotype blocks; ``calls``: v, chr, pos, smp, dos, and h1, h2 where phased.
 
-    Pairs, EM and intervals are lazy expressions over a band join; only pair bounds, not genotypes, meet by chromosome.
+    Pairs, EM and intervals are lazy expressions over a band join; pair bounds, not genotypes, meet by segment.
     """
-    chrom = calls.groupBy("v").agg(F.first("chr").alias("chr"))
+    variants = calls.groupBy("v").agg(F.first("chr").alias("chr"), F.first("pos").cast("long").alias("pos"))
     ci = dprime_ci(from_freqs(em(haplotypes(calls, max_kb * 1000), steps))).where("lo IS NOT NULL")
-    ci = ci.join(chrom, ci.i == chrom.v).select("chr", "i", "pos_i", "j", "pos_j", "lo", "hi")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pd.concat([pdf[["i", "pos_i"]].set_axis(["v", "pos"], axis=1), pdf[["j", "pos_j"]].set_axis(["v", "pos"], axis=1)]).drop_duplicates().sort_values(["pos", "v"])
-        at = {v: k for k, v in enumerate(ids.v)}
-        pos = ids.pos.to_numpy()
-        found = greedy(pos, pdf.i.map(at).to_numpy(), pdf.j.map(at).to_numpy(), pdf.lo.to_numpy(), pdf.hi.to_numpy())
-        rows = [(pdf.chr.iloc[0], int(pos[a]), int(pos[b]), (pos[b] - pos[a] + 1) / 1000, b - a + 1, "|".join(map(str, ids.v.iloc[a : b + 1]))) for a, b in found]
-        return pd.DataFrame(rows, columns=["chr", "start", "end", "kb", "nsnps", "snps"])
-
-    return ci.groupBy("chr").applyInPandas(one, "chr string, start long, end long, kb double, nsnps long, snps string")
+    return choose(ci.select("i", "pos_i", "j", "pos_j", "lo", "hi"), variants, max_kb * 1000)

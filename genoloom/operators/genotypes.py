@@ -76,7 +76,7 @@ def _tally(pairs: DataFrame, keep: list[str], terms: dict[str, str]) -> DataFram
 
 
 def pairs(calls: DataFrame, max_bp: int, at: str = "smp", value: str = "dos") -> DataFrame:
-    """Variant pairs i < j of a chromosome within ``max_bp``, one row each, with the bitmaps g and h: a band join on bins of that width.
+    """Variant pairs of a chromosome within ``max_bp``, i before j by position, then v; one row each, with the bitmaps g and h: a band join on bins of that width.
 
     ``at`` counts samples from 0. Without a column chr all variants are of one chromosome.
     """
@@ -85,7 +85,7 @@ def pairs(calls: DataFrame, max_bp: int, at: str = "smp", value: str = "dos") ->
     bin_of = F.floor(F.col("pos") / max_bp)
     a = p.select(*place, F.col("v").alias("i"), F.col("pos").alias("pos_i"), "g", bin_of.alias("_b"))
     b = p.select(*place, F.col("v").alias("j"), F.col("pos").alias("pos_j"), F.col("g").alias("h"), F.explode(F.array(bin_of, bin_of - 1)).alias("_b"))
-    return _dealt(a, *place, "_b").join(_dealt(b, *place, "_b"), [*place, "_b"]).where((F.col("pos_j") > F.col("pos_i")) & (F.col("pos_j") - F.col("pos_i") <= max_bp))
+    return _dealt(a, *place, "_b").join(_dealt(b, *place, "_b"), [*place, "_b"]).where((F.struct("pos_j", "j") > F.struct("pos_i", "i")) & (F.col("pos_j") - F.col("pos_i") <= max_bp))
 
 
 PAIR = ["i", "pos_i", "j", "pos_j"]
