@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
+# Words before a chromosome's number or name, and one that only a digit follows.
+PREFIXES, SHORT = ("chromosome", "chrom", "chr"), "ch"
 # Names of sex chromosomes and organelles.
 SPECIAL = {c: c for c in "XYWZ"} | {c: "MT" for c in ("M", "MT", "MITO", "MITOCHONDRIA", "MITOCHONDRION", "MITOCHONDRIAL")} | {c: "Pt" for c in ("C", "PT", "CP", "CHLOROPLAST", "PLASTID")}
 
@@ -16,9 +17,10 @@ def normalize_chr(x: Column, chr_map: dict[str, str] | None = None) -> Column:
     if chr_map:
         table = F.create_map(*[F.lit(v) for kv in chr_map.items() for v in kv])
         x = F.coalesce(F.try_element_at(table, x), x)
-    # a prefix goes only where a name is left, so each step refers to the one before once
-    cut = F.regexp_replace(x, r"^SL[0-9.]+(?=ch)(?!(?i:chromosome|chrom|chr)[_ .-]?$)", "")
-    cut = F.regexp_replace(cut, r"(?i)^(?>chromosome|chrom|chr|ch(?=[0-9]))[_ .-]?+(?=.)", "")
+    # a prefix goes only where a name is left, so each step refers to the one before once; a word is matched whole or not at all
+    words = "|".join([*PREFIXES, SHORT + "(?=[0-9])"])
+    cut = F.regexp_replace(x, rf"(?i)^SL[0-9.]+(?={SHORT})(?!(?:{'|'.join(PREFIXES)})[_ .-]?$)", "")
+    cut = F.regexp_replace(cut, rf"(?i)^(?>{words})[_ .-]?+(?=.)", "")
     cut = F.regexp_replace(cut, r"^0+(?=[0-9])", "")
     known = F.create_map(*[F.lit(v) for kv in SPECIAL.items() for v in kv])
     return F.coalesce(F.try_element_at(known, F.upper(cut)), cut)
@@ -26,7 +28,7 @@ def normalize_chr(x: Column, chr_map: dict[str, str] | None = None) -> Column:
 
 def chr_key(x: Column) -> Column:
     """Sort key: numbers, then X/Y/W/Z, then other names, then MT and Pt."""
-    n = x.try_cast("double")
+    n = F.when(x.rlike("^[0-9]+$"), x.try_cast("double"))  # 1D or 1e3 is a name
     sex = F.array_position(F.array(*[F.lit(c) for c in "XYWZ"]), x)
     organelle = F.array_position(F.array(F.lit("MT"), F.lit("Pt")), x)
     group = F.when(n.isNotNull(), 0).when(sex > 0, 1).when(organelle > 0, 3).otherwise(2)

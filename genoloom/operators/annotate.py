@@ -13,10 +13,12 @@ RANK = "CASE location WHEN 'exon' THEN 1 WHEN 'intron' THEN 2 WHEN 'genic' THEN
 def candidates(variants: DataFrame, genes: DataFrame, features: DataFrame | None, upstream: int = 3000, downstream: int = 1000, width: int = 100_000) -> DataFrame:
     """Every (variant, gene) within the windows, with location, feature and distance_bp.
 
-    variants: vid, chr, pos. genes: gene_id, chr, start, end, strand. features: gene_id, f_start, f_end, class.
+    variants: vid, chr, pos. genes: gene_id, chr, start, end, strand, and gene_ord where gene models have one. features: gene_id, f_start, f_end, class.
+    ord: the gene's place among all, for ties.
     """
     reach = max(upstream, downstream, 0)
-    wide = genes.select("gene_id", "chr", F.col("start").alias("g_start"), F.col("end").alias("g_end"), "strand", F.greatest(F.col("start") - reach, F.lit(0)).alias("start"), (F.col("end") + reach).alias("end"))
+    place = F.struct(F.col("gene_ord").cast("long").alias("a"), F.lit(0).cast("long").alias("b")) if "gene_ord" in genes.columns else F.struct(F.col("start").cast("long").alias("a"), F.col("end").cast("long").alias("b"))
+    wide = genes.select(place.alias("ord"), "gene_id", "chr", F.col("start").alias("g_start"), F.col("end").alias("g_end"), "strand", F.greatest(F.col("start") - reach, F.lit(0)).alias("start"), (F.col("end") + reach).alias("end"))
     hit = range_join(variants.select("vid", "chr", "pos"), wide, width).drop("start", "end")
     minus = F.coalesce(F.col("strand") == "-", F.lit(False))
     inside = F.col("pos").between(F.col("g_start"), F.col("g_end"))
@@ -27,7 +29,7 @@ def candidates(variants: DataFrame, genes: DataFrame, features: DataFrame | None
         "distance_bp": F.when(inside, F.lit(0)).otherwise(F.greatest(F.col("g_start") - F.col("pos"), F.col("pos") - F.col("g_end"))).cast("long"),
     }).where("place IS NOT NULL")
     if features is None:
-        return hit.select("vid", "gene_id", F.when(F.col("place") == "inside", "genic").otherwise(F.col("place")).alias("location"), F.lit(None).cast("string").alias("feature"), "distance_bp", "strand")
+        return hit.select("vid", "gene_id", F.when(F.col("place") == "inside", "genic").otherwise(F.col("place")).alias("location"), F.lit(None).cast("string").alias("feature"), "distance_bp", "strand", "ord")
     # a gene's features are one row, so each hit meets them once; a gene without features is gene_only
     models = features.groupBy("gene_id").agg(
         F.min(F.when(F.col("class") == "CDS", F.col("f_start"))).alias("c_lo"), F.max(F.when(F.col("class") == "CDS", F.col("f_end"))).alias("c_hi"),
@@ -43,7 +45,7 @@ def candidates(variants: DataFrame, genes: DataFrame, features: DataFrame | None
         location == "exon",
         F.when(F.col("CDS") == 1, "CDS").when(F.col("UTR5") == 1, "5'UTR").when(F.col("UTR3") == 1, "3'UTR").when(side.isNotNull(), side).when(F.col("UTR") == 1, "UTR").otherwise("non-coding exon"),
     )
-    return full.select("vid", "gene_id", location.alias("location"), feature.alias("feature"), "distance_bp", "strand")
+    return full.select("vid", "gene_id", location.alias("location"), feature.alias("feature"), "distance_bp", "strand", "ord")
 
 
 def annotate(variants: DataFrame, genes: DataFrame, features: DataFrame | None = None, upstream: int = 3000, downstream: int = 1000, width: int = 100_000) -> DataFrame:
@@ -52,7 +54,7 @@ def annotate(variants: DataFrame, genes: DataFrame, features: DataFrame | None =
     One shuffle by variant ranks its genes, one by stretch of the chromosome finds the nearest edges.
     """
     hit = candidates(variants, genes, features, upstream, downstream, width)
-    best = hit.groupBy("vid").agg(F.sort_array(F.collect_list(F.struct(F.expr(RANK).alias("rk"), "distance_bp", "gene_id", "location", "feature", "strand"))).alias("g"))
+    best = hit.groupBy("vid").agg(F.sort_array(F.collect_list(F.struct(F.expr(RANK).alias("rk"), "distance_bp", "ord", "gene_id", "location", "feature", "strand"))).alias("g"))
     best = best.select(
         "vid", F.col("g")[0].alias("b"),
         F.array_join(F.transform(F.slice("g", 2, 1 << 30), lambda x: F.concat(x["gene_id"], F.lit("("), x["location"], F.lit(")"))), ";").alias("others"),

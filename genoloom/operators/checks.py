@@ -54,7 +54,7 @@ def _beyond(out: Findings, file: str, rows: DataFrame, kind: Species | None) ->
         return
     known = dict(kind.lengths)
     sizes = kind.sizes(rows.sparkSession)
-    found = rows.join(F.broadcast(sizes), "chr", "left").groupBy("chr").agg(F.count_if(F.col("pos") > F.col("length")).alias("n")).collect()
+    found = rows.join(sizes, "chr", "left").groupBy("chr").agg(F.count_if(F.col("pos") > F.col("length")).alias("n")).collect()
     past = sorted(r.chr for r in found if r.n)
     if past:
         out.add(file, "PROBLEM", f"{sum(r.n for r in found):,} position(s) lie past the end of chromosome {', '.join(past[:5])} of {kind.genome}: another version of the genome?")

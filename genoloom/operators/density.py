@@ -10,7 +10,7 @@ def density(sites: DataFrame, sizes: DataFrame, width: int = 1_000_000) -> DataF
     """chr, bin_start, bin_end, snp, indel, other, total of every bin, empty ones too."""
     n = F.greatest(F.ceil(F.col("length") / width), F.lit(1)).cast("long")
     bins = sizes.select("chr", "length", n.alias("nb")).withColumn("bin", F.explode(F.sequence(F.lit(1), F.col("nb"))))
-    at = sites.join(F.broadcast(sizes.select("chr", n.alias("nb"))), "chr").withColumn("bin", F.least("nb", F.floor((F.col("pos") - 1) / width) + 1))  # one row a chromosome
+    at = sites.join(sizes.select("chr", n.alias("nb")), "chr").withColumn("bin", F.least("nb", F.floor((F.col("pos") - 1) / width) + 1))
     counts = at.groupBy("chr", "bin").agg(*[F.count_if(F.col("type") == t).alias(a) for t, a in (("SNP", "snp"), ("indel", "indel"), ("other", "other"))], F.count("*").alias("total"))
     full = bins.join(counts, ["chr", "bin"], "left")
     return full.select("chr", ((F.col("bin") - 1) * width + 1).alias("bin_start"), F.least(F.col("bin") * width, "length").alias("bin_end"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("snp", "indel", "other", "total")])

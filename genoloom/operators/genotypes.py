@@ -218,14 +218,6 @@ def compare(a: DataFrame, b: DataFrame, value_a: str, value_b: str) -> DataFrame
     return shared.join(sums)  # one row each
 
 
-def matrix(r2s: DataFrame, ids: list[int]) -> DataFrame:
-    """One row a variant, a column for each of ``ids``: a pivot with given values, so no extra job."""
-    both = r2s.select("i", "j", "r2").unionByName(r2s.select(F.col("j").alias("i"), F.col("i").alias("j"), "r2"))
-    same = r2s.select("i").unionByName(r2s.select(F.col("j").alias("i"))).distinct().select("i", F.col("i").alias("j"), F.lit(1.0).alias("r2"))
-    wide = both.unionByName(same).where(F.col("i").isin(ids)).groupBy("i").pivot("j", ids).agg(F.first("r2"))
-    return wide.select(F.col("i").alias("v"), *[F.round(F.col(str(k)), 4).alias(f"v{k}") for k in ids])
-
-
 def matrix_long(r2s: DataFrame, calls: DataFrame) -> DataFrame:
     """id_a, id_b, value: the symmetric matrix of all variants of ``calls`` in long form, the diagonal 1; pairs that ``r2s`` leaves out have no row."""
     upper = r2s.select(F.col("i").alias("id_a"), F.col("j").alias("id_b"), F.col("r2").alias("value"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from genoloom.functions.names import chr_key, normalize_chr
+from genoloom.operators.ranks import at_ticks, ranked
 
 #: The smallest positive normal double, for p = 0 where no p is above 0 (a fixed value).
 TINY = 2.2250738585072014e-308
@@ -124,22 +125,18 @@ def genome_layout(sizes: DataFrame, gap: float = 0.004) -> DataFrame:
 
 def manhattan(gwas: DataFrame, layout: DataFrame) -> DataFrame:
     """snp, x, logp and the alternating colour group of each row."""
-    at = F.broadcast(layout.select("chr", "offset", "index"))  # one row a chromosome
+    at = layout.select("chr", "offset", "index")
     return gwas.join(at, "chr").select("snp", (F.col("pos") + F.col("offset")).alias("x"), "logp", (F.col("index") % 2).alias("grp"))
 
 
 def thin_even(rows: DataFrame, order: list, most: int, group: str) -> DataFrame:
     """At most ``most`` rows of each group, evenly by rank, first and last included (half to even)."""
-    w = Window.partitionBy(group)
-    ranked = rows.withColumns({"_r": F.row_number().over(w.orderBy(*order)), "_n": F.count("*").over(w)})
-    at = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.bround(1 + k * (F.col("_n") - 1) / F.lit(float(most - 1))).cast("long"))
-    return ranked.where((F.col("_n") <= most) | F.array_contains(at, F.col("_r").cast("long"))).drop("_r", "_n")
+    return ranked(rows, [group], order).where(at_ticks(F.col("_r"), F.col("_n"), most)).drop("_r", "_n")
 
 
 def thin_every(rows: DataFrame, order: list, every: int, group: str) -> DataFrame:
     """Every k-th row of each group."""
-    r = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return rows.withColumn("_r", r).where((F.col("_r") - 1) % every == 0).drop("_r")
+    return ranked(rows, [group], order).where((F.col("_r") - 1) % every == 0).drop("_r", "_n")
 
 
 def thin_grid(points: DataFrame, group: str = "grp", x_bins: int = 1500, y_bins: int = 300, low: float = 2.0) -> DataFrame:

@@ -18,6 +18,7 @@ from genoloom.functions.names import chr_key, normalize_chr
 from genoloom.operators.annotate import introns
 from genoloom.operators.density import ramp
 from genoloom.operators.gwas import manhattan, thin_grid
+from genoloom.operators.ranks import at_ticks, ranked, running
 from genoloom.operators.region import Region
 from genoloom.operators.tree import Tree, clusters, coordinates
 
@@ -37,7 +38,7 @@ def manhattan_panel(gwas: DataFrame, layout: DataFrame, thin_from: int = 20_000,
 
 def manhattan_frame(gwas: DataFrame, layout: DataFrame, lines: list[float] | None = None, suggestive: bool = False) -> DataFrame:
     """One row: x_max, y_max (over points and threshold ``lines`` in -log10 P), n_off: rows on chromosomes the layout lacks, n_beyond: past their end."""
-    at = F.broadcast(layout.select("chr", "length", "end_cum"))  # one row a chromosome
+    at = layout.select("chr", "length", "end_cum")
     rows = gwas.join(at, "chr", "left")
     top = F.greatest(F.max(F.when(F.col("length").isNotNull(), F.col("logp"))), *[F.lit(float(x)) for x in lines or [0.0]])
     out = rows.agg((top * (1.14 if suggestive else 1.06)).alias("y_max"), F.count_if(F.col("length").isNull()).alias("n_off"), F.count_if(F.col("pos") > F.col("length")).alias("n_beyond"))
@@ -78,7 +79,7 @@ def karyotype(dens: DataFrame, sizes: DataFrame, share: float = 0.99, snp: str =
         across, along = ("y", "x") if horizontal else ("x", "y")
         return F.struct(F.lit(kind).alias("half"), side[0].cast("double").alias(across + "min"), side[1].cast("double").alias(across + "max"), lo.alias(along + "min"), hi.alias(along + "max"), ramp(F.col(kind), most[kind], colour).alias("colour"))
 
-    rows = dens.join(F.broadcast(k), "chr")
+    rows = dens.join(k, "chr")
     both = [half("snp", first, snp), half("indel", second, indel)]
     return rows.select("chr", "bin_start", F.explode(F.array(*both)).alias("h")).select("chr", "bin_start", "h.half", "h.xmin", "h.xmax", "h.ymin", "h.ymax", "h.colour")
 
@@ -152,13 +153,9 @@ def strand_arrows(rows: DataFrame, span: float) -> DataFrame:
 
 def thinned(variants: DataFrame, most: int, lead: str | None = None) -> DataFrame:
     """id, pos, k (from 1, by position): ``most`` variants of a region at even ranks (half to even), and the lead."""
-    w = Window.orderBy("pos", "id")  # the variants of one region
-    rows = variants.select("id", "pos").withColumns({"_r": F.row_number().over(w), "_n": F.count("*").over(Window.partitionBy())})
-    step = (F.col("_n") - 1) / F.lit(float(max(most - 1, 1)))
-    near = F.bround((F.col("_r") - 1) / step)  # the only tick that can round to this rank, or a neighbour
-    hit = F.exists(F.array(near - 1, near, near + 1), lambda t: (t >= 0) & (t <= most - 1) & (F.bround(1 + t * step) == F.col("_r")))
-    keep = (F.col("_n") <= most) | hit | (F.col("id") == lead if lead is not None else F.lit(False))
-    return rows.where(keep).select("id", "pos", F.row_number().over(w).alias("k"))
+    rows = ranked(variants.select("id", "pos"), [], ["pos", "id"])
+    kept = rows.where(at_ticks(F.col("_r"), F.col("_n"), max(most, 2)) | (F.col("id") == lead if lead is not None else F.lit(False)))
+    return kept.select("id", "pos", F.row_number().over(Window.orderBy("pos", "id")).alias("k"))  # ``most`` rows and the lead
 
 
 def ld_diamonds(pairs: DataFrame, variants: DataFrame, region: Region, most: int = 300, lead: str | None = None) -> DataFrame:
@@ -226,32 +223,18 @@ def gene_structure(features: DataFrame, tx: str = "transcript_id") -> DataFrame:
 def variant_labels(variants: DataFrame, region: Region, size: float = 0.02) -> DataFrame:
     """``variants`` (id, pos, ref, alt) of a region with alleles and label_x: places at least ``size`` of the width apart, near their positions.
 
-    Labels are for a reader, so a panel of one gene holds few; they are spread in one task of pandas.
+    Labels are spread by ranks and running extremes, in as many tasks as the region's variants take.
     """
     rows = region.select(variants).select("id", "pos", allele_label(F.col("ref"), F.col("alt")).alias("alleles"))
     lo, hi = float(region.start), float(region.end)
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["pos", "id"])
-        return pdf.assign(label_x=spread(pdf["pos"].to_numpy(float), size * (hi - lo), lo, hi))
-
-    return rows.groupBy(F.lit(0).alias("_g")).applyInPandas(lambda pdf: place(pdf[["id", "pos", "alleles"]]), "id string, pos long, alleles string, label_x double")
-
-
-def spread(x: np.ndarray, gap: float, lo: float, hi: float) -> np.ndarray:
-    """Sorted places moved to be ``gap`` apart within [lo, hi]: the mean of pushing right from the left end and left from the right end."""
-    n = len(x)
-    if n < 2:
-        return np.clip(x, lo, hi)
-    gap = min(gap, (hi - lo) / (n - 1))
-    steps = np.arange(n) * gap
-
-    def push(v: np.ndarray, end: float) -> np.ndarray:
-        # running maximum of v - k * gap is the push to the right in closed form
-        v = np.maximum.accumulate(v - steps) + steps
-        return np.minimum(v, end - steps[::-1])
-
-    return (push(x, hi) - push(-x[::-1], -lo)[::-1]) / 2
+    at = ranked(rows, [], ["pos", "id"], keep=True)
+    # pushed right from the left end, v_k = max(x_k, v_(k-1) + gap), is a running maximum of x_k - k gap; pushed left likewise a running minimum from behind
+    gap = F.least(F.lit(size * (hi - lo)), F.lit(hi - lo) / F.greatest(F.col("_n") - 1, F.lit(1)))
+    steps, rest = (F.col("_r") - 1) * gap, (F.col("_n") - F.col("_r")) * gap
+    at = running(running(at, F.col("pos") - steps, "_right"), F.col("pos") - steps, "_left", backward=True)
+    right, left = F.least(F.col("_right") + steps, F.lit(hi) - rest), F.greatest(F.col("_left") + steps, F.lit(lo) + steps)
+    alone = F.least(F.greatest(F.col("pos").cast("double"), F.lit(lo)), F.lit(hi))
+    return at.select("id", "pos", "alleles", F.when(F.col("_n") < 2, alone).otherwise((right + left) / 2).alias("label_x"))
 
 
 # ---- trees ----

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from genoloom.functions import genotype as gt
 from genoloom.functions.names import attr_gff3, attr_gtf, chr_key, normalize_chr
 from genoloom.operators import annotate as an
-from genoloom.operators import blocks, density, genotypes, gwas, intervals, region, tree
+from genoloom.operators import blocks, density, genotypes, gwas, intervals, region, report, tree
 from genoloom.plans import surrogates as s
 from genoloom.plans.surrogates import duck, table, view
 
@@ -85,6 +85,22 @@ def chr_sort(spark, d):
     return c.select("chr", F.row_number().over(Window.orderBy(chr_key(F.col("chr")))).cast("long").alias("rank"))
 
 
+#: What the labels of LABELS_MIXED are by their rule, told apart from the code: 0 to 9 by k % 10, d = k % 7 + 1.
+MIXED = f"""SELECT k, CASE k % 10 WHEN 0 THEN cast(k % 7 + 1 AS string) WHEN 1 THEN cast(k % 7 + 1 AS string) WHEN 2 THEN concat(k % 7 + 1, 'A') WHEN 3 THEN concat(k % 7 + 1, 'B') WHEN 4 THEN concat(k % 7 + 1, 'D')
+WHEN 5 THEN concat('1e', k % 7 + 1) WHEN 6 THEN cast(k % 7 + 1 AS string) WHEN 7 THEN concat(k % 7 + 1, 'F') WHEN 8 THEN 'SL4.0chr' ELSE 'NaN' END AS chr FROM ({duck(s.LABELS_MIXED)})"""
+
+
+@query(MIXED)
+def chr_normalize_mixed(spark, d):
+    return view(spark, d, s.LABELS_MIXED).select("k", normalize_chr(F.col("label")).alias("chr"))
+
+
+@query(f"WITH c AS (SELECT DISTINCT chr FROM ({MIXED}) x) SELECT chr, row_number() OVER (ORDER BY CASE WHEN length(chr) = 1 THEN 0 ELSE 1 END, chr) AS rank FROM c")
+def chr_sort_mixed(spark, d):
+    c = chr_normalize_mixed(spark, d).select("chr").distinct()
+    return c.select("chr", F.row_number().over(Window.orderBy(chr_key(F.col("chr")))).cast("long").alias("rank"))
+
+
 SIZES = "sizes AS (SELECT chr, max(pos) AS length FROM gwas GROUP BY chr)"
 LAYOUT = """g AS (SELECT 0.004 * sum(length) AS g FROM sizes), layout AS (SELECT chr, length, coalesce(sum(length + g) OVER (ORDER BY cast(chr AS int) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off,
 row_number() OVER (ORDER BY cast(chr AS int)) AS idx FROM sizes, g)"""
@@ -195,7 +211,7 @@ c0 AS (SELECT hit.*, fl.cds, sp.lo, sp.hi, CASE WHEN place <> 'inside' THEN plac
 FROM hit LEFT JOIN fl ON hit.vid = fl.vid AND hit.gene_id = fl.gene_id LEFT JOIN sp ON hit.gene_id = sp.gene_id WHERE place IS NOT NULL),
 cand AS (SELECT *, CASE WHEN location = 'exon' THEN CASE WHEN cds THEN 'CDS' WHEN pos < lo THEN CASE WHEN strand = '-' THEN '3''UTR' ELSE '5''UTR' END WHEN pos > hi THEN CASE WHEN strand = '-' THEN '5''UTR' ELSE '3''UTR' END
 ELSE 'non-coding exon' END END AS feature, CASE location WHEN 'exon' THEN 1 WHEN 'intron' THEN 2 WHEN 'genic' THEN 3 WHEN 'upstream' THEN 4 ELSE 5 END AS rk FROM c0),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY rk, distance_bp, gene_id) AS k FROM cand),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY rk, distance_bp, start, gend, gene_id) AS k FROM cand),
 lone AS (SELECT vid, chr, pos FROM v WHERE vid NOT IN (SELECT vid FROM cand)),
 l AS (SELECT vid, pos, gene_id, pos - "end" AS dist, row_number() OVER (PARTITION BY vid ORDER BY "end" DESC, gene_id DESC) AS k FROM lone JOIN genes ON lone.chr = genes.chr AND "end" < pos),
 r AS (SELECT vid, pos, gene_id, start - pos AS dist, row_number() OVER (PARTITION BY vid ORDER BY start, gene_id) AS k FROM lone JOIN genes ON lone.chr = genes.chr AND start > pos),
@@ -393,6 +409,23 @@ def ld_blocks(spark, d):
     return blocks.find_blocks(_blk(spark, d))
 
 
+@query()
+def ld_blocks_genome(spark, d):
+    """The same calls over several chromosomes, some variants at one position."""
+    return blocks.find_blocks(_genome(spark, d))
+
+
+def _genome(spark, d):
+    return _blk(spark, d).withColumns({"chr": F.expr("cast(v % 7 AS string)"), "pos": F.expr("(v div 21) * 900 + 1")})
+
+
+@query(f"""WITH g AS (SELECT v, v % 7 AS chr, (v // 21) * 900 + 1 AS pos, smp, dos FROM ({duck(s.GENO_BLK)}) x WHERE dos IS NOT NULL),
+pr AS (SELECT a.v AS i, b.v AS j, a.dos AS x, b.dos AS y FROM g a JOIN g b ON a.smp = b.smp AND a.chr = b.chr AND (b.pos > a.pos AND b.pos <= a.pos + 5000 OR b.pos = a.pos AND b.v > a.v))
+SELECT i, j, count(*) AS n, round(CASE WHEN count(*) >= 3 AND var_pop(x) > 0 AND var_pop(y) > 0 THEN least(pow(covar_pop(x, y), 2) / (var_pop(x) * var_pop(y)), 1.0) END, 6) AS r2 FROM pr GROUP BY i, j""")
+def ld_r2_genome(spark, d):
+    return genotypes.r2(_genome(spark, d), 5000).select("i", "j", "n", F.round("r2", 6).alias("r2"))
+
+
 @query(f"""WITH RECURSIVE {PAIRS}, {EM}, b AS (SELECT i, j, least(d * d / (pa * (1 - pa) * pb * (1 - pb)), 1.0) AS y FROM fr WHERE pa * (1 - pa) * pb * (1 - pb) > 1e-12), z AS (SELECT abs(r2 - y) AS d, r2, y FROM ld JOIN b USING (i, j) WHERE r2 IS NOT NULL)
 SELECT (SELECT count(*) FROM (SELECT i FROM ld UNION SELECT j FROM ld) x WHERE i IN (SELECT i FROM b UNION SELECT j FROM b)) AS n_variants, count(*) AS n_pairs, round(max(d), 5) AS max_abs, round(avg(d), 5) AS mean_abs, round(sqrt(avg(d * d)), 5) AS rmse, round(corr(r2, y), 5) AS correlation FROM z""")
 def ld_compare(spark, d):
@@ -400,12 +433,14 @@ def ld_compare(spark, d):
     return both.select("n_variants", "n_pairs", *[F.round(c, 5).alias(c) for c in ("max_abs", "mean_abs", "rmse", "correlation")])
 
 
-IDS = list(range(1, 13))
-
-
-@query(f"WITH {PAIRS}, a AS (SELECT i, j, r2 FROM ld UNION ALL SELECT j, i, r2 FROM ld UNION ALL SELECT DISTINCT v, v, 1.0 FROM g) SELECT i AS v, {', '.join(f'round(max(r2) FILTER (WHERE j = {k}), 4) AS v{k}' for k in IDS)} FROM a WHERE i BETWEEN 1 AND 12 GROUP BY i")
+@query(f"""WITH {PAIRS}, a AS (SELECT i, j, r2 FROM ld UNION ALL SELECT j, i, r2 FROM ld UNION ALL SELECT DISTINCT v, v, 1.0 FROM g), ids AS (SELECT DISTINCT v, pos FROM g)
+SELECT x.v, string_agg(coalesce(cast(round(a.r2, 4) AS varchar), ''), chr(9) ORDER BY y.pos) AS cells FROM ids x CROSS JOIN ids y LEFT JOIN a ON a.i = x.v AND a.j = y.v GROUP BY x.v""")
 def ld_matrix(spark, d):
-    return genotypes.matrix(genotypes.r2(_blk(spark, d), 20_000), IDS)
+    """The square table of all variants, a row's cells as text."""
+    calls = _blk(spark, d)
+    named = calls.select(F.col("v").cast("string").alias("id"), "chr", "pos").distinct()
+    pairs = genotypes.r2(calls, 20_000).select(F.col("i").cast("string").alias("snp_a"), F.col("j").cast("string").alias("snp_b"), "r2")
+    return report.ld_matrix_rows(pairs, named).select(F.col("id").cast("long").alias("v"), "cells")
 
 
 @query(f"WITH {PAIRS} SELECT i AS id_a, j AS id_b, round(r2, 4) AS value FROM ld UNION ALL SELECT j, i, round(r2, 4) FROM ld UNION ALL SELECT DISTINCT v, v, 1.0 FROM g")

@@ -35,6 +35,9 @@ ATTRS = """SELECT p_partkey AS k, concat('ID=G', p_partkey, ';Name=', p_name, '%
 LABELS = """SELECT c_custkey AS k, CASE c_custkey % 9 WHEN 0 THEN concat('Chr0', c_custkey % 9 + 1) WHEN 1 THEN concat('chromosome_', c_custkey % 20 + 1) WHEN 2 THEN concat('SL4.0ch0', c_custkey % 9 + 1)
     WHEN 3 THEN 'CHR_X' WHEN 4 THEN 'chrM' WHEN 5 THEN 'ChrC' WHEN 6 THEN concat(' ch', c_custkey % 12 + 1, ' ') WHEN 7 THEN 'scaffold_7' ELSE 'y' END AS label FROM {customer}"""
 
+LABELS_MIXED = """SELECT c_custkey AS k, CASE c_custkey % 10 WHEN 0 THEN concat('SL4.0Ch0', c_custkey % 7 + 1) WHEN 1 THEN concat('sl2.50CH', c_custkey % 7 + 1) WHEN 2 THEN concat(c_custkey % 7 + 1, 'A') WHEN 3 THEN concat('chr', c_custkey % 7 + 1, 'B')
+    WHEN 4 THEN concat('Chr0', c_custkey % 7 + 1, 'D') WHEN 5 THEN concat('1e', c_custkey % 7 + 1) WHEN 6 THEN concat('CHROM-', c_custkey % 7 + 1) WHEN 7 THEN concat(c_custkey % 7 + 1, 'F') WHEN 8 THEN 'SL4.0chr' ELSE 'NaN' END AS label FROM {customer}"""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

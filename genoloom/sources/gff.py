@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from genoloom.functions.names import attr_gff3, attr_gtf, normalize_chr, sub_class
 from genoloom.operators.intervals import merge
+from genoloom.operators.ranks import ranked
 from genoloom.sources.text import lines, numbered, saved
 
 # Feature types by role.
@@ -133,7 +134,9 @@ def models(rows: DataFrame, gene_types: list[str] | None = None) -> tuple[DataFr
     rank: Column = F.row_number().over(Window.partitionBy("gene_id").orderBy(F.desc("cds_len"), F.desc("exon_len"), F.asc_nulls_last("row"), "transcript_id"))
     tx = saved(tx.withColumn("canonical", rank == 1))
     best = tx.where("canonical").select("gene_id", F.col("transcript_id").alias("canonical"))
-    return g.withColumn("name", F.coalesce("name", "gene_id")).join(best, "gene_id", "left"), tx.drop("name"), s
+    # gene_ord: a gene's place by start, end and line, by which equal places in annotation are told apart
+    g = ranked(g.withColumn("name", F.coalesce("name", "gene_id")).join(best, "gene_id", "left"), [], ["start", "end", F.asc_nulls_last("row"), "gene_id"], "gene_ord").drop("_n")
+    return g, tx.drop("name"), s
 
 
 def locate_gene(genes: Genes, name: str) -> tuple[Row, str | None]:

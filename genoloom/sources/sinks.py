@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from genoloom.functions.genotype import hmp_to_gt
 from genoloom.functions.names import chr_key, normalize_chr
-from genoloom.operators.report import ld_matrix_table, ld_pairs_table
+from genoloom.operators.report import ld_matrix_rows, ld_pairs_table
 from genoloom.operators.tree import Tree, newick
 from genoloom.sources.blockgzip import write_blocks_text
 from genoloom.sources.genome import fasta, fasta_bases
@@ -64,10 +64,23 @@ def write_blocks(blocks: DataFrame, path: str) -> str:
     return write_table(rows.select(F.col("chr").alias("CHR"), F.col("start").alias("BP1"), F.col("end").alias("BP2"), kb.alias("KB"), F.col("nsnps").alias("NSNPS"), F.col("snps").alias("SNPS")), path)
 
 
-def write_ld(pairs: DataFrame, variants: DataFrame, path: str, form: str = "matrix", value: str = "r2", digits: int = 4, least: float = 0.0, genes: DataFrame | None = None, features: DataFrame | None = None) -> str:
-    """LD as a square table or as pairs of ``least`` or more, in order of position, with genes where given. pairs: snp_a, pos_a, snp_b, pos_b, value."""
+def write_ld(pairs: DataFrame, variants: DataFrame, path: str, form: str = "matrix", value: str = "r2", digits: int = 4, least: float = 0.0, genes: DataFrame | None = None, features: DataFrame | None = None, parts: bool = False) -> str:
+    """LD as a square table or as pairs of ``least`` or more, in order of position, with genes where given. pairs: snp_a, pos_a, snp_b, pos_b, value.
+
+    A matrix streams a row at a time into one file; with ``parts`` its rows, the header first, are written in parallel as ordered part files.
+    """
     if form == "matrix":
-        return write_table(ld_matrix_table(pairs, variants, value, digits, genes, features).orderBy("pos", "id"), path)
+        sep = "," if path.endswith(".csv") else "\t"
+        rows = ld_matrix_rows(pairs, variants, value, digits, genes, features, sep=sep)
+        own = [c for c in rows.columns if c not in ("rank", "cells")]
+        clean = lambda c: F.when(F.contains(c, F.lit(sep)) | F.contains(c, F.lit('"')), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(c, F.lit("")))
+        text = [clean(F.col(c).cast("string")) for c in own]
+        names = rows.agg(F.sort_array(F.collect_list(F.struct("rank", clean(F.col("id")).alias("i")))).alias("x")).select(F.lit(0).cast("long").alias("rank"), F.concat_ws(sep, *map(F.lit, own), F.col("x.i")).alias("value"))
+        every = names.unionByName(rows.select("rank", F.concat_ws(sep, *text, "cells").alias("value"))).orderBy("rank").select("value")
+        if parts:
+            every.write.text(path)
+            return path
+        return single(pairs.sparkSession, path, (r.value for r in every.toLocalIterator()))
     if form != "pairs":
         raise ValueError("form is matrix or pairs")
     return write_table(ld_pairs_table(pairs, value, digits, least, variants, genes, features).orderBy("pos_a", "pos_b"), path)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genoloom.functions.names import normalize_chr
+from genoloom.operators.gwas import thin_every
 from genoloom.sources.genotypes import Genotypes
 
 
@@ -46,8 +47,7 @@ def read_stored(spark: SparkSession, path: str, chrom: str | None = None, start:
 
 def thinned(variants: DataFrame, every: int) -> DataFrame:
     """Every ``every``-th variant of each chromosome by position."""
-    w = Window.partitionBy("chr").orderBy("pos", "v")
-    return variants.withColumn("_k", F.row_number().over(w)).where((F.col("_k") - 1) % every == 0).drop("_k")
+    return thin_every(variants, ["pos", "v"], every, "chr")
 
 
 def _schema(spark: SparkSession, path: str) -> str:

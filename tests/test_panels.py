@@ -101,6 +101,13 @@ def test_ld_tables(spark, tmp_path):
     assert got[0] == "snp_a,pos_a,snp_b,pos_b,dist_bp,r2,gene_a,location_a,gene_b,location_b" and len(got) == 3 and got[1].endswith("4,0.5,g,upstream,g,genic")
     sinks.write_ld(pairs, v, str(tmp_path / "m.tsv"))
     assert (tmp_path / "m.tsv").read_text().splitlines()[1:] == ["a\t1\t1\t1.0\t0.5\t", "b\t1\t5\t0.5\t1.0\t0.1", "c\t1\t9\t\t0.1\t1.0"]
+    sinks.write_ld(pairs, v, str(tmp_path / "parts"), parts=True)
+    parts = "".join(p.read_text() for p in sorted((tmp_path / "parts").glob("part-*")))
+    assert parts == (tmp_path / "m.tsv").read_text()
+    sinks.write_ld(pairs, v, str(tmp_path / "g.csv"), genes=genes)
+    assert (tmp_path / "g.csv").read_text().splitlines()[:2] == ["id,chr,pos,gene,location,feature,distance_bp,gene_strand,a,b,c", "a,1,1,g,upstream,,3,+,1.0,0.5,"]
+    wide = report.ld_matrix_table(pairs, v)
+    assert wide.columns == ["id", "chr", "pos", "a", "b", "c"] and wide.where("id = 'b'").first()[3:] == (0.5, 1.0, 0.1)
     with pytest.raises(ValueError):
         report.ld_matrix_table(pairs, v, most=2)
     text = report.readme({"Lead": "a", "Species": None}, {"p.csv": ["snp_a", "r2", "v1"]})
