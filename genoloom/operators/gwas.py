@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from genoloom.functions.names import chr_key, normalize_chr
 from genoloom.operators.ranks import at_ticks, ranked
+from genoloom.operators.similar import name_index, similar
 
 #: The smallest positive normal double, for p = 0 where no p is above 0 (a fixed value).
 TINY = 2.2250738585072014e-308
@@ -91,8 +92,8 @@ def top_per_chr(gwas: DataFrame) -> DataFrame:
     return best.select("b.snp", "chr", "b.pos", "b.p", "b.logp")
 
 
-def resolve_target(gwas: DataFrame, target: str = "top", chrom: str | None = None, pos: int | None = None) -> tuple[str, int, str | None]:
-    """(chr, pos, snp) of 'top', an id, 'chr:pos', or chrom and pos."""
+def resolve_target(gwas: DataFrame, target: str = "top", chrom: str | None = None, pos: int | None = None, index: DataFrame | None = None) -> tuple[str, int, str | None]:
+    """(chr, pos, snp) of 'top', an id, 'chr:pos', or chrom and pos. An unknown id's error names those within two edits; ``index``: a stored one of the ids."""
     if chrom is not None and pos is not None:
         hit = gwas.where((F.col("chr") == chrom) & (F.col("pos") == pos)).limit(1).collect()
         return chrom, pos, hit[0].snp if hit else None
@@ -104,8 +105,8 @@ def resolve_target(gwas: DataFrame, target: str = "top", chrom: str | None = Non
             c, _, p = target.rpartition(":")
             return resolve_target(gwas, "", c, int(p))
     if not hit:
-        near = [r.snp for r in gwas.orderBy(F.levenshtein("snp", F.lit(target)), "snp").limit(5).collect()]
-        raise ValueError(f"no SNP {target!r}; similar: {', '.join(near)}")
+        near = similar(name_index(gwas.select("snp")) if index is None else index, target)
+        raise ValueError(f"no SNP {target!r}" + (f"; similar: {', '.join(near)}" if near else ""))
     return hit[0].chr, hit[0].pos, hit[0].snp
 
 

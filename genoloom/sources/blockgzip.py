@@ -193,6 +193,28 @@ def span_lines(source: Bytes, span: Span) -> Iterator[tuple[list[bytes], np.ndar
         yield [carry], np.array([carried])
 
 
+def placed_lines(source: Bytes, begin: int, stop: int) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """(lines that start in begin..stop-1 of plain bytes, their offsets), some megabytes at a time."""
+    at, carry, carried = begin, b"", begin
+    skip = begin > 0 and source.read(begin - 1, 1) != b"\n"
+    while at < source.total and carried < stop:
+        data = source.read(at, READ)
+        at += len(data)
+        *found, rest = (carry + data).split(b"\n")
+        if found:
+            places = carried + np.concatenate(([0], np.cumsum([len(x) + 1 for x in found])))
+            carried = int(places[-1])
+            places = places[:-1]
+            if skip:
+                found, places, skip = found[1:], places[1:], False
+            n = int(np.searchsorted(places, stop))
+            if n:
+                yield found[:n], places[:n]
+        carry = rest
+    if carry and not skip and carried < stop:
+        yield [carry], np.array([carried])
+
+
 def streamed(source: Bytes, kind: str) -> Iterator[list[bytes]]:
     """Lines of a stream of gzip members, bzip2 or xz, one piece at a time."""
     new = {"gzip": lambda: zlib.decompressobj(31), "blocks": lambda: zlib.decompressobj(31), "bz2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor}[kind]
@@ -225,7 +247,7 @@ class _Reader(DataSourceReader):
         self.tasks = [[Span(*s) for s in task] for task in json.loads(options.get("tasks", "[]"))]
 
     def partitions(self) -> list[InputPartition]:
-        if self.kind == "blocks":
+        if self.kind in ("blocks", "places"):
             return [_Task(self.files, self.kind, spans) for spans in self.tasks]
         return [_Task([f], self.kind, []) for f in self.files]
 
@@ -242,6 +264,12 @@ class _Reader(DataSourceReader):
                 for found, places in span_lines(source, span):
                     yield batch(found, places, places >> 16)
             return
+        if partition.kind == "places":
+            for span in partition.spans:
+                for found, places in placed_lines(source, span.begin, span.stop):
+                    values = pa.array(found, pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([values, pa.array([name] * len(found)), pa.array(np.full(len(found), span.begin)), pa.array(places)], ["value", "path", "block", "line"])
+            return
         n = 0
         for found in streamed(source, partition.kind):
             yield batch(found, np.arange(n, n + len(found)), np.zeros(len(found), np.int64))
@@ -352,6 +380,14 @@ def packed_lines(spark: SparkSession, path: str, kind: str, split: int = SPLIT)
     return _load(spark, files, kind, [[s] for s in whole.parts(split)])
 
 
+def lines_with_places(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
+    """value (a carriage return stays), path, block (its split's first byte) and line (its first byte) of one plain file."""
+    files = listed(path)
+    total = files[0][1]
+    cuts = list(range(0, max(total, 1), split))
+    return _load(spark, files, "places", [[Span(a, min(a + split, total))] for a in cuts])
+
+
 def index_of(path: str) -> Index | None:
     """The index beside a file, or of a folder of parts."""
     system, inner = opened(path)

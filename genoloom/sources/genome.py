@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from genoloom.functions.genomes import Species, species, species_key
 from genoloom.functions.names import normalize_chr
 from genoloom.operators import gwas as association
+from genoloom.sources.blockgzip import Bytes, compression, lines_with_places, listed, opened
 from genoloom.sources.text import fields, find_column, head, lines, numbered, separator, table
 
 
@@ -29,8 +34,8 @@ def fasta_lengths(spark: SparkSession, path: str) -> DataFrame:
     return fasta(spark, path).groupBy("contig").agg(F.sum(F.length("seq")).cast("long").alias("length"))
 
 
-def fasta_bases(spark: SparkSession, path: str, sites: DataFrame) -> DataFrame:
-    """``sites`` (contig, pos, ...) with base; null outside. Lines of a contig but for its last are equally long, so a site joins one line by number."""
+def _bases_by_line(spark: SparkSession, path: str, sites: DataFrame) -> DataFrame:
+    """Bases of a compressed file, which is read whole. Lines of a contig but for its last are equally long, so a site joins one line by number."""
     rows = fasta(spark, path)
     shape = rows.groupBy("contig").agg(F.min("row").alias("first"), F.max(F.length("seq")).alias("width"))
     rows = rows.join(shape, "contig").select("contig", (F.col("row") - F.col("first")).alias("_n"), "seq")
@@ -40,6 +45,55 @@ def fasta_bases(spark: SparkSession, path: str, sites: DataFrame) -> DataFrame:
     return found.select(*[sites[c] if c != "contig" else F.col("contig") for c in sites.columns], base.alias("base"))
 
 
+#: Sites this near to each other are read in one piece, which ends at MOST bytes.
+NEAR, MOST = 4096, 1 << 20
+
+
+def pieces(at: np.ndarray) -> list[tuple[int, int]]:
+    """(first, end) runs of sorted offsets to be read at once."""
+    cut = np.flatnonzero(np.diff(at) > NEAR) + 1
+    out = []
+    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(at)], strict=True):
+        while a < b:
+            e = min(b, int(np.searchsorted(at, at[a] + MOST)))
+            out.append((a, e))
+            a = e
+    return out
+
+
+def _bases_at(files: list[tuple[str, int]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source = Bytes(files)
+        for batch in batches:
+            at = batch.column("_byte").to_numpy()
+            found: list[str] = []
+            for a, b in pieces(at):
+                raw = source.read(int(at[a]), int(at[b - 1] - at[a]) + 1).decode("latin-1").upper()
+                found += [raw[k] for k in (at[a:b] - at[a]).tolist()]
+            keep = [i for i, n in enumerate(batch.schema.names) if n != "_byte"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array(found, pa.string())], [*[batch.schema.names[i] for i in keep], "base"])
+
+    return run
+
+
+def fasta_bases(spark: SparkSession, path: str, sites: DataFrame) -> DataFrame:
+    """``sites`` (contig, pos, ...) with base; null outside.
+
+    By the index, sites are byte offsets: sorted over tasks, each run of near ones is read by one seek, so what is read grows with the sites.
+    A compressed file is read whole.
+    """
+    if compression(path) or not listed(path):
+        return _bases_by_line(spark, path, sites)
+    index = fasta_index(spark, path).select("contig", F.col("length").alias("_len"), F.col("offset").alias("_off"), F.col("line_bases").alias("_lb"), F.col("line_bytes").alias("_by"))
+    at = sites.join(index, "contig", "left")
+    byte = F.expr("CASE WHEN pos BETWEEN 1 AND _len THEN _off + (pos - 1) div _lb * _by + (pos - 1) % _lb END")
+    at = at.select(*[sites[c] if c != "contig" else F.col("contig") for c in sites.columns], byte.cast("long").alias("_byte"))
+    inside = at.where("_byte IS NOT NULL").repartitionByRange("_byte").sortWithinPartitions("_byte")
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sites.schema)
+    found = inside.mapInArrow(_bases_at(listed(path)), f"{kind}, base string")
+    return found.unionByName(at.where("_byte IS NULL").drop("_byte").withColumn("base", F.lit(None).cast("string")))
+
+
 def sizes_of(spark: SparkSession, x: str | dict[str, int] | DataFrame | Species | None = None, gwas: DataFrame | None = None, chr_map: dict[str, str] | None = None) -> DataFrame:
     """chr, length of a species or its name, a mapping, a table (name and length first), a file, or of the positions of ``gwas``."""
     if x is None:
@@ -155,9 +209,38 @@ def read_groups(spark: SparkSession, x: str | dict[str, str] | DataFrame) -> Dat
     return rows.select(F.col(f"`{a}`").cast("string").alias("sample"), F.col(f"`{b}`").cast("string").alias("grp"))
 
 
+FAI = ("contig", "length", "offset", "line_bases", "line_bytes")
+
+
 def fasta_index(spark: SparkSession, path: str) -> DataFrame:
-    """contig, length, line_bases of a FASTA, or of the .fai file itself."""
-    if path.endswith(".fai"):
+    """contig, length, offset, line_bases, line_bytes of a plain FASTA, told from the file beside it (.fai) if there is one, or of that file itself."""
+    fai = path if path.endswith(".fai") else f"{path}.fai"
+    if path == fai or listed(fai):
         f = F.split("value", "\t")
-        return lines(spark, path).select(F.get(f, F.lit(0)).alias("contig"), F.get(f, F.lit(1)).try_cast("long").alias("length"), F.get(f, F.lit(3)).try_cast("int").alias("line_bases")).where("length IS NOT NULL")
-    return fasta(spark, path).groupBy("contig").agg(F.sum(F.length("seq")).cast("long").alias("length"), F.max(F.length("seq")).alias("line_bases"))
+        kinds = ("string", "long", "long", "int", "int")
+        return lines(spark, fai).select(*[F.get(f, F.lit(i)).try_cast(k).alias(c) for i, (c, k) in enumerate(zip(FAI, kinds, strict=True))]).where("length IS NOT NULL")
+    if compression(path):
+        raise ValueError("offsets need a plain FASTA, or its .fai file")
+    rows = lines_with_places(spark, path)
+    header = F.col("value").startswith(">")
+    name = F.when(header, F.struct("line", F.regexp_extract("value", r"^>\s*(\S+)", 1).alias("contig"), (F.col("line") + F.octet_length("value") + 1).alias("offset")))
+    own = Window.partitionBy("path", "block").orderBy("line")
+    over = rows.groupBy("block").agg(F.max(name).alias("tail"))  # one row a split
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    over = over.select("block", F.last("tail", True).over(before).alias("carried"))
+    rows = rows.withColumn("own", F.last(name, True).over(own)).join(over, "block").withColumn("of", F.coalesce("own", "carried")).where("of IS NOT NULL")
+    first = F.when(~header, F.struct("line", F.length(F.rtrim(F.regexp_replace("value", "\r$", ""))).alias("bases"), (F.octet_length("value") + 1).alias("bytes")))
+    size = F.when(~header, F.length(F.rtrim(F.regexp_replace("value", "\r$", ""))))
+    return rows.groupBy("of").agg(F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("length"), F.min(first).alias("f")).select(
+        F.col("of.contig").alias("contig"), "length", F.col("of.offset").alias("offset"), F.col("f.bases").cast("int").alias("line_bases"), F.col("f.bytes").cast("int").alias("line_bytes")
+    )
+
+
+def save_fasta_index(spark: SparkSession, path: str) -> str:
+    """Write the .fai file of a plain FASTA: tab-separated, in the order of the file, one row a contig at a time."""
+    rows = fasta_index(spark, path).orderBy("offset").toLocalIterator()
+    system, inner = opened(f"{path}.fai")
+    with system.open_output_stream(inner, compression=None) as out:
+        for r in rows:
+            out.write(("\t".join("" if v is None else str(v) for v in r) + "\n").encode())
+    return f"{path}.fai"

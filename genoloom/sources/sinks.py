@@ -11,8 +11,9 @@ from genoloom.functions.genotype import hmp_to_gt
 from genoloom.functions.names import chr_key, normalize_chr
 from genoloom.operators.report import ld_matrix_rows, ld_pairs_table
 from genoloom.operators.tree import Tree, newick
+from genoloom.sources.blockgzip import compression as packed_as
 from genoloom.sources.blockgzip import write_blocks_text
-from genoloom.sources.genome import fasta, fasta_bases
+from genoloom.sources.genome import fasta, fasta_bases, fasta_index
 from genoloom.sources.genotypes import VCF_FIXED, hapmap_rows, region_of
 from genoloom.sources.gff import Genes
 from genoloom.sources.text import saved
@@ -129,7 +130,8 @@ def hapmap_to_vcf(spark: SparkSession, source: str, path: str, chr_map: dict[str
     # what the conversion keeps: rows with alleles, of which those with a sign may be dropped
     rows = rows.where(F.coalesce(F.col("aux"), F.lit("")) != "").withColumn("sign", F.exists(every, lambda a: a.isin("+", "-", "0")))
     if ref_fasta:
-        contigs = fasta(spark, ref_fasta).select("contig").distinct().select("contig", normalize_chr(F.col("contig"), chr_map).alias("chr"))
+        named = fasta(spark, ref_fasta) if packed_as(ref_fasta) else fasta_index(spark, ref_fasta)
+        contigs = named.select("contig").distinct().select("contig", normalize_chr(F.col("contig"), chr_map).alias("chr"))
         contigs = contigs.groupBy("chr").agg(F.min("contig").alias("contig"))
         bases = fasta_bases(spark, ref_fasta, rows.select("v", "chr", "pos").join(contigs, "chr").select("contig", "pos", "v")).select("v", "contig", "base")
         rows = rows.join(bases, "v", "left")

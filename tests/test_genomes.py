@@ -1,7 +1,10 @@
+import random
+
 import pytest
 
 from genoloom.functions import genomes
 from genoloom.sources import genome
+from genoloom.sources.blockgzip import lines_with_places
 
 
 def put(tmp_path, name, text):
@@ -50,5 +53,36 @@ def test_groups_and_index(spark, tmp_path):
     assert [tuple(r) for r in genome.read_groups(spark, g).orderBy("sample").collect()] == [("s1", "x"), ("s2", "y")]
     assert genome.read_groups(spark, {"s": "z"}).first().grp == "z"
     fa = put(tmp_path, "f.fa", ">c1 x\nACGT\nAC\n>c2\nGG\n")
-    assert {tuple(r) for r in genome.fasta_index(spark, fa).collect()} == {("c1", 6, 4), ("c2", 2, 2)}
+    assert {tuple(r) for r in genome.fasta_index(spark, fa).collect()} == {("c1", 6, 6, 4, 5), ("c2", 2, 18, 2, 3)}
     assert genome.fasta_index(spark, put(tmp_path, "f.fa.fai", "c1\t6\t6\t4\t5\n")).first().length == 6
+
+
+@pytest.mark.parametrize("eol", ["\n", "\r\n"])
+def test_fasta_by_offset(spark, tmp_path, eol, monkeypatch):
+    rng = random.Random(6)
+    contigs = {f"c{k}": "".join(rng.choice("acgtN") for _ in range(rng.choice([0, 1, 59, 60, 61, 5000]))) for k in range(40)}
+    text = "".join(f">{c} about{eol}" + "".join(s[a : a + 60] + eol for a in range(0, len(s), 60)) for c, s in contigs.items()).removesuffix(eol)
+    path = str(tmp_path / "x.fa")
+    (tmp_path / "x.fa").write_bytes(text.encode())
+    monkeypatch.setattr(genome, "lines_with_places", lambda spark, p: lines_with_places(spark, p, 700))  # many splits
+    sites = [(c, p) for c, s in contigs.items() for p in (-1, 0, 1, 2, 59, 60, 61, 3000, len(s), len(s) + 1)] + [("zz", 1), (None, 1), ("c1", None)]
+    want = {(c, p): contigs[c][p - 1].upper() if p and c in contigs and 1 <= p <= len(contigs[c]) else None for c, p in sites}
+    df = spark.createDataFrame(sites, "contig string, pos long").distinct()
+    for _ in range(2):  # told from the file, then from its saved index
+        assert {(r.contig, r.pos): r.base for r in genome.fasta_bases(spark, path, df).collect()} == want
+        index = {r.contig: r for r in genome.fasta_index(spark, path).collect()}
+        for c, s in contigs.items():
+            assert index[c].length == len(s)
+            if s:
+                assert text.encode()[index[c].offset :][: min(60, len(s))].decode() == s[:60] and index[c].line_bases == min(60, len(s)) and (index[c].line_bytes == min(60, len(s)) + len(eol) or c == "c39")
+        saved = genome.save_fasta_index(spark, path)
+    assert [x.split("\t")[0] for x in open(saved).read().splitlines()] == list(contigs)
+
+
+def test_pieces_read_little():
+    import numpy as np
+
+    at = np.array(sorted([5, 6, 7, 4000, 10_000_000, 10_000_010, *range(20_000_000, 23_000_000, 1000)]))
+    runs = genome.pieces(at)
+    assert [k for a, b in runs for k in range(a, b)] == list(range(len(at)))
+    assert sum(int(at[b - 1] - at[a]) + 1 for a, b in runs) < 3_010_000 and max(int(at[b - 1] - at[a]) for a, b in runs) <= 1 << 20
