@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PART_EDGES = 1 << 16
+PART_EDGES = 1 << 19
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 _written: list[tuple[SparkSession, str]] = []
 
@@ -176,27 +176,53 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(unsqueeze(data), dtype=np.uint64)
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges (u, v) of a partition -> one (node, least node it reaches by these edges) for each node but the least ones."""
+    held = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches if b.num_rows]
+    if not held:
+        return
+    u, v = (np.concatenate(x) for x in zip(*held, strict=True))
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    u, v = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        a, b = label[u], label[v]
+        if (a == b).all():
+            break
+        np.minimum.at(label, a, b)
+        np.minimum.at(label, b, a)
+        while (label[label] != label).any():
+            label = label[label]
+    keep = np.flatnonzero(label != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(nodes[label[keep]])], ["u", "v"])
+    trim()
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) of each node of ``edges`` (u, v: long), root the smallest node that it reaches.
 
-    Alternates large-star and small-star rounds; every round is a groupBy(min) with map-side
-    combine and an equi-join, so no component meets in one task. Ends when a round changes nothing.
+    A round first turns each partition's edges, some PART_EDGES, into a forest of stars; then large-star and small-star steps join the partitions.
+    These are groupBy(min) with map-side combine and equi-joins, so no component meets in one task. Ends when a round changes nothing, or at once
+    where one partition holds all edges.
     """
     edges = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    # one partition for each PART_EDGES edges, so that a small graph leaves few shuffle files in each of its many exchanges
-    parts = 1 + edges.count() // PART_EDGES
     last = None
     for _ in range(most_rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(parts)
-        low = both.groupBy("u").agg(F.min("v").alias("m0")).select("u", F.least("u", "m0").alias("m")).coalesce(parts)
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(parts).distinct().coalesce(parts)
-        low = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts)
-        joined = large.join(low, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).coalesce(parts)
-        edges, done = materialize(small.distinct().coalesce(parts), "edges"), edges
+        # one partition for each PART_EDGES edges, so that a small graph leaves few shuffle files in each of its exchanges
+        parts = 1 + edges.count() // PART_EDGES
+        edges, done = edges.coalesce(parts).mapInArrow(_forest, "u long, v long"), edges
+        if parts > 1:
+            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(parts)
+            low = both.groupBy("u").agg(F.min("v").alias("m0")).select("u", F.least("u", "m0").alias("m")).coalesce(parts)
+            large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(parts).distinct().coalesce(parts)
+            low = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts)
+            joined = large.join(low, "u")
+            small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).coalesce(parts)
+            edges = small.distinct().coalesce(parts)
+        edges = materialize(edges, "edges")
         discard(done)
-        del both, low, large, joined, small, done
-        release(edges.sparkSession)
+        if parts == 1:
+            break
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if last is not None and tuple(now) == last:
             break
