@@ -29,12 +29,17 @@ from pyspark.sql import functions as F
 
 from genoloom.llm.common import bounded_batches, documents, plain, release, slices, trim
 
-LETTER = re.compile(r"[^\W\d_]")
+WORDLIKE = re.compile(r"[^\W\d_]")
 LANE = 1024
 #: All ASCII but letters reads as a space.
 NORMAL = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of one of Unicode's letter categories; signs such as a raised 2 or a Roman numeral are numbers."""
+    return any(m[0].isalpha() for m in WORDLIKE.finditer(text))
+
+
 def normal(text: str | None) -> bytes:
     return b" ".join((text or "").lower().encode().translate(NORMAL).split())
 
@@ -151,7 +156,7 @@ def _predict(model):
         for batch in slices(batches, 1 << 22):
             texts = batch.column("text").to_pylist()
             lang, score, foreign = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
-            some = [i for i, t in enumerate(texts) if t and m.langs and LETTER.search(t)]
+            some = [i for i, t in enumerate(texts) if t and m.langs and has_letter(t)]
             if some:
                 cost, closed = m.costs([normal(texts[i]) for i in some])
                 best = cost.argmin(axis=1)

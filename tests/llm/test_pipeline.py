@@ -54,8 +54,8 @@ def test_language_stage(spark, docs, sf_dir, rows):
 
 
 def test_near_dedup_stage(spark, docs, sf_dir):
-    out = STAGES["simhash_near_dedup"](spark, docs, sf_dir)
-    assert out.columns == docs.columns and whole(out) == whole(STAGES["simhash_near_dedup"](spark, docs.repartition(7), sf_dir))
+    out = STAGES["near_dedup"](spark, docs, sf_dir)
+    assert out.columns == docs.columns and whole(out) == whole(STAGES["near_dedup"](spark, docs.repartition(7), sf_dir))
     have, kept = whole(docs), whole(out)
     assert not kept - have and max(kept.values()) == 1
     sets = [shingles((r[1] or "").encode()) for r in kept]
