@@ -505,7 +505,10 @@ def allele_label(spark, d):
     return view(spark, d, s.ALLELES).select("k", gt.allele_label(F.col("ref"), F.col("alt")).alias("label"))
 
 
-@query(f"""SELECT k, length(ref) = 1 AND regexp_full_match(alt, '[ACGT](,[ACGT])*') AS is_snp, CASE WHEN ref IN ('A', 'G', 'T') AND regexp_full_match(alt, '[ACGT*](,[ACGT*])*') AND alt <> '*' THEN 'SNP'
-WHEN alt IN ('<DEL>', '*') OR length(ref) <> length(split_part(alt, ',', 1)) OR (contains(alt, ',') AND length(ref) <> length(split_part(alt, ',', 2))) THEN 'indel' ELSE 'other' END AS type FROM ({duck(s.ALLELES)})""")
+TYPES = f"""SELECT k, length(ref) = 1 AND regexp_full_match(alt, '[ACGT](,[ACGT])*') AS is_snp, CASE WHEN ref IN ('A', 'G', 'T') AND regexp_full_match(alt, '[ACGT*](,[ACGT*])*') AND alt <> '*' THEN 'SNP'
+WHEN alt IN ('<DEL>', '*') OR length(ref) <> length(split_part(alt, ',', 1)) OR (contains(alt, ',') AND length(ref) <> length(split_part(alt, ',', 2))) THEN 'indel' ELSE 'other' END AS type FROM ({duck(s.ALLELES)})"""
+
+
+@query(TYPES)
 def variant_type(spark, d):
     return view(spark, d, s.ALLELES).select("k", gt.is_snp(F.col("ref"), F.col("alt")).alias("is_snp"), gt.site_type(F.col("ref"), F.col("alt")).alias("type"))

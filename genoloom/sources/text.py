@@ -34,14 +34,22 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder of ``spark.checkpoint.dir``; a temporary one only where none is set and Spark runs on this machine alone."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not found and not sc.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where none is set and Spark runs on this machine alone."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="genoloom-"))
+        found = "file://" + tempfile.mkdtemp(prefix="genoloom-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(found)
+    return re.sub("^file:/(?!/)", "file:///", found)
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in :func:`shared_folder`."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
