@@ -10,9 +10,10 @@ IUPAC = {"R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT", "M": "AC"}
 
 
 def extract_gt(call: Column, fmt: Column) -> Column:
-    """The GT sub-field of a sample's call; '.' where it is missing."""
+    """The GT sub-field of a sample's call; '.' where it is missing. A format without GT is an error."""
     at = F.array_position(F.split(fmt, ":"), "GT").cast("int")
-    return F.when(at > 0, F.coalesce(F.try_element_at(F.split(call, ":"), at), F.lit(".")))
+    lost = F.raise_error(F.concat(F.lit("a VCF record has no GT in its FORMAT: "), F.coalesce(fmt, F.lit("none")))).cast("string")
+    return F.when(at > 0, F.coalesce(F.try_element_at(F.split(call, ":"), at), F.lit("."))).otherwise(lost)
 
 
 def gt_to_dosage(gt: Column) -> Column:

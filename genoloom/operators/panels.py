@@ -84,6 +84,29 @@ def karyotype(dens: DataFrame, sizes: DataFrame, share: float = 0.99, snp: str =
     return rows.select("chr", "bin_start", F.explode(F.array(*both)).alias("h")).select("chr", "bin_start", "h.half", "h.xmin", "h.xmax", "h.ymin", "h.ymax", "h.colour")
 
 
+def centromeres(marks: DataFrame, sizes: DataFrame, width: float = 0.62, horizontal: bool = False, chr_map: dict[str, str] | None = None) -> DataFrame:
+    """chr, pos, side, corner (1 to 3), x, y: two triangles beside the chromosome, their tips at its edges, for each of ``marks`` (name and position first).
+
+    Marks of chromosomes that ``sizes`` lacks, and those without a position, have none.
+    """
+    name, pos = marks.columns[:2]
+    order = Window.orderBy(chr_key(F.col("chr")))  # one row a chromosome
+    at = sizes.select("chr", F.row_number().over(order).alias("_k"), F.count("*").over(Window.partitionBy()).alias("_n"), F.max("length").over(Window.partitionBy()).alias("_most"))
+    rows = marks.select(normalize_chr(F.col(f"`{name}`"), chr_map).alias("chr"), F.col(f"`{pos}`").try_cast("double").alias("pos")).where("pos IS NOT NULL").join(at, "chr")
+    mid = (F.col("_n") - F.col("_k") + 1 if horizontal else F.col("_k")).cast("double")
+    # fixed values: how far triangles stand out, and their half height as a share of the longest chromosome
+    out, half = 0.12, F.col("_most") / 1e6 * (0.008 if horizontal else 0.012)
+    along = F.col("pos") / 1e6
+
+    def corners(side: str, way: int) -> list[Column]:
+        edge = mid + way * width / 2
+        places = [(edge + way * out, along - half), (edge + way * out, along + half), (edge, along)]
+        return [F.struct(F.lit(side).alias("side"), F.lit(k).alias("corner"), (b if horizontal else a).alias("x"), (a if horizontal else b).alias("y")) for k, (a, b) in enumerate(places, 1)]
+
+    low, high = ("bottom", "top") if horizontal else ("left", "right")
+    return rows.select("chr", F.col("pos").cast("long").alias("pos"), F.inline(F.array(*corners(low, -1), *corners(high, 1))))
+
+
 # ---- one region ----
 def regional(gwas: DataFrame, region: Region, lead: str | None = None, r2: DataFrame | None = None, line: float | None = None) -> DataFrame:
     """snp, pos, logp, r2, bin, is_lead, draw (order: no LD data first, then rising r2) and y_max of a region's points.
@@ -174,6 +197,23 @@ def ld_diamonds(pairs: DataFrame, variants: DataFrame, region: Region, most: int
     return some.select("id_a", "id_b", (x0 + ((F.col("i") + F.col("j")) / 2 - 0.5) * s).alias("cx"), (F.col("i") - F.col("j")).cast("double").alias("cy"), (s / 2).alias("half"), "value")
 
 
+def ld_outlines(blocks: DataFrame, variants: DataFrame, region: Region, most: int = 300, lead: str | None = None) -> DataFrame:
+    """start, end of each block and the two lines (x, y, xend, yend) under its diamonds, from its first (thinned) variant down to the tip and up to its last.
+
+    Blocks with fewer than two variants have none. The places of variants are one array of ``most`` + 1 entries.
+    """
+    at = thinned(region.select(variants), most, lead)
+    places = at.agg(F.sort_array(F.collect_list(F.struct("pos", "k")))).scalar()
+    rows = blocks.where(F.col("chr") == region.chr) if "chr" in blocks.columns else blocks
+    rows = rows.where((F.col("end") >= region.start) & (F.col("start") <= region.end)).select("start", "end", places.alias("_p"))
+    inside = F.filter("_p", lambda p: p["pos"].between(F.col("start"), F.col("end")))
+    rows = rows.withColumn("_in", inside).where(F.size("_in") > 1).select("start", "end", F.size("_p").alias("_n"), F.element_at("_in", 1)["k"].alias("_a"), F.element_at("_in", -1)["k"].alias("_b"))
+    x = lambda k: region.start / 1e6 + (k - 0.5) * ((region.end - region.start) / 1e6) / F.col("_n")
+    tip, low = (x(F.col("_a")) + x(F.col("_b"))) / 2, -(F.col("_b") - F.col("_a") + 1).cast("double")
+    line = lambda a, ya, b, yb: F.struct(a.alias("x"), ya.alias("y"), b.alias("xend"), yb.alias("yend"))
+    return rows.select("start", "end", F.inline(F.array(line(x(F.col("_a")), F.lit(-1.0), tip, low), line(tip, low, x(F.col("_b")), F.lit(-1.0)))))
+
+
 def ld_connectors(variants: DataFrame, region: Region, most: int = 300, lead: str | None = None) -> DataFrame:
     """id, gx, xk: from a variant's true place (Mb) to its even one over the diamonds."""
     at = thinned(region.select(variants), most, lead)
@@ -190,7 +230,34 @@ def track(intervals: DataFrame, region: Region) -> DataFrame:
     return rows.select("start", "end", grp.alias("grp"), label.alias("label"), ((F.greatest("start", F.lit(region.start)) + F.least("end", F.lit(region.end))) / 2e6).alias("label_x"))
 
 
+def stacked(spark: SparkSession, kinds: list[str], heights: list[float] | None = None, axis: int | None = None) -> DataFrame:
+    """panel (from 1, top to bottom), kind, top, bottom (shares of the whole height) and x_axis of panels over each other.
+
+    Of panels on a region's axis (regional, genes, track, ld, other) one keeps it: number ``axis``, else the lowest that shows no LD, else the lowest. Others keep their own.
+    """
+    if not kinds:
+        raise ValueError("no panels to combine")
+    tall = [1.0] * len(kinds) if heights is None else [float(h) for h in heights]
+    if len(tall) != len(kinds) or min(tall) <= 0:
+        raise ValueError("each panel has one height above 0")
+    shared = [k for k, v in enumerate(kinds, 1) if v in ("regional", "genes", "track", "ld", "other")]
+    if axis is None and shared:
+        axis = max([k for k in shared if kinds[k - 1] != "ld"] or shared)
+    edges = [sum(tall[:k]) / sum(tall) for k in range(len(tall) + 1)]
+    rows = [(k, v, 1 - edges[k - 1], 1 - edges[k], k == axis or k not in shared) for k, v in enumerate(kinds, 1)]
+    return spark.createDataFrame(rows, "panel int, kind string, top double, bottom double, x_axis boolean")
+
+
 # ---- one gene ----
+def tss_arrows(rows: DataFrame, width: float) -> DataFrame:
+    """tss, y0, y1, xend of where transcription starts: a stem over the transcript at ``row`` from y0 up to y1, and from there an arrow to xend. Rows of no strand have none."""
+    minus = F.col("strand") == "-"
+    tss = F.when(minus, F.col("end")).otherwise(F.col("start"))
+    # fixed values: height of the stem's ends over the row, length of the arrow as a share of the width
+    low, high, share = 0.3, 0.58, 0.045
+    return rows.where("strand IN ('+', '-')").select(*[c for c in ("transcript_id", "gene_id") if c in rows.columns], tss.alias("tss"), (low - F.col("row")).alias("y0"), (high - F.col("row")).alias("y1"), (tss + F.when(minus, -share * width).otherwise(share * width)).alias("xend"))
+
+
 def variant_location(variants: DataFrame, genes: DataFrame, features: DataFrame) -> DataFrame:
     """``variants`` (vid, pos, gene_id) with place in their gene's (one) transcript: upstream, downstream, intron, CDS, 5'UTR, 3'UTR, or another part of an exon.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -11,13 +12,19 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Region:
-    """A closed interval whose bounds become literals, so that filters reach the scan."""
+    """A closed interval whose bounds become literals, so that filters reach the scan; core: without margin and genes."""
 
     chr: str
     start: int
     end: int
     source: str
     target: int | None = None
+    core: tuple[int, int] | None = None
+
+    def __str__(self) -> str:
+        a, b = self.core or (self.start, self.end)
+        plot = "" if (a, b) == (self.start, self.end) else f"; with margin {self.start:,}-{self.end:,}"
+        return f"chr {self.chr}:{a:,}-{b:,} ({(b - a) / 1000:.1f} kb; {self.source}){plot}"
 
     def __post_init__(self) -> None:
         if self.end < self.start:
@@ -28,12 +35,18 @@ class Region:
 
 
 def define_region(chrom: str, pos: int, *, start: int | None = None, end: int | None = None, blocks: DataFrame | None = None, lead_r2: DataFrame | None = None, ld_r2: float = 0.6, flank: int = 50_000, min_width: int = 0, margin: float = 0.02, genes: DataFrame | None = None, chrom_length: int | None = None) -> Region:
-    """First of: explicit bounds; the block that holds the target; the span of variants in LD (v, pos, r2); the window."""
-    if start is not None and end is not None:
-        return Region(chrom, start, end, "user-defined", pos)
+    """First of: explicit bounds; the block that holds the target; the span of variants in LD (v, pos, r2); the window.
+
+    Widened to ``min_width`` and to whole ``genes``, those told by LD by ``margin``, and cut at the chromosome's ends. A warning tells
+    of a target outside the region or beyond ``chrom_length``.
+    """
     a = b = None
     source = "window"
-    if blocks is not None:
+    if start is not None and end is not None:
+        if end < start:
+            raise ValueError("a region ends at or after its start")
+        a, b, source = start, end, "user-defined"
+    elif blocks is not None:
         hit = blocks.where((F.col("chr") == chrom) & (F.col("start") <= pos) & (F.col("end") >= pos)).orderBy("start").limit(1).collect()
         if hit:
             a, b, source = hit[0].start, hit[0].end, "LD block containing the target"
@@ -46,6 +59,9 @@ def define_region(chrom: str, pos: int, *, start: int | None = None, end: int |
             a, b, source = near[0] or span[0] - 1000, near[1] or span[0] + 1000, "no variant in LD: neighbours"
     if a is None:
         a, b = pos - flank, pos + flank
+    if not a <= pos <= b:
+        warnings.warn(f"the target {pos:,} lies outside the region {a:,}-{b:,}", stacklevel=2)
+    core = (max(1, a), b)
     if b - a < min_width:
         more = (min_width - (b - a)) / 2
         a, b = a - more, b + more
@@ -56,7 +72,11 @@ def define_region(chrom: str, pos: int, *, start: int | None = None, end: int |
         more = max(margin * (b - a), 200)
         a, b = a - more, b + more
     a, b = max(1, math.floor(a)), math.ceil(b)
-    return Region(chrom, a, min(b, chrom_length) if chrom_length else b, source, pos)
+    if chrom_length:
+        if pos > chrom_length:
+            warnings.warn(f"the target {pos:,} is beyond the {chrom_length:,} bp of chromosome {chrom}: do all files use one assembly?", stacklevel=2)
+        b = min(b, chrom_length)
+    return Region(chrom, a, b, source, pos, core)
 
 
 def gene_table(genes: DataFrame, lead: int) -> DataFrame:

@@ -133,10 +133,13 @@ def thin_every(spark, d):
     return gwas.thin_every(_gwas(spark, d), ["pos"], 10, "chr").select("snp", "chr", "pos")
 
 
-@query()
+@query(f"""WITH {PARSED}, {SIZES}, {LAYOUT}, pt AS (SELECT snp, cast(pos + off AS double) AS x, -log10(p) AS logp, idx % 2 AS grp FROM gwas JOIN layout USING (chr)),
+cell AS (SELECT *, floor(x / (SELECT max(x) FROM pt) * 1500) AS i, floor(logp / (SELECT max(logp) FROM pt) * 300) AS j FROM pt)
+SELECT snp, round(x, 3) AS x, round(logp, 6) AS logp, grp FROM cell QUALIFY logp >= 2 OR row_number() OVER (PARTITION BY grp, i, j ORDER BY x, snp) = 1""")
 def thin_grid(spark, d):
     g = _gwas(spark, d)
-    return gwas.thin_grid(gwas.manhattan(g, gwas.genome_layout(gwas.chrom_sizes(g))))
+    rows = gwas.thin_grid(gwas.manhattan(g, gwas.genome_layout(gwas.chrom_sizes(g))))
+    return rows.select("snp", F.round("x", 3).alias("x"), F.round("logp", 6).alias("logp"), "grp")
 
 
 @query(f"""WITH {PARSED}, {SIZES} SELECT chr, count(*) AS n, cast(count(*) FILTER (WHERE p < 0.01) AS bigint) AS n_low, round(median(p), 6) AS median_p, CASE WHEN median(p) < 0.01 THEN 'NOTE' ELSE 'OK' END AS status FROM gwas GROUP BY chr""")

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from genoloom.operators import genotypes as ld
 from genoloom.plans import surrogates as s
-from genoloom.plans.catalog import PAIRS, PARSED, SIZES, TYPES, _blk, _gwas, query
+from genoloom.plans.catalog import CAND, PAIRS, PARSED, SIZES, TYPES, _blk, _gwas, query
 from genoloom.plans.surrogates import duck, view
+from genoloom.plans.variants import annotate_variants
 from genoloom.sources import genome, genotypes, gff, gwas, sinks
 from genoloom.sources.text import shared_folder
 
@@ -128,34 +129,34 @@ def _record(kind, start: str, end: str, attributes) -> Column:
     return F.concat_ws("\t", F.concat(F.lit("Chr0"), "chr"), F.lit("own"), kind, F.col(start), F.col(end), F.lit("."), "strand", F.lit("."), attributes).alias("value")
 
 
-def _gff3(spark, d) -> gff.Genes:
-    """Genes without a line of theirs (every third that has transcripts), genes of a line alone (every seventh), transcripts of coding parts alone (every fifth)."""
+def _gff3(spark, d, gaps: bool = True) -> str:
+    """Gaps: genes without a line of theirs (every third that has transcripts), genes of a line alone (every seventh), transcripts of coding parts alone (every fifth)."""
     genes, parts = view(spark, d, s.GENES), view(spark, d, s.FEATURES)
     lone, own = _key() % 7 == 0, F.concat(F.lit("ID="), "gene_id", F.lit(";Name="), "note")
     some = genes.where(~lone)
-    parts = parts.join(some.select("gene_id", "chr", "strand"), "gene_id").where((F.col("class") == "CDS") | (_key() % 5 != 0))
-    text = genes.where(lone | (_key() % 3 != 0)).select(_record(F.lit("gene"), "start", "end", own))
+    parts = parts.join(some.select("gene_id", "chr", "strand"), "gene_id").where((F.col("class") == "CDS") | (_key() % 5 != 0) | F.lit(not gaps))
+    text = genes.where(lone | (_key() % 3 != 0) | F.lit(not gaps)).select(_record(F.lit("gene"), "start", "end", own))
     text = text.unionByName(some.select(_record(F.lit("mRNA"), "start", "end", F.concat(F.lit("ID="), "gene_id", F.lit(".t1;Parent="), "gene_id"))))
     text = text.unionByName(parts.select(_record(F.col("class"), "f_start", "f_end", F.concat(F.lit("Parent="), "gene_id", F.lit(".t1")))))
-    return gff.read_gff(spark, _text(text, "m.gff3"))
+    return _text(text, "m.gff3")
 
 
 @query(f"""WITH {MODELS} SELECT gene_id, chr, start, "end" AS gend, strand, CASE WHEN k % 7 = 0 OR k % 3 <> 0 THEN note ELSE gene_id END AS name, 'gene' AS type, concat(gene_id, CASE WHEN k % 7 = 0 THEN '.gene' ELSE '.t1' END) AS canonical,
 row_number() OVER (ORDER BY start, "end") AS gene_ord FROM n""")
 def file_gff_genes(spark, d):
-    return _gff3(spark, d).genes.select("gene_id", "chr", "start", F.col("end").alias("gend"), "strand", "name", "type", "canonical", F.col("gene_ord").cast("long").alias("gene_ord"))
+    return gff.read_gff(spark, _gff3(spark, d)).genes.select("gene_id", "chr", "start", F.col("end").alias("gend"), "strand", "name", "type", "canonical", F.col("gene_ord").cast("long").alias("gene_ord"))
 
 
 @query(f"""WITH {MODELS}, {SUMS} SELECT concat(n.gene_id, CASE WHEN k % 7 = 0 THEN '.gene' ELSE '.t1' END) AS transcript_id, n.gene_id, CASE WHEN k % 7 = 0 THEN 'gene_only' ELSE 'mRNA' END AS type,
 CASE WHEN k % 7 = 0 THEN "end" - start + 1 WHEN k % 5 = 0 THEN cds_len ELSE exon_len END AS exon_len, coalesce(cds_len, 0) AS cds_len, true AS canonical FROM n LEFT JOIN u ON n.gene_id = u.gene_id""")
 def file_gff_transcripts(spark, d):
-    return _gff3(spark, d).transcripts.select("transcript_id", "gene_id", "type", "exon_len", "cds_len", "canonical")
+    return gff.read_gff(spark, _gff3(spark, d)).transcripts.select("transcript_id", "gene_id", "type", "exon_len", "cds_len", "canonical")
 
 
 @query(f"""WITH {MODELS} SELECT gene_id, class, f_start, f_end FROM (SELECT gene_id, class, f_start, f_end FROM f WHERE class = 'CDS' OR cast(substr(gene_id, 2) AS bigint) % 5 <> 0
 UNION ALL SELECT gene_id, 'exon', f_start, f_end FROM f WHERE class = 'CDS' AND cast(substr(gene_id, 2) AS bigint) % 5 = 0 UNION ALL SELECT gene_id, 'exon', start, "end" FROM n WHERE k % 7 = 0) x""")
 def file_gff_features(spark, d):
-    return _gff3(spark, d).features.select("gene_id", "class", F.col("start").alias("f_start"), F.col("end").alias("f_end"))
+    return gff.read_gff(spark, _gff3(spark, d)).features.select("gene_id", "class", F.col("start").alias("f_start"), F.col("end").alias("f_end"))
 
 
 @query(f"""WITH {MODELS}, {SUMS} SELECT n.gene_id, chr, start, "end" AS gend, strand, CASE WHEN k % 4 = 0 THEN n.gene_id ELSE note END AS name, concat(n.gene_id, '.t1') AS canonical, exon_len, cds_len FROM n JOIN u ON n.gene_id = u.gene_id""")
@@ -170,6 +171,14 @@ def file_gtf_models(spark, d):
     return m.genes.select("gene_id", "chr", "start", F.col("end").alias("gend"), "strand", "name", "canonical").join(tx, "gene_id")
 
 
+@query(f"""WITH {CAND} SELECT v.snp, v.chr, v.pos, ann.gene AS gene_id, g.note AS gene_name, g.strand, location, feature, cast(distance_bp AS bigint) AS distance_bp, p AS extra
+FROM v LEFT JOIN ann ON v.vid = ann.vid LEFT JOIN genes g ON g.gene_id = ann.gene""")
+def file_annotate(spark, d):
+    """A table of variants with a column of its own, by a file of gene models."""
+    rows = view(spark, d, s.VARIANTS).select("snp", F.concat(F.lit("Chr0"), "chr").alias("chr"), "pos", F.col("p").alias("extra"))
+    return annotate_variants(spark, rows, _gff3(spark, d, gaps=False)).select("snp", "chr", "pos", "gene_id", "gene_name", "strand", "location", "feature", "distance_bp", "extra")
+
+
 # ---- lengths, blocks, pairs, groups ----
 @query(f"WITH {PARSED}, {SIZES} SELECT chr, length FROM sizes")
 def file_chrom_sizes(spark, d):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from genoloom.functions.genomes import Species
 from genoloom.operators import annotate, blocks, genotypes, gwas, panels, region, report
+from genoloom.plans.variants import modelled
 from genoloom.sources import genome, sinks, workbook
 from genoloom.sources.genotypes import read_genotypes
 from genoloom.sources.gff import Genes, read_gff
@@ -94,6 +95,7 @@ class Locus:
     panels: dict[str, DataFrame]
     tables: dict[str, DataFrame]
     samples: int = 0
+    frames: dict[str, DataFrame] = field(default_factory=dict)  # layout: where panels lie over each other; ld_outline: blocks under the diamonds
     chromosome_genes: Genes | None = None  # variants near the border have their nearest gene outside
 
     def facts(self) -> dict[str, object]:
@@ -155,8 +157,8 @@ def _given(spark: SparkSession, c: LocusConfig, here: region.Region, inside: Dat
     return names.select("id", F.lit(here.chr).alias("chr"), "pos"), flat
 
 
-def _ld_outputs(out: Locus, c: LocusConfig, variants: DataFrame, ref: str, pairs_of: Callable[[DataFrame], DataFrame], want_panels: list[str], want_tables: list[str]) -> None:
-    """The LD panel and tables of thinned ``variants``; ``pairs_of`` gives the pairs of chosen ids."""
+def _ld_outputs(out: Locus, c: LocusConfig, variants: DataFrame, ref: str, pairs_of: Callable[[DataFrame], DataFrame], want_panels: list[str], want_tables: list[str], found: DataFrame | None = None) -> None:
+    """The LD panel (with outlines of the blocks ``found``) and tables of thinned ``variants``; ``pairs_of`` gives the pairs of chosen ids."""
     here, genes = out.region, out.chromosome_genes
     for name, most in (("panel", c.max_ld_snps), ("table", c.max_table_snps)):
         wanted = "ld" in want_panels if name == "panel" else {"ld", "ld_pairs"} & set(want_tables)
@@ -167,6 +169,8 @@ def _ld_outputs(out: Locus, c: LocusConfig, variants: DataFrame, ref: str, pairs
         if name == "panel":
             flat = pairs.select(F.col("snp_a").alias("id_a"), F.col("snp_b").alias("id_b"), F.col(c.ld_stat).alias("value"))
             out.panels["ld"] = panels.ld_diamonds(flat, variants, here, c.max_ld_snps, ref)
+            if found is not None:
+                out.frames["ld_outline"] = panels.ld_outlines(found, variants, here, c.max_ld_snps, ref)
         else:
             parts = _features(genes)
             g = genes.genes if genes else None
@@ -203,11 +207,10 @@ def locus(spark: SparkSession, c: LocusConfig) -> Locus:
     how = dict(start=c.start, end=c.end, blocks=found, lead_r2=lead_r2, ld_r2=c.ld_r2, flank=c.flank, chrom_length=length[0] if length else None)
     own = genes.genes if genes and c.extend_to_genes else None
     here = region.define_region(chrom, pos, **how, min_width=c.min_width, margin=c.margin, genes=own)
-    core = region.define_region(chrom, pos, **how, margin=0.0) if here.source != "user-defined" else here
     inside = here.select(rows)
     best = (inside.where(F.col("snp") == snp).first() if snp else None) or gwas.top(inside).first()
     limit = gwas.threshold(rows, c.threshold)
-    out = Locus(c, here, (core.start, core.end), best.snp if best else None, best.p if best else None, None, limit, genes.overlapping(here.chr, here.start, here.end) if genes else None, {}, {}, chromosome_genes=genes)
+    out = Locus(c, here, here.core or (here.start, here.end), best.snp if best else None, best.p if best else None, None, limit, genes.overlapping(here.chr, here.start, here.end) if genes else None, {}, {}, chromosome_genes=genes)
 
     need_ld = "ld" in want_panels or "regional" in want_panels or {"ld", "ld_pairs", "snps"} & set(want_tables)
     got = _calls(spark, c, here.chr, here.start, here.end) if need_ld and best else None
@@ -219,7 +222,7 @@ def locus(spark: SparkSession, c: LocusConfig) -> Locus:
         at = genotypes.r2_with_lead(calls, v).join(variants.select("v", "id"), "v").select("id", "pos", "r2")
         by_pos = inside.select("snp", "pos").join(at.groupBy("pos").agg(F.min_by("r2", "id").alias("r2")), "pos")
         r2 = by_pos.select("snp", "r2")
-        _ld_outputs(out, c, variants, ref, lambda ids: _pairs(calls, ids, c, max(here.end - here.start, 1)), want_panels, want_tables)
+        _ld_outputs(out, c, variants, ref, lambda ids: _pairs(calls, ids, c, max(here.end - here.start, 1)), want_panels, want_tables, found)
     if c.ld_file and need_ld and best and (given := _given(spark, c, here, inside)):
         # pairs of the caller's file take the place of computed ones, but for the r2 with the lead where genotypes told it
         variants, flat = given
@@ -232,7 +235,7 @@ def locus(spark: SparkSession, c: LocusConfig) -> Locus:
             a, b = (ids.select(F.col("id").alias(k)) for k in ("snp_a", "snp_b"))
             return flat.where("pos_a < pos_b OR (pos_a = pos_b AND snp_a < snp_b)").join(a, "snp_a", "left_semi").join(b, "snp_b", "left_semi")
 
-        _ld_outputs(out, c, variants, ref, chosen, want_panels, want_tables)
+        _ld_outputs(out, c, variants, ref, chosen, want_panels, want_tables, found)
 
     if "manhattan" in want_panels:
         out.panels["manhattan"] = panels.manhattan_panel(rows, gwas.genome_layout(sizes))
@@ -242,6 +245,13 @@ def locus(spark: SparkSession, c: LocusConfig) -> Locus:
         tx = out.genes.transcripts.where("canonical") if c.transcripts == "canonical" else out.genes.transcripts
         named = tx.join(out.genes.genes.select("gene_id", "name"), "gene_id").select("transcript_id", "gene_id", "chr", "start", "end", "strand", "name")
         out.panels["genes"] = panels.gene_rows(named, float(here.end - here.start), "name", view=(here.start, here.end))
+    if shown := [k for k in ("manhattan", "regional", "genes", "ld") if k in out.panels]:
+        # fixed values: heights in mm; genes take more for each packed row
+        tall = {"manhattan": 42.0, "connector": 7.0, "regional": 48.0, "ld": 72.0}
+        if "genes" in shown:
+            tall["genes"] = min(60.0, 9.0 + 6.5 * (out.panels["genes"].agg(F.max("row")).first()[0] or 1))
+        kinds = [k for s in shown for k in ((s, "connector") if s == "manhattan" and len(shown) > 1 else (s,))]
+        out.frames["layout"] = panels.stacked(spark, kinds, [tall[k] for k in kinds])
     if "snps" in want_tables:
         out.tables["snps"] = _snps(out, inside, r2)
     if "genes" in want_tables and out.genes and best:
@@ -254,10 +264,7 @@ def locus(spark: SparkSession, c: LocusConfig) -> Locus:
 
 
 def _features(genes: Genes | None) -> DataFrame | None:
-    if genes is None:
-        return None
-    modelled = genes.features.join(genes.transcripts.where("type <> 'gene_only'").select("transcript_id"), "transcript_id", "left_semi")
-    return modelled.select("gene_id", "class", F.col("start").alias("f_start"), F.col("end").alias("f_end"))
+    return None if genes is None else modelled(genes)
 
 
 def _snps(out: Locus, inside: DataFrame, r2: DataFrame | None) -> DataFrame:
@@ -303,5 +310,7 @@ def write(out: Locus, base: str) -> dict[str, str]:
         files["gene_lines"] = sinks.write_region_genes(out.genes, f"{base}_genes.{'gtf' if out.genes.format == 'gtf' else 'gff3'}", out.config.gene_features)
     for k, df in out.panels.items():
         files[f"panel_{k}"] = sinks.write_table(df, f"{base}_panel_{k}.tsv")
+    for k, df in out.frames.items():
+        files[f"frame_{k}"] = sinks.write_table(df, f"{base}_frame_{k}.tsv")
     files["readme"] = sinks.write_lines(spark, f"{base}_README.txt", report.readme(out.facts(), {files.get(k, k).rsplit("/", 1)[-1]: v for k, v in columns.items()}))
     return files

@@ -70,6 +70,17 @@ def karyotype_panel(spark, d):
     return panels.karyotype(_density(spark, d), gwas.chrom_sizes(_sites(spark, d)))
 
 
+MARKS = "SELECT concat('Chr0', s_suppkey % 15 + 1) AS name, s_suppkey * 9000 AS spot FROM {supplier}"
+
+
+@query(f"""WITH {DENSITY}, k AS (SELECT chr, row_number() OVER (ORDER BY cast(chr AS int)) AS place, max(length) OVER () / 1e6 AS most FROM sz), m AS (SELECT k.*, spot AS pos FROM ({duck(MARKS)}) a JOIN k ON k.chr = cast(cast(substr(name, 4) AS int) AS string)),
+tri AS (SELECT * FROM (VALUES (1, 0.12, -0.012), (2, 0.12, 0.012), (3, 0.0, 0.0)) t(corner, far, up)), sides AS (SELECT * FROM (VALUES ('left', -1), ('right', 1)) t(side, way))
+SELECT chr, pos, side, corner, round(cast(place + way * (0.31 + far) AS double), 8) AS x, round(cast(pos / 1e6 + up * most AS double), 8) AS y FROM m, tri, sides""")
+def centromere_marks(spark, d):
+    rows = panels.centromeres(view(spark, d, MARKS), gwas.chrom_sizes(_sites(spark, d)))
+    return rows.withColumns({c: F.round(c, 8) for c in "xy"})
+
+
 # ---- one region ----
 LEAD30 = """one AS (SELECT smp, dos AS x FROM g WHERE v = 30 AND dos IS NOT NULL), z AS (SELECT v, pos, count(*) AS n, sum(x) AS sx, sum(dos) AS sy, sum(x * x) AS sxx, sum(dos * dos) AS syy, sum(x * dos) AS sxy FROM g JOIN one USING (smp) WHERE dos IS NOT NULL GROUP BY v, pos),
 l30 AS (SELECT v, CASE WHEN v = 30 THEN 1.0 WHEN n >= 3 AND n * sxx - sx * sx > 1e-9 * n AND n * syy - sy * sy > 1e-9 * n THEN least(pow(n * sxy - sx * sy, 2) / (cast(n * sxx - sx * sx AS double) * cast(n * syy - sy * sy AS double)), 1.0) END AS r2 FROM z)"""
@@ -95,8 +106,11 @@ def gene_row_panel(spark, d):
     return panels.gene_rows(view(spark, d, s.GENES).withColumnRenamed("note", "name"), 1_000_000.0)
 
 
-@query(f"""WITH {PAIRS}, w AS (SELECT DISTINCT v, pos, '1' AS chr FROM g WHERE pos BETWEEN 7001 AND 140000), r AS (SELECT v, pos, row_number() OVER (ORDER BY pos, concat('V', v)) AS r, count(*) OVER () AS n FROM w),
-t AS (SELECT v, row_number() OVER (ORDER BY pos, concat('V', v)) AS k, count(*) OVER () AS m FROM r WHERE n <= 60 OR v = 30 OR r IN (SELECT cast(round_even(1 + t * (n - 1) / 59.0, 0) AS bigint) FROM generate_series(0, 59) s(t)))
+THINNED = """w AS (SELECT DISTINCT v, pos, '1' AS chr FROM g WHERE pos BETWEEN 7001 AND 140000), r AS (SELECT v, pos, row_number() OVER (ORDER BY pos, concat('V', v)) AS r, count(*) OVER () AS n FROM w),
+t AS (SELECT v, pos, row_number() OVER (ORDER BY pos, concat('V', v)) AS k, count(*) OVER () AS m FROM r WHERE n <= 60 OR v = 30 OR r IN (SELECT cast(round_even(1 + t * (n - 1) / 59.0, 0) AS bigint) FROM generate_series(0, 59) s(t)))"""
+
+
+@query(f"""WITH {PAIRS}, {THINNED}
 SELECT concat('V', a.v) AS id_a, concat('V', b.v) AS id_b, round(0.007001 + ((a.k + b.k) / 2.0 - 0.5) * 0.132999 / a.m, 8) AS cx, cast(a.k - b.k AS double) AS cy, round(0.132999 / a.m / 2, 8) AS half, round(r2, 6) AS value
 FROM ld JOIN t a ON ld.i = a.v JOIN t b ON ld.j = b.v""")
 def ld_diamond_panel(spark, d):
@@ -105,6 +119,18 @@ def ld_diamond_panel(spark, d):
     return panels.ld_diamonds(pairs, variants, LD_HERE, 60, "V30").withColumns({"cx": F.round("cx", 8), "half": F.round("half", 8)})
 
 
+OUTLINED = "SELECT '1' AS chr, s_suppkey * 900 + 2001 AS start, s_suppkey * 900 + s_suppkey % 9 * 1400 AS `end` FROM {supplier}"
+
+
+@query(f"""WITH g AS ({duck(s.GENO_BLK)}), {THINNED}, b AS ({duck(OUTLINED)}), e AS (SELECT start, "end", min(k) AS a, max(k) AS z, any_value(m) AS m FROM b JOIN t ON pos BETWEEN start AND "end" WHERE start <= 140000 AND "end" >= 7001 GROUP BY start, "end" HAVING count(*) > 1),
+p AS (SELECT start, "end" AS gend, 0.007001 + (a - 0.5) * 0.132999 / m AS xa, 0.007001 + (z - 0.5) * 0.132999 / m AS xz, cast(a - z - 1 AS double) AS low FROM e)
+SELECT start, gend, round(xa, 8) AS x, cast(-1.0 AS double) AS y, round((xa + xz) / 2, 8) AS xend, low AS yend FROM p UNION ALL SELECT start, gend, round((xa + xz) / 2, 8), low, round(xz, 8), cast(-1.0 AS double) FROM p""")
+def ld_block_outline(spark, d):
+    variants = _blk(spark, d).select(F.concat(F.lit("V"), "v").alias("id"), "chr", "pos").distinct()
+    lines = panels.ld_outlines(view(spark, d, OUTLINED), variants, LD_HERE, 60, "V30")
+    return lines.select("start", F.col("end").alias("gend"), F.round("x", 8).alias("x"), "y", F.round("xend", 8).alias("xend"), "yend")
+
+
 @query(f"WITH {G}, a AS ({duck(s.REGIONS)}) SELECT region_id AS label, r_start AS start, r_end AS gend, round((greatest(r_start, 50001) + least(r_end, 400000)) / 2e6, 8) AS label_x FROM a WHERE r_chr = '3' AND r_end >= 50001 AND r_start <= 400000")
 def track_panel(spark, d):
     rows = view(spark, d, s.REGIONS).select(F.concat(F.lit("chr0"), "r_chr").alias("chr"), F.col("r_start").alias("start"), F.col("r_end").alias("end"), F.col("region_id").alias("label"))
@@ -122,6 +148,12 @@ def variant_place(spark, d):
     return panels.variant_location(here, genes, features).select("vid", "gene_id", "place")
 
 
+@query(f"""SELECT gene_id, CASE strand WHEN '-' THEN "end" ELSE start END AS tss, round(cast(0.3 AS double) - length(note) % 5, 4) AS y0, round(cast(0.58 AS double) - length(note) % 5, 4) AS y1, cast(CASE strand WHEN '-' THEN "end" - 45000 ELSE start + 45000 END AS double) AS xend FROM ({duck(s.GENES)}) g""")
+def tss_panel(spark, d):
+    rows = panels.tss_arrows(view(spark, d, s.GENES).withColumn("row", F.length("note") % 5), 1_000_000.0)
+    return rows.select("gene_id", "tss", F.round("y0", 4).alias("y0"), F.round("y1", 4).alias("y1"), "xend")
+
+
 # ---- reports ----
 @query(f"""WITH {G}, r AS ({duck(s.REGIONS)}), h AS (SELECT region_id AS region, genes.* FROM r JOIN genes ON r_chr = chr AND start <= r_end AND "end" >= r_start)
 SELECT region, gene_id, "end" - start + 1 AS length_bp, cast((SELECT min(greatest(h.start - pos, pos - h."end", 0)) FROM v WHERE v.chr = h.chr) AS bigint) AS distance_bp FROM h""")

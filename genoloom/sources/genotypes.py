@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from genoloom.functions.genotype import extract_gt, gt_to_dosage, haplotype, hmp_dosage, hmp_site_type, is_snp, site_type
-from genoloom.functions.names import normalize_chr
+from genoloom.functions.names import chr_key, normalize_chr
 from genoloom.sources.blockgzip import compression, index_of, region_lines
 from genoloom.sources.text import fields, head, lines, separator
 
@@ -34,6 +34,12 @@ class Genotypes:
     samples: list[str]
     source: str
 
+    def summary(self) -> str:
+        """Counts and, of each of the first ten chromosomes, the range (one pass over the variants)."""
+        spans = self.variants.groupBy("chr").agg(F.count("*").alias("n"), F.min("pos").alias("a"), F.max("pos").alias("b")).orderBy(chr_key(F.col("chr"))).collect()
+        where = ", ".join(f"chr {r.chr}:{r.a:,}-{r.b:,}" for r in spans[:10]) + (f" and {len(spans) - 10} more" if len(spans) > 10 else "")
+        return f"{sum(r.n for r in spans):,} variants x {len(self.samples):,} samples ({self.source})" + (f" on {where}" if spans else "")
+
 
 def _data(spark: SparkSession, path: str) -> DataFrame:
     return lines(spark, path).where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(F.col("line").alias("v"), "value")

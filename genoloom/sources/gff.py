@@ -35,6 +35,13 @@ class Genes:
     raw: DataFrame
     format: str
 
+    def summary(self, most: int = 6) -> str:
+        """Counts and the first genes in the order of the file."""
+        columns = ["gene_id", "chr", "start", "end", "strand", "name"]
+        few = self.genes.orderBy(F.asc_nulls_last("row"), "gene_id").select(columns).head(most)
+        text = [f"{self.genes.count():,} genes, {self.transcripts.count():,} transcripts ({self.format.upper()})", *(["\t".join(columns)] if few else [])]
+        return "\n".join(text + ["\t".join("" if v is None else str(v) for v in r) for r in few])
+
     def overlapping(self, chrom: str, start: int, end: int) -> Genes:
         """Whole models of the genes that overlap the interval."""
         genes = self.genes.where((F.col("chr") == chrom) & (F.col("start") <= end) & (F.col("end") >= start))

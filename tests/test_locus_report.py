@@ -47,7 +47,7 @@ def test_report(spark, files, tmp_path):
     pairs = list(csv.DictReader(open(got["ld_pairs"])))
     n = len(square) - 1
     assert len(pairs) == n * (n - 1) // 2
-    assert set(got) == {"snps", "genes", "ld", "ld_pairs", "gene_lines", "readme", *(f"panel_{p}" for p in PANELS)}
+    assert set(got) == {"snps", "genes", "ld", "ld_pairs", "gene_lines", "readme", *(f"panel_{p}" for p in PANELS), "frame_layout", "frame_ld_outline"}
     assert "S30" in open(got["readme"]).read()
     diamonds = open(got["panel_ld"]).read().splitlines()
     assert len(diamonds) - 1 in (190, 210)
