@@ -12,7 +12,7 @@ one item), and a document is held against the parts one after the other; hits ar
 
 Null or empty texts have no words, no hits. Items without words have no window. Items of equal text
 both count; rows of one item_id are one item, and a null item_id reads "null". Repeated rows are rows of their own. An empty benchmark
-hits nothing; an empty table gives no rows.
+hits nothing; an empty table gives no rows. Nothing is chosen among equals, so ties don't arise: every occurrence of every window counts.
 """
 
 from __future__ import annotations

@@ -21,7 +21,7 @@ are closed as browsers do for paragraphs, list items and cells, else by their pa
 references stay as they are. Time and memory grow with the page's length, whatever its nesting.
 
 Null or empty html gives an empty text; so does a page of markup only. Text without any element is
-content. Repeated rows agree; an empty table gives no rows; other columns of the table are not read.
+content. Of main paths that tie, the first of the page is taken; equal path scores are kept or left alike. Repeated rows agree; an empty table gives no rows; other columns of the table are not read.
 """
 
 from __future__ import annotations

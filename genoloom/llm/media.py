@@ -10,7 +10,8 @@ Shots: 16-bin luma histograms of neighbouring frames; a cut is a difference abov
 three deviations of the differences in the 16 frames before it (and above a floor).
 
 Null text is as empty text: one frame of spaces. Equal texts have equal values. Repeated rows and
-null ids are rows of their own. An empty table gives no rows.
+null ids are rows of their own. An empty table gives no rows. Sizes in a RIFF file have 32 bits:
+a text whose file would pass 4 GiB ends the job with an error, it is not cut.
 """
 
 from __future__ import annotations
