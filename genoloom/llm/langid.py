@@ -4,7 +4,9 @@ For each language a suffix automaton of labelled text parses a document greedily
 longest strings that occur in that text; the language that needs the fewest phrases, each weighed by
 the bits that name a place in its text, wins. The automata are flattened into tables of next state
 and phrases closed, so one gather advances every lane of a batch by one byte. Lanes are 1,024-byte
-pieces of normalised texts, and phrases end where a lane ends; the whole text is parsed.
+pieces of normalised texts, parsed side by side from the root; then each lane is followed again from
+the state in which the one before it ended, up to the byte where both parses meet, mostly a few phrases on.
+So the counts are those of one parse of the whole text.
 
 The automata are fitted on a bounded sample of labelled rows, whole texts by order of a hash of the id:
 at most ``rows`` of a language, longer ones than ``train_bytes`` last, until those taken hold ``train_bytes``. Predictions cover every row.
@@ -74,6 +76,17 @@ def suffix_automaton(text: bytes) -> list[dict[int, int]]:
     return nxt
 
 
+def _carried(table: memoryview, width: int, lane: bytes, come: int) -> tuple[int, int]:
+    """Phrases closed in ``lane`` by a parse that comes in state ``come``, less those from the root, and its last state (-1: as from the root)."""
+    a, b, more = 0, come, 0
+    for c in lane:
+        if a == b:
+            return more, -1
+        u, v = table[a * width + c], table[b * width + c]
+        a, b, more = u >> 2, v >> 2, more + (v & 3) - (u & 3)
+    return more, b
+
+
 class Model:
     """Flat parse tables of each language over a common byte alphabet (symbol 0: never seen)."""
 
@@ -99,7 +112,7 @@ class Model:
             self.bits.append(float(np.log2(len(texts[lang]) + 1)))
 
     def costs(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(text, language): bits a byte, and phrases closed before a lane's end a byte."""
+        """(text, language): bits a byte, and phrases closed before the text's end a byte."""
         size = np.array([len(t) for t in texts], np.int64)
         lanes = np.maximum(-(-size // LANE), 0)
         owner = np.repeat(np.arange(len(texts)), lanes)
@@ -112,7 +125,7 @@ class Model:
         out, closed = np.zeros((2, len(texts), len(self.langs)))
         if not len(owner):
             return out, closed
-        phrases = [np.ones(len(owner), np.int64) for _ in self.langs]
+        phrases = [np.zeros(len(owner), np.int64) for _ in self.langs]
         state = [np.zeros(len(owner), np.int64) for _ in self.langs]
         alive = np.searchsorted(-length, -np.arange(length[0]), side="left")
         for t in range(int(length[0])):
@@ -122,10 +135,20 @@ class Model:
                 v = table[state[k][:n] * self.width + column]
                 state[k][:n] = v >> 2
                 phrases[k][:n] += v & 3
+        place = np.empty(len(order), np.int64)  # of each lane, in the order of the texts
+        place[order] = np.arange(len(order))
+        raw, later = data.tobytes(), np.flatnonzero(part).tolist()
         for k, bits in enumerate(self.bits):
-            n = np.bincount(owner, phrases[k], len(texts))
-            out[:, k] = n * bits / np.maximum(size, 1)
-            closed[:, k] = (n - lanes) / np.maximum(size, 1)
+            table, end, more = memoryview(self.tables[k]), state[k][place].tolist(), np.zeros(len(order), np.int64)
+            for lane in later:
+                if end[lane - 1]:
+                    at = int(start[place[lane]])
+                    more[lane], last = _carried(table, self.width, raw[at : at + int(length[place[lane]])], end[lane - 1])
+                    if last >= 0:
+                        end[lane] = last
+            n = np.bincount(owner, phrases[k] + more[order], len(texts))
+            out[:, k] = (n + (size > 0)) * bits / np.maximum(size, 1)
+            closed[:, k] = n / np.maximum(size, 1)
         return out, closed
 
 

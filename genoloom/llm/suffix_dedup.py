@@ -7,7 +7,8 @@ digits from the most significant on, and only suffixes in groups of two or more
    last). Equal 400-byte strings hold the same one at the same place, and neighbouring starts share
    it, so about one row in 100 bytes stands for a run of starts.
 2. Second digit: the hash of everything the run's starts cover. Runs equal in both are repeated
-   whole, with no further pass.
+   whole, with no further pass. Runs of one text that are equal in both, as in a text of one repeated
+   byte or of a short period, are one row with their number and the bytes that they cover.
 3. Runs whose group holds different texts: their covering bytes meet by first digit, and the last
    digit, the hash of all 400 bytes and the place of the first digit in them, orders their starts.
    Equal groups are exactly the repeated windows. Groups of over ``most_group`` different runs are
@@ -113,6 +114,24 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     return row, h[at], whole, at - base, lo - base, hi - base
 
 
+def _counted(row: np.ndarray, d1: np.ndarray, d2: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> list[np.ndarray]:
+    """The runs of texts with a count: the first of those of a text that are equal in both digits stands for all, and what these cover follows with count 0."""
+    order = np.lexsort((lo, d2, d1, row))
+    row, d1, d2, at, lo, hi = (x[order] for x in (row, d1, d2, at, lo, hi))
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, len(row)))
+    apart = new.copy()  # starts of stretches that one group covers without a gap
+    apart[1:] |= lo[1:] > hi[:-1] + length
+    a = np.flatnonzero(apart)
+    b = np.append(a[1:], len(row)) - 1
+    more = (np.repeat(count, count)[a] > 1) & ~(new[a] & (a == b))  # a first run that stands alone is covered by its own row
+    a, b = a[more], b[more]
+    ends = (hi[first], hi[b])
+    return [*(np.append(x[first], x[a]) for x in (row, d1, d2, at, lo)), np.append(*ends), np.append(count, np.zeros(len(a), np.int64))]
+
+
 def _anchor_rows(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,9 +140,9 @@ def _anchor_rows(length: int, gram: int):
                 nb = np.diff(offsets)
                 for a in range(0, max(len(data) - length + 1, 1), _PIECE) if len(offsets) == 2 else (0,):
                     part, ends = (data[a : a + _PIECE + length - 1], None) if len(offsets) == 2 else (data, offsets)
-                    row, d1, d2, at, lo, hi = anchors(part, np.array([0, len(part)]) if ends is None else ends, length, gram)
-                    cols = [th[i + row], nb[row], d1.view(np.int64), d2.view(np.int64), at + a, lo + a, hi + a]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["th", "nb", "d1", "d2", "at", "lo", "hi"])
+                    row, d1, d2, at, lo, hi, c = _counted(*anchors(part, np.array([0, len(part)]) if ends is None else ends, length, gram), length)
+                    cols = [th[i + row], nb[row], d1.view(np.int64), d2.view(np.int64), at + a, lo + a, hi + a, c]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["th", "nb", "d1", "d2", "at", "lo", "hi", "c"])
 
     return run
 
@@ -225,15 +244,16 @@ def _starts(length: int):
 def repeated_spans(texts: DataFrame, length: int = 400, most_group: int = 4096, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """(th, nb, spans: bytes first..end-1, may overlap) of the texts (th, nb, text) with repeated starts."""
     gram = length // 2
-    runs = materialize(texts.select("th", "text").mapInArrow(_anchor_rows(length, gram), "th long, nb long, d1 long, d2 long, at long, lo long, hi long"), "runs")
-    groups = runs.groupBy("d1").agg(F.count("*").alias("n"), F.min("d2").alias("a"), F.max("d2").alias("b")).where("n > 1").select("d1", (F.col("a") != F.col("b")).alias("mixed"))
+    found = materialize(texts.select("th", "text").mapInArrow(_anchor_rows(length, gram), "th long, nb long, d1 long, d2 long, at long, lo long, hi long, c long"), "runs")
+    runs = found.where("c > 0")
+    groups = runs.groupBy("d1").agg(F.sum("c").alias("n"), F.min("d2").alias("a"), F.max("d2").alias("b")).where("n > 1").select("d1", (F.col("a") != F.col("b")).alias("mixed"))
     groups = materialize(groups, "groups")  # apart from the join, so that a hot digit's rows can be split among its tasks
     alive = materialize(runs.join(groups, "d1"), "alive")
-    equal = alive.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("th", "nb", "lo")).alias("rep"))
+    equal = alive.groupBy("d1", "d2").agg(F.sum("c").alias("n"), F.min(F.struct("th", "nb", "lo")).alias("rep"))
     equal = materialize(equal, "equal")  # apart from the join too
     different = materialize(equal.groupBy("d1").agg((F.count("*") > most_group).alias("hot")), "different")  # and this
     marked = materialize(alive.join(equal, ["d1", "d2"]), "marked")
-    whole = marked.where("n > 1").select("th", "nb", F.col("lo").alias("first"), (F.col("hi") + length).alias("end"))
+    whole = marked.where("n > 1").unionByName(found.where("c = 0"), allowMissingColumns=True).select("th", "nb", F.col("lo").alias("first"), (F.col("hi") + length).alias("end"))
     part = marked.where(F.col("mixed") & ((F.col("n") == 1) | (F.struct("th", "nb", "lo") == F.col("rep")))).join(different, "d1")
     part = materialize(part.groupBy("th", "nb").agg(F.collect_set(F.struct("d1", "at", "lo", "hi", "hot")).alias("runs")), "part")
     held = texts.join(broadcast_if_small(part, broadcast_bytes), ["th", "nb"]).select("th", "nb", "text", "runs")

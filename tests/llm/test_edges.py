@@ -48,6 +48,18 @@ def test_runs_of_one_byte(spark):
     assert got[0][1] == 3000 and got[2][1] == 0 and got[5][3] == hashlib.sha256(b"").hexdigest()
 
 
+def test_short_periods_are_few_rows(spark):
+    """Texts of short periods, joined and apart, equal a brute force; their runs are few rows however long they are."""
+    line = bytes(range(97, 120)) + b" "
+    texts = [b"ab" * 700 + b"x" + b"ab" * 250, b"ba" * 205, line * 40, b"-" * 500 + line * 20 + b"-" * 450, b"xyz" * 134, b"e" * 400 + b"f" * 400 + b"e" * 400, b"ab" * 200, b"g" * 401 + b"h" * 300 + b"g" * 10]
+    docs = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs, with_bytes=False).collect()}
+    assert got == dict(enumerate(brute_repeats(texts, 400)))
+    for text in (b"a" * 3_000_000, b"abc" * 1_000_000):
+        part = np.frombuffer(text, np.uint8)
+        assert len(suffix_dedup._counted(*suffix_dedup.anchors(part[: 1 << 20], np.array([0, 1 << 20]), 400, 200), 400)[0]) < 10
+
+
 def test_long_texts(spark):
     rng = np.random.default_rng(11)
     some = [f"w{zlib.crc32(bytes([k])) % 997}" for k in range(200)]
