@@ -1,6 +1,7 @@
 """Trees from sample distances: neighbour joining, average linkage, rooting, coordinates, Newick.
 
-Distances are a samples x samples result, so trees are built on the driver from O(samples^2) numbers.
+Average linkage joins mutually nearest clusters in rounds of Spark jobs; the driver holds merges, one a sample, and
+finishes alone once few clusters are left. Neighbour joining has one least pair a step, and takes all distances to the driver.
 """
 
 from __future__ import annotations
@@ -9,6 +10,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from genoloom.sources.text import saved
 
 
 @dataclass
@@ -65,25 +69,92 @@ def neighbor_joining(names: list[str], d: np.ndarray) -> Tree:
     return Tree(names, edges, new)
 
 
+def _merges(d: np.ndarray, size: list[int]) -> list[tuple[int, int, float]]:
+    """(i, j, distance) of average linkage, i < j; the cluster is i from then on. Of equal pairs the first by (i, j)."""
+    d, size, out = d.astype(float).copy(), list(size), []
+    np.fill_diagonal(d, np.inf)
+    for _ in range(len(d) - 1):
+        i, j = divmod(int(d.argmin()), len(d))
+        out.append((i, j, float(d[i, j])))
+        row = np.round((d[i] * size[i] + d[j] * size[j]) / (size[i] + size[j]), 12)
+        row[i] = np.inf
+        d[i], d[:, i] = row, row
+        d[j], d[:, j] = np.inf, np.inf
+        size[i] += size[j]
+    return out
+
+
+def _joined(names: list[str], merges: list[tuple[int, int, float]]) -> Tree:
+    """Tree of merges (i, j, distance), each after those of its parts; nodes are numbered by height, which is half the distance and never below a part's."""
+    height, node, found = [0.0] * len(names), list(range(len(names))), []
+    for k, (i, j, x) in enumerate(merges):
+        h = max(x / 2, height[i], height[j])
+        found.append((h, k, i, j))
+        height[i] = h
+    height, edges = [0.0] * len(names), []
+    for new, (h, _, i, j) in enumerate(sorted(found), len(names)):
+        edges += [(new, node[i], h - height[i]), (new, node[j], h - height[j])]
+        node[i], height[i] = new, h
+    return Tree(names, edges, len(names) + len(merges) - 1)
+
+
 def upgma(names: list[str], d: np.ndarray) -> Tree:
-    """Average linkage; heights are half the merging distance."""
-    n = len(names)
-    if n < 2:
+    """Average linkage of a matrix; heights are half the merging distance."""
+    if len(names) < 2:
         raise ValueError("a tree needs 2 samples")
-    d = d.astype(float).copy()
-    np.fill_diagonal(d, np.inf)
-    nodes, size, height, edges, new = list(range(n)), [1] * n, [0.0] * n, [], n
-    while len(nodes) > 1:
-        i, j = divmod(int(d.argmin()), len(nodes))
-        i, j = min(i, j), max(i, j)
-        h = d[i, j] / 2
-        edges += [(new, nodes[i], h - height[i]), (new, nodes[j], h - height[j])]
-        row = (d[i] * size[i] + d[j] * size[j]) / (size[i] + size[j])
-        keep = [k for k in range(len(nodes)) if k not in (i, j)]
-        total = size[i] + size[j]
-        d = np.block([[d[np.ix_(keep, keep)], row[keep, None]], [row[None, keep], np.full((1, 1), np.inf)]])
-        nodes, size, height, new = [nodes[k] for k in keep] + [new], [size[k] for k in keep] + [total], [height[k] for k in keep] + [h], new + 1
-    return Tree(names, edges, new - 1)
+    return _joined(names, _merges(np.round(d, 12), [1] * len(names)))
+
+
+def average_linkage(dist: DataFrame, most_local: int = 1000) -> Tree:
+    """The tree of :func:`upgma` from (s1, s2, dist), one row a pair; absent pairs get the greatest distance.
+
+    A round joins every two clusters that are each other's nearest (of equal pairs the first by least members). Averages of a
+    join are never below both parts' own, so these are the joins that one pair a step would make, in another order. A round is
+    a minimum by cluster and a sum by pair of clusters; there are few unless joins form one long chain. Distances
+    count to 12 decimals and are summed as decimals, so reruns agree. Pairs at the greatest distance are left out, as absent
+    ones are, and close the tree. With ``most_local`` clusters or fewer, their pairs go to the driver, which finishes.
+    """
+    spark = dist.sparkSession
+    rows = saved(dist.where("s1 <> s2").select(F.col("s1").cast("string").alias("s1"), F.col("s2").cast("string").alias("s2"), F.col("dist").cast("decimal(24,12)").alias("s")))
+    names = sorted((r[0] for r in rows.select("s1").union(rows.select("s2")).distinct().collect()), key=lambda x: (len(x), x))
+    if len(names) < 2:
+        raise ValueError("a tree needs 2 samples")
+    far = rows.agg(F.max("s")).first()[0]
+    ids = spark.createDataFrame(list(enumerate(names)), "k long, name string")
+    of = [ids.select(F.col("k").alias(k), F.col("name").alias(s)) for k, s in (("a", "s1"), ("b", "s2"))]
+    one = F.lit(1).cast("long")
+    pairs = rows.where(F.col("s") < F.lit(far)).join(of[0], "s1").join(of[1], "s2").groupBy(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).agg(F.max("s").cast("decimal(38,12)").alias("s"))
+    pairs = pairs.select("i", "j", one.alias("ni"), one.alias("nj"), "s", one.alias("n"))
+    whole = F.col("ni") * F.col("nj")
+    mean = F.round((F.col("s").cast("double") + (whole - F.col("n")) * float(far)) / whole, 12)
+    size, merges = dict.fromkeys(range(len(names)), 1), []
+    while len(size) > most_local:
+        pairs = saved(pairs)
+        pair = [mean.alias("d"), "i", "j"]
+        ends = pairs.select(F.explode(F.array(F.struct(F.col("i").alias("k"), *pair), F.struct(F.col("j").alias("k"), *pair))).alias("e")).select("e.k", F.struct("e.d", "e.i", "e.j").alias("p"))
+        mutual = ends.groupBy("k").agg(F.min("p").alias("p")).groupBy("p").agg(F.count("*").alias("n")).where("n = 2").select("p.*")
+        now = sorted((r.d, r.i, r.j) for r in mutual.collect())
+        if not now:
+            break
+        moved = []
+        for d, i, j in now:
+            merges.append((i, j, d))
+            size[i] += size.pop(j)
+            moved += [(i, i, size[i]), (j, i, size[i])]
+        to = spark.createDataFrame(moved, "k long, to long, total long")
+        a, b = (to.select(F.col("k").alias(k), F.col("to").alias(f"{k}_to"), F.col("total").alias(f"{k}_n")) for k in ("i", "j"))
+        on = pairs.join(a, "i", "left").join(b, "j", "left").select(F.coalesce("i_to", "i").alias("i"), F.coalesce("j_to", "j").alias("j"), F.coalesce("i_n", "ni").alias("ni"), F.coalesce("j_n", "nj").alias("nj"), "s", "n").where("i <> j")
+        up = F.col("i") < F.col("j")
+        on = on.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.when(up, F.col("ni")).otherwise(F.col("nj")).alias("ni"), F.when(up, F.col("nj")).otherwise(F.col("ni")).alias("nj"), "s", "n")
+        pairs = on.groupBy("i", "j", "ni", "nj").agg(F.sum("s").cast("decimal(38,12)").alias("s"), F.sum("n").alias("n"))
+    left = sorted(size)
+    if len(left) > most_local:  # no pair is nearer than the greatest distance
+        return _joined(names, merges + [(left[0], k, float(far)) for k in left[1:]])
+    at = {k: p for p, k in enumerate(left)}
+    d = np.full((len(left), len(left)), float(far))
+    for r in pairs.select("i", "j", mean.alias("d")).collect():
+        d[at[r.i], at[r.j]] = d[at[r.j], at[r.i]] = r.d
+    return _joined(names, merges + [(left[i], left[j], x) for i, j, x in _merges(d, [size[k] for k in left])])
 
 
 def _reach(tree: Tree, start: int) -> tuple[dict[int, float], dict[int, int]]:
@@ -133,8 +204,12 @@ def _down(root: int, kids: dict[int, list]) -> list[int]:
 
 def clusters(names: list[str], d: np.ndarray, k: int) -> dict[str, int]:
     """Cluster number (from 1, by first member) of each sample: average linkage cut into k."""
-    tree = upgma(names, d)
-    kids, groups = tree.children(), [tree.root]
+    return cut(upgma(names, d), k)
+
+
+def cut(tree: Tree, k: int) -> dict[str, int]:
+    """Cluster number (from 1, by first member) of each tip: a tree of average linkage cut into k."""
+    names, kids, groups = tree.tips, tree.children(), [tree.root]
     while len(groups) < min(k, len(names)):
         x = max(groups)  # later merges are higher
         if x < len(names):

@@ -473,7 +473,7 @@ def euclid_distance(spark, d):
 
 @query()
 def upgma_tree(spark, d):
-    return tree.upgma(*tree.distance_matrix(genotypes.distances(_blk(spark, d)))).frame(spark)
+    return tree.average_linkage(genotypes.distances(_blk(spark, d))).frame(spark)
 
 
 @query()
