@@ -65,9 +65,15 @@ def nearest(points: DataFrame, intervals: DataFrame, name: str = "gene_id", buck
 
 
 def merge(intervals: DataFrame, key: str, start: str = "start", end: str = "end") -> DataFrame:
-    """Unions of overlapping or adjacent intervals of each key."""
+    """Unions of overlapping or adjacent intervals of each key.
+
+    All windows share one sort: a union's first row meets its last as the next row that begins or ends one, so nothing is grouped.
+    """
     w = Window.partitionBy(key).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = intervals.withColumn("_new", (F.coalesce(F.col(start) > reach + 1, F.lit(True))).cast("int"))
-    rows = rows.withColumn("_g", F.sum("_new").over(w))
-    return rows.groupBy(key, "_g").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_g")
+    before, upto = (F.max(end).over(w.rowsBetween(Window.unboundedPreceding, k)) for k in (-1, 0))
+    rows = intervals.select(key, start, end).withColumns({"_before": before, "_upto": upto, "_next": F.lead(F.struct(start)).over(w)})
+    rows = rows.withColumns({"_first": F.coalesce(F.col(start) > F.col("_before") + 1, F.lit(True)), "_last": F.coalesce(F.col(f"_next.{start}") > F.col("_upto") + 1, F.lit(True))}).where("_first OR _last")
+    # of a union of one row that row is both
+    reach = F.when(F.col("_last"), F.col("_upto")).otherwise(F.lead("_upto").over(w))
+    rows = rows.withColumn("_reach", reach).where("_first")
+    return rows.select(key, start, F.col("_reach").alias(end))
