@@ -35,12 +35,21 @@ BAD_POS = "pos < 1 OR pos <> round(pos)"
 BAD_P = "p < 0 OR p > 1"
 
 
+def passing(raw: DataFrame, chr_map: dict[str, str] | None = None) -> DataFrame:
+    """snp, chr, pos, p of the rows that :func:`qc` does not drop for what they hold."""
+    return _fields(raw, chr_map).where(f"NOT ({MISSING})").where(f"NOT ({BAD_POS})").where(f"NOT ({BAD_P})").withColumn("pos", F.col("pos").cast("long"))
+
+
 def qc(raw: DataFrame, chr_map: dict[str, str] | None = None) -> DataFrame:
     """snp, chr, pos, p, logp: bad rows dropped, zero p raised, the best p of a position kept, ids filled and unique.
 
     One shuffle by position, one by id; the least non-zero p is a scalar subquery.
     """
-    rows = _fields(raw, chr_map).where(f"NOT ({MISSING})").where(f"NOT ({BAD_POS})").where(f"NOT ({BAD_P})").withColumn("pos", F.col("pos").cast("long"))
+    return settled(passing(raw, chr_map))
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """:func:`qc` of rows that are :func:`passing`."""
     least = rows.where("p > 0").agg(F.min("p")).scalar()
     rows = _named(rows).withColumn("p", F.when(F.col("p") == 0, F.coalesce(least, F.lit(TINY))).otherwise(F.col("p")))
     rows = rows.withColumn("snp", F.when(F.col("snp").isNull() | F.col("snp").isin("", "."), F.concat_ws(":", "chr", "pos")).otherwise(F.col("snp")))
@@ -141,8 +150,11 @@ def thin_every(rows: DataFrame, order: list, every: int, group: str) -> DataFram
 
 
 def thin_grid(points: DataFrame, group: str = "grp", x_bins: int = 1500, y_bins: int = 300, low: float = 2.0) -> DataFrame:
-    """Points of logp under ``low`` thinned to one per grid cell; others all kept."""
-    span = points.agg(F.max("x").alias("x"), F.max("logp").alias("y"))
-    cell = points.withColumns({"_i": F.floor(F.col("x") / span.select("x").scalar() * x_bins), "_j": F.floor(F.col("logp") / span.select("y").scalar() * y_bins)})
-    w = Window.partitionBy(group, "_i", "_j").orderBy("x", "snp")
-    return cell.withColumn("_k", F.when(F.col("logp") < low, F.row_number().over(w)).otherwise(1)).where("_k = 1").drop("_i", "_j", "_k")
+    """Points of logp under ``low`` thinned to one per grid cell; others all kept. A cell's first point is a minimum, told before the shuffle too."""
+    span = points.agg(F.struct(F.max("x").alias("x"), F.max("logp").alias("y")).alias("m")).scalar()
+    cell = points.withColumn("_m", span)
+    cell = cell.withColumns({"_i": F.floor(F.col("x") / F.col("_m.x") * x_bins), "_j": F.floor(F.col("logp") / F.col("_m.y") * y_bins)}).drop("_m")
+    under = F.coalesce(F.col("logp") < low, F.lit(False))
+    rest = [c for c in points.columns if c not in ("x", "snp", group)]
+    first = cell.where(under).groupBy(group, "_i", "_j").agg(F.min(F.struct("x", "snp", *rest)).alias("_p")).select(group, "_p.*")
+    return cell.where(~under).select(points.columns).unionByName(first.select(points.columns))

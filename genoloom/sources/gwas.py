@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genoloom.operators import gwas
-from genoloom.sources.text import find_column, table
+from genoloom.sources.text import find_column, saved, table
 
 # Column names by which each field is known, in order of preference.
 NAMES = {
@@ -66,7 +66,8 @@ def read_gwas(spark: SparkSession, path: str | DataFrame, sep: str = "auto", chr
         if rows.isEmpty():
             raise ValueError("no row passes quality control")
         return rows
-    rows = gwas.qc(raw(spark, path, sep, **given), chr_map)
+    # the text is split once; whether a row is left shows before any shuffle
+    rows = saved(gwas.passing(raw(spark, path, sep, **given), chr_map))
     if rows.isEmpty():
         raise ValueError(f"no row of {path} passes quality control")
-    return rows
+    return gwas.settled(rows)
