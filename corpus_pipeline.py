@@ -1,7 +1,7 @@
 """Corpus pipeline: stages over whole documents, each written as Parquet and read again for the next.
 
 Language ID rejects documents whose language can't be told or that no learned one parses; near dedup keeps one document of each group
-of near copies (five-word shingles, Jaccard similarity of 0.8 or more); decontamination drops documents that hold a window of a benchmark item; mixing
+of near copies by SimHash (op4: 4 or fewer differing bits), then of those by five-word shingles (Jaccard similarity of 0.8 or more); decontamination drops documents that hold a window of a benchmark item; mixing
 repeats or leaves out documents so that sources come near their target weights; sharding, last, puts
 every row into a shard with a gapless slot.
 """
@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from genoloom.llm import simhash
 from genoloom.llm.common import documents, materialize
 from genoloom.llm.decontam import decontaminate
 from genoloom.llm.langid import fit, fold, identified
@@ -26,8 +27,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies by exact shingle sets; op4's own links, at 4 bits, miss most of these."""
-    return deduplicate(docs)
+    """One document of each component of op4's SimHash links; of what is left, one of each component of near copies by exact shingle sets, most of which 4 bits miss."""
+    return deduplicate(materialize(simhash.deduplicate(docs), "simhash"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

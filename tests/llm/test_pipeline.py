@@ -122,3 +122,16 @@ def test_draw_by_brute_force(spark, docs):
     assert all(taken[r.src, r.h, r.rn] == r.taken for r in rows)
     by = collections.Counter(s.shard for s in slots)
     assert set(by) == {0, 1, 2, 3} and all(abs(n - len(slots) / 4) < 5 * (len(slots) * 3 / 16) ** 0.5 for n in by.values())
+
+
+def test_near_dedup_keeps_one_of_a_simhash_component(spark, sf_dir):
+    """Texts whose fingerprints differ in 4 bits or fewer and whose shingle sets are too far apart for the exact step."""
+    from genoloom.llm.neardup import shingles, similar
+    from genoloom.llm.simhash import fingerprint
+
+    base = ["w%d" % (i % 7) for i in range(400)]
+    other = [*base[:-12], *("z%d" % i for i in range(12))]
+    a, b = (" ".join(x) for x in (base, other))
+    assert bin(fingerprint(a.encode()) ^ fingerprint(b.encode())).count("1") <= 4 and not similar(shingles(a.encode()), shingles(b.encode()))
+    docs = spark.createDataFrame([(1, a, "en", "s", 1), (2, b, "en", "s", 1)], SCHEMA)
+    assert [r.doc_id for r in STAGES["near_dedup"](spark, docs, sf_dir).collect()] == [1]
