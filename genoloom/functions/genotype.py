@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,15 +48,37 @@ def hmp_dosage(call: Column, alleles: Column) -> Column:
     return F.when(known, F.when(F.length(call) == 1, one).when(F.length(call) == 2, two))
 
 
-def hmp_to_gt(call: Column, alleles: Column) -> Column:
-    """'a/b' of places among all ``alleles`` ('A/C/T'), the smaller first; './.' where a base is missing or none of them."""
-    call = F.upper(call)
-    every = F.filter(F.split(F.upper(alleles), "/"), lambda a: a != "")
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row: what a lambda names from outside, or a body names twice, may be computed each time."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _every(alleles: Column) -> Column:
+    return F.filter(F.split(F.upper(alleles), "/"), lambda a: a != "")
+
+
+def _gt(call: Column, every: Column) -> Column:
     place = lambda x: F.nullif(F.array_position(every, x), F.lit(0)) - 1
     pair = F.coalesce(_het(call), F.when(F.length(call) == 1, F.concat(call, call)).when(F.length(call) == 2, call))
     pair = F.when((call == "0") & F.array_contains(every, "+") & F.array_contains(every, "-"), "+-").otherwise(pair)
-    a, b = place(F.substring(pair, 1, 1)), place(F.substring(pair, 2, 1))
-    return F.coalesce(F.concat(F.least(a, b).cast("string"), F.lit("/"), F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b).cast("string"))), F.lit("./."))
+    places = _let(pair, lambda p: F.array(place(F.substring(p, 1, 1)), place(F.substring(p, 2, 1))))
+    text = lambda x: F.concat(F.array_min(x).cast("string"), F.lit("/"), F.array_max(x).cast("string"))
+    return _let(places, lambda x: F.when(F.get(x, F.lit(0)).isNotNull() & F.get(x, F.lit(1)).isNotNull(), text(x)).otherwise("./."))
+
+
+def hmp_to_gt(call: Column, alleles: Column) -> Column:
+    """'a/b' of places among all ``alleles`` ('A/C/T'), the smaller first; './.' where a base is missing or none of them."""
+    return F.coalesce(_let(_every(alleles), lambda every: _gt(F.upper(call), every)), F.lit("./."))
+
+
+def hmp_to_gts(calls: Column, alleles: Column) -> Column:
+    """:func:`hmp_to_gt` of each of a row's calls (an array of upper case without nulls): told once for each different call, of which a row has few."""
+
+    def told(row: Column) -> Column:
+        few = F.array_distinct(row["calls"])
+        return _let(_let(few, lambda k: F.map_from_arrays(k, F.transform(k, lambda c: _gt(c, row["every"])))), lambda known: F.transform(row["calls"], lambda c: F.coalesce(F.try_element_at(known, c), F.lit("./."))))
+
+    return _let(F.struct(calls.alias("calls"), _every(alleles).alias("every")), told)
 
 
 def allele_label(ref: Column, alt: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoloom.functions.genotype import hmp_to_gt
+from genoloom.functions.genotype import hmp_to_gts
 from genoloom.functions.names import chr_key, normalize_chr
 from genoloom.operators.report import ld_matrix_rows, ld_pairs_table
 from genoloom.operators.tree import Tree, newick
@@ -16,7 +16,7 @@ from genoloom.sources.blockgzip import write_blocks_text
 from genoloom.sources.genome import fasta, fasta_bases, fasta_index
 from genoloom.sources.genotypes import VCF_FIXED, hapmap_rows, region_of
 from genoloom.sources.gff import Genes
-from genoloom.sources.text import saved
+from genoloom.sources.text import stored
 
 
 def single(spark: SparkSession, path: str, text: Iterable[str]) -> str:
@@ -143,7 +143,8 @@ def hapmap_to_vcf(spark: SparkSession, source: str, path: str, chr_map: dict[str
     rows = rows.withColumns({"use": use, "mismatch": F.coalesce(known, F.lit(False)) & ~use})
     order = F.when(F.col("use"), F.concat(F.array("base"), F.filter(every, lambda a: a != F.col("base")))).otherwise(every)
     rows = rows.withColumn("order", order).withColumn("joined", F.array_join("order", "/"))
-    calls = F.transform(F.sequence(F.lit(first), F.lit(first + len(samples) - 1)), lambda i: hmp_to_gt(F.upper(F.trim(F.get("f", i))), F.col("joined")))
+    texts = F.transform(F.sequence(F.lit(first), F.lit(first + len(samples) - 1)), lambda i: F.coalesce(F.upper(F.trim(F.get("f", i))), F.lit("")))
+    calls = hmp_to_gts(texts, F.col("joined"))
     ident = F.when(F.col("id").isNull() | F.col("id").isin("", "NA"), ".").otherwise(F.col("id"))
     symbol = F.transform(F.slice("order", 2, 1 << 20), lambda a: F.when(~F.col("sign"), a).when(a == "+", "<INS>").when(a == "-", "<DEL>").otherwise("<INDEL>"))
     other = F.when(F.size("order") > 1, F.array_join(symbol, ",")).otherwise(".")
@@ -152,7 +153,7 @@ def hapmap_to_vcf(spark: SparkSession, source: str, path: str, chr_map: dict[str
     line = F.concat_ws("\t", "label", "pos", ident, ref, other, F.lit("."), F.when(F.col("mismatch"), "RefMismatch").otherwise("PASS"), F.lit("."), F.lit("GT"), F.array_join(calls, "\t"))
     rows = rows.withColumns({"_o": chr_key(F.col("chr")), "label": label})
     # one pass over the source: what the counts, the names and the sort's sampling need is stored once
-    rows = saved(rows.select("_o", "pos", "v", "label", "sign", "mismatch", F.when(F.lit(indels == "symbolic") | ~F.col("sign"), line).alias("value"), F.length(ref).alias("width")))
+    rows = stored(rows.select("_o", "pos", "v", "label", "sign", "mismatch", F.when(F.lit(indels == "symbolic") | ~F.col("sign"), line).alias("value"), F.length(ref).alias("width")))
     kept = rows.where("value IS NOT NULL")
     count = rows.agg(F.count("*").alias("read"), F.count_if("sign").alias("indels"), F.count_if("mismatch").alias("mismatches")).first().asDict()
     names = [r.label for r in kept.groupBy("label").agg(F.first("_o").alias("o")).orderBy("o", "label").collect()]

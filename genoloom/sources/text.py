@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -53,6 +54,15 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in :func:`shared_folder` and read back: each later step reads its own columns only. The order of rows is not kept. Types without a Parquet form are checkpointed."""
+    if re.search("void|interval|variant", df.schema.simpleString()):
+        return saved(df)
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def head(spark: SparkSession, path: str, n: int = 1) -> list[str]:
     """The first ``n`` lines; an error for an empty file or a pointer of large-file storage."""
     got = [r.value for r in lines(spark, path).select("value").head(n)]

@@ -3,7 +3,9 @@ import itertools
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
+from genoloom.functions.genotype import hmp_to_gt, hmp_to_gts
 from genoloom.operators import blocks, genotypes
 
 CALLS = "v long, chr string, pos long, smp int, dos double"
@@ -123,3 +125,12 @@ def test_box_sums_are_counts():
     for a in range(n):
         for b in range(a, min(n, a + 13)):
             assert got[a, b - a] == (flag & (i >= a) & (j <= b)).sum()
+
+
+def test_calls_of_a_row_are_told_as_one_by_one(spark):
+    calls = ["AA", "A", "AG", "GA", "R", "GG", "N", "", "AT", "0", "+-", "+", "CG", "AAA", "AA", "R"]
+    for alleles, wanted in (("A/G", "0/0 0/0 0/1 0/1 0/1 1/1 ./. ./. ./. ./. ./. ./. ./. ./. 0/0 0/1"), ("+/-", "./. ./. ./. ./. ./. ./. ./. ./. ./. 0/1 0/1 0/0 ./. ./. ./. ./."), ("G/A/T", "1/1 1/1 0/1 0/1 0/1 0/0 ./. ./. 1/2 ./. ./. ./. ./. ./. 1/1 0/1"), (None, " ".join(["./."] * 16))):
+        rows = spark.createDataFrame([(calls, alleles)], "c array<string>, a string")
+        one = F.transform("c", lambda c: hmp_to_gt(c, F.col("a")))
+        got = rows.select(hmp_to_gts(F.col("c"), F.col("a")).alias("all"), one.alias("one")).first()
+        assert got.all == got.one == wanted.split(" ")
