@@ -38,8 +38,8 @@ def chr_key(x: Column) -> Column:
 def attr_gff3(a: Column, key: str) -> Column:
     """Value of ``key`` in a GFF3 attribute string, percent-decoded; empty as null."""
     got = F.trim(F.regexp_extract(a, rf"(?:^|;)\s*{key}=([^;]*)", 1))
-    got = F.try_url_decode(F.replace(got, F.lit("+"), F.lit("%2B")))
-    return F.when(got != "", got)
+    # most lines lack most keys: no pattern is tried on them
+    return F.when(F.contains(a, F.lit(f"{key}=")), F.nullif(F.try_url_decode(F.replace(got, F.lit("+"), F.lit("%2B"))), F.lit("")))
 
 
 def attr_gtf(a: Column, key: str) -> Column:

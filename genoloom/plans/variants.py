@@ -11,7 +11,7 @@ from genoloom.functions.names import normalize_chr
 from genoloom.operators.annotate import annotate
 from genoloom.sources.genotypes import Genotypes
 from genoloom.sources.gff import Genes, read_gff
-from genoloom.sources.text import saved
+from genoloom.sources.text import stored
 
 #: Columns of the result; others of a table are kept behind them.
 COLUMNS = ["snp", "chr", "pos", "gene_id", "gene_name", "strand", "location", "feature", "distance_bp", "description", "other_genes"]
@@ -38,9 +38,9 @@ def variants_of(spark: SparkSession, x: Genotypes | DataFrame | Sequence[int], c
         rows = rows.toDF("snp", "chr", *rows.columns[2:])
     else:
         raise ValueError("a table of variants needs a column pos")
-    rows = saved(rows.withColumn("vid", F.monotonically_increasing_id()))
+    rows = rows.withColumn("vid", F.monotonically_increasing_id())
     named = rows.withColumns({"chr": normalize_chr(F.col("chr"), chr_map), "snp": F.coalesce("snp", F.concat(F.lit("v"), F.col("vid") + 1))})
-    return named.select("vid", "snp", "chr", "pos", *[F.col(f"`{c}`") for c in rows.columns if c not in ("vid", "snp", "chr", "pos")])
+    return stored(named.select("vid", "snp", "chr", "pos", *[F.col(f"`{c}`") for c in rows.columns if c not in ("vid", "snp", "chr", "pos")]))
 
 
 def modelled(genes: Genes) -> DataFrame:
@@ -57,8 +57,11 @@ def annotate_variants(spark: SparkSession, x: Genotypes | DataFrame | Sequence[i
     rows = variants_of(spark, x, chrom, chr_map)
     models = read_gff(spark, genes, chr_map=chr_map) if isinstance(genes, str) else genes
     more = [c for c in rows.columns if c not in ("vid", "snp", "chr", "pos")]
-    found = annotate(rows.select("vid", "snp", "chr", "pos"), models.genes, modelled(models), upstream, downstream)
+    # a table's own columns go along as one; a row without a place passes by, as no gene is near it
+    placed = F.col("chr").isNotNull() & F.col("pos").isNotNull()
+    rows = rows.select("vid", "snp", "chr", "pos", (F.struct(*[F.col(f"`{c}`") for c in more]) if more else F.lit(0)).alias("own_columns"))
+    found = annotate(rows.where(placed), models.genes, modelled(models), upstream, downstream)
     names = models.genes.select(F.col("gene_id").alias("gene"), F.col("name").alias("gene_name"), F.col("note").alias("description"))
-    found = found.join(names, "gene", "left").select("vid", F.col("gene").alias("gene_id"), "gene_name", F.col("gene_strand").alias("strand"), F.col("location").alias("_place"), "feature", "distance_bp", "description", "other_genes")
-    out = rows.join(found, "vid", "left").withColumn("location", F.coalesce("_place", F.lit("intergenic")))  # rows without a place are not in ``found``
-    return out.select(*COLUMNS, *[F.col(f"`{c}`") for c in more])
+    found = found.join(names, "gene", "left").withColumnsRenamed({"gene": "gene_id", "gene_strand": "strand"}).select(*COLUMNS, "own_columns")
+    out = found.unionByName(rows.where(~placed).withColumn("location", F.lit("intergenic")).drop("vid"), allowMissingColumns=True)
+    return out.select(*COLUMNS, *[F.col("own_columns")[c].alias(c) for c in more])

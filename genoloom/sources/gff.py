@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from genoloom.functions.names import attr_gff3, attr_gtf, normalize_chr, sub_class
 from genoloom.operators.intervals import merge
 from genoloom.operators.ranks import ranked
-from genoloom.sources.text import lines, numbered, saved
+from genoloom.sources.text import lines, numbered, own_reader, stored
 
 # Feature types by role.
 GENE_TYPES = ["gene", "pseudogene", "ncRNA_gene", "transposable_element_gene", "protein_coding_gene", "rRNA_gene", "tRNA_gene", "snRNA_gene", "snoRNA_gene", "miRNA_gene"]
@@ -52,11 +52,14 @@ class Genes:
 
 def records(spark: SparkSession, path: str, chrom: str | None = None, chr_map: dict[str, str] | None = None) -> tuple[DataFrame, str]:
     """(row, line, chr, type, start, end, strand, id, parent, name, note, hint) and the format. Lines from ##FASTA on are left out."""
-    rows = numbered(lines(spark, path))
-    cut = rows.where(F.col("value").startswith("##FASTA")).agg(F.min("row")).first()[0]
+    every = lines(spark, path)
+    rows = numbered(every, plain=own_reader(path) is None)
+    ends = F.col("value").startswith("##FASTA")
+    cut = rows.where(ends).agg(F.min("row")).first()[0] if every.where(ends).head(1) else None
     rows = rows if cut is None else rows.where(F.col("row") < cut)
-    rows = rows.where(F.col("value").contains("\t") & ~F.col("value").startswith("#"))
-    sample = [r.a for r in rows.limit(500).select(F.get(F.split("value", "\t"), F.lit(8)).alias("a")).collect() if r.a]
+    told = F.col("value").contains("\t") & ~F.col("value").startswith("#")
+    rows = rows.where(told)
+    sample = [r.a for r in (every.where(told) if cut is None else rows).limit(500).select(F.get(F.split("value", "\t"), F.lit(8)).alias("a")).collect() if r.a]
     gtf = sum(bool(GTF_LIKE.match(a)) for a in sample) * 2 > len(sample)
     at = lambda i: F.get(F.split("value", "\t"), F.lit(i))
     rows = rows.select("row", F.col("value").alias("line"), normalize_chr(at(0), chr_map).alias("chr"), at(2).alias("type"), at(3).try_cast("long").alias("start"), at(4).try_cast("long").alias("end"), at(6).alias("strand"), at(8).alias("a"))
@@ -93,11 +96,11 @@ def models(rows: DataFrame, gene_types: list[str] | None = None) -> tuple[DataFr
 
     Absent levels are filled in: a transcript for features without one, a gene for transcripts
     without one, a body of one exon for bare genes, and exons of merged coding parts and UTRs.
-    Every step is an equi-join on an id; tables that several steps read are checkpointed, or the plan would double at each.
+    Every step is an equi-join on an id; tables that several steps read are stored, or the plan would double at each.
     """
     none = lambda kind: F.lit(None).cast(kind)
     is_gene, is_sub = F.col("type").isin(gene_types or GENE_TYPES), F.col("type").isin(SUB_TYPES)
-    rows = saved(rows)
+    rows = stored(rows.drop("line"))
     g = _first(rows.where(is_gene).withColumn("gene_id", F.coalesce("id", F.concat(F.lit("gene_line"), "row"))), "gene_id")
     subs = rows.where(is_sub).withColumn("parent", F.explode_outer(F.split("parent", ",")))
 
@@ -106,7 +109,7 @@ def models(rows: DataFrame, gene_types: list[str] | None = None) -> tuple[DataFr
     tx = tx.where(F.col("of_gene") | F.col("is_parent") | (F.col("parent").isNull() & F.col("type").isin(TX_TYPES)))
     tx = _first(tx.withColumn("transcript_id", F.coalesce("id", F.concat(F.lit("transcript_line"), "row"))), "transcript_id")
     tx = tx.select("transcript_id", F.coalesce("fp", "hint", "transcript_id").alias("gene_id"), "chr", "start", "end", "strand", "type", "name", "row")
-    g, tx = saved(g), saved(tx)
+    g, tx = stored(g), stored(tx)
 
     s = subs.withColumn("class", sub_class(F.col("type")))
     s = s.join(tx.select(F.col("transcript_id").alias("parent"), F.col("gene_id").alias("tx_gene")), "parent", "left").join(_flag(g, "gene_id", "parent", "on_gene"), "parent", "left")
@@ -115,31 +118,31 @@ def models(rows: DataFrame, gene_types: list[str] | None = None) -> tuple[DataFr
         "transcript_id": F.when(F.col("tx_gene").isNotNull(), F.col("parent")).when(F.col("on_gene"), F.concat("parent", F.lit(".model"))).otherwise(lone),
         "gene_id": F.coalesce("tx_gene", F.when(F.col("on_gene"), F.col("parent")), "hint", lone),
     }).select("transcript_id", "gene_id", "class", "chr", "start", "end", "strand", "row")
-    s = saved(s)
+    s = stored(s)
 
     absent = _span(s.join(tx.select("transcript_id"), "transcript_id", "left_anti"), "transcript_id", gene_id="gene_id")
-    tx = saved(tx.unionByName(absent.withColumns({"type": F.lit("transcript"), "name": none("string"), "row": none("long")})))
+    tx = stored(tx.unionByName(absent.withColumns({"type": F.lit("transcript"), "name": none("string"), "row": none("long")})))
     # a filled-in transcript has no row: those of the file come first
     orphan = tx.join(g.select("gene_id"), "gene_id", "left_anti").withColumn("row", F.coalesce("row", F.lit((1 << 63) - 1)))
     made = _span(orphan, "gene_id", name="name").withColumns({"note": none("string"), "type": F.lit("gene"), "row": none("long")})
     g = g.select("gene_id", "chr", "start", "end", "strand", "name", "note", "type", "row").unionByName(made)
-    g = saved(g)
+    g = stored(g)
 
     bare = g.join(tx.select("gene_id"), "gene_id", "left_anti").withColumn("transcript_id", F.concat("gene_id", F.lit(".gene")))
     tx = tx.unionByName(bare.select("transcript_id", "gene_id", "chr", "start", "end", "strand", F.lit("gene_only").alias("type"), "name", none("long").alias("row")))
     s = s.unionByName(bare.select("transcript_id", "gene_id", F.lit("exon").alias("class"), "chr", "start", "end", "strand", none("long").alias("row")))
-    s = saved(s)
+    s = stored(s)
     parts = s.join(s.where("class = 'exon'").select("transcript_id"), "transcript_id", "left_anti")
     whose = _span(parts, "transcript_id", gene_id="gene_id").select("transcript_id", "gene_id", "chr", "strand")
     exons = merge(parts.select("transcript_id", "start", "end"), "transcript_id").select("transcript_id", "start", "end").join(whose, "transcript_id")
-    s = saved(s.unionByName(exons.withColumns({"class": F.lit("exon"), "row": none("long")})))
+    s = stored(s.unionByName(exons.withColumns({"class": F.lit("exon"), "row": none("long")})))
 
     size = F.col("end") - F.col("start") + 1
     of = lambda c: F.sum(F.when(F.col("class") == c, size).otherwise(0))
     sums = s.groupBy("transcript_id").agg(of("exon").alias("exon_len"), of("CDS").alias("cds_len"))
     tx = tx.join(sums, "transcript_id", "left").na.fill(0, ["exon_len", "cds_len"])
     rank: Column = F.row_number().over(Window.partitionBy("gene_id").orderBy(F.desc("cds_len"), F.desc("exon_len"), F.asc_nulls_last("row"), "transcript_id"))
-    tx = saved(tx.withColumn("canonical", rank == 1))
+    tx = stored(tx.withColumn("canonical", rank == 1))
     best = tx.where("canonical").select("gene_id", F.col("transcript_id").alias("canonical"))
     # gene_ord: a gene's place by start, end and line, by which equal places in annotation are told apart
     g = ranked(g.withColumn("name", F.coalesce("name", "gene_id")).join(best, "gene_id", "left"), [], ["start", "end", F.asc_nulls_last("row"), "gene_id"], "gene_ord").drop("_n")

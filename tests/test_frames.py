@@ -114,3 +114,13 @@ def test_thin_grid_against_a_loop(spark):
             seen.add(cell)
     got = {r.snp for r in thin_grid(spark.createDataFrame(rows, "snp string, x double, logp double, grp int"), x_bins=20, y_bins=10).collect()}
     assert got == kept and 100 < len(got) < 2000
+
+
+def test_own_columns_of_rows_without_a_place(spark, tmp_path):
+    (tmp_path / "o.gff3").write_text("1\tx\tgene\t100\t200\t.\t+\t.\tID=g1\n")
+    table = spark.createDataFrame([("a", "1", 150, 1, "p"), ("b", None, 150, 2, "q"), ("c", "1", None, 3, None), ("d", "2", 5, 4, "s")], "snp string, chr string, pos long, gene int, `x.y` string")
+    got = annotate_variants(spark, table, str(tmp_path / "o.gff3"))
+    assert got.columns[-2:] == ["gene", "x.y"]
+    assert {(r.snp, r.gene_id, r.location, r.distance_bp, r.gene, r["x.y"]) for r in got.collect()} == {
+        ("a", "g1", "genic", 0, 1, "p"), ("b", None, "intergenic", None, 2, "q"), ("c", None, "intergenic", None, 3, None), ("d", None, "intergenic", None, 4, "s"),
+    }

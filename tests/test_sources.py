@@ -138,3 +138,23 @@ def test_streams(spark, tmp_path):
     assert [(r.snp, r.pos, str(r.chr)) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("a", 5, "1")]
     events = spark.range(4).select(F.timestamp_seconds(F.col("id") * 43200).alias("t"), F.lit("k").alias("kind"))
     assert sorted(r.n for r in ingest.windowed_counts(events, "t", "kind").collect()) == [2, 2]
+
+
+def test_lines_are_numbered_where_they_are(spark, tmp_path):
+    """Splits within files and files within tasks: as by a window over each split, which a file that Spark splits does without."""
+    for k in range(3):
+        (tmp_path / f"{k}.txt").write_text("".join(f"{k}-{i}\n" for i in range(40 * k + 5)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100b")
+    try:
+        rows = lines(spark, str(tmp_path))
+        got = {r.value: r.row for r in numbered(rows, plain=True).collect()}
+        assert got == {f"{k}-{i}": i + 1 for k in range(3) for i in range(40 * k + 5)}
+        assert got == {r.value: r.row for r in numbered(rows).collect()}
+        gene = "1\tx\tgene\t5\t9\t.\t+\t.\tID=g;Note=a%20b;Name=\n"
+        path = put(tmp_path, "m.gff3", "##gff-version 3\n" + gene * 30 + "##FASTA\n" + gene)
+        got, _ = gff.records(spark, path)
+        assert "row_number" not in got._jdf.queryExecution().executedPlan().toString()
+        assert [(r.row, r.id, r.note, r.name) for r in got.orderBy("row").collect()] == [(k + 2, "g", "a b", None) for k in range(30)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
