@@ -60,6 +60,18 @@ def test_short_periods_are_few_rows(spark):
         assert len(suffix_dedup._counted(*suffix_dedup.anchors(part[: 1 << 20], np.array([0, 1 << 20]), 400, 200), 400)[0]) < 10
 
 
+def test_passages_count_from_400_bytes(spark):
+    """A shared passage of 57 words goes at 400 bytes and stays at 399; n_bytes is the input's size either way."""
+    rng = np.random.default_rng(12)
+    short, full = (b" ".join(bytes(rng.integers(97, 123, 6, dtype=np.uint8)) for _ in range(57)) + b"." * k for k in (1, 2))
+    assert (len(short), len(full)) == (399, 400) and min(len(short.split()), len(full.split())) > 50
+    texts = [b"A" + short + b"B", b"C" + short + b"D", b"E" + full + b"F", b"G" + full + b"H"]
+    docs = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs, with_bytes=False).collect()}
+    assert got == dict(enumerate(brute_repeats(texts, 400)))
+    assert [got[i][:3] for i in range(4)] == [(401, 0, 0)] * 2 + [(402, 400, 1)] * 2
+
+
 def test_long_texts(spark):
     rng = np.random.default_rng(11)
     some = [f"w{zlib.crc32(bytes([k])) % 997}" for k in range(200)]
