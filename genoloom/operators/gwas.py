@@ -149,12 +149,15 @@ def thin_every(rows: DataFrame, order: list, every: int, group: str) -> DataFram
     return ranked(rows, [group], order).where((F.col("_r") - 1) % every == 0).drop("_r", "_n")
 
 
-def thin_grid(points: DataFrame, group: str = "grp", x_bins: int = 1500, y_bins: int = 300, low: float = 2.0) -> DataFrame:
-    """Points of logp under ``low`` thinned to one per grid cell; others all kept. A cell's first point is a minimum, told before the shuffle too."""
+def thin_grid(points: DataFrame, group: str = "grp", x_bins: int = 1500, y_bins: int = 300, low: float = 2.0, whole: bool = False) -> DataFrame:
+    """Points of logp under ``low`` thinned to one per grid cell; others all kept. A cell's first point is a minimum, told before the shuffle too.
+
+    whole: in cells that ``low`` cuts a point from ``low`` on counts as well, and none under it is kept where such a point comes first.
+    """
     span = points.agg(F.struct(F.max("x").alias("x"), F.max("logp").alias("y")).alias("m")).scalar()
     cell = points.withColumn("_m", span)
     cell = cell.withColumns({"_i": F.floor(F.col("x") / F.col("_m.x") * x_bins), "_j": F.floor(F.col("logp") / F.col("_m.y") * y_bins)}).drop("_m")
     under = F.coalesce(F.col("logp") < low, F.lit(False))
     rest = [c for c in points.columns if c not in ("x", "snp", group)]
-    first = cell.where(under).groupBy(group, "_i", "_j").agg(F.min(F.struct("x", "snp", *rest)).alias("_p")).select(group, "_p.*")
-    return cell.where(~under).select(points.columns).unionByName(first.select(points.columns))
+    first = (cell if whole else cell.where(under)).groupBy(group, "_i", "_j").agg(F.min(F.struct("x", "snp", *rest)).alias("_p")).select(group, "_p.*")
+    return cell.where(~under).select(points.columns).unionByName(first.where(under).select(points.columns))

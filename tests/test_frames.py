@@ -116,6 +116,21 @@ def test_thin_grid_against_a_loop(spark):
     assert got == kept and 100 < len(got) < 2000
 
 
+def test_thin_grid_query_in_the_cells_that_two_cuts(spark, tmp_path):
+    """The cell of -log10 P 1.995 to 2.007: its first point is above 2 on chromosome 1, under 2 on chromosome 2."""
+    import duckdb
+
+    from genoloom.plans.catalog import ORACLES, QUERIES
+
+    price = {10: 4995.0, 12: 5010.0, 14: 5009.0, 110: 5010.0, 112: 4995.0, 114: 5009.0, 400: 250_000.0, 200_000: 500_000 * 10**-3.5}
+    spark.createDataFrame([(k, int(100 < k < 1000), p) for k, p in price.items()], "o_orderkey long, o_custkey long, o_totalprice double").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW orders AS FROM '{tmp_path}/orders.parquet/*.parquet'")
+    got = [tuple(r) for r in QUERIES["thin_grid"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(db.execute(ORACLES["thin_grid"]).fetchall())
+    assert {r[0] for r in got} == {"S10", "S110", "S112", "S400", "S200000"}
+
+
 def test_own_columns_of_rows_without_a_place(spark, tmp_path):
     (tmp_path / "o.gff3").write_text("1\tx\tgene\t100\t200\t.\t+\t.\tID=g1\n")
     table = spark.createDataFrame([("a", "1", 150, 1, "p"), ("b", None, 150, 2, "q"), ("c", "1", None, 3, None), ("d", "2", 5, 4, "s")], "snp string, chr string, pos long, gene int, `x.y` string")
